@@ -32,7 +32,7 @@ LETTER = regex.compile(r"\p{L}")
 
 def trigrams(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each trigram of the texts, and where each text's begin."""
-    folded = [b" " + t.translate(FOLD) + b"  " for t in data]
+    folded = [b"  " + t.translate(FOLD) + b" " for t in data]
     x = np.frombuffer(b"".join([*folded, b"  "]), np.uint8).astype(np.uint32)
     ids = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA6B) + x[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(17)
     return ids, np.cumsum([0, *map(len, folded[:-1])])
@@ -70,18 +70,18 @@ class Model:
         self.codes = codewords(len(self.langs))
         rates = np.array([(sums[k] + 0.5) / (sums[k] + 0.5).sum() for k in self.langs]).reshape(len(self.langs), BUCKETS)
         bits = self.codes.shape[1] if self.langs else 0
-        self.weights = np.zeros((BUCKETS, bits), np.float32)
+        self.weights = np.zeros((BUCKETS, bits))
         for b in range(bits):
             one, zero = rates[self.codes[:, b] > 0], rates[self.codes[:, b] < 0]
             if len(one) and len(zero):
                 self.weights[:, b] = np.log(one.mean(0)) - np.log(zero.mean(0))
-        margins = rates @ self.weights.astype(float)  # of each language's mean text
+        margins = rates @ self.weights  # of each language's mean text
         self.loss_weights = np.maximum((margins * self.codes).min(0), 1e-3) if self.langs else np.zeros(0)
         self.loss_weights = self.loss_weights / max(self.loss_weights.sum(), 1e-9)
 
     def margins(self, data: list[bytes]) -> np.ndarray:
         ids, begins = trigrams(data)
-        sums = np.add.reduceat(self.weights[ids], begins, axis=0, dtype=np.float64)
+        sums = np.add.reduceat(self.weights[ids], begins, axis=0)
         return sums / np.maximum(np.diff([*begins, len(ids)]), 1)[:, None]
 
     def decode(self, margins: np.ndarray) -> np.ndarray:
@@ -102,7 +102,6 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         share = F.when(F.col("lang") == r["lang"], F.lit(train_docs / r["count"])).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     got = map_batches(chosen.select("lang", "text"), _counts, "lang string, sums binary")
-
     sums: dict[str, np.ndarray] = {}
     for r in got.toLocalIterator():
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["sums"], "<f8")
@@ -115,9 +114,9 @@ def _predict(model: Model):
             lang, score, lead = [], [], []
             rows = [t.encode() if LETTER.search(t) else b"" for t in texts(batch)]
             at = 0
-            while at < len(rows):  # about 4 MB at a time
+            while at < len(rows):  # about 1 MB at a time
                 size, end = 0, at
-                while end < len(rows) and (end == at or size + len(rows[end]) < 4_000_000):
+                while end < len(rows) and (end == at or size + len(rows[end]) < 1_000_000):
                     size, end = size + len(rows[end]), end + 1
                 part, at = rows[at:end], end
                 p = model.decode(model.margins(part)) if model.langs else np.zeros((len(part), 1))

@@ -25,7 +25,7 @@ from .common import map_batches, table, texts
 MARK = "▁"
 #: A run of marks with the word after it; a line feed, or the rest of a line.
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
+MEMO_WORDS, MEMO_CHARS = 600_000, 64
 
 
 class PieceTable:
@@ -59,6 +59,7 @@ class PieceTable:
         for p in self.id:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.whole = {p for p in self.id if self.merge(p) == [p]}  # those that plain merging reaches
 
     def merge(self, s: str) -> list[str]:
         """Plain merging: the best score first, then the leftmost."""
@@ -87,14 +88,14 @@ class PieceTable:
         if (known := self.compatible.get(key)) is None:
             if len(self.compatible) > 2_000_000:
                 self.compatible.clear()
-            known = self.compatible[key] = self.merge(a + b) == ([a, b] if a else [b])
+            known = self.compatible[key] = not a or self.merge(a + b) == [a, b]
         return known
 
     def word(self, s: str) -> list[str]:
         """Pieces of a string of known characters with at most one mark, at its start."""
         last: list[str | None] = [""] + [None] * len(s)
         for i, p in self.automaton.iter(s):
-            if last[i + 1] is None and (before := last[i + 1 - len(p)]) is not None and self.fits("", p) and self.fits(before, p):
+            if last[i + 1] is None and p in self.whole and (before := last[i + 1 - len(p)]) is not None and self.fits(before, p):
                 last[i + 1] = p
         out, at = [], len(s)
         while at:
@@ -125,10 +126,15 @@ class PieceTable:
                 ids += [self.id[x] for x in found]
         return ids
 
+    def surface(self, ids) -> str:
+        """The characters of ids, marks as they are; bytes are put together."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.piece[i] for i in ids if i not in self.hidden])
+        return b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].encode() for i in ids if i not in self.hidden]).decode("utf-8", "replace")
+
     def decode(self, ids) -> str:
-        """The text of ids: bytes together, marks as spaces, without the first of them."""
-        out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].encode() for i in ids if i not in self.hidden)
-        return out.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+        """The text of ids: marks as spaces, without the first of them."""
+        return self.surface(ids).replace(MARK, " ").removeprefix(" ")
 
 
 class _Memo(dict):
@@ -142,7 +148,7 @@ class _Memo(dict):
         ids = self.table.segment(s)
         out = " ".join(map(str, ids))
         if len(s) <= MEMO_CHARS and len(self) < MEMO_WORDS:
-            self[s], self.surface[s] = out, self.table.decode([*self.table.segment("a"), *ids])[1:]
+            self[s], self.surface[s] = out, self.table.surface(ids)
         return out
 
 
@@ -173,7 +179,7 @@ def _codec(path: str):
                 try:
                     text = "".join(map(memo.surface.__getitem__, segments)).replace(MARK, " ")[1:]
                 except KeyError:  # segments too long or too many to keep
-                    text = memo.table.decode(map(int, ids.split(" ")))
+                    text = memo.table.decode([int(i) for i in ids.split(" ")])
                 n.append(ids.count(" ") + 1)
                 sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 back.append(hashlib.sha256(text.encode()).hexdigest())

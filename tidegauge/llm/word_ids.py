@@ -12,19 +12,29 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept in a worker's memo, and the longest chunk that is kept.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
+MEMO_WORDS, MEMO_CHARS = 800_000, 64
+#: Marks at the end of a chunk that neither compose with letters nor occur in special tokens.
+MARKS = ".,!?;:"
 
 
 class _Memo(dict):
+    """Chunk to ids. A new chunk is looked up once more without its last marks, which are
+    pre-tokens of their own, and in lower case if it is of ASCII letters."""
+
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word):
-        value = self.encode(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
+        core = word.rstrip(MARKS)
+        if core != word and core and core[-1].isalpha():
+            return self.kept(word, self[core] + self[word[len(core) :]])
+        if word.isascii() and word.isalpha() and (low := word.lower()) != word:
+            return self.kept(word, self[low])
+        return self.kept(word, self.encode(word))
+
+    def kept(self, word, value):
+        if len(word) <= MEMO_CHARS and len(self) < MEMO_WORDS:
             self[word] = value
         return value
 
@@ -55,7 +65,7 @@ def _splits(path: str) -> bool:
     kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     tokens = [a["content"] for a in spec.get("added_tokens", [])]
-    return kinds == ["NFC", "Replace", "Lowercase"] and pre[0].get("behavior") == "Removed" and not any(c.isspace() for x in tokens for c in x) and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"])
+    return kinds == ["NFC", "Replace", "Lowercase"] and pre[0].get("behavior") == "Removed" and not any(c.isspace() or c in MARKS for x in tokens for c in x) and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"])
 
 
 def ids_bytes(path: str, text: str) -> bytes:
