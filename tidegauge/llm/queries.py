@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, media, packing, piece_codec, secret_scan, token_counts
+from . import language_id, license_scan, media, nearest, packing, piece_codec, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_piece_codec": piece_codec.op3_piece_codec,
         "op4_media": media.op4_media,
         "op5_license_scan": license_scan.op5_license_scan,
+        "op6_nearest": nearest.op6_nearest,
         "op8_language_id": language_id.op8_language_id,
         "op9_packing": packing.op9_packing,
         "op10_token_counts": token_counts.op10_token_counts,
