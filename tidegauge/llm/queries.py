@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, media, nearest, packing, piece_codec, secret_scan, token_counts
+from . import language_id, license_scan, media, near_dups, nearest, packing, piece_codec, secret_scan, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_media": media.op4_media,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_nearest": nearest.op6_nearest,
+        "op7_near_dups": near_dups.op7_near_dups,
         "op8_language_id": language_id.op8_language_id,
         "op9_packing": packing.op9_packing,
         "op10_token_counts": token_counts.op10_token_counts,
