@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, media, near_dups, nearest, packing, piece_codec, secret_scan, token_counts
+from . import language_id, license_scan, media, near_dups, nearest, packing, piece_codec, repeats, secret_scan, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_repeats": repeats.op2_repeats,
         "op3_piece_codec": piece_codec.op3_piece_codec,
         "op4_media": media.op4_media,
         "op5_license_scan": license_scan.op5_license_scan,
