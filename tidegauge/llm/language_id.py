@@ -108,7 +108,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     return Model(sums)
 
 
-def _predict(model: Model):
+def _predict(model: Model, keep: list[str]):
     def run(batches):
         for batch in batches:
             lang, score, lead = [], [], []
@@ -126,16 +126,17 @@ def _predict(model: Model):
                     lang.append(model.langs[best[i]] if known else "und")
                     score.append(float(top[i, -1]) if known else 0.0)
                     lead.append(known and len(model.langs) > 1 and float(top[i, -1] - top[i, -2]) < AMBIGUOUS)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.bool_())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.bool_())], [*keep, "lang_pred", "score", "ambiguous"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of docs(doc_id, text, ...). `und` with score 0
-    for a text that is null or has no letter, or if nothing was learned."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), _predict(model), f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with lang_pred, score and ambiguous of docs(text, ...). `und` with
+    score 0 for a text that is null or has no letter, or if nothing was learned."""
+    kept = docs.select(*keep).schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), _predict(model, list(keep)), f"{ddl}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(doc_id="doc_id"):
