@@ -114,9 +114,9 @@ def _predict(model: Model, keep: list[str]):
             lang, score, lead = [], [], []
             rows = [t.encode() if LETTER.search(t) else b"" for t in texts(batch)]
             at = 0
-            while at < len(rows):  # about 1 MB at a time
+            while at < len(rows):  # about 256 KB at a time
                 size, end = 0, at
-                while end < len(rows) and (end == at or size + len(rows[end]) < 1_000_000):
+                while end < len(rows) and (end == at or size + len(rows[end]) < 256_000):
                     size, end = size + len(rows[end]), end + 1
                 part, at = rows[at:end], end
                 p = model.decode(model.margins(part)) if model.langs else np.zeros((len(part), 1))

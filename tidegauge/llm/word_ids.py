@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept in a worker's memo, and the longest chunk that is kept.
-MEMO_WORDS, MEMO_CHARS = 800_000, 64
+MEMO_WORDS, MEMO_CHARS = 500_000, 64
 #: Marks at the end of a chunk that neither compose with letters nor occur in special tokens.
 MARKS = ".,!?;:"
 
