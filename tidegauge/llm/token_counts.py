@@ -87,7 +87,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
         misses = misses.join(known, "digest", "left_anti")
     new = map_batches(misses.repartition("digest"), _encoder(tokenizer, version), CACHE_SCHEMA)
     new.write.mode("append").parquet(path)
-    counts = _read_cache(spark, path, version)
+    counts = stored(_read_cache(spark, path, version), "counts")  # a plain join side: Spark can split hot digests
     return keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
