@@ -198,7 +198,7 @@ def page_of(text: Column, doc_id: Column) -> Column:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    features = describe(build_store(docs))
+    features = stored(describe(build_store(docs)), "features")  # a plain join side: Spark can split hot digests
     pages = docs.select("doc_id", page_of(F.col("text"), F.col("doc_id")).alias("html"))
     items = resolve(parse(pages, "doc_id"), features, "doc_id").where("kind = 'media'")
     return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
