@@ -55,8 +55,10 @@ def issue_keys(*texts: Column) -> Column:
 
 
 def collapse(s: Column) -> Column:
-    """Line breaks as middle dots, runs of white space as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\s*\n\s*", " · "), r"\s+", " "))
+    """Line breaks as middle dots, other runs of white space as one space; no dot at an end."""
+    for pattern, to in ((r"\s*\n\s*", " · "), (r"\s+", " "), (r"( ·)+", " ·")):
+        s = F.regexp_replace(s, pattern, to)
+    return F.regexp_replace(F.trim(s), r"^·\s*|\s*·$", "")
 
 
 def excerpt(raw: Column, most: int) -> Column:
@@ -65,4 +67,4 @@ def excerpt(raw: Column, most: int) -> Column:
     cut = F.substring(text, 1, most)
     space = F.length(F.regexp_extract(cut, r"(?s)^(.*) ", 1))
     short = F.when(space > 0.7 * most, F.substring(cut, F.lit(1), space)).otherwise(cut)
-    return F.when(text.isNotNull(), F.struct(F.when(F.length(text) > most, short).otherwise(text).alias("text"), (F.length(text) > most).alias("truncated")))
+    return F.when(text.isNotNull(), F.struct(F.when(F.length(text) > most, F.rtrim(short)).otherwise(text).alias("text"), (F.length(text) > most).alias("truncated")))
