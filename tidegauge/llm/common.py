@@ -57,6 +57,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_HELD: dict = {}
+
+
+def held(owner: tuple, make: Callable):
+    """What a Python worker keeps from task to task. It keeps one operator's memo at a
+    time, so that the stages of a pipeline don't add up in an executor's memory."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_batches, new_path, sorted_groups, stored, table, texts
+from .common import held, map_batches, new_path, sorted_groups, stored, table, texts
 from .components import components
 
 #: Bands and samples of each: a pair at the threshold shares none with a chance of 4e-7.
@@ -53,9 +53,8 @@ class _WordHash(dict):
         return h
 
 
-@lru_cache(maxsize=1)
 def _words() -> _WordHash:
-    return _WordHash()
+    return held(("word hashes",), _WordHash)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

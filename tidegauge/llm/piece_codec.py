@@ -15,12 +15,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table, texts
+from .common import held, map_batches, table, texts
 
 MARK = "▁"
 #: A run of marks with the word after it; a line feed, or the rest of a line.
@@ -152,9 +151,8 @@ class _Memo(dict):
         return out
 
 
-@lru_cache(maxsize=2)
 def _memo(path: str) -> _Memo:
-    return _Memo(PieceTable(path))
+    return held(("pieces", path), lambda: _Memo(PieceTable(path)))
 
 
 def encode(path: str, text: str) -> list[int]:

@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import held
+
 #: Chunks kept in a worker's memo, and the longest chunk that is kept.
 MEMO_WORDS, MEMO_CHARS = 500_000, 64
 #: Marks at the end of a chunk that neither compose with letters nor occur in special tokens.
@@ -49,10 +51,9 @@ def _tokenizer(path: str):
     return t
 
 
-@lru_cache(maxsize=4)
 def _memo(path: str) -> _Memo:
     t = _tokenizer(path)
-    return _Memo(lambda w: np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+    return held(("word ids", path), lambda: _Memo(lambda w: np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()))
 
 
 @lru_cache(maxsize=4)
