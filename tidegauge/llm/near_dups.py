@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> Data
     shared = spots.where("id != y").groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("bands"))
     best = F.row_number().over(W.partitionBy("x").orderBy(F.desc("bands"), "y"))
     pairs = shared.withColumn("r", best).where("r <= 3").select("x", "y")
-    packed = stored(map_batches(docs.select("doc_id", "text"), _packed, "id long, packed binary").join(spots.select("id").distinct(), "id"), "packed").dropDuplicates(["id"])
+    packed = stored(map_batches(docs.select("doc_id", "text"), _packed, "id long, packed binary").join(spots.select("id").distinct(), "id").dropDuplicates(["id"]), "packed")
     return _rounds(sig, classes, spots.select("key", "id"), packed, pairs, k, percent)
 
 
