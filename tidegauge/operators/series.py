@@ -59,11 +59,16 @@ def burndown(rows: DataFrame, start: str, end: str) -> DataFrame:
     return g.select("team", "d", "committed", "done", (F.col("committed") - F.col("done")).alias("remaining"), "open_issues", F.round(F.col("committed") * (1 - gone), 6).alias("ideal"))
 
 
+def _spanned(day_issue: DataFrame) -> DataFrame:
+    """With the first and last day of the team. Spans are aggregated and joined, since a
+    window over a team would bring all its rows to one task."""
+    return day_issue.join(day_issue.groupBy("team").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "team")
+
+
 def cycle_times(day_issue: DataFrame) -> DataFrame:
     """From the first day seen in progress to the resolution, of the issues of a team's
     last day; censored if that first day is the first of the series."""
-    span = W.partitionBy("team")
-    rows = day_issue.withColumn("lo", F.min("d").over(span)).withColumn("hi", F.max("d").over(span))
+    rows = _spanned(day_issue)
     g = rows.groupBy("team", "key").agg(
         F.min(F.when(F.col("category") == "In Progress", F.struct("d", "seen"))).alias("first"), F.first("lo").alias("lo"),
         F.max(F.when(F.col("d") == F.col("hi"), F.col("resolved"))).alias("resolved"), F.max(F.when(F.col("d") == F.col("hi"), F.col("created"))).alias("created"),
@@ -82,8 +87,7 @@ def cycle_summary(cycles: DataFrame) -> DataFrame:
 def column_dwell(day_issue: DataFrame) -> DataFrame:
     """How long each issue that is open on its team's last day has been in its column
     (category): the run of days that ends there; a day without the issue breaks it."""
-    span = W.partitionBy("team")
-    rows = day_issue.withColumn("lo", F.min("d").over(span)).withColumn("hi", F.max("d").over(span))
+    rows = _spanned(day_issue)
     last = rows.where("d = hi and category != 'Done'").select("team", "key", F.col("category").alias("col"), F.col("seen").alias("now"))
     same = rows.join(last, ["team", "key"]).where("category = col")
     back = F.row_number().over(W.partitionBy("team", "key").orderBy(F.desc("d"))) - 1

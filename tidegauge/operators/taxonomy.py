@@ -167,5 +167,6 @@ def attention_items(issue, issue_sprint, sprint, as_of: Column, stale_days: int
 def round_robin(items: DataFrame, n: int) -> DataFrame:
     """Items of all teams in turns: each team's first, then each one's second."""
     by = W.partitionBy("team").orderBy(F.desc("weight"), "key")
-    rows = items.withColumn("turn", F.row_number().over(by)).withColumn("most", F.max("weight").over(W.partitionBy("team")))
+    first = items.withColumn("turn", F.row_number().over(by)).where(F.col("turn") <= n)  # no team sends more
+    rows = first.withColumn("most", F.max("weight").over(W.partitionBy("team")))
     return rows.orderBy("turn", F.desc("most"), "team").limit(n).select("team", "key", "weight", "turn")

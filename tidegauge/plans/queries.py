@@ -166,12 +166,13 @@ def subtask_parents(c):
     return tx.subtask_parents(c.issue)
 
 
-@query("z AS (SELECT 1) SELECT a.team, count(*) orphans FROM issue a WHERE parent_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM issue b WHERE b.team = a.team AND b.key = a.parent_key) GROUP BY 1")
-def orphan_children(c):
-    return tx.orphan_children(c.issue.where(F.col("pos") % 10 != 3))
+#: Issues done for more than a year have left the board.
+KEPT = f"category <> 'Done' OR resolved >= {AS_OF} - INTERVAL '365' DAY"
 
 
-_SQL["orphan_children"] = check_sql(BOARD, "i2 AS (SELECT * FROM issue WHERE pos % 10 <> 3) SELECT a.team, count(*) orphans FROM i2 a WHERE parent_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM i2 b WHERE b.team = a.team AND b.key = a.parent_key) GROUP BY 1")
+@query(f"kept AS (SELECT * FROM issue WHERE {KEPT}) SELECT a.team, count(*) orphans FROM kept a WHERE parent_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept b WHERE b.team = a.team AND b.key = a.parent_key) GROUP BY 1")
+def orphan_children(c):
+    return tx.orphan_children(c.issue.where((F.col("category") != "Done") | (F.col("resolved") >= c.as_of - F.expr("interval 365 days"))))
 
 
 @query("h AS (SELECT team, blocked_by key, count(*) holds FROM issue WHERE category <> 'Done' AND blocked_by IS NOT NULL GROUP BY 1, 2) SELECT h.team, row_number() OVER (PARTITION BY h.team ORDER BY coalesce(i.category = 'Done', false), holds DESC, h.key) AS rank, h.key, holds, coalesce(i.category = 'Done', false) blocker_done FROM h LEFT JOIN issue i ON i.team = h.team AND i.key = h.key QUALIFY rank <= 12")
@@ -393,39 +394,46 @@ def name_index(c):
     return cl.name_index(c.raw("events"), "event_type", "user_id")
 
 
-@query("seen AS (SELECT key, created seen FROM issue WHERE pos % 4 <> 0) SELECT i.key, s.seen IS NULL AS new FROM issue i LEFT JOIN seen s USING (key) WHERE s.seen IS NULL OR s.seen < i.updated")
+@query("seen AS (SELECT key, timestamp '2001-01-01' seen FROM issue WHERE created < timestamp '2001-01-01') SELECT i.key, s.seen IS NULL AS new FROM issue i LEFT JOIN seen s USING (key) WHERE s.seen IS NULL OR s.seen < i.updated")
 def changelog_delta(c):
-    seen = c.issue.where("pos % 4 != 0").select("key", F.col("created").alias("seen"))
+    fetched = F.lit("2001-01-01").cast("timestamp_ntz")  # when the log was read last
+    seen = c.issue.where(F.col("created") < fetched).select("key", fetched.alias("seen"))
     return cl.needing_fetch(c.issue, seen)
 
 
-@query("SELECT event_id entry_id, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END origin FROM events", None)
+@query("SELECT event_id entry_id, CASE WHEN ts < timestamp '2024-01-15' THEN 'old' ELSE 'new' END origin FROM events", None)
 def changelog_merge(c):
-    e = c.raw("events").select(F.col("event_id").alias("entry_id"))
-    new = e.withColumn("origin", F.lit("new"))
-    return cl.merge_entries(e.where("entry_id % 3 = 0").withColumn("origin", F.lit("old")), new.union(new))
+    e = c.raw("events")
+    entries = lambda rows, origin: rows.select(F.col("event_id").alias("entry_id"), F.lit(origin).alias("origin"))
+    stored = entries(e.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), "old")
+    return cl.merge_entries(stored, entries(e, "new").union(entries(e, "new")))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'kept' ELSE 'collected' END origin FROM supplier", None)
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'kept' ELSE 'collected' END origin FROM supplier", None)
 def carry_forward(c):
-    s = c.raw("supplier").select("s_suppkey")
-    return cl.carry_forward(s.where("s_suppkey % 4 != 0").withColumn("origin", F.lit("collected")), s.withColumn("origin", F.lit("kept")), "s_suppkey")
+    s = c.raw("supplier")
+    collected = s.where("s_acctbal >= 0").select("s_suppkey", F.lit("collected").alias("origin"))
+    return cl.carry_forward(collected, s.select("s_suppkey", F.lit("kept").alias("origin")), "s_suppkey")
 
 
-FINDINGS = "f AS (SELECT key identity, cast(pos % 3 AS int) a, cast(pos % 5 % 3 AS int) b, pos FROM issue WHERE flagged)"
+#: Flagged issues before (known by then) and after (not done): a and b are the severities.
+FINDINGS = f"f AS (SELECT key identity, created < timestamp '2001-01-01' was_there, category <> 'Done' is_there, CASE WHEN priority LIKE '1%' THEN 2 WHEN priority LIKE '2%' THEN 1 ELSE 0 END a, CASE WHEN due < {AS_OF} THEN 2 WHEN category = 'In Progress' THEN 1 ELSE 0 END b FROM issue WHERE flagged)"
 
 
 def _findings(c):
-    f = c.issue.where("flagged").select(F.col("key").alias("identity"), (F.col("pos") % 3).cast("int").alias("a"), (F.col("pos") % 5 % 3).cast("int").alias("b"), "pos")
-    return f.where("pos % 7 != 1").select("identity", F.col("a").alias("severity")), f.where("pos % 7 != 2").select("identity", F.col("b").alias("severity"))
+    f = c.issue.where("flagged")
+    a = F.when(F.col("priority").startswith("1"), 2).when(F.col("priority").startswith("2"), 1).otherwise(0)
+    b = F.when(F.col("due") < c.as_of, 2).when(F.col("category") == "In Progress", 1).otherwise(0)
+    before, after = f.where(F.col("created") < F.lit("2001-01-01").cast("timestamp_ntz")), f.where("category != 'Done'")
+    return before.select(F.col("key").alias("identity"), a.alias("severity")), after.select(F.col("key").alias("identity"), b.alias("severity"))
 
 
-@query(f"{FINDINGS} SELECT identity, CASE WHEN pos % 7 <> 1 THEN a END was, CASE WHEN pos % 7 <> 2 THEN b END AS now, CASE WHEN pos % 7 = 1 THEN 'new' WHEN pos % 7 = 2 THEN 'cleared' WHEN b > a THEN 'escalated' WHEN b < a THEN 'eased' ELSE 'unchanged' END kind FROM f")
+@query(f"{FINDINGS} SELECT identity, CASE WHEN was_there THEN a END was, CASE WHEN is_there THEN b END AS now, CASE WHEN NOT was_there THEN 'new' WHEN NOT is_there THEN 'cleared' WHEN b > a THEN 'escalated' WHEN b < a THEN 'eased' ELSE 'unchanged' END kind FROM f WHERE was_there OR is_there")
 def findings_diff(c):
     return cl.diff_findings(*_findings(c))
 
 
-@query(f"{FINDINGS} SELECT identity, CASE WHEN pos % 7 = 1 OR b = 2 THEN b ELSE a END severity, cast(CASE WHEN pos % 7 <> 1 THEN 4 ELSE 0 END + CASE WHEN b = 2 THEN 1 ELSE 0 END AS bigint) sends FROM f WHERE pos % 7 <> 2")
+@query(f"{FINDINGS} SELECT identity, CASE WHEN NOT was_there OR b = 2 THEN b ELSE a END severity, cast(CASE WHEN was_there THEN 4 ELSE 0 END + CASE WHEN b = 2 THEN 1 ELSE 0 END AS bigint) sends FROM f WHERE is_there")
 def alert_next_state(c):
     before, after = _findings(c)
     return cl.next_state(before.withColumn("sends", F.lit(4)), after.withColumn("sent", F.col("severity") == 2))
