@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NO_EPIC, OFF_BOARD = "(no epic)", "(not on the board)"
+NO_KEYS = "cast(array() as array<string>)"
 
 
 def micros(ts: Column | str) -> Column:
