@@ -41,11 +41,16 @@ def band(v: Column, watch: float, poor: float) -> Column:
 
 
 def team_health(signals: DataFrame) -> DataFrame:
-    """signals(team, review, carryover, estimation, spread): shares and relative spread."""
+    """signals(team, review, carryover, estimation, spread[, outlook]): shares, a relative
+    spread, and the verdict of the sprint's outlook where there is one."""
     limits = {"review": (0.2, 0.4), "carryover": (0.25, 0.5), "estimation": (0.2, 0.34), "spread": (1.0, 2.0)}
-    rows = signals.select("team", *(band(F.col(c), *w).alias(c) for c, w in limits.items()))
-    n = lambda tone: sum(((F.col(c) == tone).cast("int") for c in limits), F.lit(0))
-    head = F.when(n("unknown") == len(limits), "unknown").when(n("poor") >= 2, "poor").when((n("poor") == 1) | (n("watch") >= 2), "watch").otherwise("good")
+    tones = [band(F.col(c), *w).alias(c) for c, w in limits.items()]
+    if "outlook" in signals.columns:
+        o = F.col("outlook")
+        tones.append(F.when(o == "on-track", "good").when(o == "at-risk", "watch").when(o == "will-not-land", "poor").otherwise("unknown").alias("outlook"))
+    rows = signals.select("team", *tones)
+    n = lambda tone: sum(((F.col(c) == tone).cast("int") for c in rows.columns[1:]), F.lit(0))
+    head = F.when(n("unknown") == len(tones), "unknown").when(n("poor") >= 2, "poor").when((n("poor") == 1) | (n("watch") >= 2), "watch").otherwise("good")
     return rows.withColumn("health", head)
 
 
