@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import core
-from tidegauge.operators import rules
+from tidegauge.operators import rules, taxonomy
 from tidegauge.sources import snapshots
 from tidegauge.streaming import changelog_stream
 
@@ -54,6 +54,13 @@ def test_health_and_outlook(spark):
     assert [r.verdict for r in out.orderBy("team").collect()] == ["on-track", "will-not-land", "unknown"]
 
 
+def test_blockers(spark):
+    ddl = "team string, key string, category string, blockers array<string>"
+    issue = spark.createDataFrame([("t", "A", "To Do", ["B", "C"]), ("t", "B", "Done", None), ("t", "C", "In Progress", ["B", "X"]), ("t", "D", "Done", ["C"]), ("t", "E", "To Do", ["C", "C", "A"])], ddl)
+    assert sorted(r.key for r in taxonomy.open_blockers(issue).collect()) == ["A", "E"]
+    assert [(r.key, r.holds, r.blocker_done) for r in taxonomy.blocker_graph(issue).orderBy("rank").collect()] == [("C", 2, False), ("A", 1, False), ("X", 1, False), ("B", 2, True)]
+
+
 def board(points, people=True):
     who = {"accountId": "a", "displayName": "Dev One"} if people else None
     issue = {"key": "WEB-1", "issueType": "Story", "statusId": "3", "statusCategory": "Done", "created": "2026-08-01T00:00:00+0100", "resolutionDate": "nonsense", "dueDate": "2026-09-01", "assignee": who, "storyPoints": points, "sprintIds": [9, 5], "comments": []}

@@ -32,7 +32,7 @@ class Day:
         issues = snapshots.issues(self.boards)
         self.sprint, self.columns = only(snapshots.sprints(self.boards)), only(snapshots.board_columns(self.boards))
         self.issue_sprint = only(snapshots.issue_sprints(issues))
-        self.issue = only(issues).withColumn("blocked_by", F.try_element_at("blockers", F.lit(1)))
+        self.issue = only(issues)
         self.teams = only(self.boards.select("snapshot_date", F.explode("teams.key").alias("team")))
         self.captured = self.boards.select(F.max(F.expr("try_cast(capturedAt as timestamp)"))).first()[0]
 

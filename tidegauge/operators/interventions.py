@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from ..functions.core import NO_KEYS, count_if, days_between, done, js_round
 from .delivery import in_active
 from .rules import identity
+from .taxonomy import blocker_links
 
 # Severities, kinds and the phrases of comments.
 SEVERITY = {"act-now": 1000, "this-week": 500, "watch": 100}
@@ -55,14 +56,16 @@ def open_active(issue, issue_sprint, sprint) -> DataFrame:
 
 def on_issues(issue, issue_sprint, sprint, as_of: Column, stale_days: int = 10) -> DataFrame:
     """Flagged, held up, stale and overdue issues among the open ones of active sprints."""
-    blockers = issue.where(~done()).select("team", F.col("key").alias("blocked_by"), days_between("updated", as_of).alias("held"))
-    rows = open_active(issue, issue_sprint, sprint).join(blockers, ["team", "blocked_by"], "left")
+    links, is_open = blocker_links(issue.where(~done())), issue.where(~done())
+    blockers = links.join(is_open.select("team", F.col("key").alias("blocked_by"), days_between("updated", as_of).alias("held")), ["team", "blocked_by"])
+    blockers = blockers.groupBy("team", "key").agg(F.max("held").alias("held"), F.array_sort(F.collect_list("blocked_by")).alias("by"))
+    rows = open_active(issue, issue_sprint, sprint).join(blockers, ["team", "key"], "left")
     idle, over, held, flagged = days_between("updated", as_of), days_between("due", as_of), F.col("held"), F.coalesce("flagged", F.lit(False))
-    own, with_blocker = F.array("key"), F.array("key", "blocked_by")
+    own, with_blockers = F.array("key"), F.concat(F.array("key"), "by")
     least = lambda top, v: F.least(F.lit(float(top)), F.coalesce(v, F.lit(0.0)))
     rules = [
         ("flagged", flagged, F.coalesce(idle >= 3, F.lit(False)), own, least(200, idle * 10), F.lit(0.0)),
-        ("blocked-by-open", held.isNotNull(), held >= stale_days, with_blocker, least(200, held * 8), F.lit(0.0)),
+        ("blocked-by-open", held.isNotNull(), held >= stale_days, with_blockers, least(200, held * 8), F.lit(0.0)),
         ("stale", (F.col("category") == "In Progress") & ~flagged & (idle >= stale_days), idle >= 2 * stale_days, own, least(200, idle * 5), -idle),
         ("overdue", over > 0, over >= 7, own, least(250, over * 8), -over),
     ]

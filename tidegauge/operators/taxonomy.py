@@ -55,15 +55,23 @@ def orphan_children(issue: DataFrame) -> DataFrame:
     return issue.where("parent_key is not null").join(known, ["team", "parent_key"], "left_anti").groupBy("team").agg(F.count("*").alias("orphans"))
 
 
+def blocker_links(issue: DataFrame) -> DataFrame:
+    """team, key, blocked_by of every link: from the array blockers, or the one blocked_by."""
+    if "blockers" in issue.columns:
+        return issue.select("team", "key", F.explode(F.array_distinct("blockers")).alias("blocked_by"))
+    return issue.where("blocked_by is not null").select("team", "key", "blocked_by")
+
+
 def open_blockers(issue: DataFrame) -> DataFrame:
     """Open issues with an open blocker on the same board."""
-    is_open = issue.where(~done()).select("team", F.col("key").alias("blocked_by"))
-    return issue.where(~done()).join(is_open, ["team", "blocked_by"], "left_semi")
+    is_open = issue.where(~done())
+    held = blocker_links(is_open).join(is_open.select("team", F.col("key").alias("blocked_by")), ["team", "blocked_by"], "left_semi")
+    return is_open.join(held, ["team", "key"], "left_semi")
 
 
 def blocker_graph(issue: DataFrame, n: int = 12) -> DataFrame:
     """Blockers by the open issues they hold up; those not done come first."""
-    held = issue.where(~done() & F.col("blocked_by").isNotNull()).groupBy("team", F.col("blocked_by").alias("key")).agg(F.count("*").alias("holds"))
+    held = blocker_links(issue.where(~done())).groupBy("team", F.col("blocked_by").alias("key")).agg(F.count("*").alias("holds"))
     rows = held.join(issue.select("team", "key", "category"), ["team", "key"], "left").withColumn("blocker_done", F.coalesce(done(), F.lit(False)))
     return top(rows, n, "blocker_done", F.desc("holds"), "key").select("team", "rank", "key", "holds", "blocker_done")
 
