@@ -132,3 +132,16 @@ def slowest_resolved(issue: DataFrame, n: int = 15) -> DataFrame:
     lead = days_between("created", "resolved")
     rows = issue.withColumn("lead", F.round(lead, 6)).where("lead >= 0")
     return top(rows, n, F.desc("lead"), "pos").select("team", "rank", "key", "lead")
+
+
+def primary_sprint(metrics: DataFrame) -> DataFrame:
+    """Of several active sprints the one with the most committed points, then the first."""
+    return top(metrics.where("state = 'active'"), 1, F.desc("committed_points"), "place").select("team", "sprint_id", "committed_points")
+
+
+def log_scope(issue_sprint: DataFrame, sprint: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Issues whose log is worth reading: those of the last closed sprints and of all that
+    are not closed."""
+    s = in_order(sprint)
+    scope = last_closed(s, window).select("team", "sprint_id").union(s.where("state != 'closed'").select("team", "sprint_id"))
+    return issue_sprint.join(scope, ["team", "sprint_id"], "left_semi").select("team", "key").distinct()

@@ -74,7 +74,7 @@ def cycle_times(day_issue: DataFrame) -> DataFrame:
         F.max(F.when(F.col("d") == F.col("hi"), F.col("resolved"))).alias("resolved"), F.max(F.when(F.col("d") == F.col("hi"), F.col("created"))).alias("created"),
     )
     days = days_between("first.seen", "resolved")
-    out = g.select("team", "key", F.round(days, 6).alias("cycle_days"), F.round(days_between("created", "resolved"), 6).alias("lead_days"), (F.col("first.d") == F.col("lo")).alias("censored"))
+    out = g.select("team", "key", F.round(days, 6).alias("cycle_days"), F.round(days_between("created", "resolved"), 6).alias("lead_days"), (F.col("first.d") == F.col("lo")).alias("censored"), "resolved")
     return out.where("cycle_days >= 0")
 
 
@@ -106,3 +106,23 @@ def cumulative_flow(day_issue: DataFrame, axis: tuple[str, ...] = ("To Do", "In
     days = day_issue.select("team", "d").distinct().withColumn("col", F.explode(F.array(*map(F.lit, axis))))
     n = day_issue.groupBy("team", "d", F.col("category").alias("col")).agg(F.count("*").alias("n"))
     return days.join(n, ["team", "d", "col"], "left").fillna(0, ["n"])
+
+
+def recent_cycles(cycles: DataFrame, n: int = 300) -> DataFrame:
+    """The latest n resolved of each team, with how many earlier ones are left out."""
+    by = W.partitionBy("team").orderBy(F.desc("resolved"), F.desc("cycle_days"), "key")
+    kept = cycles.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+    left_out = cycles.groupBy("team").agg(F.greatest(F.count("*") - n, F.lit(0)).alias("omitted"))
+    return kept.join(left_out, "team").select("team", "rank", "key", F.round("cycle_days", 2).alias("cycle_days"), "censored", "omitted")
+
+
+def flow_growth(flow: DataFrame, axis: tuple[str, ...] = ("To Do", "In Progress", "Done")) -> DataFrame:
+    """The column before the last that grew most from a team's first day to its last, and
+    how much the scope grew."""
+    span = flow.groupBy("team").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    ends = flow.join(span, "team")
+    change = F.when(F.col("d") == F.col("hi"), F.col("n")).otherwise(0) - F.when(F.col("d") == F.col("lo"), F.col("n")).otherwise(0)
+    g = ends.groupBy("team", "col").agg(F.sum(change).alias("grew"))
+    place = F.array_position(F.lit(list(axis)), F.col("col"))
+    most = F.max(F.when(F.col("col") != axis[-1], F.struct("grew", (-place).alias("p"), "col")))
+    return g.groupBy("team").agg(most.alias("m"), F.sum("grew").alias("scope")).select("team", F.col("m.col").alias("col"), F.col("m.grew").alias("grew"), "scope")

@@ -11,7 +11,9 @@ from ..operators import interventions as iv
 from ..operators import people as pp
 from ..operators import review as rv
 from ..operators import rules
-from .queries import ACTIVE, AS_OF, EVENTS, MEMBERS, _board, _review, days, query
+from ..operators import series as sr
+from .queries import ACTIVE, AS_OF, CYCLES, EVENTS, MEMBERS, _board, _review, days, query
+from .testdata import SERIES
 
 #: A reader a few days on, when the active sprints have ended; the alert runs of two days.
 LATE, DAY_1, DAY_2, LAST_SENT = ("2001-07-05 00:00:00", "2001-06-26 00:00:00", "2001-06-27 00:00:00", "2001-06-20 00:00:00")
@@ -222,3 +224,25 @@ def group_mapping(c):
     title = F.concat(F.lit("Fix "), F.upper(F.substring("team", 1, 3)), F.lit("-"), "k")
     mr = mr.select(grp, "mr", F.coalesce("s_name", F.concat(F.lit("User "), F.col("author").cast("string"))).alias("author"), "bot", title.alias("title"), F.lit(None).cast("string").alias("branch"))
     return gr.suggest(mr, c.issue, gr.assignees(c.issue, c.as_of))
+
+
+@query(f"{MEMBERS} SELECT team, sprint_id, committed_points FROM metrics WHERE state = 'active' QUALIFY row_number() OVER (PARTITION BY team ORDER BY committed_points DESC, place) = 1")
+def primary_sprint(c):
+    return dl.primary_sprint(dl.sprint_metrics(*_board(c)))
+
+
+@query(f"{MEMBERS.lstrip()}, sc AS (SELECT team, sprint_id FROM pos WHERE state <> 'closed' UNION ALL SELECT team, sprint_id FROM (SELECT * FROM pos WHERE state = 'closed' QUALIFY row_number() OVER (PARTITION BY team ORDER BY place DESC) <= 12)) SELECT DISTINCT m.team, m.key FROM issue_sprint m JOIN sc ON sc.team = m.team AND sc.sprint_id = m.sprint_id")
+def changelog_scope(c):
+    return dl.log_scope(c.issue_sprint, c.sprint)
+
+
+@query(f"{CYCLES}, cr AS (SELECT cy.*, i.resolved FROM cy JOIN lim ON lim.team = cy.team JOIN day_issue i ON i.team = cy.team AND i.key = cy.key AND i.d = lim.hi) SELECT team, row_number() OVER (PARTITION BY team ORDER BY resolved DESC, cycle_days DESC, key) AS rank, key, round(cycle_days, 2) cycle_days, censored, greatest(count(*) OVER (PARTITION BY team) - 300, 0) omitted FROM cr QUALIFY rank <= 300", SERIES)
+def recent_cycles(c):
+    return sr.recent_cycles(sr.cycle_times(c.day_issue))
+
+
+@query("""lim AS (SELECT team, min(d) lo, max(d) hi FROM day_issue GROUP BY team), ct AS (SELECT i.team, i.category col, count(*) FILTER (WHERE d = hi) - count(*) FILTER (WHERE d = lo) grew FROM day_issue i JOIN lim USING (team) GROUP BY 1, 2),
+ax AS (SELECT team, col, p, coalesce(grew, 0) grew FROM lim CROSS JOIN (VALUES (1, 'To Do'), (2, 'In Progress'), (3, 'Done')) v(p, col) LEFT JOIN ct USING (team, col)), sm AS (SELECT team, cast(sum(grew) AS bigint) AS scope FROM ax GROUP BY team)
+SELECT team, col, grew, scope FROM ax JOIN sm USING (team) WHERE p < 3 QUALIFY row_number() OVER (PARTITION BY team ORDER BY grew DESC, p) = 1""", SERIES)
+def flow_growth(c):
+    return sr.flow_growth(sr.cumulative_flow(c.day_issue))

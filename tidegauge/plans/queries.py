@@ -286,7 +286,7 @@ cy AS (SELECT i.team, i.key, round({days('seen0', 'i.resolved')}, 6) cycle_days,
 
 @query(f"{CYCLES} SELECT * FROM cy", SERIES)
 def cycle_times(c):
-    return sr.cycle_times(c.day_issue)
+    return sr.cycle_times(c.day_issue).drop("resolved")
 
 
 @query(f"{CYCLES} SELECT team, round(quantile_cont(cycle_days, 0.5) FILTER (WHERE NOT censored), 6) p50, round(quantile_cont(cycle_days, 0.9) FILTER (WHERE NOT censored), 6) p90, count(*) FILTER (WHERE NOT censored) basis, count(*) FILTER (WHERE censored) censored, round(quantile_cont(lead_days - cycle_days, 0.5) FILTER (WHERE NOT censored AND lead_days >= cycle_days), 6) median_wait FROM cy GROUP BY team", SERIES)
