@@ -52,7 +52,7 @@ days AS (SELECT * FROM (VALUES $DAYS) v(d, day)),
 dline AS (
   SELECT d.d, cast(d.day AS $TS) seen, o.o_orderkey k, c.c_mktsegment team, o.o_orderdate created, l.l_shipdate ship
   FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey CROSS JOIN days d
-  WHERE o.o_orderdate >= cast('2000-07-01' AS $TS) AND o.o_orderdate <= cast(d.day AS $TS)),
+  WHERE o.o_orderdate <= cast(d.day AS $TS)),
 day_issue AS (
   SELECT team, d, seen, concat(upper(substring(team, 1, 3)), '-', cast(k AS $STR)) key, min(created) created,
     CASE WHEN max(ship) <= seen THEN 'Done' WHEN min(ship) <= seen THEN 'In Progress' ELSE 'To Do' END category,
