@@ -17,11 +17,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: F.nullif(F.trim(c), F.lit("")) for c in ("from_", "to_")})
 
 
-def append(entries: DataFrame, log: str, checkpoint: str, late: str = "30 days") -> StreamingQuery:
-    """Append each entry once and end when what is there has been read. Deduplication keeps
-    state for as long as entries may be late."""
-    once = entries.withWatermark("at", late).dropDuplicatesWithinWatermark(["entry_id"])
-    return once.writeStream.format("parquet").outputMode("append").option("path", log).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append(entries: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Append each entry once and end when what is there has been read. Whether an entry is
+    new is asked of the log itself, so that none is too old; a batch that is run again adds
+    nothing. A log that a streaming file sink wrote lists its own files and is refused."""
+    if _exists(entries.sparkSession, f"{log}/_spark_metadata"):
+        raise ValueError(f"{log} is the log of a streaming file sink: copy its rows to a new folder")
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark, new = batch.sparkSession, batch.dropDuplicates(["entry_id"])
+        if _exists(spark, log):
+            old = spark.read.schema(ENTRY).parquet(log).select(F.col("entry_id").alias("had"))
+            new = new.join(old, F.col("entry_id").eqNullSafe(F.col("had")), "left_anti")
+        new.write.mode("append").parquet(log)
+
+    return entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def daily_counts(entries: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
