@@ -40,7 +40,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(2718)
 _A = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-SIG = "doc_id long, set_id binary, n long, bands array<long>, odd binary, parity binary"
+SIG = "doc_id long, row_id binary, set_id binary, n long, bands array<long>, odd binary, parity binary"
 
 
 class _WordHash(dict):
@@ -104,14 +104,14 @@ def _signer(k: int):
                 rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), *(sign(s) if len(s) else ([], b"", b""))))
             kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *cols], ["doc_id", "set_id", "n", "bands", "odd", "parity"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row_id"), *cols], ["doc_id", "row_id", "set_id", "n", "bands", "odd", "parity"])
 
     return run
 
 
 def _packed(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([zlib.compress(t.encode(), 1) for t in texts(b)], pa.binary())], ["id", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([zlib.compress(t.encode(), 1) for t in texts(b)], pa.binary())], ["row_id", "packed"])
 
 
 def _confirm(k: int, percent: int):
@@ -173,17 +173,47 @@ def _compare(most: int | None, percent: int):
     return run
 
 
+def _row_id():
+    """Digest of a row's doc_id and text: rows of one digest are the same document."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
+
+
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs(doc_id, text, ...).
+    """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text, ...).
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle
-    sets; component_id is the smallest doc_id reached. Null texts and texts without words
-    have empty sets and are linked with nothing. Rows that repeat a doc_id are documents
-    that reach each other only if their sets do.
+    sets; component_id is the smallest doc_id reached, null if all that are reached are
+    null. Null texts and texts without words have empty sets and are linked with nothing.
+    Rows that repeat a doc_id, or have none, are documents that reach each other only if
+    their sets do. kept: of each component the first document, by doc_id, nulls last.
     """
-    sig = stored(map_batches(docs.select("doc_id", "text"), _signer(k), SIG), "signatures")
-    first = sig.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "n", "bands", "odd", "parity")).alias("m"))
-    classes = stored(first.select("set_id", F.col("m.doc_id").alias("id"), "m.n", "m.bands", "m.odd", "m.parity"), "classes")
+    sig, classes, own = _classed(docs, k, percent)
+    first = classes.select(F.col("id").alias("comp"), F.col("doc_id").alias("least"), F.col("row_id").alias("first"))
+    out = sig.select("doc_id", "row_id", "set_id", "n").join(stored(own.join(first, "comp"), "components"), "set_id", "left")
+    kept = F.coalesce(F.col("row_id") == F.col("first"), F.lit(True)).alias("kept")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), kept)
+
+
+def first_of_each(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
+    """Of each component of near duplicates one row of docs; rows without words all stay."""
+    sig, classes, own = _classed(docs, k, percent)
+    roots = classes.join(own.where("id = comp").select("id"), "id", "left_semi").select("row_id", F.lit(False).alias("bare"))
+    keys = stored(roots.union(sig.where("n = 0").select("row_id", F.lit(True)).distinct()), "kept-rows")
+    rows = docs.withColumn("row_id", _row_id()).join(keys, "row_id")
+    once = F.when(F.col("bare"), F.monotonically_increasing_id())
+    return rows.withColumn("once", once).dropDuplicates(["row_id", "once"]).select(*docs.columns)
+
+
+def _classed(docs: DataFrame, k: int, percent: int):
+    """Signatures of the rows, classes with ids of their own, and each class's component:
+    the smallest id of a class that it reaches. Ids are in the order of the classes' first
+    doc_ids, nulls last, so that class holds the component's smallest doc_id."""
+    keyed = docs.select("doc_id", "text", _row_id().alias("row_id"))
+    sig = stored(map_batches(keyed, _signer(k), SIG), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "n", "bands", "odd", "parity"))
+    first = stored(sig.where("n > 0").groupBy("set_id").agg(least.alias("m")).select("set_id", "m.*"), "first-rows")
+    ordered = first.orderBy("none", "doc_id", "row_id").withColumn("id", F.monotonically_increasing_id())
+    classes = stored(ordered.select("set_id", "id", "doc_id", "row_id", "n", "bands", "odd", "parity"), "classes")
 
     # Round 0: each class with the smallest of each bucket, those of most shared bands first.
     spots = classes.select("id", F.explode("bands").alias("key"))
@@ -192,12 +222,12 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> Data
     shared = spots.where("id != y").groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("bands"))
     best = F.row_number().over(W.partitionBy("x").orderBy(F.desc("bands"), "y"))
     pairs = shared.withColumn("r", best).where("r <= 3").select("x", "y")
-    packed = stored(map_batches(docs.select("doc_id", "text"), _packed, "id long, packed binary").join(spots.select("id").distinct(), "id").dropDuplicates(["id"]), "packed")
-    return _rounds(sig, classes, spots.select("key", "id"), packed, pairs, k, percent)
+    packed = stored(map_batches(keyed.select("row_id", "text"), _packed, "row_id binary, packed binary").join(stored(classes.select("id", "row_id").join(spots.select("id").distinct(), "id"), "compared"), "row_id").dropDuplicates(["row_id"]).select("id", "packed"), "packed")
+    return sig, classes, _rounds(classes, spots.select("key", "id"), packed, pairs, k, percent)
 
 
-def _rounds(sig, classes, spots, packed, pairs, k, percent) -> DataFrame:
-    spark, links = sig.sparkSession, new_path(sig.sparkSession, "links")
+def _rounds(classes, spots, packed, pairs, k, percent) -> DataFrame:
+    spark, links = classes.sparkSession, new_path(classes.sparkSession, "links")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(packed.select(F.col("id").alias("x"), F.col("packed").alias("p")), "x")
@@ -211,10 +241,7 @@ def _rounds(sig, classes, spots, packed, pairs, k, percent) -> DataFrame:
         if not pairs.limit(1).count():
             break
         comps = confirm(pairs)
-    own = classes.join(comps, "id", "left").select("set_id", F.coalesce("comp", "id").alias("comp"))
-    # the smallest class of a component holds its smallest doc_id
-    out = sig.select("doc_id", "set_id", "n").join(stored(own, "components"), "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    return stored(classes.join(comps, "id", "left").select("set_id", "id", F.coalesce("comp", "id").alias("comp")), "own")
 
 
 def _open_pairs(classes, spots, comps, most, percent) -> DataFrame:
@@ -235,4 +262,4 @@ def _open_pairs(classes, spots, comps, most, percent) -> DataFrame:
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
