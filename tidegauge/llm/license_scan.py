@@ -30,7 +30,14 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    *((name, form.format(word)) for name, word in (("mit", "mit"), ("bsd", "bsd"), ("isc", "isc")) for form in ("under {} license", "under {} licence", "terms of {} license", "spdx license identifier {}")),
+    ("bsd", "under bsd clause license"),
+    ("bsd", "under bsd style license"),
+    ("mpl-2.0", "under mpl 2 0"),
+    ("mpl-2.0", "mozilla public license 2"),
+    ("mpl-2.0", "spdx identifier mpl 2"),
 )
+#: Short notices have at most four tokens, so that THRESHOLD asks for all of them.
 THRESHOLD = 0.8
 #: A-Z as small letters, what is no word character as a space; line feeds are kept apart.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
