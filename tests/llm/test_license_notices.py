@@ -1,4 +1,8 @@
-"""Labels of short notices."""
+"""Labels of short notices, and of long ones that are wrapped."""
+
+import textwrap
+
+import pytest
 
 from tests.llm.cases import docs
 from tidegauge.llm import license_scan
@@ -25,3 +29,11 @@ def labels(spark, texts):
 def test_short_notices(spark):
     got = labels(spark, list(LINES))
     assert {t: got[i] for i, t in enumerate(LINES)} == LINES
+
+
+@pytest.mark.parametrize("width", [40, 72])
+def test_wrapped_templates(spark, width):
+    texts = ["Some code here.\n" + textwrap.indent(textwrap.fill(t, width), " * ") + "\nmore code" for _, t in license_scan.TEMPLATES]
+    got = labels(spark, texts)
+    for i, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[i].split(","), i

@@ -1,10 +1,11 @@
 """License scans by an exact set-similarity join (operator 5).
 
-A text block (a line) meets a template if it holds at least THRESHOLD of the template's
-distinct tokens. Tokens are ordered by their frequency over all blocks, rare ones first. A
-block that meets a template has a token of the template's prefix, enough tokens (length
-filter), and enough of them after the first that they share (positional filter); only such
-pairs are verified. Templates are parameters, so their vocabulary bounds what is broadcast.
+A text block meets a template if it holds at least THRESHOLD of the template's distinct
+tokens. Blocks are the lines and, for each template, all windows of REACH times its number
+of words, wherever lines break. Tokens are ordered by their frequency over all lines, rare
+ones first. A block that meets a template has a token of the template's prefix, enough
+tokens (length filter), and enough of them after the first that they share (positional
+filter); only such pairs are verified, and only windows about a prefix token are slid over. Templates are parameters, so their vocabulary bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ TEMPLATES = (
     ("mpl-2.0", "spdx identifier mpl 2"),
 )
 #: Short notices have at most four tokens, so that THRESHOLD asks for all of them.
+REACH = 1.25
 THRESHOLD = 0.8
 #: A-Z as small letters, what is no word character as a space; line feeds are kept apart.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -60,6 +62,7 @@ class Templates:
         for t, tokens in enumerate(self.tokens):
             for i, token in enumerate(tokens[: len(tokens) - self.least[t] + 1]):
                 self.index.setdefault(token, []).append((t, i))
+        self.reach = [math.ceil(REACH * len(words(t))) for _, t in templates]
         self.prefix_words = {w for w, r in self.rank.items() if r in self.index}
 
     def join(self, block: set[bytes]):
@@ -77,6 +80,34 @@ class Templates:
                         yield t, shared / size
 
 
+    def windows(self, block: list[bytes], known: set[bytes]):
+        """(template, containment) of the best window for each template that one meets."""
+        ranks = {self.rank[w] for w in known if w in self.rank}
+        open_ = {t for r in ranks for t, _ in self.index.get(r, ()) if len(ranks.intersection(self.tokens[t])) >= self.least[t]}
+        if not open_:
+            return
+        places = [(p, self.rank[w]) for p, w in enumerate(block) if w in self.rank]
+        for t in open_:
+            mine, reach, best = frozenset(self.tokens[t]), self.reach[t], 0
+            prefix = set(self.tokens[t][: len(mine) - self.least[t] + 1])
+            about = [p for p, r in places if r in prefix]
+            held, first, near, own = Counter(), 0, 0, [x for x in places if x[1] in mine]
+            for p, r in own:
+                held[r] += 1
+                while own[first][0] <= p - reach:
+                    q = own[first][1]
+                    held[q] -= 1
+                    if not held[q]:
+                        del held[q]
+                    first += 1
+                while near < len(about) and about[near] <= p - reach:
+                    near += 1
+                if near < len(about) and about[near] <= p:
+                    best = max(best, len(held))
+            if best >= self.least[t]:
+                yield t, best / len(mine)
+
+
 def token_frequency(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
     """In how many blocks of docs(text, ...) each token of the templates occurs."""
     wanted = frozenset(w for _, t in templates for w in words(t))
@@ -122,6 +153,9 @@ def _scan(index: Templates, phrases: dict[str, str]):
                             base.add(label)
                             score = 1.0
                 if not index.prefix_words.isdisjoint(known):
+                    for k, c in index.windows(w, known):
+                        labels.add(index.label[k])
+                        score = max(score, c)
                     for line in t.split("\n"):
                         block = set(words(line))
                         if not index.prefix_words.isdisjoint(block):
