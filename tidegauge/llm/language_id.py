@@ -3,7 +3,9 @@
 Each language has a binary codeword. For each bit a naive-Bayes classifier over hashed
 byte trigrams tells the languages with a 1 from those with a 0. A text's bit margins are
 decoded to the codeword of least logistic loss, bits weighted by how well they separate the
-training texts; a small lead over the second codeword is flagged as ambiguous.
+training texts; a small lead over the second codeword is flagged as ambiguous. Scores only
+compare languages, so a text of none can score 1; a text whose margins agree with its own
+codeword far less than the language's mean text does is flagged as foreign.
 """
 
 from __future__ import annotations
@@ -23,6 +25,12 @@ BUCKETS = 1 << 15
 TRAIN_DOCS = 1500
 #: Longest random code, and a lead in score under which a text is ambiguous.
 MAX_BITS, AMBIGUOUS = 63, 0.2
+#: A text is foreign under this share of its language's mean agreement; texts of fewer
+#: trigrams than ENOUGH need proportionally less, as little speaks for or against them.
+#: calibrate() lowers the share of a language to MARGIN of what all but LOWEST of its
+#: held-out texts reach, about HELD_DOCS of each, so that clean texts stay.
+LEAST_FIT, ENOUGH = 0.28, 256
+MARGIN, LOWEST, HELD_DOCS = 0.8, 0.002, 500
 #: Trigram evidence saturates: a text's mean margin times this is its logit.
 SHARPNESS = 12.0
 #: ASCII capitals as small letters, everything that is no letter as a space.
@@ -78,12 +86,19 @@ class Model:
         margins = rates @ self.weights  # of each language's mean text
         self.loss_weights = np.maximum((margins * self.codes).min(0), 1e-3) if self.langs else np.zeros(0)
         self.loss_weights = self.loss_weights / max(self.loss_weights.sum(), 1e-9)
+        self.usual = (margins * self.codes) @ self.loss_weights  # agreement of mean texts
+        self.least = np.full(len(self.langs), LEAST_FIT)
 
     def margins(self, data: list[bytes]) -> np.ndarray:
         ids, begins = trigrams(data)
         sums = np.add.reduceat(self.weights[ids], begins, axis=0)
         return sums / np.maximum(np.diff([*begins, len(ids)]), 1)[:, None]
 
+    def fit(self, data: list[bytes], margins: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each text agrees with a language's codeword, as a share of its mean text."""
+        enough = np.minimum([(len(t) + 1) / ENOUGH for t in data], 1)
+        return ((margins * self.codes[codes]) @ self.loss_weights) / (enough * np.maximum(self.usual[codes], 1e-9))
+
     def decode(self, margins: np.ndarray) -> np.ndarray:
         """Score of each language: codewords of small weighted loss score high."""
         loss = np.log1p(np.exp(-np.clip(SHARPNESS * margins[:, None, :] * self.codes[None], -50, 50)))
@@ -95,12 +110,7 @@ class Model:
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on labelled(doc_id, text, lang): of each language the train_docs texts (about)
     whose doc_id hashes lowest. Only per-language sums of fixed size reach the driver."""
-    rows = labelled.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().collect()
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(train_docs / r["count"])).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = _chosen(labelled, 0, train_docs)
     got = map_batches(chosen.select("lang", "text"), _counts, "lang string, sums binary")
     sums: dict[str, np.ndarray] = {}
     for r in got.toLocalIterator():
@@ -108,10 +118,41 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     return Model(sums)
 
 
+def _chosen(labelled: DataFrame, start: int, end: int) -> DataFrame:
+    """Of each language the start-th to end-th text (about) by the hash of doc_id."""
+    rows = labelled.where("text is not null and lang is not null")
+    one = F.lit(None).cast("double")
+    for r in rows.groupBy("lang").count().collect():
+        one = F.when(F.col("lang") == r["lang"], F.lit(1_000_000 / r["count"])).otherwise(one)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    return rows.where((place < one * end) & (place >= one * start))
+
+
+def calibrate(model: Model, labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """Lower what a text of a language must reach, by texts that train() did not read. Only
+    about HELD_DOCS figures of each language reach the driver."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(x, t.encode()) for x, t in zip(b.column("lang").to_pylist(), texts(b)) if x in model.langs and LETTER.search(t)]
+            langs, data = [x for x, _ in rows], [t for _, t in rows]
+            fit = model.fit(data, model.margins(data), np.array([model.langs.index(x) for x in langs])) if data else []
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(fit, pa.float64())], ["lang", "fit"])
+
+    fits: dict[str, list[float]] = {}
+    if len(model.langs) > 1:
+        for r in map_batches(_chosen(labelled, train_docs, train_docs + HELD_DOCS).select("lang", "text"), run, "lang string, fit double").toLocalIterator():
+            fits.setdefault(r["lang"], []).append(r["fit"])
+    for lang, x in fits.items():
+        k = model.langs.index(lang)
+        model.least[k] = min(LEAST_FIT, MARGIN * float(np.quantile(x, LOWEST)))
+    return model
+
+
 def _predict(model: Model, keep: list[str]):
     def run(batches):
         for batch in batches:
-            lang, score, lead = [], [], []
+            lang, score, lead, strange = [], [], [], []
             rows = [t.encode() if LETTER.search(t) else b"" for t in texts(batch)]
             at = 0
             while at < len(rows):  # about 256 KB at a time
@@ -119,24 +160,27 @@ def _predict(model: Model, keep: list[str]):
                 while end < len(rows) and (end == at or size + len(rows[end]) < 256_000):
                     size, end = size + len(rows[end]), end + 1
                 part, at = rows[at:end], end
-                p = model.decode(model.margins(part)) if model.langs else np.zeros((len(part), 1))
+                margins = model.margins(part) if model.langs else None
+                p = model.decode(margins) if model.langs else np.zeros((len(part), 1))
                 best, top = p.argmax(1), np.sort(p, 1)
+                foreign = model.fit(part, margins, best) < model.least[best] if len(model.langs) > 1 else np.zeros(len(part), bool)
                 for i, t in enumerate(part):
                     known = bool(t) and bool(model.langs)
                     lang.append(model.langs[best[i]] if known else "und")
                     score.append(float(top[i, -1]) if known else 0.0)
                     lead.append(known and len(model.langs) > 1 and float(top[i, -1] - top[i, -2]) < AMBIGUOUS)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.bool_())], [*keep, "lang_pred", "score", "ambiguous"])
+                    strange.append(known and bool(foreign[i]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.bool_()), pa.array(strange, pa.bool_())], [*keep, "lang_pred", "score", "ambiguous", "foreign"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred, score and ambiguous of docs(text, ...). `und` with
+    """The kept columns with lang_pred, score, ambiguous and foreign of docs(text, ...). `und` with
     score 0 for a text that is null or has no letter, or if nothing was learned."""
     kept = docs.select(*keep).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), _predict(model, list(keep)), f"{ddl}, lang_pred string, score double, ambiguous boolean")
+    return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), _predict(model, list(keep)), f"{ddl}, lang_pred string, score double, ambiguous boolean, foreign boolean")
 
 
 def held_out(doc_id="doc_id"):
