@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder. Without one, a local session (tests) gets a temporary
+    folder; elsewhere that would lie on each machine apart, so it is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidegauge"
@@ -69,6 +72,27 @@ def held(owner: tuple, make: Callable):
     return _HELD[owner]
 
 
+class Memo(dict):
+    """What `make` gives for strings, for the latest of them. It holds two generations of
+    `size` entries: when the young one is full it becomes the old one, so that strings that
+    still occur stay and others go. Long strings are made anew each time."""
+
+    def __init__(self, make: Callable, size: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
