@@ -7,38 +7,40 @@ encoded once by the library itself; repeated chunks are looked up.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
-import numpy as np
+from .common import Memo, held
 
-from .common import held
-
-#: Chunks kept in a worker's memo, and the longest chunk that is kept.
-MEMO_WORDS, MEMO_CHARS = 500_000, 64
+#: Chunks in each generation of a worker's memo.
+MEMO_WORDS = 700_000
 #: Marks at the end of a chunk that neither compose with letters nor occur in special tokens.
 MARKS = ".,!?;:"
 
 
-class _Memo(dict):
-    """Chunk to ids. A new chunk is looked up once more without its last marks, which are
-    pre-tokens of their own, and in lower case if it is of ASCII letters."""
+class _Ids:
+    """Ids of a chunk that is new. Marks after an ASCII letter or after a letter that
+    normalising keeps one letter are pre-tokens of their own and looked up apart; so is the
+    lower case of ASCII letters. (Others, such as U+0130, may end in a combining mark once
+    they are normalised, which the tokenizer joins to the marks.)"""
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    def __init__(self, tokenizer):
+        self.tokenizer, self.letters = tokenizer, {}
+        self.memo = Memo(self.ids, MEMO_WORDS)
 
-    def __missing__(self, word):
-        core = word.rstrip(MARKS)
-        if core != word and core and core[-1].isalpha():
-            return self.kept(word, self[core] + self[word[len(core) :]])
-        if word.isascii() and word.isalpha() and (low := word.lower()) != word:
-            return self.kept(word, self[low])
-        return self.kept(word, self.encode(word))
+    def ids(self, chunk: str) -> bytes:
+        core = chunk.rstrip(MARKS)
+        if core != chunk and core and self.is_letter(core[-1]):
+            return self.memo[core] + self.memo[chunk[len(core) :]]
+        if chunk.isascii() and chunk.isalpha() and (low := chunk.lower()) != chunk:
+            return self.memo[low]
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def kept(self, word, value):
-        if len(word) <= MEMO_CHARS and len(self) < MEMO_WORDS:
-            self[word] = value
-        return value
+    def is_letter(self, c: str) -> bool:
+        if c not in self.letters:
+            normal = self.tokenizer.normalizer.normalize_str(c)
+            self.letters[c] = len(normal) == 1 and c.isalpha() and normal.isalpha()
+        return self.letters[c]
 
 
 @lru_cache(maxsize=4)
@@ -51,9 +53,8 @@ def _tokenizer(path: str):
     return t
 
 
-def _memo(path: str) -> _Memo:
-    t = _tokenizer(path)
-    return held(("word ids", path), lambda: _Memo(lambda w: np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()))
+def _memo(path: str) -> Memo:
+    return held(("word ids", path), lambda: _Ids(_tokenizer(path)).memo)
 
 
 @lru_cache(maxsize=4)
@@ -72,7 +73,7 @@ def _splits(path: str) -> bool:
 def ids_bytes(path: str, text: str) -> bytes:
     """The ids of text as little-endian unsigned 32-bit numbers."""
     if not _splits(path):
-        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", _tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
     return b"".join(map(_memo(path).__getitem__, text.replace("\n", " ").split(" ")))
 
 
