@@ -61,13 +61,20 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+#: Sums are kept in units of 2**-20, so that they do not depend on the order of tasks.
+UNIT = 1 << 20
+
+
 def _counts(batches):
+    """Square roots of each text's trigram counts, summed by language and bucket."""
     sums: dict[str, np.ndarray] = {}
     for b in batches:
         for lang, t in zip(b.column("lang").to_pylist(), texts(b)):
             c = np.bincount(trigrams([t.encode()])[0], minlength=BUCKETS)
-            sums[lang] = sums.get(lang, 0) + np.sqrt(c)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.astype("<f8").tobytes() for s in sums.values()], pa.binary())], ["lang", "sums"])
+            sums[lang] = sums.get(lang, 0) + np.round(np.sqrt(c) * UNIT).astype(np.int64)
+    for lang, x in sums.items():
+        at = np.flatnonzero(x)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(x[at])], ["lang", "bucket", "n"])
 
 
 class Model:
@@ -109,12 +116,16 @@ class Model:
 
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on labelled(doc_id, text, lang): of each language the train_docs texts (about)
-    whose doc_id hashes lowest. Only per-language sums of fixed size reach the driver."""
-    chosen = _chosen(labelled, 0, train_docs)
-    got = map_batches(chosen.select("lang", "text"), _counts, "lang string, sums binary")
-    sums: dict[str, np.ndarray] = {}
-    for r in got.toLocalIterator():
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["sums"], "<f8")
+    whose doc_id hashes lowest. Rows without text or lang teach nothing; a row that occurs
+    twice counts twice; a null doc_id hashes as any other. Sums are added up in the cluster
+    in one job; at most BUCKETS figures of each language reach the driver."""
+    found = map_batches(_chosen(labelled, 0, train_docs).select("lang", "text"), _counts, "lang string, bucket int, n long")
+    rows = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    langs, bucket, n = np.array(rows["lang"].to_pylist(), object), rows["bucket"].to_numpy(), rows["n"].to_numpy()
+    sums = {}
+    for lang in set(langs):
+        sums[lang] = np.zeros(BUCKETS)
+        sums[lang][bucket[langs == lang]] = n[langs == lang] / UNIT
     return Model(sums)
 
 
@@ -141,7 +152,8 @@ def calibrate(model: Model, labelled: DataFrame, train_docs: int = TRAIN_DOCS) -
 
     fits: dict[str, list[float]] = {}
     if len(model.langs) > 1:
-        for r in map_batches(_chosen(labelled, train_docs, train_docs + HELD_DOCS).select("lang", "text"), run, "lang string, fit double").toLocalIterator():
+        held = _chosen(labelled, train_docs, train_docs + HELD_DOCS).select("lang", "text")
+        for r in map_batches(held, run, "lang string, fit double").collect():
             fits.setdefault(r["lang"], []).append(r["fit"])
     for lang, x in fits.items():
         k = model.langs.index(lang)
@@ -188,6 +200,9 @@ def held_out(doc_id="doc_id"):
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: one row for each row. Learns from rows with text and
+    lang that are not held out; a null doc_id is not held out. Null texts, and texts without
+    a letter, give `und` with score 0."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~F.coalesce(held_out(), F.lit(False))))
     return predict(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
