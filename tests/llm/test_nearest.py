@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.conftest import SF01
@@ -39,6 +42,7 @@ def test_recall_of_the_corpus(spark):
 
 def test_clusters_norms_and_copies(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK", 100)
+    monkeypatch.setattr(nearest, "ASKED", 7)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((12, 16)) * 3
     x = centres[rng.integers(0, 12, 1500)] + rng.standard_normal((1500, 16)) * 0.3
@@ -59,6 +63,41 @@ def test_odd_vectors(spark):
     assert nearest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_ids_count_as_the_least_vector(spark):
+    rows = [(1, [3.0, 1.0]), (1, [2.0, 5.0]), (1, [2.0, 4.0]), (2, [1.0, 0.0]), (None, [9.0, 9.0]), (None, [1.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        assert answers(nearest.search(df, F.col("vec_id") == 2)) == {2: [(1, 2.0)]}
+
+
+def compared(spark, n, k=10):
+    """Pairs that meet in a bucket, of n vectors in clusters of about 40, and the recall."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((n // 40, 16))
+    x = centres[rng.integers(0, len(centres), n)] + rng.standard_normal((n, 16)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    index = nearest.fit(df, k)
+    ids = pa.array(range(n))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(x.tolist(), pa.list_(pa.float64()))], ["vec_id", "v"])
+    asked = batch.slice(0, n // 50)
+    places = [[(t, b, i) for out in nearest._place(index, q)([rows]) for t, b, i in zip(*(out.column(c).to_pylist() for c in ("tab", "bucket", "vec_id")))] for q, rows in ((False, batch), (True, asked))]
+    size, held, met = Counter((t, b) for t, b, _ in places[0]), {}, {}
+    for t, b, i in places[0]:
+        held.setdefault((t, b), set()).add(i)
+    for t, b, i in places[1]:
+        met.setdefault(i, set()).update(held.get((t, b), ()))
+    want = brute(dict(enumerate(x)), range(n // 50), k)
+    return sum(size[t, b] for t, b, _ in places[1]), np.mean([len(met[q] & {i for i, _ in w}) / k for q, w in want.items()])
+
+
+def test_work_grows_slower_than_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "FEW", 1000)
+    small, a = compared(spark, 1500)
+    large, b = compared(spark, 12_000)
+    assert min(a, b) > 0.9 and large < 0.4 * 64 * small
+
+
 def test_probes_add_up_to_the_target():
     found = list(nearest.probes(np.array([0.3, 1.9]), 0.5, 0.9))
     assert len(found) == len(set(found)) and found[0] == nearest.code([0, 1])

@@ -27,8 +27,10 @@ from .common import map_batches, sorted_groups, stored, table
 TABLES, WIDTH, SEED = 2, 1.6, 11
 #: Chance that the index finds a neighbour, over all tables.
 TARGET = 0.975
-#: Rows of a block, pilot queries, and rows of the sample on which distances are measured.
-BLOCK, PILOTS, SAMPLE = 4096, 64, 8192
+#: Rows and queries of a block, pilot queries, and rows of the sample that is measured.
+BLOCK, ASKED, PILOTS, SAMPLE = 2048, 512, 64, 8192
+#: Vectors for which two functions a table are enough; each SPREAD-fold takes one more.
+FEW, SPREAD = 131_072, 2
 
 
 def usable(v: Column) -> Column:
@@ -58,10 +60,11 @@ class Index:
 
 
 def code(slots) -> int:
-    """A bucket's number from its slots, each shifted by 128."""
-    n = 0
+    """A bucket's number from its slots. Buckets that share one (64 bits are hashed) only
+    bring each other candidates."""
+    n = 1469598103934665603
     for s in slots:
-        n = n << 8 | min(max(int(s) + 128, 0), 255)
+        n = (n ^ (int(s) & 0xFFFF)) * 1099511628211 & 0x7FFFFFFFFFFFFFFF
     return n
 
 
@@ -100,7 +103,7 @@ def fit(rows: DataFrame, k: int) -> Index | None:
         return None
     share = min(1.0, SAMPLE / m["n"])
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * SAMPLE).toPandas()
-    functions = max(2, min(6, round(math.log(max(m["n"] / 65_536, 1), 3))))
+    functions = 2 + max(0, round(math.log(m["n"] / FEW, SPREAD)))  # buckets keep their size as rows grow
     rng = np.random.default_rng(SEED)
     index = Index(rng.standard_normal((TABLES, functions, m["d"] + 1)), rng.uniform(0, WIDTH, (TABLES, functions)), m["norm"], 2.0)
     if len(sample) > 2:
@@ -137,7 +140,7 @@ def _place(index: Index, queries: bool):
 
 def _search(k: int):
     def run(batches):
-        for _, group in sorted_groups(batches, ["tab", "bucket", "block"]):
+        for _, group in sorted_groups(batches, ["tab", "bucket", "block", "part"]):
             q, c = group.filter(group["is_query"]), group.filter(pa.compute.invert(group["is_query"]))
             if not len(q) or not len(c):
                 continue
@@ -174,25 +177,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rank, vec_id, score.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do
-    those of another length than most. vec_id names a vector: rows that repeat one count
-    once. Equal scores are ranked by vec_id. Large buckets, such as one of many equal
-    vectors, are searched in blocks of about BLOCK rows, so none is cut short.
+    those of another length than most, nor rows without a vec_id. vec_id names a vector: of
+    rows that repeat one, the least vector counts, in the order of its components, and it is
+    a query if any of them is. Equal scores are ranked by vec_id. A bucket of many rows or
+    many queries, such as one of equal vectors, is searched in blocks of about BLOCK rows
+    by ASKED queries, so that none is cut short and none is one task's work. An empty table
+    gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
-    rows = vectors.where(usable(v)).select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = vectors.where(usable(v) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = rows.where(F.size("v") == (length["d"] if length else 0)).dropDuplicates(["vec_id"])
+    rows = rows.where(F.size("v") == (length["d"] if length else 0))
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
     index = fit(rows, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    kind = "tab int, bucket long, vec_id long, v array<double>"
+    kind, place = "tab int, bucket long, vec_id long, v array<double>", ["tab", "bucket"]
     base = map_batches(rows.select("vec_id", "v"), _place(index, False), kind)
-    sizes = stored(base.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bucket-sizes")
-    own = base.join(sizes, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = map_batches(rows.where("is_query").select("vec_id", "v"), _place(index, True), kind)
-    asked = asked.join(sizes, ["tab", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    names = ["tab", "bucket", "block"]
+    count = lambda df, size, name: df.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = stored(count(base, BLOCK, "blocks").join(count(asked, ASKED, "parts"), place), "bucket-sizes")
+    one = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = [*place, "block", "part"]
+    own = base.join(sizes, place).withColumn("block", one("blocks")).withColumn("part", each("parts"))
+    asked = asked.join(sizes, place).withColumn("part", one("parts")).withColumn("block", each("blocks"))
     both = own.select(*names, "vec_id", "v", F.lit(False).alias("is_query")).union(asked.select(*names, "vec_id", "v", F.lit(True).alias("is_query")))
     found = map_batches(both.repartition(*names).sortWithinPartitions(*names), _search(k), "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -201,4 +211,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `embeddings`: queries are the rows whose vec_id is divisible by
+    20. Unusable vectors take no part; see search for repeated ids and ties."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
