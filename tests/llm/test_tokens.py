@@ -1,23 +1,28 @@
 import collections
 import hashlib
-import os
+import math
+import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SF01
 from tests.llm.cases import TEXTS, docs, empty
 from tidegauge.llm import language_id, packing, piece_codec, token_counts, word_ids
+from tidegauge.llm.common import Memo
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SP = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 TOK = Tokenizer.from_file(WORDS)
+SPECIAL = ["<|endoftext|> <|EndOfText|>", "a<|startoftext|>b\t c"]
 some_text = st.text(st.sampled_from("abehtTHE  ▁\n\t'sdé́0 9.,-日😀 　ßΣ<|endoftext|>/"), max_size=80)
 
 
@@ -42,6 +47,36 @@ def test_word_ids_as_the_library(text):
     assert np.frombuffer(word_ids.ids_bytes(WORDS, text), "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_written_together_as_the_library():
+    table = piece_codec._table(PIECES)
+    rng, pieces = random.Random(5), [p for p in table.id if p.strip(piece_codec.MARK)]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces).replace("▁", " ") if rng.random() < 0.8 else rng.choice(" aaé日\n") for _ in range(rng.randrange(1, 9)))
+        assert piece_codec.encode(PIECES, text) == SP.encode(text), text
+
+
+def test_parts_are_those_that_plain_merging_reaches():
+    table = piece_codec._table(PIECES)
+    for p in random.Random(6).sample([p for p in table.id if len(p) > 1 and p.strip(piece_codec.MARK)], 3000):
+        i = table.id[p]
+        assert (table.head[i] != i) == (table.merge(p) == [p]), p
+
+
+def test_marks_after_any_letter_as_the_library():
+    for c in map(chr, range(0x80, 0x30000)):
+        if c.isalpha() or unicodedata.combining(c):
+            text = " ".join("Ab" + c + m for m in word_ids.MARKS)
+            assert word_ids.ids_bytes(WORDS, text) == np.array(TOK.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(ord(c))
+
+
+def test_memos_forget_and_stay_right():
+    calls = []
+    memo = Memo(lambda k: calls.append(k) or k.upper(), 3)
+    for k in "abcabcdefabdefx" * 3:
+        assert memo[k] == k.upper() and len(memo) <= 3 and len(memo.old) <= 3
+    assert memo["y" * 99] == "Y" * 99 and "y" * 99 not in memo
+
+
 def test_codec_rows(spark):
     got = {r.doc_id: r for r in piece_codec.round_trip(docs(spark), PIECES).collect()}
     for i, t in enumerate(TEXTS):
@@ -65,6 +100,25 @@ def test_counts_and_cache(spark, tmp_path, path):
     assert token_counts.count_tokens(empty(spark), path).count() == 0
 
 
+def test_second_run_encodes_only_what_is_new(spark, tmp_path, monkeypatch):
+    cache, size = f"file://{tmp_path}/cache", lambda: spark.read.parquet(f"file://{tmp_path}/cache").count()
+    run = lambda texts: {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs(spark, texts), WORDS, cache, token_counts.fold_spaces).collect()}
+    texts = ["one  two", " one two\n", "three", None, "", "İ, ! x", *SPECIAL]
+    assert run(texts[:3]) == {0: 2, 1: 2, 2: 1} and size() == 2
+    assert run(texts[:3]) == {0: 2, 1: 2, 2: 1} and size() == 2
+    assert run(texts) == {i: len(TOK.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert size() == len({" ".join((t or "").split()) for t in texts})
+    monkeypatch.setattr(token_counts, "RULE", 99)
+    assert run(texts[:3]) == {0: 2, 1: 2, 2: 1} and len(list((tmp_path / "cache").glob("version=*"))) == 2
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(some_text, min_size=1, max_size=30))
+def test_folding_spaces_keeps_counts(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", token_counts.fold_spaces(F.col("t")).alias("u")).collect()
+    assert all(word_ids.count(WORDS, r.t) == word_ids.count(WORDS, r.u) for r in rows)
+
+
 def test_counts_of_the_corpus(spark):
     got = {r.doc_id: r for r in token_counts.op10_token_counts(spark, SF01).collect()}
     for r in spark.read.parquet(f"{SF01}/documents.parquet").collect():
@@ -133,6 +187,61 @@ def test_language_cases(spark):
     assert language_id.predict(docs(spark), one).where("doc_id = 5").first().lang_pred == "en"
 
 
+def slow_scores(model_docs, text):
+    """Scores of a text by the plain formulas: root counts of trigrams by language, naive
+    Bayes for each bit of the codewords, logistic loss weighted by the least margin."""
+    def grams(t):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in t.encode())
+        b = b"  " + b + b"   "
+        return [(b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA6B + b[i + 2] * 0xC2B2AE35) % (1 << 32) >> 17 for i in range(len(b) - 2)]
+
+    langs = sorted({x for x, _ in model_docs})
+    rate = {}
+    for x in langs:
+        sums = collections.Counter()
+        for lang, t in model_docs:
+            if lang == x:
+                for g, n in collections.Counter(grams(t)).items():
+                    sums[g] += math.sqrt(n)
+        every = sum(sums.values()) + 0.5 * language_id.BUCKETS
+        rate[x] = collections.defaultdict(lambda every=every: 0.5 / every, {g: (n + 0.5) / every for g, n in sums.items()})
+    codes = dict(zip(langs, language_id.codewords(len(langs)).tolist()))
+    bits = range(len(codes[langs[0]]))
+    mean = lambda g, b, side: np.mean([rate[x][g] for x in langs if codes[x][b] == side])
+    weight = lambda g, b: math.log(mean(g, b, 1)) - math.log(mean(g, b, -1))
+    known = set().union(*rate.values())
+    rest = {x: 1 - sum(rate[x][g] for g in known) for x in langs}  # of trigrams that no text has
+    unseen = [weight(-1, b) for b in bits]
+    margin = lambda x, b: sum(rate[x][g] * weight(g, b) for g in known) + rest[x] * unseen[b]
+    trust = np.array([max(min(margin(x, b) * codes[x][b] for x in langs), 1e-3) for b in bits])
+    trust /= trust.sum()
+    g = grams(text)
+    m = [sum(weight(z, b) for z in g) / len(g) for b in bits]
+    x = [-len(bits) * sum(w * math.log1p(math.exp(-language_id.SHARPNESS * v * c)) for w, v, c in zip(trust, m, codes[k])) for k in langs]
+    e = [math.exp(v - max(x)) for v in x]
+    return dict(zip(langs, np.array(e) / sum(e)))
+
+
+def test_language_as_the_plain_formulas(spark):
+    said = {"aa": ["the cat sat on the mat", "a dog and the cat", "the the the"], "bb": ["le chat est la", "un chien et le chat", "été à la plage"], "cc": ["der hund ist da", "die katze und der hund", "über das haus"]}
+    docs_ = [(x, t) for x, ts in said.items() for t in ts] + [("aa", "a dog and the cat")]
+    table = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(docs_)], "doc_id long, lang string, text string").repartition(3)
+    model = language_id.train(table)
+    asked = ["the dog", "le chien à la maison", "hund und katze", "chat the der", "Zürich 12"]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(asked):
+        want = slow_scores(docs_, t)
+        assert got[i].lang_pred == max(want, key=want.get) and abs(got[i].score - max(want.values())) < 1e-6, (t, want, got[i])
+
+
+def test_training_takes_few_jobs(spark):
+    docs_ = spark.read.parquet(f"{SF01}/documents.parquet").repartition(24)
+    spark.sparkContext.setJobGroup("training", "training")
+    language_id.train(docs_)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("training")) <= 6
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 6, 9, 20):
         c = language_id.codewords(n)

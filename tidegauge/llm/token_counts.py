@@ -1,8 +1,8 @@
 """Token counts with a digest cache (operator 10).
 
-A text's key is the SHA-256 of its normalised content; a cache row also carries the digest
-of the tokenizer file. Keys found in the cache are joined; of the rest, each distinct text
-is encoded once and its count appended to the cache.
+A text's key is the SHA-256 of its normalised content; the cache is a table partitioned by
+tokenizer version, which later runs find again. Stored counts of the run's own keys are
+joined; of the others, each distinct content is encoded once and its count appended.
 """
 
 from __future__ import annotations
@@ -15,21 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_ids
-from .common import map_batches, new_path, stored, table
+from .common import map_batches, new_path, stored, table, work_dir
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
+#: Counts of another rule are not read; to be raised when counting changes.
+RULE = 2
 #: Digests that a task remembers to leave out copies before the shuffle.
 LOCAL_DIGESTS = 200_000
 
 
 def tokenizer_version(path: str) -> str:
-    """Digest of the tokenizer file and of the library that reads it."""
+    """Digest of the tokenizer file, of the library that reads it, and of the rule."""
     import sentencepiece
     import tokenizers
 
     lib = sentencepiece.__version__ if path.endswith(".model") else tokenizers.__version__
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + lib.encode()).hexdigest()
+        return hashlib.sha256(f.read() + f"{lib} {RULE}".encode()).hexdigest()
 
 
 def _pack(batches):
@@ -66,42 +68,54 @@ def _encoder(path: str, version: str):
     return encode
 
 
+def fold_spaces(text: Column) -> Column:
+    """ASCII white space as single spaces, none at the ends. Counts of a tokenizer that drops
+    white space, and has none in its special tokens, stay as they are."""
+    return F.trim(F.regexp_replace(text, r"[ \t-\r]+", " "))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row of docs(doc_id, text, ...).
 
-    cache: folder of the cache table, which is read if it is there and appended to;
-    without one, a new cache is made in the shared folder. normalise: a change of the text
-    that leaves its count alone (default: none); n_bytes is of the text as it stands.
-    Null texts count as empty; repeated rows, and rows that share a doc_id, each give a row.
+    cache: folder of the cache table, which is read if it is there and appended to; without
+    one, the counts of this run go to a folder of its own. normalise: a change of the text
+    that leaves its count alone (default: none); n_bytes is of the text as it stands. Null
+    texts count as empty; repeated rows, and rows that share a doc_id or have none, each
+    give a row; an empty table gives none. Other columns are not read.
     """
     spark = docs.sparkSession
-    version = tokenizer_version(tokenizer)
+    version, path = tokenizer_version(tokenizer), cache or new_path(spark, "token-cache")
     text = F.coalesce(F.col("text"), F.lit(""))
-    content = normalise(text) if normalise else text
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
-
-    path = cache or new_path(spark, "token-cache")
-    known = _read_cache(spark, path, version)
-    misses = map_batches(keyed.select("digest", "content"), _pack, "digest binary, packed binary")
-    if known is not None:
-        misses = misses.join(known, "digest", "left_anti")
-    new = map_batches(misses.repartition("digest"), _encoder(tokenizer, version), CACHE_SCHEMA)
-    new.write.mode("append").parquet(path)
-    counts = stored(_read_cache(spark, path, version), "counts")  # a plain join side: Spark can split hot digests
-    return keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
-
-
-def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None:
-    """Counts of this version, one row for each digest; None if there is no cache yet."""
+    content = (normalise or (lambda c: c))(text)
+    digest = F.unhex(F.sha2(content, 256)).alias("digest")
+
+    keys = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest), "keys")
+    wanted = keys.select("digest").distinct()
+    misses = stored(wanted.join(_read_cache(spark, path, version), "digest", "left_anti"), "misses")
+    if not misses.isEmpty():
+        packed = map_batches(docs.select(digest, content.alias("content")), _pack, "digest binary, packed binary")
+        new = map_batches(packed.join(misses, "digest").repartition("digest"), _encoder(tokenizer, version), CACHE_SCHEMA)
+        new.write.mode("append").partitionBy("version").parquet(path)
+    own = _read_cache(spark, path, version).join(wanted, "digest", "left_semi")
+    counts = stored(own.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")  # a plain join side: Spark can split hot digests
+    return keys.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+
+
+def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """Digests and counts of this version, which tasks that were lost and run again, or runs
+    side by side, may have stored twice; none if there is no cache yet."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == version)
-    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        return spark.createDataFrame([], CACHE_SCHEMA).drop("version")
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    return rows.where(F.col("version") == version).select("digest", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: one row for each row; null texts count as empty. Its
+    cache lies in the shared folder, so a second run over the same texts encodes nothing."""
     import public_tokenizers
 
-    counts = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    docs, cache = table(spark, sf_dir, "documents"), f"{work_dir(spark)}/token-counts"
+    counts = count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), cache, fold_spaces)
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
