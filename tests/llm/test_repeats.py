@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF, SF01
@@ -52,6 +53,38 @@ def test_mosaics(spark, tmp_path, monkeypatch, wide):
     assert run(spark, tmp_path, texts) == brute(enumerate(texts))
 
 
+def test_refined_buckets_are_those_of_equal_strings():
+    rng = random.Random(8)
+    for alphabet in ("ab", "abcdef", "a"):
+        parts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([100, 103, 140, 176]))).encode() for _ in range(40)]
+        parts += [parts[0], parts[1][:20] + parts[2][20:], parts[3][30:] + parts[4][:30]]
+        x, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+        pointer, at = repeats.refine(x, ends), {}
+        for p, end in zip(parts, ends):
+            for i in range(len(p) - 99):
+                at.setdefault(p[i : i + 100], set()).add(int(pointer[end - len(p) + i]))
+        assert all(len(v) == 1 for v in at.values()) and len({v for s in at.values() for v in s}) == len(at)
+
+
+def test_bytes_are_compared_before_they_go():
+    import zstandard
+
+    text = bytes(range(200))
+    ask = lambda p: pa.RecordBatch.from_pylist([{repeats.NO: 1, "packed": zstandard.compress(text), "found": [{"place": (1 << 9) + 20, "n": 3, "proof": p}]}])
+    (got,) = repeats._trim(9)([ask(repeats.proof(text[20:122]))])
+    assert got.column("n_removed").to_pylist() == [102] and got.column("n_spans").to_pylist() == [1]
+    with pytest.raises(ValueError, match="share an identifier"):
+        list(repeats._trim(9)([ask(repeats.proof(text[21:123]))]))
+
+
+def test_long_text_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    monkeypatch.setattr(repeats, "PIECE", 512)
+    part = "".join(random.Random(1).choice("abcdefgh é") for _ in range(5000))
+    texts = [part + "x" * 300 + part[:2500], "q" + part, part[1000:] + "z" + part[:1200]]
+    assert run(spark, tmp_path, texts) == brute(enumerate(texts))
+
+
 def test_ids_large_negative_and_null(spark, tmp_path):
     texts = mosaics(20)
     ids = [-(1 << 62), 1 << 62, *range(5, 23)]
@@ -73,5 +106,7 @@ def test_larger_corpus_as_brute_force(spark):
 
 def test_empty_and_removal(spark):
     assert repeats.remove(empty(spark)).count() == 0
+    clash = spark.createDataFrame([(2, "ab" * 80, 5, "k", 7, b"p"), (1, "ab" * 80, 6, "l", 8, b"q")], "doc_id long, text string, no int, kept string, m long, packed binary")
+    assert sorted(map(tuple, repeats.remove(clash).collect())) == [(1, "ab", 6, "l", 8, b"q"), (2, "", 5, "k", 7, b"p")]
     got = {r.doc_id: r for r in repeats.remove(docs(spark)).collect()}
     assert len(got) == len(TEXTS) and got[0].text is None and got[6].text == "" and got[9].text == TEXTS[9] and got[9].content == "x"

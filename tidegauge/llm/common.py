@@ -54,6 +54,22 @@ def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Steps:
+    """Tables that the steps of one operator write; each is dropped once no step needs it."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag, self.paths = spark, tag, {}
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = new_path(self.spark, f"{self.tag}-{name}")
+        return stored(df, name, self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Drop what finished steps hold, so that Spark's cleaner frees their shuffle files."""
     gc.collect()

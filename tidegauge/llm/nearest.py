@@ -29,6 +29,8 @@ TABLES, WIDTH, SEED = 2, 1.6, 11
 TARGET = 0.975
 #: Rows and queries of a block, pilot queries, and rows of the sample that is measured.
 BLOCK, ASKED, PILOTS, SAMPLE = 2048, 512, 64, 8192
+#: Rows that a task gathers before it keeps each query's nearest.
+GATHER = 200_000
 #: Vectors for which two functions a table are enough; each SPREAD-fold takes one more.
 FEW, SPREAD = 131_072, 2
 
@@ -158,20 +160,36 @@ def _search(k: int):
                     best = np.argsort(-exact, kind="stable")[:k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[a + i])), pa.array(ids[near][best]), pa.array(exact[best])], ["query_id", "vec_id", "score"])
 
-    def gathered(batches):  # a batch for many queries
+    def gathered(batches):  # a query's nearest of all blocks that this task has met
         parts, n = [], 0
         for b in run(batches):
             parts.append(b)
             n += b.num_rows
-            if n >= 20_000:
-                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-                parts, n = [], 0
+            if n >= GATHER:
+                best = _best(parts, k)
+                parts, n = [best], best.num_rows
+                if n > GATHER // 2:
+                    yield best
+                    parts, n = [], 0
         if n:
-            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            yield _best(parts, k)
 
     return gathered
 
 
+def _best(parts: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """The k nearest of each query, each vector once; ties to the smaller vec_id."""
+    q, ids, score = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("query_id", "vec_id", "score"))
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])  # both tables score a vector alike
+    q, ids, score = q[once], ids[once], score[once]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    near = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < k
+    return pa.RecordBatch.from_arrays([pa.array(q[near]), pa.array(ids[near]), pa.array(score[near])], ["query_id", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """The k nearest found of each query among vectors(vec_id, embedding, ...): query_id,
     rank, vec_id, score.

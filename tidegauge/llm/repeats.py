@@ -4,16 +4,19 @@ Of a suffix array only the order of equal strings of LENGTH bytes matters here,
 stops at that depth. Suffixes are sampled: each string is represented by the least of its
 q-grams, and neighbouring strings with the same one form a run.
 
-1. Initial buckets: runs with the same q-gram. Most buckets hold one run and are done.
-2. Refinement: an identifier of a later offset is made from those of shorter strings at the
-   place and beyond it (1, 2, 4, ... bytes), so each is used again for the next length. The
-   identifiers of a run's first and last string name its whole text. A bucket whose runs
-   share one is pure: all its strings but the first run's repeat it.
-3. Mixed buckets are refined by that identifier; of each text only the first run is left,
-   and its strings are sorted on their own identifiers, bucket by bucket.
+1. Initial buckets: runs with the same q-gram. Most buckets hold one run and are done, and
+   in many all runs have the same text: all but the first run repeat it.
+2. Mixed buckets are refined. Of each text the first run is cut out of its document; its
+   strings are put in buckets by their first bytes, and a bucket is sorted on the bucket
+   identifiers at a later offset (see refine). The identifiers that this gives are used
+   again for the next offset, twice as far, until they stand for whole strings. Buckets of
+   one string are left alone. Buckets of very many texts are split among tasks: there the
+   strings are grouped by a digest instead.
+3. Runs that follow each other in a document and in the one they repeat are chained. Before
+   bytes are removed, the digest of a chain is compared with that of the bytes it repeats.
 
 Buckets are hash partitioned, and joins on them can be split, so a passage that a third of
-the documents share is no single task's work. Identifiers have 64 bits.
+the documents share is no single task's work. Texts are worked on in overlapping chunks.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, table
+from .common import Steps, map_batches, table
 
 #: Length of the strings that count as repeated, and of the q-grams that name a bucket.
 LENGTH, Q = 100, 24
@@ -80,72 +83,153 @@ def runs(x: np.ndarray, ends: np.ndarray, base: int = 1 << 20):
     return a, b - a + 1, m.view(np.int64), f.view(np.int64)
 
 
-#: Bytes that are worked on at a time, and runs of a bucket from which it is split.
-CHUNK, WIDE = 150_000, 2000
+#: Bytes that are worked on at a time, texts of a bucket from which it is split, and bytes
+#: of a source's piece.
+CHUNK, WIDE, PIECE = 150_000, 2000, 16_384
+#: Names that no column of the input has.
+NO, KEPT = "__repeats_no", "__repeats_kept"
 
 
-def _documents(batch: pa.RecordBatch):
-    """Pieces of a batch: document numbers, their bytes together, and where each ends."""
-    nos, data, size = [], [], 0
-    for no, t in zip(batch.column("no").to_pylist(), batch.column("text").to_pylist()):
-        t = (t or "").encode()
-        if nos and size + len(t) > CHUNK:
-            yield nos, data
-            nos, data, size = [], [], 0
-        nos.append(no)
-        data.append(t)
-        size += len(t)
-    if nos:
-        yield nos, data
+def proof(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _find_runs(shift: int):
+def _chunks(batch: pa.RecordBatch, size_of: int):
+    """About size_of bytes at a time: number, offset and bytes of texts or parts of texts. The
+    parts of a text overlap, so that each string lies in one of them."""
+    some, size = [], 0
+    for no, t in zip(batch.column(NO).to_pylist(), batch.column("text").to_pylist()):
+        t = (t or "").encode()
+        for at in range(0, max(len(t) - LENGTH + 1, 0), size_of):
+            part = t[at : at + size_of + LENGTH - 1]
+            if some and size + len(part) > size_of:
+                yield some
+                some, size = [], 0
+            some.append((no, at, part))
+            size += len(part)
+    if some:
+        yield some
+
+
+def _find_runs(shift: int, size_of: int):
     def run(batches):
         for b in batches:
-            for nos, data in _documents(b):
-                x, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(t) for t in data])
-                base = 1 << max(20, int(len(x)).bit_length())
-                a, n, m, f = runs(x, ends, base)
-                doc = np.searchsorted(ends, a, side="right")
-                place = (np.array(nos, np.int64)[doc] << shift) + a - (ends - [len(t) for t in data])[doc]
+            for some in _chunks(b, size_of):
+                x, sizes = np.frombuffer(b"".join([t for _, _, t in some]), np.uint8), np.array([len(t) for _, _, t in some])
+                ends = np.cumsum(sizes)
+                a, n, m, f = runs(x, ends, 1 << max(20, int(len(x)).bit_length()))
+                of = np.searchsorted(ends, a, side="right")
+                place = (np.array([no for no, _, _ in some], np.int64)[of] << shift) + np.array([at for _, at, _ in some])[of] + a - (ends - sizes)[of]
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(f), pa.array(place), pa.array(n.astype(np.int16))], ["m", "f", "place", "n"])
 
     return run
 
 
-def _strings(snippets: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the n strings of each snippet, and which snippet each is of."""
-    _, long = pointers(np.frombuffer(b"".join(snippets), np.uint8))
-    starts = np.cumsum([0, *map(len, snippets[:-1])])
-    owner = np.repeat(np.arange(len(n)), n)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    return long[starts[owner] + within], owner
+def _chain(shift: int, piece_of: int):
+    """Runs (place, n, src), in the order of place, as chains: each goes on in its document
+    as its source does, within one piece of the source."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place, n, src = (b.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "src"))
+            piece = (src & ((1 << shift) - 1)) // piece_of
+            new = np.ones(len(place), bool)
+            new[1:] = (place[1:] != place[:-1] + n[:-1]) | (src[1:] != src[:-1] + n[:-1]) | (piece[1:] != piece[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(place[at]), pa.array(np.add.reduceat(n, at)), pa.array(src[at])], ["place", "n", "src"])
+
+    return run
 
 
-def _cut(shift: int):
-    """The texts of runs: from documents with the places of their runs."""
+def _pieces(piece_of: int):
+    """Packed texts as pieces, each with what a chain that starts in it may need."""
 
     def run(batches):
         import zstandard
 
-        z = zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for b in batches:
-            m, place, n, text = [], [], [], []
-            for packed, found in zip(b.column("packed").to_pylist(), b.column("found").to_pylist()):
-                data = z.decompress(packed)
-                for r in found:
-                    at = r["place"] & ((1 << shift) - 1)
-                    m.append(r["m"])
-                    place.append(r["place"])
-                    n.append(r["n"])
-                    text.append(data[at : at + r["n"] + LENGTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int16()), pa.array(text, pa.binary())], ["m", "place", "n", "snippet"])
+            out = []
+            for no, packed in zip(b.column(NO).to_pylist(), b.column("packed").to_pylist()):
+                data = unpack.decompress(packed)
+                out += [(no, i, pack.compress(data[i * piece_of : (i + 1) * piece_of + 2 * LENGTH])) for i in range(len(data) // piece_of + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], [NO, "piece", "data"])
 
     return run
 
 
-def _sort_strings(batches):
-    """Whole buckets, sorted by m: the strings that also start earlier, as runs."""
+def _cut(shift: int, piece_of: int):
+    """The bytes of the runs that are to be refined, and the proof of those that are not."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts, proofs = [], []
+            for src, piece, n, m, packed in zip(*(b.column(c).to_pylist() for c in ("src", "piece", "n", "m", "data"))):
+                at = (src & ((1 << shift) - 1)) - piece * piece_of
+                text = unpack.decompress(packed)[at : at + n + LENGTH - 1]
+                texts.append(None if m is None else text)
+                proofs.append(proof(text) if m is None else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("src", "n", "m", "wide")), pa.array(texts, pa.binary()), pa.array(proofs, pa.binary())], ["src", "n", "m", "wide", "snippet", "proof"])
+
+    return run
+
+
+def refine(x: np.ndarray, ends: np.ndarray, depth: int = 8) -> np.ndarray:
+    """A bucket identifier for each place of x: places whose strings of LENGTH bytes are
+    equal have equal ones, and no others do. x: texts one after the other; ends: where each
+    ends; strings lie within a text, and only places where one starts mean anything.
+
+    Places start in the buckets of their first `depth` bytes. A round sorts the buckets of
+    several places on the identifiers at the offset `depth` (less in the last round), which
+    stand for `depth` bytes there, and the new ones stand for all these bytes.
+    """
+    room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(x))
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(depth - 1, np.uint8)]), depth)
+    pointer = np.unique(np.ascontiguousarray(words).view(f"V{depth}" if depth != 8 else np.uint64).ravel(), return_inverse=True)[1].astype(np.int64)
+    count, used = np.bincount(pointer), int(pointer.max(initial=-1)) + 1
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        depth += step
+        open_ = np.flatnonzero((room >= depth) & (count[pointer] > 1))
+        if not len(open_):
+            break
+        place = np.unique(pointer[open_] * used + pointer[open_ + step], return_inverse=True)[1]
+        pointer[open_] = used + place
+        used += int(place.max()) + 1
+        count = np.bincount(pointer, minlength=used)
+    return pointer
+
+
+def _places(place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of some runs: the run, the number in the run, and the place."""
+    of = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return of, within, place[of] + within
+
+
+def _refined(t: pa.Table) -> pa.RecordBatch:
+    """The strings of whole buckets that also start earlier, as runs."""
+    n, place, snippets = t["n"].to_numpy().astype(np.int64), t["src"].to_numpy(), t["snippet"].to_pylist()
+    sizes = np.array([len(s) for s in snippets])
+    of, within, at = _places(place, n)
+    pointer = refine(np.frombuffer(b"".join(snippets), np.uint8), np.cumsum(sizes))[(np.cumsum(sizes) - sizes)[of] + within]
+    order = np.lexsort((at, pointer))
+    later = np.zeros(len(at), bool)
+    later[order[1:]] = pointer[order[1:]] == pointer[order[:-1]]
+    found = np.flatnonzero(later)
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1] + 1) | (of[found[1:]] != of[found[:-1]])  # a run ends with its snippet
+    first = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(at[found[first]]), pa.array(np.diff(first, append=len(found)))], ["place", "n"])
+
+
+def _sort_buckets(batches):
+    """Buckets, in the order of m, a few at a time."""
     rest = None
     for b in batches:
         new = pa.Table.from_batches([b])
@@ -155,34 +239,19 @@ def _sort_strings(batches):
         whole = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on
         rest = t.slice(whole)
         if whole:
-            yield _repeated(t.slice(0, whole))
+            yield _refined(t.slice(0, whole))
     if rest is not None and len(rest):
-        yield _repeated(rest)
-
-
-def _repeated(t: pa.Table) -> pa.RecordBatch:
-    n, place = t["n"].to_numpy().astype(np.int64), t["place"].to_numpy()
-    ids, owner = _strings(t["snippet"].to_pylist(), n)
-    at = place[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((at, ids))
-    later = np.zeros(len(ids), bool)
-    later[order[1:]] = ids[order[1:]] == ids[order[:-1]]
-    edge = np.diff(np.concatenate([[False], later, [False]]).astype(np.int8))
-    # runs end with their snippet
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    cuts = np.flatnonzero(later[1:] & later[:-1] & (owner[1:] != owner[:-1])) + 1
-    a, b = np.sort(np.concatenate([a, cuts])), np.sort(np.concatenate([b, cuts]))
-    return pa.RecordBatch.from_arrays([pa.array(at[a]), pa.array((b - a).astype(np.int16))], ["place", "n"])
+        yield _refined(rest)
 
 
 def _explode(batches):
     """Every string of wide buckets' runs as a row."""
     for b in batches:
         if b.num_rows:
-            n = b.column("n").to_numpy().astype(np.int64)
-            ids, owner = _strings(b.column("snippet").to_pylist(), n)
-            at = b.column("place").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(at)], ["id", "place"])
+            snippets = b.column("snippet").to_pylist()
+            of, within, at = _places(b.column("src").to_numpy(), b.column("n").to_numpy().astype(np.int64))
+            ids = [proof(snippets[i][j : j + LENGTH]) for i, j in zip(of.tolist(), within.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(at)], ["id", "place"])
 
 
 def _pack(batches):
@@ -190,7 +259,7 @@ def _pack(batches):
 
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("no"), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], ["no", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column(NO), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], [NO, "packed"])
 
 
 def _trim(shift: int):
@@ -200,86 +269,107 @@ def _trim(shift: int):
         z = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for packed, found in zip(b.column("packed").to_pylist(), b.column("found").to_pylist()):
+            for no, packed, found in zip(*(b.column(c).to_pylist() for c in (NO, "packed", "found"))):
                 data = z.decompress(packed)
-                mark = np.zeros(len(data) + 1, np.int32)
-                at = np.array([r["place"] & ((1 << shift) - 1) for r in found])
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + [r["n"] + LENGTH - 1 for r in found], -1)
-                gone = np.cumsum(mark[:-1]) > 0
+                edge = np.zeros(len(data) + 1, np.int32)
+                for r in found:
+                    at = r["place"] & ((1 << shift) - 1)
+                    end = at + r["n"] + LENGTH - 1
+                    if r["proof"] is not None and proof(data[at:end]) != r["proof"]:
+                        raise ValueError(f"two texts share an identifier: {r['place']}")
+                    edge[at] += 1
+                    edge[end] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                rows.append((int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("no"), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds))], ["no", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((no, int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], [NO, "n_removed", "n_spans", "kept_sha256", KEPT])
 
     return run
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with a number `no` for each row, in the order of doc_id, and the bits that a
-    place in a text needs. Numbers are the ids themselves if these are unique and small
-    enough; else rows are sorted by doc_id and text, and counted."""
+def _numbered(docs: DataFrame, steps: Steps) -> tuple[DataFrame, int]:
+    """docs with a number for each row, in the order of doc_id, and the bits that a place in
+    a text needs. Numbers are the ids themselves if these are unique and small enough; else
+    rows are sorted by doc_id, nulls first, and by the text's digest, and counted."""
     m = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.octet_length("text")).alias("size"), F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
     shift = max(int(m["size"] or 1).bit_length(), 7)
-    unique = m["rows"] == m["ids"] and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    unique = m["rows"] == m["ids"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     if unique and (m["rows"] == 0 or m["high"] - m["low"] < 1 << (62 - shift)):
-        return docs.withColumn("no", F.col("doc_id").cast("long") - F.lit(m["low"] or 0)), shift
+        return docs.withColumn(NO, F.col("doc_id").cast("long") - F.lit(m["low"] or 0)), shift
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.sha2("text", 256))
-    schema = docs.schema.add("no", "long")
-    return stored(ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema), "numbered"), shift
+    rows = steps.store("numbered", ordered.withColumn(NO, F.monotonically_increasing_id()))
+    part, at = F.shiftright(NO, 33), F.col(NO).bitwiseAND((1 << 33) - 1)
+    before, starts = 0, F.lit(None).cast("long")
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
+        starts, before = F.when(part == r["part"], F.lit(before)).otherwise(starts), before + r["count"]
+    return rows.withColumn(NO, starts + at), shift
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbered docs, and for those that lose something: no, n_removed, n_spans,
-    kept_sha256 and kept (the bytes that stay as text, torn characters left out).
+    """docs with a number NO for each row, and for those that lose something: NO, n_removed,
+    n_spans, kept_sha256 and KEPT (the bytes that stay as text, torn characters left out).
 
     Each byte goes that is covered by a string of LENGTH bytes which also starts earlier: in
     a document of smaller doc_id, or further left in the same one. Texts shorter than that,
     empty and null ones lose nothing. Rows that share a doc_id come in the order of their
-    texts' digests.
+    texts' digests, those without one first; an empty table gives no rows.
     """
-    docs, shift = _numbered(docs)
-    found = map_batches(docs.select("no", "text"), _find_runs(shift), "m long, f long, place long, n short")
+    steps = Steps(docs.sparkSession, "repeats")
+    docs, shift = _numbered(docs, steps)
+    no = lambda c: F.shiftright(F.col(c), shift).alias(NO)
+    piece = F.floor(F.col("src").bitwiseAND((1 << shift) - 1) / PIECE).alias("piece")
+
+    found = map_batches(docs.select(NO, "text"), _find_runs(shift, CHUNK), "m long, f long, place long, n short")
     buckets = found.groupBy("m").agg(F.count("*").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1"), F.min("place").alias("first")).where("c > 1")
-    buckets = stored(buckets.select("m", (F.col("f0") == F.col("f1")).alias("pure"), "first"), "buckets")
-    hits = found.join(buckets, "m").where("not pure or place != first")
-    hits = stored(hits.select(F.when(~F.col("pure"), F.col("m")).alias("m"), F.when(~F.col("pure"), F.col("f")).alias("f"), "place", "n"), "hits")
-
-    mixed = hits.where("f is not null")
-    texts = mixed.groupBy("f").agg(F.min("place").alias("first"), F.first("m").alias("m"), F.first("n").alias("n"))
-    texts = stored(texts, "texts")
-    later = mixed.join(texts.select("f", "first"), "f").where("place != first").select("place", "n")
-    whole = stored(hits.where("f is null").select("place", "n").union(later), "whole-runs")
-
-    sizes = stored(texts.groupBy("m").agg((F.count("*") > WIDE).alias("wide")), "bucket-sizes")
-    no = lambda c: F.shiftright(F.col(c), shift)
-    involved = whole.select(no("place").alias("no")).union(texts.select(no("first").alias("no"))).distinct()
-    packed = stored(map_batches(docs.select("no", "text"), _pack, "no long, packed binary").join(involved, "no"), "packed")
-    firsts = texts.join(sizes, "m").groupBy(no("first").alias("no")).agg(F.collect_list(F.struct("m", F.col("first").alias("place"), "n")).alias("found"))
-    cut = map_batches(firsts.join(packed, "no").select("packed", "found"), _cut(shift), "m long, place long, n short, snippet binary")
-    cut = stored(cut.join(sizes, "m"), "snippets")
-    narrow = cut.where("not wide").select("m", "place", "n", "snippet").repartition("m").sortWithinPartitions("m")
-    partly = map_batches(narrow, _sort_strings, "place long, n short")
-    strings = map_batches(cut.where("wide").select("place", "n", "snippet"), _explode, "id long, place long")
-    least = stored(strings.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("id", "first"), "wide-strings")
-    single = strings.join(least, "id").where("place != first").select("place", F.lit(1).cast("short").alias("n"))
-
-    gone = whole.union(partly).union(single).groupBy(no("place").alias("no")).agg(F.collect_list(F.struct("place", "n")).alias("found"))
-    return docs, map_batches(gone.join(packed, "no").select("no", "packed", "found"), _trim(shift), "no long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    buckets = steps.store("buckets", buckets.select("m", F.when(F.col("f0") == F.col("f1"), F.col("first")).alias("src")))
+    hits = found.join(buckets, "m").where("src is null or place != src")
+    mixed = F.col("src").isNull()
+    hits = steps.store("hits", hits.select(F.when(mixed, F.col("m")).alias("m"), F.when(mixed, F.col("f")).alias("f"), "place", "n", "src"))
+    steps.drop("buckets")
+
+    several = hits.where(mixed)
+    texts = steps.store("texts", several.groupBy("m", "f").agg(F.min("place").alias("src"), F.max("n").cast("long").alias("n")))
+    later = several.drop("src").join(texts.select("m", "f", "src"), ["m", "f"]).where("place != src").select("place", "n", "src")
+    copies = hits.where(~mixed).select("place", "n", "src").union(later)
+    copies = copies.withColumn(NO, no("place")).repartition(NO).sortWithinPartitions("place").select("place", "n", "src")
+    chains = steps.store("chains", map_batches(copies, _chain(shift, PIECE), "place long, n long, src long"))
+    steps.drop("hits")
+
+    sizes = steps.store("sizes", texts.groupBy("m").agg((F.count("*") > WIDE).alias("wide")))
+    involved = chains.select(no("place")).union(chains.select(no("src"))).union(texts.select(no("src"))).distinct()
+    packed = steps.store("packed", map_batches(docs.select(NO, "text"), _pack, f"{NO} long, packed binary").join(involved, NO))
+    proofs = chains.select("src", "n").distinct().select("src", "n", F.lit(None).cast("long").alias("m"), F.lit(False).alias("wide"))
+    asked = texts.join(sizes, "m").select("src", "n", "m", "wide").union(proofs).select(no("src"), piece, "src", "n", "m", "wide")
+    pieces = map_batches(packed, _pieces(PIECE), f"{NO} long, piece long, data binary")
+    cut = map_batches(asked.join(pieces, [NO, "piece"]).select("src", "piece", "n", "m", "wide", "data"), _cut(shift, PIECE), "src long, n long, m long, wide boolean, snippet binary, proof binary")
+    cut = steps.store("cut", cut)
+    steps.drop("texts", "sizes")
+
+    narrow = cut.where("m is not null and not wide").select("m", "src", "n", "snippet").repartition("m").sortWithinPartitions("m")
+    partly = map_batches(narrow, _sort_buckets, "place long, n long")
+    strings = map_batches(cut.where("wide").select("src", "n", "snippet"), _explode, "id binary, place long")
+    least = steps.store("wide", strings.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("id", "first"))
+    single = strings.join(least, "id").where("place != first").select("place", F.lit(1).cast("long").alias("n"))
+    refined = partly.union(single).withColumn("proof", F.lit(None).cast("binary"))
+    proven = chains.join(cut.where("m is null").select("src", "n", "proof"), ["src", "n"]).select("place", "n", "proof")
+
+    gone = refined.union(proven).groupBy(no("place")).agg(F.collect_list(F.struct("place", "n", "proof")).alias("found"))
+    return docs, map_batches(gone.join(packed, NO).select(NO, "packed", "found"), _trim(shift), f"{NO} long, n_removed long, n_spans long, kept_sha256 string, {KEPT} string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs, all columns, with repeated bytes taken out of the texts; null texts stay null."""
-    cols = docs.columns
     numbered, gone = repeats(docs)
-    out = numbered.join(gone.select("no", "kept"), "no", "left")
-    return out.withColumn("text", F.coalesce("kept", "text")).select(*cols)
+    out = numbered.join(gone.select(NO, KEPT), NO, "left")
+    return out.withColumn("text", F.coalesce(KEPT, "text")).select(*docs.columns)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: one row for each row; null texts count as empty."""
     docs, gone = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("no", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    base = docs.select(NO, "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = base.join(gone.drop("kept"), "no", "left")
+    out = base.join(gone.drop(KEPT), NO, "left")
     return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
