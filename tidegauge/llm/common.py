@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +44,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: What a step passes to Python at a time: long texts make batches of few rows.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Bounds the batches of the jobs that run within, for the sake of workers' memory."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage and
     survives lost executors. Shuffle files of finished steps are then released."""
     spark = df.sparkSession
     path, schema = path or new_path(spark, tag), df.schema
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     del df
     release(spark)
     return spark.read.schema(schema).parquet(path)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import held, map_batches, new_path, sorted_groups, stored, table, texts
+from .common import held, map_batches, new_path, small_batches, sorted_groups, stored, table, texts
 from .components import components
 
 #: Bands and samples of each: a pair at the threshold shares none with a chance of 4e-7.
@@ -232,7 +232,8 @@ def _rounds(classes, spots, packed, pairs, k, percent) -> DataFrame:
     def confirm(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(packed.select(F.col("id").alias("x"), F.col("packed").alias("p")), "x")
         with_y = with_x.join(packed.select(F.col("id").alias("y"), F.col("packed").alias("q")), "y")
-        map_batches(with_y.select("x", "y", "p", "q"), _confirm(k, percent), "x long, y long").write.mode("append").parquet(links)
+        with small_batches(spark):
+            map_batches(with_y.select("x", "y", "p", "q"), _confirm(k, percent), "x long, y long").write.mode("append").parquet(links)
         return components(spark.read.schema("x long, y long").parquet(links))
 
     comps = confirm(pairs)

@@ -371,5 +371,5 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select(NO, "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = base.join(gone.drop(KEPT), NO, "left")
-    return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    gone = Steps(spark, "repeats").store("gone", gone.drop(KEPT))
+    return base.join(gone, NO, "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))

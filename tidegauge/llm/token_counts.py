@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_ids
-from .common import map_batches, new_path, stored, table, work_dir
+from .common import map_batches, new_path, small_batches, stored, table, work_dir
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 #: Counts of another rule are not read; to be raised when counting changes.
@@ -95,7 +95,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
     if not misses.isEmpty():
         packed = map_batches(docs.select(digest, content.alias("content")), _pack, "digest binary, packed binary")
         new = map_batches(packed.join(misses, "digest").repartition("digest"), _encoder(tokenizer, version), CACHE_SCHEMA)
-        new.write.mode("append").partitionBy("version").parquet(path)
+        with small_batches(spark):
+            new.write.mode("append").partitionBy("version").parquet(path)
     own = _read_cache(spark, path, version).join(wanted, "digest", "left_semi")
     counts = stored(own.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")  # a plain join side: Spark can split hot digests
     return keys.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
