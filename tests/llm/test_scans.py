@@ -4,8 +4,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF01
 from tests.llm.cases import TEXTS, docs, empty
@@ -119,10 +121,32 @@ def test_media_round_trip(spark, tmp_path):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
         png = media.to_png(data)
         assert media.from_png(png) == data and (r.media_bytes, r.media_sha256, r.feature) == (len(png), hashlib.sha256(png).hexdigest(), media.feature(data))
-        assert r.caption == f"text of document {i}" and r.pos == 1
+        first, *more = [" ".join(x.split()) for x in (t or "").split("\n")]
+        assert r.caption == f"text of {len(t or '')} characters" and r.pos == bool(first) and r.n_items == 1 + bool(first) + sum(map(bool, more)), i
     assert rows[5].media_sha256 == rows[6].media_sha256
 
 
+BLOCKS = "p|div|li|h1|h2|h3|h4|figure|article|section|tr|ul|ol|table"
+
+
+def test_media_sequences_of_raw_pages(spark):
+    pages = spark.read.parquet(f"{SF01}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.sequence for r in media.parse(pages).collect()}
+    assert got.keys() == html.keys()
+    for i, h in html.items():
+        h = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", h or "")
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(rf"</?(?:{BLOCKS})(?:\s[^>]*)?>", h)]
+        assert [x.text for x in got[i]] == [x for x in parts if x] and [x.pos for x in got[i]] == list(range(len(got[i]))), i
+
+
+def test_items_of_a_text_keep_their_order(spark):
+    text = "a < b & c\n\n<p>not a tag</p>\nlast &amp; end"
+    page = spark.createDataFrame([(text,)], "t string").select(media.page_of(F.col("t")).alias("h")).first().h
+    assert [(x["kind"], x["text"]) for x in media.sequence_of(page)] == [("text", "a < b & c"), ("media", None), ("text", "<p>not a tag</p>"), ("text", "last &amp; end")]
+    assert media.sequence_of(page)[1]["digest"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_media_sequences(spark):
     page = '<p>one &amp; two</p><img src="media:sha256:ab" alt="x"><style>no</style><figure><img src="http://h/y.png"><figcaption>cap <b>tion</b></figcaption></figure>tail'
     rows = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")

@@ -177,28 +177,41 @@ def _describe(batches):
 
 
 def describe(store: DataFrame) -> DataFrame:
-    """Features of the stored bytes, one row for each digest."""
+    """Features of the stored bytes, one row for each digest; rows without media are an
+    error, as are bytes that differ from their digest."""
     rows = map_batches(store.select("digest", "n_bytes", "media"), _describe, FEATURES)
     names = [c for c in rows.columns if c != "digest"]
     return rows.groupBy("digest").agg(F.max(F.struct(*names)).alias("m")).select("digest", "m.*")
 
 
 def resolve(sequences: DataFrame, features: DataFrame, key: str = "page_id") -> DataFrame:
-    """A row for each item of the sequences: key, pos, kind, text, digest, caption, and
-    what the store has for its digest (null where it has nothing)."""
-    items = sequences.select(key, F.inline("sequence"))
-    return items.join(features, "digest", "left")
-
-
-def page_of(text: Column, doc_id: Column) -> Column:
-    """A page whose figure refers to the text's payload."""
-    name = F.concat(F.lit("document "), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.concat(F.lit("<article><h1>"), name, F.lit(f'</h1><figure><img src="{PREFIX}'), F.sha2(text, 256), F.lit('"><figcaption>text of '), name, F.lit("</figcaption></figure></article>"))
+    """A row for each item of the sequences, in any order: the columns beside sequence, pos,
+    kind, text, digest, caption, and what the store has for its digest (null where it has
+    nothing). Items without a digest, such as texts, find nothing and are spread by their
+    key and place. Rows that share a key, or have none, keep their items apart only by
+    their other columns."""
+    items = sequences.select(*[c for c in sequences.columns if c != "sequence"], F.inline("sequence"))
+    spread = F.concat(F.lit("-"), F.xxhash64(key, "pos").cast("string"))
+    found = features.withColumnRenamed("digest", "__media_of")
+    return items.withColumn("__media_of", F.coalesce("digest", spread)).join(found, "__media_of", "left").drop("__media_of")
+
+
+def page_of(text: Column) -> Column:
+    """A page of a text: its lines as paragraphs, and after the first of them a figure that
+    refers to the text's payload."""
+    lines = F.split(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "\n")
+    caption = F.concat(F.lit("text of "), F.length(text).cast("string"), F.lit(" characters"))
+    figure = F.concat(F.lit(f'<figure><img src="{PREFIX}'), F.sha2(text, 256), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    rest = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "</p><p>")
+    return F.concat(F.lit("<article><p>"), lines[0], F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: each row's text as a page, of whose items the figure
+    is resolved; pos is its place among n_items. Null texts count as empty, and rows that
+    repeat an id or a text each give a row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     features = stored(describe(build_store(docs)), "features")  # a plain join side: Spark can split hot digests
-    pages = docs.select("doc_id", page_of(F.col("text"), F.col("doc_id")).alias("html"))
-    items = resolve(parse(pages, "doc_id"), features, "doc_id").where("kind = 'media'")
-    return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    sequences = parse(docs.select("doc_id", page_of(F.col("text")).alias("html")), "doc_id")
+    items = resolve(sequences.withColumn("n_items", F.size("sequence")), features, "doc_id").where("kind = 'media'")
+    return items.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "n_items", "caption")
