@@ -1,7 +1,13 @@
-"""Dated boards: churn, burndown, cycle time and dwell over a team's days.
+"""Dated boards: churn, burndown, cycle time, dwell and flow over a team's days.
 
-Tables: day_issue(team, d, seen, key, category, created, resolved, points), day_member(team,
-d, key, sprint_id); d numbers the days that exist, so a missing day is skipped.
+Tables, all keyed by team and d, which numbers the days on which the team was collected, so
+that a day without it is skipped and d - 1 is the day before:
+
+    day(team, d, date, seen)                                  seen: when it was captured
+    day_issue(team, d, key, status_id, category, created, resolved, points)
+    day_member(team, d, key, sprint_id)
+    day_sprint(team, d, sprint_id, state, start_ts, end_ts)
+    day_column(team, d, col_pos, col, status_id)
 """
 
 from __future__ import annotations
@@ -10,102 +16,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.core import count_if, days_between, done, exact, points, total
+from ..functions.core import OFF_BOARD, count_if, days_between, done, exact, hours_between, js_round, points, total
 
+SPRINT = ["team", "sprint_id"]
+#: Observations that a column's percentiles need, and its oldest issues that are named.
+LEAST_BASIS, OLDEST = 3, 5
 
-def members(day_issue: DataFrame, day_member: DataFrame, sprint_id: int) -> DataFrame:
-    return day_member.where(F.col("sprint_id") == sprint_id).join(day_issue, ["team", "d", "key"]).select("team", "d", "seen", "key", "category", "points")
 
+def spans(day: DataFrame) -> DataFrame:
+    """First and last day of each team. Spans are aggregated and joined, since a window over
+    a team would bring all its rows to one task."""
+    return day.groupBy("team").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
 
-def sprint_changes(rows: DataFrame) -> DataFrame:
-    """What each issue of the sprint did from one day to the next."""
-    days = rows.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    before = rows.crossJoin(F.broadcast(days)).where("d < hi").select("team", (F.col("d") + 1).alias("d"), "key", F.col("points").alias("was"), F.col("category").alias("was_cat"), F.lit(True).alias("had"))
-    after = rows.crossJoin(F.broadcast(days)).where("d > lo").select("team", "d", "key", "points", "category", F.lit(True).alias("has"))
-    j = before.join(after, ["team", "d", "key"], "full")
-    both = F.col("had") & F.col("has")
-    kind = F.when(F.col("had").isNull(), "added").when(F.col("has").isNull(), "removed").when(both & ~F.col("was").eqNullSafe(F.col("points")), "reestimated").otherwise("same")
-    resolved = F.coalesce(both & (F.col("was_cat") != "Done") & (F.col("category") == "Done"), F.lit(False))
-    return j.select("team", "d", "key", kind.alias("kind"), points("was").alias("was"), points().alias("now"), resolved.alias("resolved"))
 
+def active_sprints(day: DataFrame, day_sprint: DataFrame) -> DataFrame:
+    """The sprints that are active on their team's last day, with their dates then."""
+    last = day_sprint.join(spans(day), "team").where("d = hi and state = 'active'")
+    return last.select("team", "sprint_id", "start_ts", "end_ts")
 
-def sprint_delta(rows: DataFrame) -> DataFrame:
-    """Scope added, removed and re-estimated by day."""
-    c, k = sprint_changes(rows), F.col("kind")
-    g = c.groupBy("team", "d").agg(
-        count_if(k == "added").alias("added"), count_if(k == "removed").alias("removed"), count_if(k == "reestimated").alias("reestimated"), count_if(F.col("resolved")).alias("resolved"),
-        total(F.when(k == "added", F.col("now"))).alias("added_points"), total(F.when(k == "removed", F.col("was"))).alias("removed_points"), total(F.when(k == "reestimated", F.col("now") - F.col("was"))).alias("reestimated_points"),
-    )
-    return g.withColumn("net_points", F.col("added_points") - F.col("removed_points") + F.col("reestimated_points"))
 
+def members(day_issue: DataFrame, day_member: DataFrame, sprints: DataFrame) -> DataFrame:
+    """The issues of some sprints, day by day."""
+    inside = day_member.join(sprints.select(*SPRINT), SPRINT, "left_semi").dropDuplicates(["team", "d", "key", "sprint_id"])
+    return inside.join(day_issue, ["team", "d", "key"])
 
-def churn_summary(rows: DataFrame) -> DataFrame:
-    """Sums over all pairs of days, the rate over the opening points, and how many late
-    additions stayed: those that no day removed."""
-    c = sprint_changes(rows)
-    s = sprint_delta(rows).groupBy("team").agg(F.count("*").alias("observations"), *(F.sum(x).alias(x) for x in ("added_points", "removed_points", "reestimated_points", "net_points")))
-    opening = rows.groupBy("team", "d").agg(total(points()).alias("p")).groupBy("team").agg(F.min_by("p", "d").alias("opening"))
-    added, removed = (c.where(F.col("kind") == x).select("team", "key").distinct() for x in ("added", "removed"))
-    late = added.join(removed, ["team", "key"], "left_anti").groupBy("team").agg(F.count("*").alias("late_additions"))
-    churn = F.col("added_points") + F.col("removed_points") + F.abs("reestimated_points")
-    j = s.join(opening, "team").join(late, "team", "left").fillna(0, ["late_additions"])
-    return j.withColumn("churn_rate", F.round(F.when(F.col("opening") > 0, churn / F.col("opening")), 6))
 
+def primary_sprints(day: DataFrame, day_issue: DataFrame, day_member: DataFrame, day_sprint: DataFrame) -> DataFrame:
+    """Of several active sprints of a team the one with most points on its last day; of
+    equal ones the smaller id."""
+    active = active_sprints(day, day_sprint)
+    last = members(day_issue, day_member, active).join(spans(day), "team").where("d = hi")
+    held = active.join(last.groupBy(*SPRINT).agg(total(points()).alias("committed")), SPRINT, "left").fillna(0, ["committed"])
+    rank = F.row_number().over(W.partitionBy("team").orderBy(F.desc("committed"), "sprint_id"))
+    return held.withColumn("r", rank).where("r = 1").drop("r")
 
-def burndown(rows: DataFrame, start: str, end: str) -> DataFrame:
-    g = rows.groupBy("team", "d", "seen").agg(total(points()).alias("committed"), total(F.when(done(), points())).alias("done"), count_if(~done()).alias("open_issues"))
-    s, e = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    gone = F.greatest(F.lit(0.0), F.least(F.lit(1.0), days_between(s, "seen") / days_between(s, e)))
-    return g.select("team", "d", "committed", "done", (F.col("committed") - F.col("done")).alias("remaining"), "open_issues", F.round(F.col("committed") * (1 - gone), 6).alias("ideal"))
 
+def compared(day: DataFrame, day_sprint: DataFrame) -> DataFrame:
+    """The days d of each active sprint that are compared with the day before: those before
+    which it was there already, since its opening is no change."""
+    existed = day_sprint.join(active_sprints(day, day_sprint).select(*SPRINT), SPRINT, "left_semi")
+    rows = existed.select(*SPRINT, (F.col("d") + 1).alias("d")).distinct().join(spans(day), "team")
+    return rows.where("d <= hi").select(*SPRINT, "d")
 
-def _spanned(day_issue: DataFrame) -> DataFrame:
-    """With the first and last day of the team. Spans are aggregated and joined, since a
-    window over a team would bring all its rows to one task."""
-    return day_issue.join(day_issue.groupBy("team").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "team")
 
+def sprint_changes(day, day_issue, day_member, day_sprint) -> DataFrame:
+    """What each issue of an active sprint did between a day and the one before."""
+    pairs, at = compared(day, day_sprint), [*SPRINT, "d", "key"]
+    rows = members(day_issue, day_member, active_sprints(day, day_sprint)).select(*at, "points", "category")
+    before = rows.select(*SPRINT, (F.col("d") + 1).alias("d"), "key", F.col("points").alias("was"), F.col("category").alias("was_cat"), F.lit(True).alias("had"))
+    both = before.join(rows.withColumn("has", F.lit(True)), at, "full").join(pairs, [*SPRINT, "d"], "left_semi")
+    kind = (
+        F.when(F.col("had").isNull(), "added").when(F.col("has").isNull(), "removed")
+        .when(~F.col("was").eqNullSafe(F.col("points")), "reestimated").otherwise("same")
+    )
+    resolved = F.coalesce((F.col("was_cat") != "Done") & (F.col("category") == "Done"), F.lit(False))
+    return both.select(*at, kind.alias("kind"), points("was").alias("was"), points().alias("now"), resolved.alias("resolved"))
+
+
+def sprint_delta(day, day_issue, day_member, day_sprint) -> DataFrame:
+    """Scope added, removed and re-estimated in each active sprint from day to day; pairs of
+    days without a change are there with zeros."""
+    k = F.col("kind")
+    sums = {
+        "added_points": F.when(k == "added", F.col("now")), "removed_points": F.when(k == "removed", F.col("was")),
+        "reestimated_points": F.when(k == "reestimated", F.col("now") - F.col("was")),
+    }
+    kinds = ("added", "removed", "reestimated")
+    changes = sprint_changes(day, day_issue, day_member, day_sprint)
+    found = changes.groupBy(*SPRINT, "d").agg(*(count_if(k == x).alias(x) for x in kinds), count_if(F.col("resolved")).alias("resolved"), *(total(v).alias(n) for n, v in sums.items()))
+    rows = compared(day, day_sprint).join(found, [*SPRINT, "d"], "left").fillna(0)
+    return rows.withColumn("net_points", F.col("added_points") - F.col("removed_points") + F.col("reestimated_points"))
+
+
+def opening_points(day_issue, day_member, day_sprint, sprints: DataFrame) -> DataFrame:
+    """Points of each sprint on the first day on which it was there."""
+    first = day_sprint.join(sprints.select(*SPRINT), SPRINT, "left_semi").groupBy(*SPRINT).agg(F.min("d").alias("d"))
+    held = members(day_issue, day_member, sprints).join(first, [*SPRINT, "d"], "left_semi").groupBy(*SPRINT).agg(total(points()).alias("opening"))
+    return first.join(held, SPRINT, "left").select(*SPRINT, F.coalesce("opening", F.lit(0)).alias("opening"))
+
+
+def churn_summary(day, day_issue, day_member, day_sprint) -> DataFrame:
+    """Sums over all pairs of days of each active sprint, the rate over the opening points,
+    and how many late additions stayed: those that no day removed."""
+    delta, changes = (f(day, day_issue, day_member, day_sprint) for f in (sprint_delta, sprint_changes))
+    sums = ("added_points", "removed_points", "reestimated_points", "net_points")
+    counts = (F.sum("added").alias("added_issues"), F.sum("removed").alias("removed_issues"))
+    s = delta.groupBy(*SPRINT).agg(F.count("*").alias("observations"), *(F.sum(x).alias(x) for x in sums), *counts)
+    added, removed = (changes.where(F.col("kind") == x).select(*SPRINT, "key").distinct() for x in ("added", "removed"))
+    late = added.join(removed, [*SPRINT, "key"], "left_anti").groupBy(*SPRINT).agg(F.count("*").alias("late_additions"))
+    opening = opening_points(day_issue, day_member, day_sprint, active_sprints(day, day_sprint))
+    churn = F.col("added_points") + F.col("removed_points") + F.abs("reestimated_points")
+    j = s.join(opening, SPRINT).join(late, SPRINT, "left").fillna(0, ["late_additions"])
+    return j.withColumn("churn_rate", F.round(F.when(F.col("opening") > 0, churn / F.col("opening")), 6))
 
-def cycle_times(day_issue: DataFrame) -> DataFrame:
-    """From the first day seen in progress to the resolution, of the issues of a team's
-    last day; censored if that first day is the first of the series."""
-    rows = _spanned(day_issue)
+
+def burndown(day, day_issue, day_member, day_sprint) -> DataFrame:
+    """Committed, done and remaining work of each active sprint on each day on which it was
+    there or had issues, and what an even pace would leave (null without usable dates)."""
+    active = active_sprints(day, day_sprint)
+    there = day_sprint.join(active.select(*SPRINT), SPRINT, "left_semi").select(*SPRINT, "d")
+    rows = members(day_issue, day_member, active)
+    g = rows.groupBy(*SPRINT, "d").agg(total(points()).alias("committed"), total(F.when(done(), points())).alias("done"), F.count("*").alias("issues"), count_if(~done()).alias("open_issues"))
+    g = there.union(rows.select(*SPRINT, "d")).distinct().join(g, [*SPRINT, "d"], "left").fillna(0)
+    g = g.join(active, SPRINT).join(day.select("team", "d", "seen"), ["team", "d"])
+    gone = F.greatest(F.lit(0.0), F.least(F.lit(1.0), days_between("start_ts", "seen") / days_between("start_ts", "end_ts")))
+    ideal = F.when(F.col("end_ts") > F.col("start_ts"), F.col("committed") * (1 - gone))
+    return g.select(*SPRINT, "d", "committed", "done", (F.col("committed") - F.col("done")).alias("remaining"), "issues", "open_issues", F.round(ideal, 6).alias("ideal"))
+
+
+def cycle_times(day, day_issue) -> DataFrame:
+    """From the start of the first day seen in progress to the resolution, of the issues of
+    a team's last day; censored if that first day is the first of the series."""
+    rows = day_issue.join(spans(day), "team").join(day.select("team", "d", "date"), ["team", "d"])
+    last = F.col("d") == F.col("hi")
     g = rows.groupBy("team", "key").agg(
-        F.min(F.when(F.col("category") == "In Progress", F.struct("d", "seen"))).alias("first"), F.first("lo").alias("lo"),
-        F.max(F.when(F.col("d") == F.col("hi"), F.col("resolved"))).alias("resolved"), F.max(F.when(F.col("d") == F.col("hi"), F.col("created"))).alias("created"),
+        F.min(F.when(F.col("category") == "In Progress", F.struct("d", "date"))).alias("first"), F.first("lo").alias("lo"),
+        F.max(F.when(last, F.col("resolved"))).alias("resolved"), F.max(F.when(last, F.col("created"))).alias("created"),
     )
-    days = days_between("first.seen", "resolved")
-    out = g.select("team", "key", F.round(days, 6).alias("cycle_days"), F.round(days_between("created", "resolved"), 6).alias("lead_days"), (F.col("first.d") == F.col("lo")).alias("censored"), "resolved")
+    cycle = days_between(F.col("first.date").cast("timestamp_ntz"), "resolved")
+    lead = F.round(days_between("created", "resolved"), 6).alias("lead_days")
+    out = g.select("team", "key", F.round(cycle, 6).alias("cycle_days"), lead, (F.col("first.d") == F.col("lo")).alias("censored"), "resolved")
     return out.where("cycle_days >= 0")
 
 
 def cycle_summary(cycles: DataFrame) -> DataFrame:
     seen = lambda c: F.when(~F.col("censored"), F.col(c))
     wait = F.when(F.col("lead_days") >= F.col("cycle_days"), F.col("lead_days") - F.col("cycle_days"))
-    return cycles.groupBy("team").agg(exact(seen("cycle_days"), 0.5).alias("p50"), exact(seen("cycle_days"), 0.9).alias("p90"), F.count(seen("cycle_days")).alias("basis"), count_if(F.col("censored")).alias("censored"), exact(F.when(~F.col("censored"), wait), 0.5).alias("median_wait"))
-
-
-def column_dwell(day_issue: DataFrame) -> DataFrame:
-    """How long each issue that is open on its team's last day has been in its column
-    (category): the run of days that ends there; a day without the issue breaks it."""
-    rows = _spanned(day_issue)
-    last = rows.where("d = hi and category != 'Done'").select("team", "key", F.col("category").alias("col"), F.col("seen").alias("now"))
-    same = rows.join(last, ["team", "key"]).where("category = col")
-    back = F.row_number().over(W.partitionBy("team", "key").orderBy(F.desc("d"))) - 1
-    run = same.withColumn("back", back).where("back = hi - d")
-    g = run.groupBy("team", "key", "col").agg(F.min("seen").alias("since"), F.max("now").alias("now"), ((F.min("d") == F.first("lo")) & (F.first("hi") > F.first("lo"))).alias("censored"))
-    return g.select("team", "key", "col", F.round(days_between("since", "now"), 6).alias("dwell_days"), "censored")
-
-
-def column_dwell_summary(dwell: DataFrame) -> DataFrame:
-    v = F.when(~F.col("censored"), F.col("dwell_days"))
-    return dwell.groupBy("team", "col").agg(F.count("*").alias("n"), exact(v, 0.5).alias("p50"), exact(v, 0.9).alias("p90"), F.count(v).alias("basis"), count_if(F.col("censored")).alias("censored")).withColumn("reportable", F.col("p50").isNotNull() & (F.col("basis") >= 3))
-
-
-def cumulative_flow(day_issue: DataFrame, axis: tuple[str, ...] = ("To Do", "In Progress", "Done")) -> DataFrame:
-    """Issues by day and column, columns of the axis without issues included."""
-    days = day_issue.select("team", "d").distinct().withColumn("col", F.explode(F.array(*map(F.lit, axis))))
-    n = day_issue.groupBy("team", "d", F.col("category").alias("col")).agg(F.count("*").alias("n"))
-    return days.join(n, ["team", "d", "col"], "left").fillna(0, ["n"])
+    p = [exact(seen("cycle_days"), 0.5).alias("p50"), exact(seen("cycle_days"), 0.9).alias("p90"), F.count(seen("cycle_days")).alias("basis")]
+    return cycles.groupBy("team").agg(*p, count_if(F.col("censored")).alias("censored"), exact(F.when(~F.col("censored"), wait), 0.5).alias("median_wait"))
 
 
 def recent_cycles(cycles: DataFrame, n: int = 300) -> DataFrame:
@@ -116,13 +154,84 @@ def recent_cycles(cycles: DataFrame, n: int = 300) -> DataFrame:
     return kept.join(left_out, "team").select("team", "rank", "key", F.round("cycle_days", 2).alias("cycle_days"), "censored", "omitted")
 
 
-def flow_growth(flow: DataFrame, axis: tuple[str, ...] = ("To Do", "In Progress", "Done")) -> DataFrame:
-    """The column before the last that grew most from a team's first day to its last, and
-    how much the scope grew."""
-    span = flow.groupBy("team").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    ends = flow.join(span, "team")
+def placed(day_issue: DataFrame, day_column: DataFrame) -> DataFrame:
+    """Issues with their column as of each day: the first that claims their status, the
+    status itself on a board without columns, else off the board."""
+    claimed = day_column.groupBy("team", "d", "status_id").agg(F.min_by("col", "col_pos").alias("claimed"))
+    has = day_column.select("team", "d").distinct().withColumn("has", F.lit(True))
+    rows = day_issue.join(claimed, ["team", "d", "status_id"], "left").join(has, ["team", "d"], "left")
+    return rows.withColumn("col", F.when(F.col("has").isNull(), F.col("status_id")).otherwise(F.coalesce("claimed", F.lit(OFF_BOARD))))
+
+
+def column_dwell(day, day_issue, day_member, day_sprint, day_column) -> DataFrame:
+    """How long each open issue of an active sprint has been in its column: since the start
+    of the first day of the run of days that ends on the last one. A day without the issue
+    ends the run; one that reaches the first day of several is censored."""
+    inside = members(day_issue, day_member, active_sprints(day, day_sprint)).join(spans(day), "team").where(F.col("d") == F.col("hi")).where(~done())
+    keys = inside.select("team", "key").distinct()
+    rows = placed(day_issue.join(keys, ["team", "key"], "left_semi"), day_column).join(day, ["team", "d"]).join(spans(day), "team")
+    now = rows.where("d = hi").select("team", "key", F.col("col").alias("now_col"), F.col("seen").alias("now"))
+    same = rows.join(now, ["team", "key"]).where("col = now_col")
+    back = F.row_number().over(W.partitionBy("team", "key").orderBy(F.desc("d"))) - 1
+    run = same.withColumn("back", back).where("back = hi - d")
+    censored = (F.min("d") == F.first("lo")) & (F.first("hi") > F.first("lo"))
+    g = run.groupBy("team", "key", "col").agg(F.min("date").alias("since"), F.max("now").alias("now"), censored.alias("censored"))
+    return g.select("team", "key", "col", F.round(days_between(F.col("since").cast("timestamp_ntz"), "now"), 6).alias("dwell_days"), "censored")
+
+
+def column_dwell_summary(dwell: DataFrame) -> DataFrame:
+    """Ageing of each column, with its oldest issues, the longest there first."""
+    v = F.when(~F.col("censored"), F.col("dwell_days"))
+    g = dwell.groupBy("team", "col").agg(F.count("*").alias("n"), exact(v, 0.5).alias("p50"), exact(v, 0.9).alias("p90"), F.count(v).alias("basis"), count_if(F.col("censored")).alias("censored"))
+    rank = F.row_number().over(W.partitionBy("team", "col").orderBy(F.desc("dwell_days"), "key"))
+    first = dwell.withColumn("r", rank).where(F.col("r") <= OLDEST).groupBy("team", "col")
+    oldest = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]), ",").alias("oldest"))
+    return g.join(oldest, ["team", "col"]).withColumn("reportable", F.col("p50").isNotNull() & (F.col("basis") >= LEAST_BASIS))
+
+
+def cumulative_flow(day, day_issue, day_member, day_sprint, day_column) -> DataFrame:
+    """Issues of each team's primary sprint by day and column, on the axis of the last day's
+    columns, empty ones included. What has no place there is off the board, a band that is
+    left out where it stays empty. Teams without columns have no flow."""
+    primary = primary_sprints(day, day_issue, day_member, day_sprint)
+    rows = members(day_issue, day_member, primary)
+    axis = day_column.join(spans(day), "team").where("d = hi").groupBy("team", "col").agg(F.min("col_pos").alias("col_pos"))
+    there = day_sprint.join(primary.select(*SPRINT), SPRINT, "left_semi").select(*SPRINT, "d").union(rows.select(*SPRINT, "d")).distinct()
+    bands = axis.union(axis.select("team", F.lit(OFF_BOARD), F.lit(2**31 - 1)).distinct())
+    on_axis = placed(rows, day_column).join(axis.select("team", "col", F.lit(True).alias("known")), ["team", "col"], "left")
+    at = F.when(F.col("known"), F.col("col")).otherwise(F.lit(OFF_BOARD)).alias("col")
+    n = on_axis.groupBy(*SPRINT, "d", at).agg(F.count("*").alias("n"))
+    grid = there.join(bands, "team").join(n, [*SPRINT, "d", "col"], "left").fillna(0, ["n"])
+    used = n.select("team", "col").distinct().withColumn("used", F.lit(True))
+    kept = grid.join(used, ["team", "col"], "left").where((F.col("col") != OFF_BOARD) | F.col("used"))
+    place = F.dense_rank().over(W.partitionBy("team").orderBy("col_pos"))
+    return kept.withColumn("place", place).select(*SPRINT, "d", "place", "col", "n")
+
+
+def flow_growth(flow: DataFrame) -> DataFrame:
+    """The column before the last of the board that grew most from the first day of a flow
+    to its last, and how much the scope grew."""
+    board = flow.where(F.col("col") != OFF_BOARD).groupBy("team").agg(F.max("place").alias("end"))
+    ends = flow.join(flow.groupBy("team").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "team")
     change = F.when(F.col("d") == F.col("hi"), F.col("n")).otherwise(0) - F.when(F.col("d") == F.col("lo"), F.col("n")).otherwise(0)
-    g = ends.groupBy("team", "col").agg(F.sum(change).alias("grew"))
-    place = F.array_position(F.lit(list(axis)), F.col("col"))
-    most = F.max(F.when(F.col("col") != axis[-1], F.struct("grew", (-place).alias("p"), "col")))
+    g = ends.groupBy("team", "col", "place").agg(F.sum(change).alias("grew")).join(board, "team")
+    most = F.max(F.when(F.col("place") < F.col("end"), F.struct("grew", (-F.col("place")).alias("p"), "col")))
     return g.groupBy("team").agg(most.alias("m"), F.sum("grew").alias("scope")).select("team", F.col("m.col").alias("col"), F.col("m.grew").alias("grew"), "scope")
+
+
+def team_history(day, day_issue, day_member, day_sprint, day_column, slowest: int = 10) -> DataFrame:
+    """A row for each team: the days it was seen, the hours between its first and last
+    capture, its primary sprint with churn and flow, and its cycle times."""
+    ends = day.groupBy("team").agg(F.count("*").alias("days"), F.min(F.struct("d", "date", "seen")).alias("a"), F.max(F.struct("d", "date", "seen")).alias("b"))
+    hours = F.when(F.col("days") > 1, js_round(hours_between("a.seen", "b.seen"), 1))
+    rows = ends.select("team", "days", F.col("a.date").alias("observed_from"), F.col("b.date").alias("observed_to"), hours.alias("observed_hours"))
+    primary = primary_sprints(day, day_issue, day_member, day_sprint).select(*SPRINT)
+    churn = churn_summary(day, day_issue, day_member, day_sprint).join(primary, SPRINT, "left_semi")
+    flow = cumulative_flow(day, day_issue, day_member, day_sprint, day_column).groupBy("team").agg((F.min("d") == 0).alias("flow_censored"))
+    cycles = cycle_times(day, day_issue)
+    rank = F.row_number().over(W.partitionBy("team").orderBy(F.desc("cycle_days"), "key"))
+    worst = cycles.where(~F.col("censored")).withColumn("r", rank).where(F.col("r") <= slowest).groupBy("team")
+    worst = worst.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]), ",").alias("slowest"))
+    summary = cycle_summary(cycles).select("team", F.col("p50").alias("cycle_p50"), F.col("basis").alias("cycle_basis"))
+    out = rows.join(primary, "team", "left").join(churn.select(*SPRINT, "observations", "churn_rate", "net_points", "late_additions"), SPRINT, "left")
+    return out.join(flow, "team", "left").join(summary, "team", "left").join(worst, "team", "left")

@@ -12,7 +12,7 @@ from ..operators import people as pp
 from ..operators import review as rv
 from ..operators import rules
 from ..operators import series as sr
-from .queries import ACTIVE, AS_OF, CYCLES, EVENTS, MEMBERS, _board, _review, days, query
+from .queries import ACTIVE, AS_OF, CYCLES, EVENTS, FLOW, MEMBERS, _board, _review, days, query
 from .testdata import SERIES
 
 #: A reader a few days on, when the active sprints have ended; the alert runs of two days.
@@ -238,11 +238,11 @@ def changelog_scope(c):
 
 @query(f"{CYCLES}, cr AS (SELECT cy.*, i.resolved FROM cy JOIN lim ON lim.team = cy.team JOIN day_issue i ON i.team = cy.team AND i.key = cy.key AND i.d = lim.hi) SELECT team, row_number() OVER (PARTITION BY team ORDER BY resolved DESC, cycle_days DESC, key) AS rank, key, round(cycle_days, 2) cycle_days, censored, greatest(count(*) OVER (PARTITION BY team) - 300, 0) omitted FROM cr QUALIFY rank <= 300", SERIES)
 def recent_cycles(c):
-    return sr.recent_cycles(sr.cycle_times(c.day_issue))
+    return sr.recent_cycles(sr.cycle_times(c.day, c.day_issue))
 
 
-@query("""lim AS (SELECT team, min(d) lo, max(d) hi FROM day_issue GROUP BY team), ct AS (SELECT i.team, i.category col, count(*) FILTER (WHERE d = hi) - count(*) FILTER (WHERE d = lo) grew FROM day_issue i JOIN lim USING (team) GROUP BY 1, 2),
-ax AS (SELECT team, col, p, coalesce(grew, 0) grew FROM lim CROSS JOIN (VALUES (1, 'To Do'), (2, 'In Progress'), (3, 'Done')) v(p, col) LEFT JOIN ct USING (team, col)), sm AS (SELECT team, cast(sum(grew) AS bigint) AS scope FROM ax GROUP BY team)
-SELECT team, col, grew, scope FROM ax JOIN sm USING (team) WHERE p < 3 QUALIFY row_number() OVER (PARTITION BY team ORDER BY grew DESC, p) = 1""", SERIES)
+@query(f"""{FLOW}, fe AS (SELECT team, min(d) lo, max(d) hi FROM fl GROUP BY team), en AS (SELECT team, max(place) e FROM fl WHERE col <> '(not on the board)' GROUP BY team),
+gr AS (SELECT fl.team, col, place, e, cast(coalesce(sum(n) FILTER (WHERE d = hi), 0) - coalesce(sum(n) FILTER (WHERE d = lo), 0) AS bigint) grew FROM fl JOIN fe USING (team) JOIN en ON en.team = fl.team GROUP BY 1, 2, 3, 4),
+sc AS (SELECT team, cast(sum(grew) AS bigint) AS scope FROM gr GROUP BY team) SELECT gr.team, col, grew, scope FROM gr JOIN sc ON sc.team = gr.team WHERE place < e QUALIFY row_number() OVER (PARTITION BY gr.team ORDER BY grew DESC, place) = 1""", SERIES)
 def flow_growth(c):
-    return sr.flow_growth(sr.cumulative_flow(c.day_issue))
+    return sr.flow_growth(sr.cumulative_flow(*c.series, c.day_column))

@@ -13,7 +13,7 @@ from ..operators import delivery as dl
 from ..operators import review as rv
 from ..operators import series as sr
 from ..operators import taxonomy as tx
-from .testdata import BOARD, SERIES, SERIES_END, SERIES_SPRINT, SERIES_START, Contract, check_sql
+from .testdata import BOARD, SERIES, Contract, check_sql
 
 _QUERIES: dict[str, Callable[[Contract], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -252,66 +252,117 @@ def interventions_ranked(c):
     return tx.round_robin(tx.attention_items(*_board(c), c.as_of), 30)
 
 
-SPRINT_ROWS = f"r AS (SELECT i.team, i.d, i.seen, i.key, i.category, cast(i.points AS bigint) points FROM day_issue i JOIN day_member m ON m.team = i.team AND m.d = i.d AND m.key = i.key WHERE m.sprint_id = {SERIES_SPRINT})"
-CHANGES = f"""{SPRINT_ROWS}, lim AS (SELECT min(d) lo, max(d) hi FROM r), ch AS (SELECT coalesce(a.team, b.team) team, coalesce(a.d + 1, b.d) d, coalesce(a.key, b.key) key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.points IS DISTINCT FROM b.points THEN 'reestimated' ELSE 'same' END kind,
- coalesce(a.points, 0) was, coalesce(b.points, 0) now_, coalesce(a.category <> 'Done' AND b.category = 'Done', false) resolved FROM (SELECT r.* FROM r, lim WHERE d < hi) a FULL JOIN (SELECT r.* FROM r, lim WHERE d > lo) b ON a.team = b.team AND a.key = b.key AND a.d + 1 = b.d),
-dt AS (SELECT team, d, count(*) FILTER (WHERE kind = 'added') added, count(*) FILTER (WHERE kind = 'removed') removed, count(*) FILTER (WHERE kind = 'reestimated') reestimated, count(*) FILTER (WHERE resolved) resolved, cast(coalesce(sum(now_) FILTER (WHERE kind = 'added'), 0) AS bigint) added_points,
- cast(coalesce(sum(was) FILTER (WHERE kind = 'removed'), 0) AS bigint) removed_points, cast(coalesce(sum(now_ - was) FILTER (WHERE kind = 'reestimated'), 0) AS bigint) reestimated_points FROM ch GROUP BY 1, 2)"""
-
-
-def _sprint_rows(c):
-    return sr.members(c.day_issue, c.day_member, SERIES_SPRINT)
+#: Each team's days, and the sprints that are active on its last one.
+ACTIVE_LAST = """ends AS (SELECT team, max(d) hi, min(d) lo FROM day GROUP BY team),
+act AS (SELECT s.team, s.sprint_id, s.start_ts, s.end_ts FROM day_sprint s, ends e WHERE s.team = e.team AND s.d = e.hi AND s.state = 'active'),
+r AS (SELECT i.*, m.sprint_id FROM day_issue i, day_member m, act WHERE m.team = i.team AND m.d = i.d AND m.key = i.key AND act.team = m.team AND act.sprint_id = m.sprint_id)"""
+#: Pairs of days of which the earlier one knows the sprint, and what each issue did.
+CHANGES = f"""{ACTIVE_LAST},
+pair AS (SELECT a.team, a.sprint_id, x.d AS f, y.d AS t FROM act a, day x, day y WHERE x.team = a.team AND y.team = a.team
+  AND y.d = (SELECT min(z.d) FROM day z WHERE z.team = a.team AND z.d > x.d) AND EXISTS (SELECT 1 FROM day_sprint s WHERE s.team = a.team AND s.sprint_id = a.sprint_id AND s.d = x.d)),
+both_ AS (SELECT DISTINCT p.*, r.key FROM pair p, r WHERE r.team = p.team AND r.sprint_id = p.sprint_id AND r.d IN (p.f, p.t)),
+ch AS (SELECT b.team, b.sprint_id, b.t AS d, b.key, x.key IS NULL AS added, y.key IS NULL AS removed, x.points p0, y.points p1, x.category c0, y.category c1
+  FROM both_ b LEFT JOIN r x ON x.team = b.team AND x.sprint_id = b.sprint_id AND x.key = b.key AND x.d = b.f
+  LEFT JOIN r y ON y.team = b.team AND y.sprint_id = b.sprint_id AND y.key = b.key AND y.d = b.t),
+dt AS (SELECT p.team, p.sprint_id, p.t AS d, count(*) FILTER (WHERE added) added, count(*) FILTER (WHERE removed) removed,
+  count(*) FILTER (WHERE NOT added AND NOT removed AND p0 IS DISTINCT FROM p1) reestimated, count(*) FILTER (WHERE c0 <> 'Done' AND c1 = 'Done') resolved,
+  cast(coalesce(sum(p1) FILTER (WHERE added), 0) AS bigint) added_points, cast(coalesce(sum(p0) FILTER (WHERE removed), 0) AS bigint) removed_points,
+  cast(coalesce(sum(coalesce(p1, 0) - coalesce(p0, 0)) FILTER (WHERE NOT added AND NOT removed), 0) AS bigint) reestimated_points
+  FROM pair p LEFT JOIN ch ON ch.team = p.team AND ch.sprint_id = p.sprint_id AND ch.d = p.t GROUP BY 1, 2, 3)"""
+CHURN = f"""{CHANGES},
+kept AS (SELECT team, sprint_id, count(DISTINCT key) n FROM ch c WHERE added AND NOT EXISTS (SELECT 1 FROM ch x WHERE x.team = c.team AND x.sprint_id = c.sprint_id AND x.key = c.key AND x.removed) GROUP BY 1, 2),
+op AS (SELECT a.team, a.sprint_id, cast(coalesce(sum(r.points), 0) AS bigint) opening FROM act a LEFT JOIN r ON r.team = a.team AND r.sprint_id = a.sprint_id
+  AND r.d = (SELECT min(s.d) FROM day_sprint s WHERE s.team = a.team AND s.sprint_id = a.sprint_id) GROUP BY 1, 2),
+cs AS (SELECT team, sprint_id, count(*) observations, cast(sum(added_points) AS bigint) added_points, cast(sum(removed_points) AS bigint) removed_points, cast(sum(reestimated_points) AS bigint) reestimated_points,
+  cast(sum(added_points - removed_points + reestimated_points) AS bigint) net_points, cast(sum(added) AS bigint) added_issues, cast(sum(removed) AS bigint) removed_issues FROM dt GROUP BY 1, 2),
+churn AS (SELECT cs.*, op.opening, coalesce(kept.n, 0) late_additions, CASE WHEN op.opening > 0 THEN round((added_points + removed_points + abs(reestimated_points)) / op.opening, 6) END churn_rate
+  FROM cs JOIN op USING (team, sprint_id) LEFT JOIN kept USING (team, sprint_id))"""
+#: Of a team's active sprints the one with most points on the last day.
+PRIMARY = "pri AS (SELECT a.team, a.sprint_id FROM act a JOIN ends e USING (team) LEFT JOIN r ON r.team = a.team AND r.sprint_id = a.sprint_id AND r.d = e.hi GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.team ORDER BY coalesce(sum(r.points), 0) DESC, a.sprint_id) = 1)"
 
 
 @query(f"{CHANGES} SELECT *, added_points - removed_points + reestimated_points net_points FROM dt", SERIES)
 def sprint_delta(c):
-    return sr.sprint_delta(_sprint_rows(c))
+    return sr.sprint_delta(*c.series)
 
 
-@query(f"""{CHANGES}, s AS (SELECT team, count(*) observations, cast(sum(added_points) AS bigint) added_points, cast(sum(removed_points) AS bigint) removed_points, cast(sum(reestimated_points) AS bigint) reestimated_points, cast(sum(added_points - removed_points + reestimated_points) AS bigint) net_points FROM dt GROUP BY team),
-op AS (SELECT team, arg_min(p, d) opening FROM (SELECT team, d, cast(coalesce(sum(points), 0) AS bigint) p FROM r GROUP BY 1, 2) GROUP BY team), la AS (SELECT team, count(DISTINCT key) n FROM ch c WHERE kind = 'added' AND NOT EXISTS (SELECT 1 FROM ch x WHERE x.team = c.team AND x.key = c.key AND x.kind = 'removed') GROUP BY team)
-SELECT s.*, opening, coalesce(la.n, 0) late_additions, CASE WHEN opening > 0 THEN round((added_points + removed_points + abs(reestimated_points)) / opening, 6) END churn_rate FROM s JOIN op USING (team) LEFT JOIN la USING (team)""", SERIES)
+@query(f"{CHURN} SELECT * FROM churn", SERIES)
 def churn_summary(c):
-    return sr.churn_summary(_sprint_rows(c))
+    return sr.churn_summary(*c.series)
+
 
+SPENT = f"({days('a.start_ts', 'x.seen')} / {days('a.start_ts', 'a.end_ts')})"
 
-@query(f"{SPRINT_ROWS} SELECT team, d, committed, dn AS done, committed - dn AS remaining, open_issues, round(committed * (1 - greatest(0, least(1, {days(f'timestamp {chr(39)}{SERIES_START}{chr(39)}', 'seen')} / {days(f'timestamp {chr(39)}{SERIES_START}{chr(39)}', f'timestamp {chr(39)}{SERIES_END}{chr(39)}')}))), 6) ideal FROM (SELECT team, d, seen, cast(coalesce(sum(points), 0) AS bigint) committed, cast(coalesce(sum(points) FILTER (WHERE category = 'Done'), 0) AS bigint) dn, count(*) FILTER (WHERE category <> 'Done') open_issues FROM r GROUP BY 1, 2, 3)", SERIES)
+
+@query(f"""{ACTIVE_LAST}, b AS (SELECT a.team, a.sprint_id, x.d, count(r.key) issues, count(r.key) FILTER (WHERE r.category <> 'Done') open_issues, cast(coalesce(sum(r.points), 0) AS bigint) committed,
+  cast(coalesce(sum(r.points) FILTER (WHERE r.category = 'Done'), 0) AS bigint) dn, any_value(CASE WHEN a.end_ts > a.start_ts THEN greatest(0, least(1, {SPENT})) END) spent,
+  count(s.d) > 0 there FROM act a JOIN day x ON x.team = a.team LEFT JOIN (SELECT DISTINCT team, sprint_id, d FROM day_sprint) s ON s.team = a.team AND s.sprint_id = a.sprint_id AND s.d = x.d
+  LEFT JOIN r ON r.team = a.team AND r.sprint_id = a.sprint_id AND r.d = x.d GROUP BY 1, 2, 3)
+SELECT team, sprint_id, d, committed, dn AS done, committed - dn AS remaining, issues, open_issues, round(committed * (1 - spent), 6) ideal FROM b WHERE there OR issues > 0""", SERIES)
 def burndown(c):
-    return sr.burndown(_sprint_rows(c), SERIES_START, SERIES_END)
+    return sr.burndown(*c.series)
 
 
-CYCLES = f"""lim AS (SELECT team, min(d) lo, max(d) hi FROM day_issue GROUP BY team), st AS (SELECT team, key, min(d) d0, min(seen) seen0 FROM day_issue WHERE category = 'In Progress' GROUP BY 1, 2),
-cy AS (SELECT i.team, i.key, round({days('seen0', 'i.resolved')}, 6) cycle_days, round({days('i.created', 'i.resolved')}, 6) lead_days, d0 = lo censored FROM day_issue i JOIN lim ON lim.team = i.team AND i.d = lim.hi JOIN st ON st.team = i.team AND st.key = i.key WHERE i.resolved >= seen0)"""
+CYCLES = f"""lim AS (SELECT team, min(d) lo, max(d) hi FROM day GROUP BY team), st AS (SELECT i.team, i.key, min(i.d) d0, min(day.date) seen0 FROM day_issue i JOIN day USING (team, d) WHERE category = 'In Progress' GROUP BY 1, 2),
+cy AS (SELECT i.team, i.key, round({days('cast(seen0 AS timestamp)', 'i.resolved')}, 6) cycle_days, round({days('i.created', 'i.resolved')}, 6) lead_days, d0 = lo censored FROM day_issue i JOIN lim ON lim.team = i.team AND i.d = lim.hi JOIN st ON st.team = i.team AND st.key = i.key WHERE i.resolved >= seen0)"""
 
 
 @query(f"{CYCLES} SELECT * FROM cy", SERIES)
 def cycle_times(c):
-    return sr.cycle_times(c.day_issue).drop("resolved")
+    return sr.cycle_times(c.day, c.day_issue).drop("resolved")
+
+
+CYCLE_FIGURES = """round(quantile_cont(cycle_days, 0.5) FILTER (WHERE NOT censored), 6) p50, round(quantile_cont(cycle_days, 0.9) FILTER (WHERE NOT censored), 6) p90, count(*) FILTER (WHERE NOT censored) basis, count(*) FILTER (WHERE censored) censored,
+ round(quantile_cont(lead_days - cycle_days, 0.5) FILTER (WHERE NOT censored AND lead_days >= cycle_days), 6) median_wait"""
 
 
-@query(f"{CYCLES} SELECT team, round(quantile_cont(cycle_days, 0.5) FILTER (WHERE NOT censored), 6) p50, round(quantile_cont(cycle_days, 0.9) FILTER (WHERE NOT censored), 6) p90, count(*) FILTER (WHERE NOT censored) basis, count(*) FILTER (WHERE censored) censored, round(quantile_cont(lead_days - cycle_days, 0.5) FILTER (WHERE NOT censored AND lead_days >= cycle_days), 6) median_wait FROM cy GROUP BY team", SERIES)
+@query(f"{CYCLES} SELECT team, {CYCLE_FIGURES} FROM cy GROUP BY team", SERIES)
 def cycle_summary(c):
-    return sr.cycle_summary(sr.cycle_times(c.day_issue))
+    return sr.cycle_summary(sr.cycle_times(c.day, c.day_issue))
 
 
-DWELL = f"""lim AS (SELECT team, min(d) lo, max(d) hi FROM day_issue GROUP BY team), lst AS (SELECT i.team, i.key, i.category col, i.seen now_, lo, hi FROM day_issue i JOIN lim ON lim.team = i.team AND i.d = hi WHERE category <> 'Done'),
-brk AS (SELECT l.team, l.key, max(g.d) b FROM lst l JOIN generate_series(-1, 5) g(d) ON g.d < l.hi AND NOT EXISTS (SELECT 1 FROM day_issue x WHERE x.team = l.team AND x.key = l.key AND x.d = g.d AND x.category = l.col) GROUP BY 1, 2),
-dw AS (SELECT l.team, l.key, l.col, round({days('x.seen', 'now_')}, 6) dwell_days, b + 1 = lo AND hi > lo AS censored FROM lst l JOIN brk ON brk.team = l.team AND brk.key = l.key JOIN day_issue x ON x.team = l.team AND x.key = l.key AND x.d = b + 1)"""
+#: Issues with their column of the day, and the run of days in the last day's column.
+COLUMNS = """cl AS (SELECT team, d, status_id, arg_min(col, col_pos) col FROM day_column GROUP BY 1, 2, 3), hc AS (SELECT DISTINCT team, d FROM day_column),
+pl AS (SELECT i.*, CASE WHEN hc.team IS NULL THEN i.status_id ELSE coalesce(cl.col, '(not on the board)') END col FROM day_issue i LEFT JOIN cl ON cl.team = i.team AND cl.d = i.d AND cl.status_id = i.status_id LEFT JOIN hc ON hc.team = i.team AND hc.d = i.d)"""
+DWELL = f"""{ACTIVE_LAST}, {COLUMNS}, lst AS (SELECT DISTINCT p.team, p.key, p.col, e.hi, e.lo FROM pl p JOIN ends e ON e.team = p.team AND p.d = e.hi JOIN r ON r.team = p.team AND r.key = p.key AND r.d = p.d WHERE p.category <> 'Done'),
+brk AS (SELECT l.team, l.key, max(g.d) b FROM lst l JOIN generate_series(-1, 5) g(d) ON g.d < l.hi AND NOT EXISTS (SELECT 1 FROM pl x WHERE x.team = l.team AND x.key = l.key AND x.d = g.d AND x.col = l.col) GROUP BY 1, 2),
+dw AS (SELECT l.team, l.key, l.col, round({days('cast(x.date AS timestamp)', 'z.seen')}, 6) dwell_days, b + 1 = lo AND hi > lo AS censored FROM lst l JOIN brk ON brk.team = l.team AND brk.key = l.key JOIN day x ON x.team = l.team AND x.d = b + 1 JOIN day z ON z.team = l.team AND z.d = l.hi)"""
 
 
 @query(f"{DWELL} SELECT * FROM dw", SERIES)
 def column_dwell(c):
-    return sr.column_dwell(c.day_issue)
+    return sr.column_dwell(*c.series, c.day_column)
 
 
-@query(f"{DWELL} SELECT team, col, count(*) n, round(quantile_cont(dwell_days, 0.5) FILTER (WHERE NOT censored), 6) p50, round(quantile_cont(dwell_days, 0.9) FILTER (WHERE NOT censored), 6) p90, count(*) FILTER (WHERE NOT censored) basis, count(*) FILTER (WHERE censored) censored, count(*) FILTER (WHERE NOT censored) >= 3 reportable FROM dw GROUP BY 1, 2", SERIES)
+@query(f"""{DWELL}, rk AS (SELECT *, row_number() OVER (PARTITION BY team, col ORDER BY dwell_days DESC, key) k FROM dw)
+SELECT team, col, count(*) n, round(quantile_cont(dwell_days, 0.5) FILTER (WHERE NOT censored), 6) p50, round(quantile_cont(dwell_days, 0.9) FILTER (WHERE NOT censored), 6) p90, count(*) FILTER (WHERE NOT censored) basis, count(*) FILTER (WHERE censored) censored,
+ count(*) FILTER (WHERE NOT censored) >= 3 reportable, string_agg(key, ',' ORDER BY k) FILTER (WHERE k <= 5) oldest FROM rk GROUP BY 1, 2""", SERIES)
 def column_dwell_summary(c):
-    return sr.column_dwell_summary(sr.column_dwell(c.day_issue))
+    return sr.column_dwell_summary(sr.column_dwell(*c.series, c.day_column))
 
 
-@query("ax AS (SELECT DISTINCT team, d, unnest(['To Do', 'In Progress', 'Done']) col FROM day_issue) SELECT ax.team, ax.d, ax.col, count(i.key) n FROM ax LEFT JOIN day_issue i ON i.team = ax.team AND i.d = ax.d AND i.category = ax.col GROUP BY 1, 2, 3", SERIES)
+FLOW = f"""{ACTIVE_LAST}, {COLUMNS}, {PRIMARY}, ax AS (SELECT c.team, c.col, min(col_pos) p FROM day_column c JOIN ends e ON e.team = c.team AND e.hi = c.d GROUP BY 1, 2),
+fr AS (SELECT p.team, p.sprint_id, l.d, coalesce(ax.col, '(not on the board)') col FROM pri p JOIN r USING (team, sprint_id) JOIN pl l ON l.team = r.team AND l.d = r.d AND l.key = r.key LEFT JOIN ax ON ax.team = l.team AND ax.col = l.col),
+bd AS (SELECT team, col, p FROM ax UNION ALL SELECT DISTINCT team, '(not on the board)', 99 FROM ax WHERE team IN (SELECT team FROM fr WHERE col = '(not on the board)')),
+dd AS (SELECT DISTINCT p.team, p.sprint_id, x.d FROM pri p JOIN day x ON x.team = p.team WHERE EXISTS (SELECT 1 FROM day_sprint s WHERE s.team = p.team AND s.sprint_id = p.sprint_id AND s.d = x.d) OR EXISTS (SELECT 1 FROM fr WHERE fr.team = p.team AND fr.d = x.d)),
+fl AS (SELECT dd.team, dd.sprint_id, dd.d, cast(dense_rank() OVER (PARTITION BY dd.team ORDER BY bd.p) AS int) place, bd.col, (SELECT count(*) FROM fr WHERE fr.team = dd.team AND fr.d = dd.d AND fr.col = bd.col) n FROM dd JOIN bd ON bd.team = dd.team)"""
+
+
+@query(f"{FLOW} SELECT * FROM fl", SERIES)
 def cumulative_flow(c):
-    return sr.cumulative_flow(c.day_issue)
+    return sr.cumulative_flow(*c.series, c.day_column)
+
+
+SLOWEST = "sl AS (SELECT team, string_agg(key, ',' ORDER BY k) slowest FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY cycle_days DESC, key) k FROM cy WHERE NOT censored) WHERE k <= 10 GROUP BY team)"
+
+
+@query(f"""{CHURN}, {PRIMARY}, {FLOW[len(ACTIVE_LAST) + 2:].replace(PRIMARY + ', ', '')}, {CYCLES}, {SLOWEST},
+su AS (SELECT team, {CYCLE_FIGURES} FROM cy GROUP BY team), fc AS (SELECT team, min(d) = 0 flow_censored FROM fl GROUP BY team),
+hd AS (SELECT team, count(*) AS days, min(date) observed_from, max(date) observed_to, CASE WHEN count(*) > 1 THEN floor((epoch_us(max(seen)) - epoch_us(min(seen))) / 3600e6 * 10 + 0.5) / 10 END observed_hours FROM day GROUP BY team)
+SELECT hd.*, pri.sprint_id, ch2.observations, ch2.churn_rate, ch2.net_points, ch2.late_additions, flow_censored, su.p50 cycle_p50, su.basis cycle_basis, slowest
+FROM hd LEFT JOIN pri USING (team) LEFT JOIN churn ch2 ON ch2.team = pri.team AND ch2.sprint_id = pri.sprint_id LEFT JOIN fc ON fc.team = hd.team LEFT JOIN su ON su.team = hd.team LEFT JOIN sl ON sl.team = hd.team""", SERIES)
+def team_history(c):
+    return sr.team_history(*c.series, c.day_column)
 
 
 EVENTS = """WITH ev AS (SELECT *, regexp_extract(props, '([0-9]+)', 1) k FROM events),

@@ -47,27 +47,57 @@ issue_label AS (SELECT DISTINCT b.team, b.key_ AS key, p.p_brand label FROM base
 board_column AS (
   SELECT team, col_pos, col, status_id FROM teams CROSS JOIN (VALUES (1, 'To Do', 'O-1'), (1, 'To Do', 'O-2'), (1, 'To Do', 'O-3'), (1, 'To Do', 'O-4'), (1, 'To Do', 'O-5'), (2, 'Dev', 'P-1'), (2, 'Dev', 'P-2'), (2, 'Dev', 'P-3'), (3, 'Review', 'P-4'), (4, 'Done', 'F-1'), (4, 'Done', 'F-2'), (4, 'Done', 'F-3'), (4, 'Done', 'F-4'), (4, 'Done', 'F-5')) v(col_pos, col, status_id)
   WHERE team <> 'MACHINERY')"""
+#: Parts of the series that check how days and sprints are paired: a team without the last
+#: day, one without a day between, one whose sprint is empty on the last day.
 SERIES = """
-days AS (SELECT * FROM (VALUES $DAYS) v(d, day)),
-dline AS (
-  SELECT d.d, cast(d.day AS $TS) seen, o.o_orderkey k, c.c_mktsegment team, o.o_orderdate created, l.l_shipdate ship
-  FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey CROSS JOIN days d
-  WHERE o.o_orderdate <= cast(d.day AS $TS)),
+every AS (SELECT DISTINCT c_mktsegment team FROM {customer}),
+day AS (
+  SELECT team, cast(row_number() OVER (PARTITION BY team ORDER BY noted) - 1 AS int) d, cast(noted AS date) date, cast(noted AS $TS) + INTERVAL '6' HOUR seen
+  FROM every CROSS JOIN (VALUES $DAYS) v(noted)
+  WHERE NOT (team = 'MACHINERY' AND noted = '$LAST_DAY') AND NOT (team = 'HOUSEHOLD' AND noted = '$GAP_DAY')),
+lines AS (SELECT l_orderkey k, min(l_shipdate) mn, max(l_shipdate) mx, $COUNTS FROM {lineitem} GROUP BY l_orderkey),
+made AS (
+  SELECT o.o_orderkey k, c.c_mktsegment team, o.o_orderdate created, li.mn, li.mx, $NAMES
+  FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN lines li ON li.k = o.o_orderkey),
+seen_issue AS (
+  SELECT m.team, day.d, m.k, m.created, CASE WHEN m.mx <= day.date THEN 'Done' WHEN m.mn <= day.date THEN 'In Progress' ELSE 'To Do' END category,
+    CASE WHEN m.mx <= day.date THEN m.mx END resolved, CASE WHEN m.k % 7 <> 0 THEN $PICK END points
+  FROM made m JOIN day ON day.team = m.team AND m.created <= day.date),
 day_issue AS (
-  SELECT team, d, seen, concat(upper(substring(team, 1, 3)), '-', cast(k AS $STR)) key, min(created) created,
-    CASE WHEN max(ship) <= seen THEN 'Done' WHEN min(ship) <= seen THEN 'In Progress' ELSE 'To Do' END category,
-    CASE WHEN max(ship) <= seen THEN max(ship) END resolved,
-    CASE WHEN k % 7 <> 0 THEN sum(CASE WHEN ship <= seen + INTERVAL '3' MONTH THEN 1 END) END points
-  FROM dline GROUP BY team, d, seen, k),
-day_member AS (SELECT DISTINCT team, d, concat(upper(substring(team, 1, 3)), '-', cast(k AS $STR)) key, cast(year(ship) * 10 + quarter(ship) AS bigint) sprint_id FROM dline WHERE ship > seen - INTERVAL '6' MONTH AND ship <= seen + INTERVAL '3' MONTH)"""
-#: The last day's active sprint of the series and its dates.
-SERIES_SPRINT, SERIES_START, SERIES_END = 20012, "2001-04-01", "2001-07-01"
+  SELECT team, d, concat(upper(substring(team, 1, 3)), '-', cast(k AS $STR)) key, category, created, resolved, points,
+    CASE WHEN k % 29 = 0 THEN 'X' WHEN category = 'Done' THEN 'F' WHEN category = 'To Do' THEN 'O' WHEN k % 2 = 0 THEN 'P1' ELSE 'P2' END status_id
+  FROM seen_issue),
+line_day AS (
+  SELECT DISTINCT day.team, day.d, day.date, o.o_orderkey k, l.l_shipdate ship
+  FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
+  JOIN day ON day.team = c.c_mktsegment AND o.o_orderdate <= day.date AND l.l_shipdate > day.date - INTERVAL '6' MONTH AND l.l_shipdate <= day.date + INTERVAL '3' MONTH
+  WHERE NOT (day.team = 'FURNITURE' AND day.date = cast('$LAST_DAY' AS date))),
+day_member AS (
+  SELECT DISTINCT team, d, concat(upper(substring(team, 1, 3)), '-', cast(k AS $STR)) key, cast(year(ship) * 10 + quarter(ship) AS bigint) sprint_id FROM line_day
+  UNION ALL SELECT DISTINCT team, d, concat(upper(substring(team, 1, 3)), '-', cast(k AS $STR)), cast(900000 + (year(ship) % 100) * 100 + month(ship) AS bigint) FROM line_day WHERE team = 'BUILDING'),
+months AS (SELECT DISTINCT date_trunc('month', l_shipdate) m FROM {lineitem}),
+known_sprint AS (
+  SELECT DISTINCT team, cast(year(m) * 10 + quarter(m) AS bigint) sprint_id, cast(date_trunc('quarter', m) AS $TS) start_ts, cast(date_trunc('quarter', m) AS $TS) + INTERVAL '3' MONTH end_ts FROM months CROSS JOIN every
+  UNION ALL SELECT 'BUILDING', cast(900000 + (year(m) % 100) * 100 + month(m) AS bigint), cast(m AS $TS), cast(m AS $TS) + INTERVAL '1' MONTH FROM months),
+day_sprint AS (
+  SELECT k.team, day.d, k.sprint_id, CASE WHEN k.end_ts <= day.seen THEN 'closed' WHEN k.start_ts <= day.seen THEN 'active' ELSE 'future' END state, k.start_ts, CASE WHEN k.team <> 'AUTOMOBILE' THEN k.end_ts END end_ts
+  FROM known_sprint k JOIN day ON day.team = k.team AND k.start_ts <= day.seen + INTERVAL '3' MONTH),
+day_column AS (
+  SELECT day.team, day.d, v.col_pos, CASE WHEN v.col = 'Review' AND day.d = 0 THEN 'Check' ELSE v.col END col, v.status_id
+  FROM day CROSS JOIN (VALUES (1, 'To Do', 'O'), (2, 'Dev', 'P1'), (3, 'Review', 'P2'), (4, 'Done', 'F')) v(col_pos, col, status_id) WHERE day.team <> 'MACHINERY')"""
 TABLES = ("lineitem", "orders", "customer", "nation", "supplier", "part")
 
 
 def projection(text: str, ts: str, string: str) -> str:
-    days = ", ".join(f"({i}, '{d}')" for i, d in enumerate(DAYS))
-    return text.replace("$TS", ts).replace("$STR", string).replace("$AS_OF", AS_OF).replace("$DAYS", days)
+    ends = [f"sum(CASE WHEN l_shipdate <= cast('{d}' AS date) + INTERVAL '3' MONTH THEN 1 END) n{i}" for i, d in enumerate(DAYS)]
+    parts = {
+        "$COUNTS": ", ".join(ends), "$NAMES": ", ".join(f"li.n{i}" for i in range(len(DAYS))), "$DAYS": ", ".join(f"('{d}')" for d in DAYS),
+        "$PICK": "CASE cast(day.date AS $STR) " + " ".join(f"WHEN '{d}' THEN m.n{i}" for i, d in enumerate(DAYS)) + " END",
+        "$LAST_DAY": DAYS[-1], "$GAP_DAY": DAYS[2], "$TS": ts, "$STR": string, "$AS_OF": AS_OF,
+    }
+    for name, value in parts.items():
+        text = text.replace(name, value)
+    return text
 
 
 def check_sql(text: str, query: str) -> str:
@@ -75,9 +105,26 @@ def check_sql(text: str, query: str) -> str:
     return f"WITH {projection(text, 'timestamp', 'varchar').format(**{t: t for t in TABLES})}, {query.lstrip()}"
 
 
+BOARD_TABLES = ("issue", "issue_sprint", "sprint", "issue_label", "board_column", "teams")
+SERIES_TABLES = ("day", "day_issue", "day_member", "day_sprint", "day_column")
+#: Tables that many operators of a query read; kept by Spark, on disk where memory is short.
+KEPT = ("issue", "issue_sprint", "sprint", "day_issue", "day_member", "day_sprint")
+_kept: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def forget(spark: SparkSession) -> None:
+    """Let go of the derived tables that are kept."""
+    for (app, _), tables in _kept.items():
+        if app == spark.sparkContext.applicationId:
+            for t in tables.values():
+                t.unpersist()
+    _kept.clear()
+
+
 @dataclass
 class Contract:
-    """Tables of the contract over one directory."""
+    """Tables of the contract over one directory. Each is derived once; a session keeps the
+    ones of the directory that was asked for last, so that queries share them."""
 
     spark: SparkSession
     sf_dir: str
@@ -92,13 +139,26 @@ class Contract:
     def _view(self, text: str, name: str) -> DataFrame:
         return self.spark.sql(f"WITH {projection(text, 'timestamp_ntz', 'string')} SELECT * FROM {name}", **self._tables)
 
+    def _derived(self, name: str) -> DataFrame:
+        return self._view(BOARD if name in BOARD_TABLES else SERIES, name)
+
     @property
     def as_of(self):
         return F.lit(AS_OF).cast("timestamp_ntz")
 
+    @property
+    def series(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        return self.day, self.day_issue, self.day_member, self.day_sprint
+
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("issue", "issue_sprint", "sprint", "issue_label", "board_column", "teams"):
-            return self._view(BOARD, name)
-        if name in ("day_issue", "day_member", "days"):
-            return self._view(SERIES, name)
-        raise AttributeError(name)
+        if name not in (*BOARD_TABLES, *SERIES_TABLES):
+            raise AttributeError(name)
+        if name not in KEPT:
+            return self._derived(name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _kept:
+            forget(self.spark)
+            _kept[key] = {}
+        if name not in _kept[key]:
+            _kept[key][name] = self._derived(name).persist()
+        return _kept[key][name]
