@@ -63,7 +63,7 @@ def parse_sprint(v: Column) -> Column:
     """A legacy sprint value `...[id=1,name=x,state=ACTIVE]` as a struct; <null> is null."""
     m = F.str_to_map(F.regexp_extract(v, r"\[(.*)\]\s*$", 1), F.lit(","), F.lit("="))
     get = lambda k: F.nullif(F.nullif(F.try_element_at(m, F.lit(k)), F.lit("<null>")), F.lit(""))
-    return F.struct(get("id").try_cast("bigint").alias("id"), get("name").alias("name"), F.lower(get("state")).alias("state"), get("startDate").alias("startDate"), get("endDate").alias("endDate"), get("completeDate").alias("completeDate"))
+    return F.struct(get("id").try_cast("bigint").alias("id"), get("name").alias("name"), F.lower(get("state")).alias("state"), get("goal").alias("goal"), get("startDate").alias("startDate"), get("endDate").alias("endDate"), get("completeDate").alias("completeDate"))
 
 
 def blockers(links: Column) -> Column:
