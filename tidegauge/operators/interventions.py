@@ -131,10 +131,10 @@ def on_load(verdicts: DataFrame, outlook: DataFrame) -> DataFrame:
 
 def on_review(awaiting: DataFrame, metrics: DataFrame) -> DataFrame:
     """Reviews that stall, merges without any, and approvals that wait for their merge.
-    awaiting(team, mr, open_hours), metrics(team, merged, merged_unreviewed, lag_p50)."""
-    hours, rate = F.col("open_hours"), F.col("merged_unreviewed") / F.col("merged")
+    awaiting(team, mr, open_hours), metrics(team, merged_known, merged_unreviewed, lag_p50)."""
+    hours, rate = F.col("open_hours"), F.col("merged_unreviewed") / F.col("merged_known")
     a = awaiting.where(hours >= 48).select(*_row("team", "review-stalled", _severe(hours >= 168), F.col("mr").cast("string"), F.expr(NO_KEYS), F.least(F.lit(200.0), hours / 24 * 8), -hours, F.col("mr").cast("long")))
-    b = metrics.where((F.col("merged") > 0) & (rate >= 0.4)).select(*_row("team", "review-gap", F.lit("this-week"), _none(), F.expr(NO_KEYS), js_round(rate * 100)))
+    b = metrics.where((F.col("merged_known") > 0) & (rate >= 0.4)).select(*_row("team", "review-gap", F.lit("this-week"), _none(), F.expr(NO_KEYS), js_round(rate * 100)))
     c = metrics.where("lag_p50 >= 48").select(*_row("team", "merge-lag", F.lit("this-week"), _none(), F.expr(NO_KEYS), js_round(F.col("lag_p50"))))
     return a.union(b).union(c)
 

@@ -1,7 +1,9 @@
 """Code review: three-valued signals, latencies and practice.
 
-Tables: merge_request(mr, team, author, bot, created), note(mr, author, bot, kind, at).
-Unknown review (no detail) stays null and enters no rate.
+Tables: merge_request(mr, team, author, bot, created, state, draft, detail, failed, dismissed,
+reviewers, keyed), note(mr, author, bot, kind, at). detail: whether its reviews were read;
+failed: reading them failed part way; dismissed: its approvals no longer stand; reviewers:
+how many were asked; keyed: whether it names an issue. All but the first five are optional.
 """
 
 from __future__ import annotations
@@ -15,8 +17,14 @@ EDGES = (0, 1, 4, 8, 24, 48, 120)
 
 
 def review_signals(mr: DataFrame, note: DataFrame) -> DataFrame:
-    """Conditional minima and counts of an MR's notes; the author's own do not count."""
-    n = note.join(mr.select("mr", F.col("author").alias("owner")), "mr").where("author != owner")
+    """Conditional minima and counts of an MR's notes; the author's own do not count. An
+    approval that was dismissed leaves its time, but does not stand. reviewed is null where
+    reviews are unknown: not read, or not read to the end and nothing human found."""
+    for c in ("draft", "failed", "dismissed", "keyed"):
+        mr = mr if c in mr.columns else mr.withColumn(c, F.lit(False))
+    mr = mr if "detail" in mr.columns else mr.withColumn("detail", F.lit(True))
+    mr = mr if "reviewers" in mr.columns else mr.withColumn("reviewers", F.lit(0))
+    n = note.join(mr.where("detail").select("mr", F.col("author").alias("owner")), "mr").where("author != owner")
     human, comment, approve = ~F.col("bot"), F.col("kind") == "comment", F.col("kind") == "approval"
     at = lambda c: F.min(F.when(c, F.col("at")))
     g = n.groupBy("mr").agg(
@@ -25,26 +33,34 @@ def review_signals(mr: DataFrame, note: DataFrame) -> DataFrame:
     )
     merged = note.where("kind = 'merge'").groupBy("mr").agg(F.min("at").alias("merged"))
     out = mr.join(g, "mr", "left").join(merged, "mr", "left").fillna(0, ["comments", "approvals", "bot_notes"])
-    return out.withColumn("touched", F.least("first_comment", "approved")).withColumn("reviewed", F.col("comments") + F.col("approvals") > 0)
+    out = out.withColumn("approvals", F.when(F.col("dismissed"), 0).otherwise(F.col("approvals")))
+    stated = F.when(F.col("merged").isNotNull(), "merged").otherwise(F.col("state") if "state" in mr.columns else F.lit("opened"))
+    none = (F.col("comments") == 0) & (F.col("approvals") == 0)
+    known = F.when(F.col("detail") & ~(F.col("failed") & none), ~none)
+    out = out.withColumn("state", stated).withColumn("standing", F.when(F.col("approvals") > 0, F.col("approved")))
+    return out.withColumn("touched", F.least("first_comment", "standing")).withColumn("reviewed", known)
 
 
 def review_metrics(signals: DataFrame) -> DataFrame:
-    h = ~F.col("bot")
-    merged, reviewed = h & F.col("merged").isNotNull(), F.col("reviewed")
-    first, bot = F.when(h, hours_between("created", "touched")), F.when(h, hours_between("created", "first_bot"))
-    to_merge = F.when(merged, hours_between("created", "merged"))
-    lag = F.when(merged, hours_between("approved", "merged"))
-    return signals.groupBy("team").agg(
-        F.count("*").alias("total"), count_if(F.col("bot")).alias("by_bots"), count_if(merged).alias("merged"), count_if(h & F.col("merged").isNull()).alias("open"), count_if(h & reviewed).alias("reviewed"),
-        count_if(h & (F.col("bot_notes") > 0)).alias("bot_reviewed"), count_if(merged & ~reviewed).alias("merged_unreviewed"), exact(first, 0.5).alias("first_p50"), exact(first, 0.9).alias("first_p90"), F.count(first).alias("first_basis"),
-        exact(bot, 0.5).alias("bot_p50"), exact(to_merge, 0.5).alias("merge_p50"), exact(to_merge, 0.9).alias("merge_p90"), exact(lag, 0.5).alias("lag_p50"), F.count(lag).alias("lag_basis"),
-        count_if(merged & (F.col("approved") > F.col("merged"))).alias("approved_after_merge"),
-    )
+    """A team's figures over what people opened; rates over what is known."""
+    h, reviewed, state = ~F.col("bot"), F.col("reviewed"), F.col("state")
+    known, merged = h & reviewed.isNotNull(), h & (state == "merged")
+    unseen = F.coalesce(merged & ~reviewed, F.lit(False))
+    first, bot = F.when(known, hours_between("created", "touched")), F.when(known, hours_between("created", "first_bot"))
+    to_merge, lag = F.when(merged, hours_between("created", "merged")), F.when(merged, hours_between("standing", "merged"))
+    counts = {
+        "by_bots": F.col("bot"), "by_people": h, "merged": merged, "open": h & (state == "opened"), "closed": h & (state == "closed"), "draft": h & F.col("draft"),
+        "known": known, "reviewed": h & reviewed, "never_reviewed": h & ~reviewed, "bot_reviewed": known & (F.col("bot_notes") > 0), "merged_known": merged & reviewed.isNotNull(), "merged_unreviewed": unseen,
+        "merged_alone": unseen & (F.col("reviewers") == 0), "approved_after_merge": merged & (F.col("standing") > F.col("merged")), "keyed": h & F.col("keyed"), "awaiting": _awaits(),
+    }
+    times = {"first": first, "bot": bot, "merge": to_merge, "lag": lag}
+    figures = [f for n, v in times.items() for f in (exact(v, 0.5).alias(f"{n}_p50"), exact(v, 0.9).alias(f"{n}_p90"), F.count(v).alias(f"{n}_basis"))]
+    return signals.groupBy("team").agg(F.count("*").alias("total"), *(count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()), *figures).drop("bot_p90")
 
 
 def latency_histogram(signals: DataFrame) -> DataFrame:
     """Hours to the first human touch by bucket; empty buckets appear."""
-    h = signals.where("not bot").withColumn("h", hours_between("created", "touched")).where("h is not null")
+    h = signals.where("not bot and reviewed is not null").withColumn("h", hours_between("created", "touched")).where("h is not null")
     bucket = F.lit(0)
     for e in EDGES[1:]:
         bucket = bucket + (F.col("h") >= e).cast("int")
@@ -53,14 +69,21 @@ def latency_histogram(signals: DataFrame) -> DataFrame:
     return axis.join(n, ["team", "bucket"], "left").fillna(0, ["n"])
 
 
+def _awaits() -> Column:
+    return ~F.col("bot") & (F.col("state") == "opened") & ~F.col("draft") & ~F.col("reviewed")
+
+
 def awaiting_review(signals: DataFrame, captured: Column) -> DataFrame:
-    rows = signals.where("not bot and merged is null and not reviewed")
-    return rows.select("team", "mr", F.round(days_between("created", captured) * 24, 6).alias("open_hours"))
+    """Open requests that are no drafts and that nobody looked at, with how long they wait."""
+    return signals.where(_awaits()).select("team", "mr", F.round(days_between("created", captured) * 24, 6).alias("open_hours"))
 
 
 def practice(mr: DataFrame, note: DataFrame, signals: DataFrame) -> DataFrame:
-    """By person: authored, merged without review, and MRs of others reviewed."""
-    own = signals.where("not bot").groupBy(F.col("author").alias("person")).agg(F.count("*").alias("authored"), count_if(F.col("merged").isNotNull() & ~F.col("reviewed")).alias("merged_unreviewed"))
-    human = mr.where("not bot").select("mr", F.col("author").alias("owner"))
+    """By person: authored, merged with reviews known, of these without review, and MRs of
+    others reviewed."""
+    unseen = F.coalesce((F.col("state") == "merged") & ~F.col("reviewed"), F.lit(False))
+    known = (F.col("state") == "merged") & F.col("reviewed").isNotNull()
+    own = signals.where("not bot").groupBy(F.col("author").alias("person")).agg(F.count("*").alias("authored"), count_if(known).alias("merged_known"), count_if(unseen).alias("merged_unreviewed"))
+    human = signals.where("not bot and detail").select("mr", F.col("author").alias("owner"))
     given = note.where("not bot and kind in ('comment', 'approval')").join(human, "mr").where("author != owner").groupBy(F.col("author").alias("person")).agg(F.count_distinct("mr").alias("given"))
     return own.join(given, "person", "full").fillna(0)

@@ -79,7 +79,7 @@ def _band(v: str, watch: float, poor: float, name: str) -> str:
 
 
 @query(f"""{EV}, {MEMBERS.lstrip()}, {ACTIVE}, {outlook_sql('2001-06-30')},
-rv AS (SELECT team, count(*) FILTER (WHERE NOT reviewed) / nullif(count(*), 0) x FROM s2 WHERE NOT bot AND merged IS NOT NULL GROUP BY team),
+rv AS (SELECT team, count(*) FILTER (WHERE NOT reviewed) / nullif(count(reviewed), 0) x FROM s2 WHERE NOT bot AND merged IS NOT NULL GROUP BY team),
 ca AS (SELECT team, round(quantile_cont(carried_out / committed_issues, 0.5) FILTER (WHERE committed_issues > 0), 6) x FROM closed GROUP BY team),
 tn AS (SELECT o.team, {_band('rv.x', 0.2, 0.4, 'review')}, {_band('ca.x', 0.25, 0.5, 'carryover')}, {_band('(unestimated / issues)', 0.2, 0.34, 'estimation')}, {_band('round((fc.p90 - fc.p10) / fc.p50, 6)', 1.0, 2.0, 'spread')}, CASE outl.verdict WHEN 'on-track' THEN 'good' WHEN 'at-risk' THEN 'watch' WHEN 'will-not-land' THEN 'poor' ELSE 'unknown' END outlook
  FROM oj o JOIN outl ON outl.team = o.team LEFT JOIN rv ON rv.team = o.team LEFT JOIN ca ON ca.team = o.team LEFT JOIN fc ON fc.team = o.team),
@@ -88,7 +88,7 @@ SELECT team, review, carryover, estimation, spread, outlook, CASE WHEN u = 5 THE
 def team_health(c):
     load, _, outlook = _outlook(c, c.as_of)
     trends = dl.team_trends(dl.sprint_metrics(*_board(c))).select("team", F.col("carryover_median").alias("carryover"), F.col("points_spread").alias("spread"))
-    review = rv.review_metrics(_review(c)[2]).select("team", F.when(F.col("merged") > 0, F.col("merged_unreviewed") / F.col("merged")).alias("review"))
+    review = rv.review_metrics(_review(c)[2]).select("team", F.when(F.col("merged_known") > 0, F.col("merged_unreviewed") / F.col("merged_known")).alias("review"))
     signals = load.select("team", (F.col("unestimated") / F.col("issues")).alias("estimation")).join(trends, "team", "left").join(review, "team", "left")
     return rules.team_health(signals.join(outlook.select("team", F.col("verdict").alias("outlook")), "team", "left"))
 
@@ -112,8 +112,8 @@ def interventions_teams(c):
     return iv.ranked(iv.on_sprints(*_board(c), at(LATE)), iv.on_people(*_board(c)), iv.on_load(verdicts, outlook))
 
 
-@query(f"""{EV.replace("ev AS", "WITH ev AS", 1)}, aw AS (SELECT team, mr, (epoch_us(timestamp '2024-02-01') - epoch_us(created)) / 3600e6 h FROM s2 WHERE NOT bot AND merged IS NULL AND NOT reviewed),
-mt AS (SELECT team, count(*) FILTER (WHERE merged IS NOT NULL) m, count(*) FILTER (WHERE merged IS NOT NULL AND NOT reviewed) u, round(quantile_cont(lh, 0.5) FILTER (WHERE lh >= 0), 6) lag FROM s2 WHERE NOT bot GROUP BY team),
+@query(f"""{EV.replace("ev AS", "WITH ev AS", 1)}, aw AS (SELECT team, mr, (epoch_us(timestamp '2024-02-01') - epoch_us(created)) / 3600e6 h FROM s2 WHERE awaits),
+mt AS (SELECT team, count(*) FILTER (WHERE merged IS NOT NULL AND reviewed IS NOT NULL) m, count(*) FILTER (WHERE merged IS NOT NULL AND NOT reviewed) u, round(quantile_cont(lh, 0.5) FILTER (WHERE lh >= 0), 6) lag FROM s2 WHERE NOT bot GROUP BY team),
 f AS (SELECT team, 'review-stalled' kind, CASE WHEN h >= 168 THEN 'act-now' ELSE 'this-week' END severity, cast(mr AS varchar) ident, '' keys, least(200, round(h, 6) / 24 * 8) w, -round(h, 6) o, mr pos FROM aw WHERE h >= 48
  UNION ALL SELECT team, 'review-gap', 'this-week', '', '', floor(u / m * 100 + 0.5), 0, 0 FROM mt WHERE m > 0 AND u / m >= 0.4
  UNION ALL SELECT team, 'merge-lag', 'this-week', '', '', floor(lag + 0.5), 0, 0 FROM mt WHERE lag >= 48), {shown('f', 'x')} SELECT * FROM x""", None)

@@ -365,12 +365,29 @@ def team_history(c):
     return sr.team_history(*c.series, c.day_column)
 
 
+#: Events as merge requests and notes. Some requests lack their reviews (detail), some could
+#: not be read to the end (failed), some lost their approvals (dismissed).
 EVENTS = """WITH ev AS (SELECT *, regexp_extract(props, '([0-9]+)', 1) k FROM events),
-mr AS (SELECT e.event_id mr, coalesce(c.c_mktsegment, '(none)') team, e.user_id author, e.user_id % 10 = 0 bot, e.ts created, e.k FROM ev e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE event_type = 'purchase'),
+mr AS (SELECT e.event_id mr, coalesce(c.c_mktsegment, '(none)') team, e.user_id author, e.user_id % 10 = 0 bot, e.ts created, e.k,
+ CASE WHEN event_id % 7 = 0 THEN 'closed' ELSE 'opened' END st, event_id % 11 = 0 draft, event_id % 23 <> 0 detail, event_id % 19 = 0 failed, event_id % 13 = 0 dismissed, event_id % 3 reviewers, event_id % 2 = 0 keyed
+ FROM ev e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE event_type = 'purchase'),
 note AS (SELECT m.mr, e.user_id author, e.user_id % 10 = 0 bot, CASE e.event_type WHEN 'click' THEN 'comment' WHEN 'signup' THEN 'approval' ELSE 'merge' END kind, e.ts seen FROM mr m JOIN ev e ON e.k = m.k AND e.ts > m.created AND e.ts <= m.created + INTERVAL '48' HOUR WHERE e.event_type IN ('click', 'signup', 'error')),
-sig AS (SELECT m.mr, m.team, m.author, m.bot, m.created, min(n.seen) FILTER (WHERE kind = 'comment' AND NOT n.bot AND n.author <> m.author) first_comment, min(n.seen) FILTER (WHERE kind = 'approval' AND NOT n.bot AND n.author <> m.author) approved, min(n.seen) FILTER (WHERE kind = 'comment' AND n.bot AND n.author <> m.author) first_bot,
- count(*) FILTER (WHERE kind IN ('comment', 'approval') AND NOT n.bot AND n.author <> m.author) > 0 reviewed, count(*) FILTER (WHERE kind IN ('comment', 'approval') AND n.bot AND n.author <> m.author) bot_notes, min(n.seen) FILTER (WHERE kind = 'merge') merged FROM mr m LEFT JOIN note n ON n.mr = m.mr GROUP BY ALL),
-s2 AS (SELECT *, least(first_comment, approved) touched, (epoch_us(least(first_comment, approved)) - epoch_us(created)) / 3600e6 fh, (epoch_us(first_bot) - epoch_us(created)) / 3600e6 bh, (epoch_us(merged) - epoch_us(created)) / 3600e6 mh, (epoch_us(merged) - epoch_us(approved)) / 3600e6 lh FROM sig)"""
+read_ AS (SELECT n.*, n.author <> m.author AND m.detail counts FROM note n JOIN mr m USING (mr)),
+sig AS (SELECT m.mr, m.team, m.author, m.bot, m.created, m.st, m.draft, m.detail, m.failed, m.reviewers, m.keyed,
+ min(n.seen) FILTER (WHERE kind = 'comment' AND NOT n.bot AND counts) first_comment, min(n.seen) FILTER (WHERE kind = 'comment' AND n.bot AND counts) first_bot,
+ CASE WHEN NOT m.dismissed THEN min(n.seen) FILTER (WHERE kind = 'approval' AND NOT n.bot AND counts) END standing,
+ count(*) FILTER (WHERE kind = 'comment' AND NOT n.bot AND counts) + CASE WHEN m.dismissed THEN 0 ELSE count(*) FILTER (WHERE kind = 'approval' AND NOT n.bot AND counts) END said,
+ count(*) FILTER (WHERE kind IN ('comment', 'approval') AND n.bot AND counts) bot_notes, min(n.seen) FILTER (WHERE kind = 'merge') merged FROM mr m LEFT JOIN read_ n ON n.mr = m.mr GROUP BY m.mr, m.team, m.author, m.bot, m.created, m.st, m.draft, m.detail, m.failed, m.reviewers, m.keyed, m.dismissed),
+s1 AS (SELECT *, CASE WHEN merged IS NOT NULL THEN 'merged' ELSE st END state, CASE WHEN said > 0 THEN true WHEN detail AND NOT failed THEN false END reviewed FROM sig),
+s2 AS (SELECT *, NOT bot AND state = 'opened' AND NOT draft AND NOT reviewed awaits, CASE WHEN reviewed IS NOT NULL THEN (epoch_us(least(first_comment, standing)) - epoch_us(created)) / 3600e6 END fh, CASE WHEN reviewed IS NOT NULL THEN (epoch_us(first_bot) - epoch_us(created)) / 3600e6 END bh,
+ (epoch_us(merged) - epoch_us(created)) / 3600e6 mh, (epoch_us(merged) - epoch_us(standing)) / 3600e6 lh FROM s1)"""
+
+
+def _odd(c: str):
+    """What is known of a request, in every combination."""
+    by = lambda n: F.col(c) % n == 0
+    state = F.when(by(7), "closed").otherwise("opened").alias("state")
+    return state, by(11).alias("draft"), (~by(23)).alias("detail"), by(19).alias("failed"), by(13).alias("dismissed"), (F.col(c) % 3).alias("reviewers"), by(2).alias("keyed")
 
 
 def _review(c: Contract):
@@ -379,7 +396,7 @@ def _review(c: Contract):
     ev = c.raw("events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1))
     team = c.raw("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("team"))
     bot = (F.col("user_id") % 10 == 0).alias("bot")
-    mr = ev.where("event_type = 'purchase'").join(team, "user_id", "left").select(F.col("event_id").alias("mr"), F.coalesce("team", F.lit("(none)")).alias("team"), F.col("user_id").alias("author"), bot, F.col("ts").alias("created"), "k")
+    mr = ev.where("event_type = 'purchase'").join(team, "user_id", "left").select(F.col("event_id").alias("mr"), F.coalesce("team", F.lit("(none)")).alias("team"), F.col("user_id").alias("author"), bot, F.col("ts").alias("created"), "k", *_odd("event_id"))
     day = F.to_date("created")
     spread = mr.select("mr", "created", "k", F.explode(F.array(day, F.date_add(day, 1), F.date_add(day, 2))).alias("day"))
     kinds = F.create_map(*map(F.lit, ("click", "comment", "signup", "approval", "error", "merge")))
@@ -388,13 +405,24 @@ def _review(c: Contract):
     return mr, note, rv.review_signals(mr, note)
 
 
-def _q(v, p, where="NOT bot"):
-    return f"round(quantile_cont({v}, {p}) FILTER (WHERE {where} AND {v} >= 0), 6)"
+def _q(v, p):
+    return f"round(quantile_cont({v}, {p}) FILTER (WHERE NOT bot AND {v} >= 0), 6)"
+
+
+def _times(n, v, ps=((0.5, "p50"), (0.9, "p90"))):
+    return ", ".join([*(f"{_q(v, p)} {n}_{name}" for p, name in ps), f"count(*) FILTER (WHERE NOT bot AND {v} >= 0) {n}_basis"])
+
+
+#: How many of the requests that people opened.
+OPENED = {
+    "merged": "state = 'merged'", "open": "state = 'opened'", "closed": "state = 'closed'", "draft": "draft", "known": "reviewed IS NOT NULL", "reviewed": "reviewed", "never_reviewed": "NOT reviewed",
+    "bot_reviewed": "reviewed IS NOT NULL AND bot_notes > 0", "merged_known": "state = 'merged' AND reviewed IS NOT NULL", "merged_unreviewed": "state = 'merged' AND NOT reviewed",
+    "merged_alone": "state = 'merged' AND NOT reviewed AND reviewers = 0", "approved_after_merge": "standing > merged", "keyed": "keyed", "by_people": "true", "awaiting": "awaits",
+}
 
 
-@query(f"""{EVENTS} SELECT team, count(*) total, count(*) FILTER (WHERE bot) by_bots, count(*) FILTER (WHERE NOT bot AND merged IS NOT NULL) merged, count(*) FILTER (WHERE NOT bot AND merged IS NULL) AS open, count(*) FILTER (WHERE NOT bot AND reviewed) reviewed, count(*) FILTER (WHERE NOT bot AND bot_notes > 0) bot_reviewed,
- count(*) FILTER (WHERE NOT bot AND merged IS NOT NULL AND NOT reviewed) merged_unreviewed, {_q('fh', 0.5)} first_p50, {_q('fh', 0.9)} first_p90, count(fh) FILTER (WHERE NOT bot) first_basis, {_q('bh', 0.5)} bot_p50, {_q('mh', 0.5)} merge_p50, {_q('mh', 0.9)} merge_p90, {_q('lh', 0.5)} lag_p50, count(*) FILTER (WHERE NOT bot AND lh >= 0) lag_basis,
- count(*) FILTER (WHERE NOT bot AND approved > merged) approved_after_merge FROM s2 GROUP BY team""", None)
+@query(f"""{EVENTS} SELECT team, count(*) total, count(*) FILTER (WHERE bot) by_bots, {', '.join(f'count(*) FILTER (WHERE NOT bot AND {t}) AS "{n}"' for n, t in OPENED.items())},
+ {_times('first', 'fh')}, {_times('bot', 'bh', ((0.5, 'p50'),))}, {_times('merge', 'mh')}, {_times('lag', 'lh')} FROM s2 GROUP BY team""", None)
 def review_metrics(c):
     return rv.review_metrics(_review(c)[2])
 
@@ -404,13 +432,13 @@ def latency_histogram(c):
     return rv.latency_histogram(_review(c)[2])
 
 
-@query(f"{EVENTS} SELECT team, mr, round((epoch_us(timestamp '2024-02-01') - epoch_us(created)) / 3600e6, 6) open_hours FROM s2 WHERE NOT bot AND merged IS NULL AND NOT reviewed", None)
+@query(f"{EVENTS} SELECT team, mr, round((epoch_us(timestamp '2024-02-01') - epoch_us(created)) / 3600e6, 6) open_hours FROM s2 WHERE awaits", None)
 def awaiting_review(c):
     return rv.awaiting_review(_review(c)[2], F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
-@query(f"""{EVENTS}, own AS (SELECT author person, count(*) authored, count(*) FILTER (WHERE merged IS NOT NULL AND NOT reviewed) merged_unreviewed FROM s2 WHERE NOT bot GROUP BY 1), gv AS (SELECT n.author person, count(DISTINCT n.mr) given FROM note n JOIN mr m ON m.mr = n.mr WHERE NOT n.bot AND NOT m.bot AND n.author <> m.author AND kind IN ('comment', 'approval') GROUP BY 1)
- SELECT coalesce(own.person, gv.person) person, coalesce(authored, 0) authored, coalesce(merged_unreviewed, 0) merged_unreviewed, coalesce(given, 0) given FROM own FULL JOIN gv ON own.person = gv.person""", None)
+@query(f"""{EVENTS}, own AS (SELECT author person, count(*) authored, count(*) FILTER (WHERE state = 'merged' AND reviewed IS NOT NULL) merged_known, count(*) FILTER (WHERE state = 'merged' AND NOT reviewed) merged_unreviewed FROM s2 WHERE NOT bot GROUP BY 1), gv AS (SELECT n.author person, count(DISTINCT n.mr) given FROM note n JOIN mr m ON m.mr = n.mr WHERE NOT n.bot AND NOT m.bot AND m.detail AND n.author <> m.author AND kind IN ('comment', 'approval') GROUP BY 1)
+ SELECT coalesce(own.person, gv.person) person, coalesce(authored, 0) authored, coalesce(merged_known, 0) merged_known, coalesce(merged_unreviewed, 0) merged_unreviewed, coalesce(given, 0) given FROM own FULL JOIN gv ON own.person = gv.person""", None)
 def review_practice(c):
     return rv.practice(*_review(c))
 
