@@ -117,7 +117,7 @@ class Memo(dict):
         self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, key: str):
-        value = self.old.get(key)
+        value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
         if len(key) <= self.longest:
@@ -163,5 +163,11 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow by a worker that gives back what Arrow holds when a task ends."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
     importable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from functools import lru_cache
 from .common import Memo, held
 
 #: Chunks in each generation of a worker's memo.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 400_000
 #: Marks at the end of a chunk that neither compose with letters nor occur in special tokens.
 MARKS = ".,!?;:"
 
