@@ -21,11 +21,11 @@ def mix(rows: DataFrame, by: str, scope: tuple[str, ...] = ("team",)) -> DataFra
     return m.withColumn("share", F.round(F.col("issues") / F.sum("issues").over(W.partitionBy(*scope)), 6))
 
 
-def label_mix(issue: DataFrame, issue_label: DataFrame) -> DataFrame:
+def label_mix(issue: DataFrame, issue_label: DataFrame, scope: tuple[str, ...] = ("team",)) -> DataFrame:
     """One count for each label of an issue; shares are of issues and exceed 1 together."""
-    n = issue.groupBy("team").agg(F.count("*").alias("n"))
-    m = issue.join(issue_label, ["team", "key"]).groupBy("team", "label").agg(F.count("*").alias("issues"), total(points()).alias("points"))
-    return m.join(n, "team").select("team", "label", "issues", "points", F.round(F.col("issues") / F.col("n"), 6).alias("share"))
+    n = issue.groupBy(*scope).agg(F.count("*").alias("n"))
+    m = issue.join(issue_label, ["team", "key"]).groupBy(*scope, "label").agg(F.count("*").alias("issues"), total(points()).alias("points"))
+    return m.join(n, list(scope)).select(*scope, "label", "issues", "points", F.round(F.col("issues") / F.col("n"), 6).alias("share"))
 
 
 def scopes(issue, issue_sprint, sprint, as_of: Column, recent_days: int = 30) -> DataFrame:
@@ -83,19 +83,50 @@ def flagged_register(issue, issue_sprint, sprint, as_of: Column, n: int = 25) ->
     return top(rows, n, F.desc("sprint_count"), F.desc("age"), "pos").select("team", "rank", "key", "sprint_count", "age", "in_active")
 
 
-def epic_rollup(issue, issue_sprint, sprint, as_of: Column) -> DataFrame:
-    """Work of each epic of a team: all of it, in active sprints, in the backlog."""
+def epic_of(issue: DataFrame, epic: DataFrame) -> DataFrame:
+    """issue without the epics that are issues themselves, and each one's epic: its own, else
+    its parent if that is one, else none. epic(team, epic, ...): the known epics."""
+    known = epic.select("team", F.col("epic").alias("parent_key"), F.lit(True).alias("under")).distinct()
+    rows = issue.join(known.withColumnRenamed("parent_key", "key").drop("under"), ["team", "key"], "left_anti").join(known, ["team", "parent_key"], "left")
+    parent = F.when(F.col("under"), F.col("parent_key"))
+    return rows.withColumn("epic", F.coalesce("epic_key", parent, F.lit(NO_EPIC))).drop("under")
+
+
+def known_epics(issue: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """team, epic, name, epic_done: epics that a board lists(team, epic, name, done), and
+    issues that are epics; the list's name and state come first."""
+    own = issue.where(F.lower("issue_type") == "epic")
+    title = F.col("summary") if "summary" in issue.columns else F.lit(None).cast("string")
+    own = own.select("team", F.col("key").alias("epic"), title.alias("title"), done().alias("own_done"))
+    if listed is None:
+        return own.select("team", "epic", F.col("title").alias("name"), F.col("own_done").alias("epic_done"))
+    j = listed.join(own, ["team", "epic"], "full")
+    return j.select("team", "epic", F.coalesce("name", "title").alias("name"), F.coalesce("done", "own_done", F.lit(False)).alias("epic_done"))
+
+
+def epic_rollup(issue, issue_sprint, sprint, as_of: Column, listed: DataFrame | None = None) -> DataFrame:
+    """Work of each epic of a team: all of it, in active sprints, in the backlog; its name,
+    which is the key where none is known."""
     active = in_active(issue, issue_sprint, sprint).select("team", "key", F.lit(True).alias("active"))
     blocked = open_blockers(issue).select("team", "key", F.lit(True).alias("blocked"))
-    rows = issue.join(active, ["team", "key"], "left").join(blocked, ["team", "key"], "left").join(sprint_counts(issue_sprint), ["team", "key"], "left").fillna(False, ["active", "blocked"])
-    is_open = ~done()
-    r = rows.groupBy("team", F.coalesce("epic_key", F.lit(NO_EPIC)).alias("epic")).agg(
-        F.count("*").alias("issues"), total(points()).alias("points"), count_if(done()).alias("done_issues"), count_if(F.col("active")).alias("active_issues"),
-        total(F.when(F.col("active"), points())).alias("active_points"), count_if(F.col("in_backlog")).alias("backlog_issues"), count_if(is_open & (F.col("flagged") | F.col("blocked"))).alias("blocked"),
+    epics = known_epics(issue, listed)
+    rows = epic_of(issue, epics).join(active, ["team", "key"], "left").join(blocked, ["team", "key"], "left").join(sprint_counts(issue_sprint), ["team", "key"], "left").fillna(False, ["active", "blocked"])
+    is_open, slice_ = ~done(), {"active": F.col("active"), "backlog": F.col("in_backlog")}
+    parts = [x for n, t in slice_.items() for x in (count_if(t).alias(f"{n}_issues"), total(F.when(t, points())).alias(f"{n}_points"), count_if(t & done()).alias(f"{n}_done"))]
+    r = rows.groupBy("team", "epic").agg(
+        F.count("*").alias("issues"), total(points()).alias("points"), count_if(done()).alias("done_issues"), *parts, count_if(is_open & (F.col("flagged") | F.col("blocked"))).alias("blocked"),
         count_if(is_open & (F.col("sprint_count") >= 3)).alias("carried"), F.count_distinct(F.when(is_open, F.col("assignee"))).alias("people"),
         F.round(F.max(F.when(is_open, days_between("created", as_of))), 6).alias("oldest_open_days"),
     )
-    return r.withColumn("progress", F.round(F.col("done_issues") / F.col("issues"), 6))
+    r = r.withColumn("progress", F.round(F.col("done_issues") / F.col("issues"), 6)).join(epics, ["team", "epic"], "left")
+    named = F.col("name").isNotNull() | (F.col("epic") == NO_EPIC)
+    return r.withColumn("name_known", named).withColumn("name", F.coalesce("name", "epic")).withColumn("epic_done", F.coalesce("epic_done", F.lit(False)))
+
+
+def ranked_epics(rollup: DataFrame, by: str | None = None) -> DataFrame:
+    """The epics of a team in order; by: only those with active or backlog work."""
+    rows = rollup if by is None else rollup.where((F.col(f"{by}_issues") > 0) & (F.col("epic") != NO_EPIC))
+    return top(rows, 2**31 - 1, F.desc("active_issues"), F.desc("active_points"), F.desc("backlog_issues"), "epic")
 
 
 def sprint_focus(rollup: DataFrame) -> DataFrame:
@@ -107,9 +138,16 @@ def sprint_focus(rollup: DataFrame) -> DataFrame:
 
 
 def estate_epics(rollup: DataFrame) -> DataFrame:
-    """Epics over all teams."""
-    g = rollup.where(F.col("epic") != NO_EPIC).groupBy("epic").agg(F.count("*").alias("teams"), F.sum("issues").alias("issues"), F.sum("done_issues").alias("done_issues"), F.sum("active_issues").alias("active_issues"), F.sum("backlog_issues").alias("backlog_issues"))
-    return g.withColumn("cross_team", F.col("teams") > 1)
+    """Epics over all teams: their work parted into done, open in active sprints, open in
+    the backlog and open elsewhere, in order, with the teams that have most of it first."""
+    r = rollup.where(F.col("epic") != NO_EPIC)
+    sums = ("issues", "done_issues", "active_issues", "active_done", "backlog_issues", "backlog_done", "blocked", "carried")
+    teams = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("issues")).alias("n"), "team"))), lambda x: x["team"]), ",").alias("team_list")
+    g = r.groupBy("epic").agg(F.count("*").alias("teams"), *(F.sum(c).alias(c) for c in sums), F.max("oldest_open_days").alias("oldest_open_days"), teams)
+    active, backlog = F.col("active_issues") - F.col("active_done"), F.col("backlog_issues") - F.col("backlog_done")
+    g = g.withColumn("active_open", active).withColumn("backlog_open", backlog).drop("active_done", "backlog_done")
+    g = g.withColumn("open_elsewhere", F.greatest(F.lit(0), F.col("issues") - F.col("done_issues") - F.col("active_open") - F.col("backlog_open")))
+    return g.withColumn("progress", F.round(F.col("done_issues") / F.col("issues"), 6)).withColumn("cross_team", F.col("teams") > 1)
 
 
 def column_of(issue: DataFrame, board_column: DataFrame) -> DataFrame:
@@ -135,36 +173,66 @@ def wip_per_person(issue, issue_sprint, sprint, limit: int = 3) -> DataFrame:
     return rows.groupBy("team", "assignee").agg(F.count("*").alias("in_progress")).withColumn("overloaded", F.col("in_progress") > limit)
 
 
+# The findings and how bad they are.
+FINDINGS = {
+    "multiple-active-sprints": "high", "sprint-goal-missing": "medium", "unestimated-in-sprint": "high", "story-points-split-across-fields": "high", "unassigned-in-sprint": "medium", "stale-in-progress": "high",
+    "flagged-blocked": "medium", "carried-three-plus-sprints": "high", "created-after-sprint-start": "medium", "done-without-resolution-date": "medium", "due-before-sprint-start": "medium", "no-board-columns": "medium",
+}
+EXAMPLES = 5
+
+
 def quality_findings(issue, issue_sprint, sprint, teams, board_column, as_of: Column, stale_days: int = 10) -> DataFrame:
-    """Counts by finding code, against what they could have been; none, no row. One pass
-    over the issues of a team's latest active sprint gives most of them."""
+    """Findings by code with their severity, count, what the count could have been (null:
+    it is no share) and the first issues in board order; none, no row. An issue's findings
+    are an array, so that one pass gives those of a team's latest active sprint."""
     latest = top(sprint.where("state = 'active'"), 1, F.desc("start_ts"), "sprint_id").select("team", "sprint_id", F.col("start_ts").alias("s0"), "goal")
-    inside = issue_sprint.join(latest, ["team", "sprint_id"]).select("team", "key", "s0")
-    rows = issue.join(inside, ["team", "key"]).join(sprint_counts(issue_sprint), ["team", "key"])
-    o = ~done()
+    inside = issue_sprint.join(latest, ["team", "sprint_id"]).select("team", "key", "s0").withColumn("inside", F.lit(True))
+    rows = issue.join(inside, ["team", "key"], "left").join(sprint_counts(issue_sprint), ["team", "key"], "left")
+    here, o = F.coalesce("inside", F.lit(False)), F.coalesce("inside", F.lit(False)) & ~done()
     tests = {
         "unestimated-in-sprint": o & F.col("points").isNull(), "unassigned-in-sprint": o & F.col("assignee").isNull(), "flagged-blocked": o & F.col("flagged"),
-        "stale-in-progress": (F.col("category") == "In Progress") & (days_between("updated", as_of) >= stale_days), "carried-three-plus-sprints": o & (F.col("sprint_count") >= 3), "due-before-sprint-start": o & (F.col("due") < F.col("s0")),
-        "created-after-sprint-start": F.col("created") > F.col("s0"),
+        "stale-in-progress": here & (F.col("category") == "In Progress") & (days_between("updated", as_of) >= stale_days), "carried-three-plus-sprints": o & (F.col("sprint_count") >= 3), "due-before-sprint-start": o & (F.col("due") < F.col("s0")),
+        "created-after-sprint-start": here & (F.col("created") > F.col("s0")), "done-without-resolution-date": done() & F.col("resolved").isNull(),
     }
-    agg = rows.groupBy("team").agg(*(count_if(F.coalesce(t, F.lit(False))).alias(c) for c, t in tests.items()), count_if(o).alias("open"), F.count("*").alias("all"))
-    long = agg.select("team", F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(f"`{c}`").alias("n"), F.col("all" if c.startswith("created") else "open").alias("out_of")) for c in tests))).alias("f")).select("team", "f.*")
-    board = issue.groupBy("team").agg(count_if(done() & F.col("resolved").isNull()).alias("n"), F.count("*").alias("out_of")).select("team", F.lit("done-without-resolution-date").alias("code"), "n", "out_of")
-    many = sprint.where("state = 'active'").groupBy("team").agg(F.count("*").alias("n")).where("n > 1").select("team", F.lit("multiple-active-sprints").alias("code"), "n", F.col("n").alias("out_of"))
-    one = lambda df, code: df.select("team", F.lit(code).alias("code"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("out_of"))
-    goal = one(latest.where("goal is null"), "sprint-goal-missing")
-    columns = one(teams.join(board_column, "team", "left_anti"), "no-board-columns")
-    return long.union(board).union(many).union(goal).union(columns).where("n > 0")
-
-
-def attention_items(issue, issue_sprint, sprint, as_of: Column, stale_days: int = 10) -> DataFrame:
-    """Open issues of active sprints that need someone, with reasons and a weight."""
+    found = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(c)) for c, t in tests.items())))
+    hits = rows.select("team", "key", "pos", F.explode(found).alias("code"))
+    counts = hits.groupBy("team", "code").agg(F.count("*").alias("n"))
+    first = hits.withColumn("r", F.row_number().over(W.partitionBy("team", "code").orderBy("pos"))).where(F.col("r") <= EXAMPLES)
+    first = first.groupBy("team", "code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]), ",").alias("examples"))
+    out_of = rows.groupBy("team").agg(count_if(o).alias("open"), count_if(here).alias("inside"), F.count("*").alias("all"), F.count_distinct("points_field").alias("fields"))
+    share = F.when(F.col("code") == "done-without-resolution-date", F.col("all")).when(F.col("code") == "created-after-sprint-start", F.col("inside")).otherwise(F.col("open"))
+    long = counts.join(first, ["team", "code"]).join(out_of, "team").select("team", "code", "n", share.alias("out_of"), "examples")
+    bare = lambda df, code, n: df.select("team", F.lit(code).alias("code"), F.lit(n).cast("long") if isinstance(n, int) else n.alias("n"), F.lit(None).cast("long").alias("out_of"), F.lit("").alias("examples"))
+    several = sprint.where("state = 'active'").groupBy("team").agg(F.count("*").alias("n")).where("n > 1")
+    rest = [
+        bare(several, "multiple-active-sprints", F.col("n")), bare(latest.where("goal is null"), "sprint-goal-missing", 1), bare(out_of.where("fields > 1"), "story-points-split-across-fields", F.col("fields")),
+        bare(teams.join(board_column, "team", "left_anti"), "no-board-columns", 1),
+    ]
+    for r in rest:
+        long = long.union(r)
+    severity = F.create_map(*(F.lit(x) for kv in FINDINGS.items() for x in kv))[F.col("code")]
+    return long.withColumn("severity", severity)
+
+
+def quality_counts(issue, issue_sprint, sprint) -> DataFrame:
+    """Issues of each team: all, in the latest active sprint, in the backlog, ever in one."""
+    latest = top(sprint.where("state = 'active'"), 1, F.desc("start_ts"), "sprint_id").select("team", "sprint_id")
+    inside = issue_sprint.join(latest, ["team", "sprint_id"], "left_semi").select("team", "key", F.lit(True).alias("inside"))
+    rows = issue.join(inside, ["team", "key"], "left").join(sprint_counts(issue_sprint), ["team", "key"], "left")
+    return rows.groupBy("team").agg(F.count("*").alias("issues"), F.count("inside").alias("in_active_sprint"), count_if(F.col("in_backlog")).alias("in_backlog"), F.count("sprint_count").alias("ever_in_a_sprint"))
+
+
+def attention_items(issue, issue_sprint, sprint, as_of: Column, stale_days: int = 10, told: DataFrame | None = None) -> DataFrame:
+    """Open issues of active sprints that need someone, with reasons and a weight. told(team,
+    key): issues whose comments say that they are blocked; a flag says so already."""
     blocked = open_blockers(issue).select("team", "key", F.lit(True).alias("held"))
     rows = in_active(issue, issue_sprint, sprint).where(~done()).join(sprint_counts(issue_sprint), ["team", "key"]).join(blocked, ["team", "key"], "left")
+    said = told.select("team", "key").distinct().withColumn("told", F.lit(True)) if told is not None else None
+    rows = rows.withColumn("told", F.lit(False)) if said is None else rows.join(said, ["team", "key"], "left")
     idle, over = days_between("updated", as_of), days_between("due", as_of)
     ten = F.col("sprint_count") * 10
     reasons = [
-        ("blocked", F.col("flagged"), F.lit(100.0)), ("blocked-by", F.col("held"), F.lit(70.0)), ("overdue", over > 0, F.least(F.lit(90.0), 10 + over * 3)), ("carried", F.col("sprint_count") >= 3, ten.cast("double")),
+        ("blocked", F.col("flagged"), F.lit(100.0)), ("blocked-by", F.col("held"), F.lit(70.0)), ("commented-blocked", F.col("told") & ~F.col("flagged"), F.lit(60.0)), ("overdue", over > 0, F.least(F.lit(90.0), 10 + over * 3)), ("carried", F.col("sprint_count") >= 3, ten.cast("double")),
         ("stale", (F.col("category") == "In Progress") & (idle >= stale_days), F.least(F.lit(60.0), idle)), ("unestimated", F.col("points").isNull(), F.lit(5.0)), ("unassigned", F.col("assignee").isNull(), F.lit(15.0)),
     ]
     weight = sum((F.when(F.coalesce(t, F.lit(False)), w).otherwise(0.0) for _, t, w in reasons), F.lit(0.0))

@@ -28,7 +28,18 @@ def case(c: str, values: dict) -> str:
     return f"CASE {c} {' '.join(f'WHEN {k!r} THEN {v}' for k, v in values.items())} END"
 
 
-BASE = f"{case('severity', iv.SEVERITY)} + {case('kind', iv.KIND)}"
+# Fixed values, written apart from the operators' own.
+SEVERITIES = {"act-now": 1000, "this-week": 500, "watch": 100}
+KINDS = {
+    "flagged": 160, "overdue": 150, "sprint-overdue": 140, "blocked-by-open": 130, "blocker-in-comments": 120, "over-committed": 90, "review-stalled": 75, "merge-lag": 70,
+    "review-gap": 70, "scope-churn": 60, "stale": 50, "unassigned": 40, "no-goal": 30, "wip-overload": 30, "comments-not-collected": 0,
+}
+STUCK = [
+    "blocked", "blocker", "blocking", "waiting on", "waiting for", "wait for", "on hold", "cannot proceed", "can't proceed", "cant proceed", "stuck", "no response", "chasing", "chased", "escalat", "dependency on", "depends on",
+    "need a decision", "needs a decision", "need approval", "needs approval", "awaiting", "not able to", "unable to progress",
+]
+FREED = ["unblocked", "no longer blocked", "resolved now", "this is done", "good to go", "sorted now"]
+BASE = f"{case('severity', SEVERITIES)} + {case('kind', KINDS)}"
 
 
 def shown(found: str, name: str) -> str:
@@ -122,8 +133,8 @@ def interventions_review(c):
     return iv.ranked(iv.on_review(rv.awaiting_review(signals, at("2024-02-01")), rv.review_metrics(signals)))
 
 
-HAS = {n: " OR ".join(f"contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}')" for w in words) for n, words in (("b", iv.BLOCKING), ("r", iv.RESOLVING))}
-PHRASE = " ".join(f"WHEN contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}') THEN '{w.replace(chr(39), chr(39) * 2)}'" for w in iv.BLOCKING)
+HAS = {n: " OR ".join(f"contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}')" for w in words) for n, words in (("b", STUCK), ("r", FREED))}
+PHRASE = " ".join(f"WHEN contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}') THEN '{w.replace(chr(39), chr(39) * 2)}'" for w in STUCK)
 
 
 #: What events say as comments on their user's thread.

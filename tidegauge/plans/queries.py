@@ -161,6 +161,22 @@ def priority_mix_by_scope(c):
     return tx.mix(tx.scopes(*_board(c), c.as_of), "priority", ("team", "scope"))
 
 
+def _scoped_mix(column: str):
+    sql = f"{SCOPED} SELECT team, scope, coalesce({column}, '(none)') AS name, {MIX}, round(count(*) / sum(count(*)) OVER (PARTITION BY team, scope), 6) AS share FROM sc GROUP BY 1, 2, 3"
+    return sql, lambda c: tx.mix(tx.scopes(*_board(c), c.as_of), column, ("team", "scope"))
+
+
+for _name, _column in (("type_mix_by_scope", "issue_type"), ("status_mix_by_scope", "status_id"), ("assignee_mix_by_scope", "assignee")):
+    _sql, _mix = _scoped_mix(_column)
+    _mix.__name__ = _name
+    query(_sql)(_mix)
+
+
+@query(f"{SCOPED}, ns AS (SELECT team, scope, count(*) n FROM sc GROUP BY 1, 2) SELECT sc.team, sc.scope, label, count(*) issues, cast(coalesce(sum(points), 0) AS bigint) points, round(count(*) / any_value(ns.n), 6) AS share FROM sc JOIN issue_label l ON l.team = sc.team AND l.key = sc.key JOIN ns ON ns.team = sc.team AND ns.scope = sc.scope GROUP BY 1, 2, 3")
+def label_mix_by_scope(c):
+    return tx.label_mix(tx.scopes(*_board(c), c.as_of), c.issue_label, ("team", "scope"))
+
+
 @query("kids AS (SELECT team, parent_key key, count(*) children, count(*) FILTER (WHERE category = 'Done') children_done FROM issue WHERE parent_key IS NOT NULL GROUP BY 1, 2) SELECT team, row_number() OVER (PARTITION BY team ORDER BY (children = children_done AND category <> 'Done') DESC, children - children_done DESC, children DESC, pos) AS rank, key, children, children_done, children = children_done AND category <> 'Done' AS stalled FROM kids JOIN issue USING (team, key) QUALIFY rank <= 15")
 def subtask_parents(c):
     return tx.subtask_parents(c.issue)
@@ -185,26 +201,61 @@ def flagged_register(c):
     return tx.flagged_register(*_board(c), c.as_of)
 
 
-EPICS = f"""{ACTIVE}, held AS (SELECT a.team, a.key FROM issue a JOIN issue b ON b.team = a.team AND b.key = a.blocked_by AND b.category <> 'Done' WHERE a.category <> 'Done'),
-ep AS (SELECT i.team, coalesce(i.epic_key, '(no epic)') epic, count(*) issues, cast(coalesce(sum(i.points), 0) AS bigint) points, count(*) FILTER (WHERE i.category = 'Done') done_issues, count(act.key) active_issues, cast(coalesce(sum(act.points), 0) AS bigint) active_points,
- count(*) FILTER (WHERE i.in_backlog) backlog_issues, count(*) FILTER (WHERE i.category <> 'Done' AND (i.flagged OR held.key IS NOT NULL)) blocked, count(*) FILTER (WHERE i.category <> 'Done' AND sprint_count >= 3) carried, count(DISTINCT i.assignee) FILTER (WHERE i.category <> 'Done') people,
- round(max({days('i.created', AS_OF)}) FILTER (WHERE i.category <> 'Done'), 6) oldest_open_days, round(count(*) FILTER (WHERE i.category = 'Done') / count(*), 6) progress
- FROM issue i LEFT JOIN act ON act.team = i.team AND act.key = i.key LEFT JOIN held ON held.team = i.team AND held.key = i.key LEFT JOIN cnt ON cnt.team = i.team AND cnt.key = i.key GROUP BY 1, 2)"""
+#: Customers' first orders that are urgent stand for listed epics.
+LISTED = "lst AS (SELECT team, key AS epic, 'Epic ' || key AS name, category = 'Done' AS done FROM issue WHERE priority = '1-URGENT' AND parent_key IS NULL)"
+
+
+def _listed(c):
+    rows = c.issue.where("priority = '1-URGENT' and parent_key is null")
+    return rows.select("team", F.col("key").alias("epic"), F.concat(F.lit("Epic "), "key").alias("name"), (F.col("category") == "Done").alias("done"))
+
+
+#: Half of the issues have no epic of their own and may be under a listed one.
+HALF = "hf AS (SELECT i.* REPLACE (CASE WHEN pos % 2 = 0 THEN epic_key END AS epic_key) FROM issue i)"
+
+
+def _half(c):
+    return c.issue.withColumn("epic_key", F.when(F.col("pos") % 2 == 0, F.col("epic_key")))
+
+
+EPIC_FIGURES = f"""count(*) issues, cast(coalesce(sum(i.points), 0) AS bigint) points, count(*) FILTER (WHERE i.category = 'Done') done_issues, count(act.key) active_issues, cast(coalesce(sum(act.points), 0) AS bigint) active_points, count(*) FILTER (WHERE act.category = 'Done') active_done,
+ count(*) FILTER (WHERE i.in_backlog) backlog_issues, cast(coalesce(sum(i.points) FILTER (WHERE i.in_backlog), 0) AS bigint) backlog_points, count(*) FILTER (WHERE i.in_backlog AND i.category = 'Done') backlog_done, count(*) FILTER (WHERE i.category <> 'Done' AND (i.flagged OR held.key IS NOT NULL)) blocked,
+ count(*) FILTER (WHERE i.category <> 'Done' AND sprint_count >= 3) carried, count(DISTINCT i.assignee) FILTER (WHERE i.category <> 'Done') people, round(max({days('i.created', AS_OF)}) FILTER (WHERE i.category <> 'Done'), 6) oldest_open_days, round(count(*) FILTER (WHERE i.category = 'Done') / count(*), 6) progress"""
+EPICS = f"""{ACTIVE}, {LISTED}, {HALF}, held AS (SELECT a.team, a.key FROM issue a JOIN issue b ON b.team = a.team AND b.key = a.blocked_by AND b.category <> 'Done' WHERE a.category <> 'Done'),
+hi AS (SELECT h.*, CASE WHEN h.epic_key IS NOT NULL THEN h.epic_key WHEN p.epic IS NOT NULL THEN p.epic ELSE '(no epic)' END epic FROM hf h LEFT JOIN lst p ON p.team = h.team AND p.epic = h.parent_key WHERE NOT EXISTS (SELECT 1 FROM lst s WHERE s.team = h.team AND s.epic = h.key)),
+ep0 AS (SELECT i.team, i.epic, {EPIC_FIGURES} FROM hi i LEFT JOIN act ON act.team = i.team AND act.key = i.key LEFT JOIN held ON held.team = i.team AND held.key = i.key LEFT JOIN cnt ON cnt.team = i.team AND cnt.key = i.key GROUP BY 1, 2),
+ep AS (SELECT e.*, coalesce(l.name, e.epic) AS name, coalesce(l.done, false) epic_done, l.name IS NOT NULL OR e.epic = '(no epic)' name_known FROM ep0 e LEFT JOIN lst l ON l.team = e.team AND l.epic = e.epic)"""
+
+
+def _epics(c):
+    return tx.epic_rollup(_half(c), *_board(c)[1:], c.as_of, _listed(c))
 
 
 @query(f"{EPICS} SELECT * FROM ep")
 def epic_rollup(c):
-    return tx.epic_rollup(*_board(c), c.as_of)
+    return _epics(c)
+
+
+@query(f"{EPICS} SELECT team, epic, active_issues, row_number() OVER (PARTITION BY team ORDER BY active_issues DESC, active_points DESC, backlog_issues DESC, epic) AS rank FROM ep WHERE active_issues > 0 AND epic <> '(no epic)'")
+def active_epics(c):
+    return tx.ranked_epics(_epics(c), "active").select("team", "epic", "active_issues", "rank")
 
 
-@query(f"{EPICS} SELECT team, count(*) epics, arg_min(epic, r) largest, round(max(active_issues) / sum(active_issues), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY active_issues DESC, active_points DESC, backlog_issues DESC, epic) r FROM ep WHERE active_issues > 0) GROUP BY team")
+@query(f"{EPICS} SELECT team, epic, backlog_issues, row_number() OVER (PARTITION BY team ORDER BY active_issues DESC, active_points DESC, backlog_issues DESC, epic) AS rank FROM ep WHERE backlog_issues > 0 AND epic <> '(no epic)'")
+def backlog_epics(c):
+    return tx.ranked_epics(_epics(c), "backlog").select("team", "epic", "backlog_issues", "rank")
+
+
+@query(f"{EPICS} SELECT team, count(*) epics, arg_min(epic, r) largest, round(max(active_issues) / sum(active_issues), 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY active_issues DESC, active_points DESC, backlog_issues DESC, epic) r FROM ep WHERE active_issues > 0 AND epic <> '(no epic)') GROUP BY team")
 def sprint_focus(c):
-    return tx.sprint_focus(tx.epic_rollup(*_board(c), c.as_of))
+    return tx.sprint_focus(_epics(c))
 
 
-@query(f"{EPICS} SELECT epic, count(*) teams, cast(sum(issues) AS bigint) issues, cast(sum(done_issues) AS bigint) done_issues, cast(sum(active_issues) AS bigint) active_issues, cast(sum(backlog_issues) AS bigint) backlog_issues, count(*) > 1 cross_team FROM ep GROUP BY epic")
+@query(f"""{EPICS}, es AS (SELECT epic, count(*) teams, {', '.join(f'cast(sum({x}) AS bigint) {x}' for x in ('issues', 'done_issues', 'active_issues', 'backlog_issues', 'blocked', 'carried'))}, cast(sum(active_issues - active_done) AS bigint) active_open, cast(sum(backlog_issues - backlog_done) AS bigint) backlog_open,
+ max(oldest_open_days) oldest_open_days, string_agg(team, ',' ORDER BY issues DESC, team) team_list FROM ep WHERE epic <> '(no epic)' GROUP BY epic)
+SELECT *, greatest(0, issues - done_issues - active_open - backlog_open) open_elsewhere, round(done_issues / issues, 6) progress, teams > 1 cross_team FROM es""")
 def estate_epics(c):
-    return tx.estate_epics(tx.epic_rollup(*_board(c), c.as_of))
+    return tx.estate_epics(_epics(c))
 
 
 @query(f"""{ACTIVE}, cm AS (SELECT team, status_id, arg_min(col, col_pos) claimed FROM board_column GROUP BY 1, 2), has AS (SELECT DISTINCT team FROM board_column),
@@ -220,36 +271,52 @@ def wip_per_person(c):
     return tx.wip_per_person(*_board(c))
 
 
-FIND = [("unestimated-in-sprint", "o AND points IS NULL", "open"), ("unassigned-in-sprint", "o AND assignee IS NULL", "open"), ("flagged-blocked", "o AND flagged", "open"), ("stale-in-progress", f"category = 'In Progress' AND {days('updated', AS_OF)} >= 10", "open"), ("carried-three-plus-sprints", "o AND sprint_count >= 3", "open"), ("due-before-sprint-start", "o AND due < s0", "open"), ("created-after-sprint-start", "created > s0", "all")]
-FINDS = " UNION ALL ".join(f"SELECT team, '{c}' code, count(*) FILTER (WHERE {t}) n, {'count(*) FILTER (WHERE o)' if w == 'open' else 'count(*)'} out_of FROM ins GROUP BY team" for c, t, w in FIND)
+FIND = [
+    ("unestimated-in-sprint", "high", "o AND points IS NULL"), ("unassigned-in-sprint", "medium", "o AND assignee IS NULL"), ("flagged-blocked", "medium", "o AND flagged"), ("stale-in-progress", "high", f"here AND category = 'In Progress' AND {days('updated', AS_OF)} >= 10"),
+    ("carried-three-plus-sprints", "high", "o AND sprint_count >= 3"), ("due-before-sprint-start", "medium", "o AND due < s0"), ("created-after-sprint-start", "medium", "here AND created > s0"), ("done-without-resolution-date", "medium", "category = 'Done' AND resolved IS NULL"),
+]
+POOL = {"created-after-sprint-start": "here", "done-without-resolution-date": "true"}
+FINDS = " UNION ALL ".join(f"SELECT team, '{c}' code, '{v}' severity, count(*) FILTER (WHERE {t}) n, count(*) FILTER (WHERE {POOL.get(c, 'o')}) out_of, array_to_string(list_slice(list(key ORDER BY pos) FILTER (WHERE {t}), 1, 5), ',') examples FROM ins GROUP BY team" for c, v, t in FIND)
+LATEST = "lat AS (SELECT team, sprint_id, start_ts s0, goal FROM sprint WHERE state = 'active' QUALIFY row_number() OVER (PARTITION BY team ORDER BY start_ts DESC, sprint_id) = 1)"
 
 
-@query(f"""{ACTIVE}, lat AS (SELECT team, sprint_id, start_ts s0, goal FROM sprint WHERE state = 'active' QUALIFY row_number() OVER (PARTITION BY team ORDER BY start_ts DESC, sprint_id) = 1),
-ins AS (SELECT i.*, s0, sprint_count, category <> 'Done' o FROM issue i JOIN issue_sprint m USING (team, key) JOIN lat ON lat.team = m.team AND lat.sprint_id = m.sprint_id JOIN cnt ON cnt.team = i.team AND cnt.key = i.key)
-SELECT * FROM ({FINDS} UNION ALL SELECT team, 'done-without-resolution-date', count(*) FILTER (WHERE category = 'Done' AND resolved IS NULL), count(*) FROM issue GROUP BY team UNION ALL SELECT team, 'multiple-active-sprints', count(*), count(*) FROM sprint WHERE state = 'active' GROUP BY team HAVING count(*) > 1
-UNION ALL SELECT team, 'sprint-goal-missing', 1, 1 FROM lat WHERE goal IS NULL UNION ALL SELECT team, 'no-board-columns', 1, 1 FROM teams WHERE team NOT IN (SELECT team FROM board_column)) WHERE n > 0""")
+@query(f"""{ACTIVE}, {LATEST}, hr AS (SELECT m.team, m.key, s0 FROM issue_sprint m JOIN lat ON lat.team = m.team AND lat.sprint_id = m.sprint_id),
+ins AS (SELECT i.*, s0, sprint_count, hr.key IS NOT NULL here, hr.key IS NOT NULL AND category <> 'Done' o FROM issue i LEFT JOIN hr ON hr.team = i.team AND hr.key = i.key LEFT JOIN cnt ON cnt.team = i.team AND cnt.key = i.key)
+SELECT * FROM ({FINDS} UNION ALL SELECT team, 'multiple-active-sprints', 'high', count(*), NULL, '' FROM sprint WHERE state = 'active' GROUP BY team HAVING count(*) > 1
+UNION ALL SELECT team, 'sprint-goal-missing', 'medium', 1, NULL, '' FROM lat WHERE goal IS NULL UNION ALL SELECT team, 'no-board-columns', 'medium', 1, NULL, '' FROM teams WHERE team NOT IN (SELECT team FROM board_column)
+UNION ALL SELECT team, 'story-points-split-across-fields', 'high', count(DISTINCT points_field), NULL, '' FROM issue GROUP BY team HAVING count(DISTINCT points_field) > 1) WHERE n > 0""")
 def quality_findings(c):
     return tx.quality_findings(*_board(c), c.teams, c.board_column, c.as_of)
 
 
+@query(f"{ACTIVE}, {LATEST} SELECT i.team, count(*) issues, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM issue_sprint m JOIN lat ON lat.team = m.team AND lat.sprint_id = m.sprint_id WHERE m.team = i.team AND m.key = i.key)) in_active_sprint, count(*) FILTER (WHERE in_backlog) in_backlog, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM issue_sprint m WHERE m.team = i.team AND m.key = i.key)) ever_in_a_sprint FROM issue i GROUP BY i.team")
+def quality_counts(c):
+    return tx.quality_counts(*_board(c))
+
+
 def _item(t, v):
     return f"CASE WHEN {t} THEN {v} ELSE 0 END"
 
 
 OVER, IDLE = days("due", AS_OF), days("updated", AS_OF)
-REASONS = [("blocked", "flagged", "100"), ("blocked-by", "held.key IS NOT NULL", "70"), ("overdue", f"{OVER} > 0", f"least(90, 10 + {OVER} * 3)"), ("carried", "sprint_count >= 3", "sprint_count * 10"), ("stale", f"category = 'In Progress' AND {IDLE} >= 10", f"least(60, {IDLE})"), ("unestimated", "points IS NULL", "5"), ("unassigned", "assignee IS NULL", "15")]
-ITEMS = f"""{EPICS}, items AS (SELECT act.team, act.key, array_to_string(list_filter([{', '.join(f"CASE WHEN {t} THEN '{n}' END" for n, t, _ in REASONS)}], lambda x: x IS NOT NULL), ',') reasons, round(cast({' + '.join(_item(t, v) for _, t, v in REASONS)} AS double), 6) weight, sprint_count
+REASONS = [("blocked", "flagged", "100"), ("blocked-by", "held.key IS NOT NULL", "70"), ("commented-blocked", "act.pos % 31 = 0 AND NOT flagged", "60"), ("overdue", f"{OVER} > 0", f"least(90, 10 + {OVER} * 3)"), ("carried", "sprint_count >= 3", "sprint_count * 10"), ("stale", f"category = 'In Progress' AND {IDLE} >= 10", f"least(60, {IDLE})"), ("unestimated", "points IS NULL", "5"), ("unassigned", "assignee IS NULL", "15")]
+#: Some issues are said to be blocked in their comments.
+ITEMS = f"""{ACTIVE}, held AS (SELECT a.team, a.key FROM issue a JOIN issue b ON b.team = a.team AND b.key = a.blocked_by AND b.category <> 'Done' WHERE a.category <> 'Done'), items AS (SELECT act.team, act.key, array_to_string(list_filter([{', '.join(f"CASE WHEN {t} THEN '{n}' END" for n, t, _ in REASONS)}], lambda x: x IS NOT NULL), ',') reasons, round(cast({' + '.join(_item(t, v) for _, t, v in REASONS)} AS double), 6) weight, sprint_count
 FROM act JOIN cnt ON cnt.team = act.team AND cnt.key = act.key LEFT JOIN held ON held.team = act.team AND held.key = act.key WHERE category <> 'Done')"""
 
 
+def _items(c):
+    return tx.attention_items(*_board(c), c.as_of, told=c.issue.where("pos % 31 = 0"))
+
+
 @query(f"{ITEMS} SELECT * FROM items WHERE reasons <> ''")
 def attention_items(c):
-    return tx.attention_items(*_board(c), c.as_of)
+    return _items(c)
 
 
 @query(f"{ITEMS}, t AS (SELECT team, key, weight, row_number() OVER (PARTITION BY team ORDER BY weight DESC, key) turn, max(weight) OVER (PARTITION BY team) most FROM items WHERE reasons <> '') SELECT team, key, weight, turn FROM t ORDER BY turn, most DESC, team LIMIT 30")
 def interventions_ranked(c):
-    return tx.round_robin(tx.attention_items(*_board(c), c.as_of), 30)
+    return tx.round_robin(_items(c), 30)
 
 
 #: Each team's days, and the sprints that are active on its last one.

@@ -27,7 +27,7 @@ base AS (
 issue AS (
   SELECT team, key_ AS key, k AS pos, CASE k % 5 WHEN 0 THEN 'Bug' WHEN 1 THEN 'Task' ELSE 'Story' END issue_type, concat(os, '-', substring(pr, 1, 1)) status_id, cat AS category, created,
     CASE WHEN cat = 'Done' AND k % 17 <> 0 THEN mx END resolved, least(coalesce(mx, created), cast('$AS_OF' AS $TS)) updated, created + INTERVAL '90' DAY due,
-    CASE WHEN k % 7 <> 0 THEN n END points, pr AS priority, epic AS epic_key, CASE WHEN b.k % 11 <> 0 THEN s.s_name END assignee, k % 13 = 0 AS flagged, cat <> 'Done' AND k % 3 = 0 AS in_backlog,
+    CASE WHEN k % 7 <> 0 THEN n END points, CASE WHEN k % 7 <> 0 THEN CASE WHEN team = 'BUILDING' AND k % 3 = 0 THEN 'f2' ELSE 'f1' END END points_field, pr AS priority, epic AS epic_key, CASE WHEN b.k % 11 <> 0 THEN s.s_name END assignee, k % 13 = 0 AS flagged, cat <> 'Done' AND k % 3 = 0 AS in_backlog,
     CASE WHEN head <> k THEN concat(upper(substring(team, 1, 3)), '-', cast(head AS $STR)) END parent_key,
     CASE WHEN pr = '1-URGENT' AND prev IS NOT NULL THEN concat(upper(substring(team, 1, 3)), '-', cast(prev AS $STR)) END blocked_by
   FROM base b LEFT JOIN {supplier} s ON s.s_suppkey = b.ms),
