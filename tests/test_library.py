@@ -83,10 +83,17 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.read(spark, root, up_to="2026-09-01").count() == 1 and snapshots.read(spark, root, "none").count() == 0
     assert snapshots.issue_sprints(snapshots.issues(boards)).count() == 4 and snapshots.board_columns(boards).count() == 4
     assert {(r.state, r.goal) for r in snapshots.sprints(boards).collect()} == {("active", None)}
-    snapshots.write(boards, root, "2026-09-02", "boards")
-    with pytest.raises(Exception, match="(?i)exists"):
-        snapshots.write(boards, root, "2026-09-02", "boards")
-    snapshots.write(boards, root, "2026-09-02", "boards", force=True)
+    one = snapshots.read_day(spark, root, "2026-09-02")
+    for day in ("2026-09-01", "2026-09-02"):
+        with pytest.raises(FileExistsError):
+            snapshots.write(one, root, day, "jira")
+    snapshots.write(one, root, "2026-09-01", "jira", force=True)
+    assert not (tmp_path / "2026-09-01" / "jira.json.gz").exists() and [r.points for r in snapshots.issues(snapshots.read(spark, root)).collect()] == [3.0, 3.0]
+    snapshots.write(one, root, "2026-09-05", "jira")
+    assert snapshots.last_day(spark, root) == "2026-09-05" and snapshots.last_day(spark, root, before="2026-09-05") == "2026-09-02" and snapshots.last_day(spark, root, before="2026-09-01") is None
+    with pytest.raises(ValueError, match="one row"):
+        snapshots.write(snapshots.read(spark, root), root, "2026-09-06", "jira")
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_writing")]
 
 
 def test_stream_keeps_each_entry_once(spark, tmp_path):

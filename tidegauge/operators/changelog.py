@@ -43,8 +43,11 @@ def needing_fetch(issue: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def merge_entries(existing: DataFrame, fetched: DataFrame, key: str = "entry_id") -> DataFrame:
-    """Append-only: an entry that is there stays as it is."""
-    return existing.unionByName(fetched.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(*existing.columns))
+    """Append-only: an entry that is there stays as it is. Of copies that were fetched and
+    differ, the least counts, in the order of their columns."""
+    rest = [c for c in existing.columns if c != key]
+    once = fetched.groupBy(key).agg(F.min(F.struct(*rest)).alias("m")).select(key, "m.*") if rest else fetched.select(key).distinct()
+    return existing.unionByName(once.join(existing.select(key), key, "left_anti").select(*existing.columns))
 
 
 def carry_forward(collected: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -52,9 +55,12 @@ def carry_forward(collected: DataFrame, existing: DataFrame, key: str) -> DataFr
     return collected.unionByName(existing.join(collected.select(key).distinct(), key, "left_anti").select(*collected.columns))
 
 
-def diff_findings(before: DataFrame, after: DataFrame) -> DataFrame:
+def diff_findings(before: DataFrame | None, after: DataFrame) -> DataFrame:
     """Findings by identity as new, escalated, eased, unchanged or cleared; a higher
-    severity number is worse."""
+    severity number is worse. Without a day before (None) there is no news: all are
+    unchanged."""
+    if before is None:
+        return after.select("identity", F.lit(None).cast(after.schema["severity"].dataType).alias("was"), F.col("severity").alias("now"), F.lit("unchanged").alias("kind"))
     j = before.select("identity", F.col("severity").alias("was")).join(after.select("identity", "severity"), "identity", "full")
     kind = F.when(F.col("was").isNull(), "new").when(F.col("severity").isNull(), "cleared").when(F.col("severity") > F.col("was"), "escalated").when(F.col("severity") < F.col("was"), "eased").otherwise("unchanged")
     return j.select("identity", "was", F.col("severity").alias("now"), kind.alias("kind"))
@@ -67,3 +73,42 @@ def next_state(state: DataFrame, today: DataFrame) -> DataFrame:
     j = today.join(state.select("identity", F.col("severity").alias("was"), "sends"), "identity", "left")
     severity = F.when(F.col("sent") | F.col("was").isNull(), F.col("severity")).otherwise(F.col("was"))
     return j.select("identity", severity.alias("severity"), (F.coalesce("sends", F.lit(0)) + F.col("sent").cast("int")).cast("long").alias("sends"))
+
+
+#: Changes in the order in which they are told.
+TOLD = {"new": 0, "escalated": 0, "eased": 1, "cleared": 1, "unchanged": 2}
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """How many findings changed in each way; ways that none took are there with zero."""
+    kinds = changes.sparkSession.createDataFrame([(k,) for k in TOLD], "kind string")
+    return kinds.join(changes.groupBy("kind").agg(F.count("*").alias("n")), "kind", "left").fillna(0)
+
+
+def advance_seen(seen: DataFrame, asked: DataFrame, failed: DataFrame) -> DataFrame:
+    """When each key's log was read last, after a run that asked for asked(key, updated). A
+    key that failed keeps its time, so that it is asked for again; one that was read moves
+    on even if it had no entries."""
+    done = asked.join(failed.select("key"), "key", "left_anti").groupBy("key").agg(F.max("updated").alias("now"))
+    j = seen.join(done, "key", "full")
+    return j.select("key", F.greatest("seen", "now").alias("seen"))
+
+
+def targets(needed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ids under which needed(key, pos) are asked for, in the order in which they are
+    needed; keys without an id are left out."""
+    return needed.join(ids.select("key", "id"), "key").select("pos", "key", "id")
+
+
+def resolve_ids(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """rows(id, name) with the id that counts: their own, else the only one of their name in
+    index(name, ids, id), else none; how says which."""
+    j = rows.join(index.select("name", F.col("id").alias("named")), "name", "left")
+    own = F.nullif(F.trim("id"), F.lit(""))
+    how = F.when(own.isNotNull(), "id").when(F.col("named").isNotNull(), "name").otherwise("unresolved")
+    return j.withColumn("resolved", F.coalesce(own, F.col("named").cast("string"))).withColumn("how", how).drop("named")
+
+
+def resolution_stats(resolved: DataFrame) -> DataFrame:
+    """How many states were resolved by their id, by their name, or not at all."""
+    return resolved.agg(*(F.count_if(F.col("how") == h).alias(n) for h, n in (("id", "by_id"), ("name", "by_name"), ("unresolved", "unresolved"))))

@@ -58,7 +58,7 @@ def roster_totals(members: DataFrame, issue, issue_sprint, sprint) -> DataFrame:
 def estate_people(members: DataFrame, mr: DataFrame, given: DataFrame) -> DataFrame:
     """People over all boards. Issue counts add up over boards; points do not, since boards
     size work by scales of their own. Merge requests count once, whichever board has them."""
-    once = mr.dropDuplicates(["mr"]).where(~F.col("bot") & (F.trim("author") != ""))
+    once = mr.groupBy("mr").agg(F.min(F.struct("author", "bot", "merged", "reviewed")).alias("m")).select("mr", "m.*").where(~F.col("bot") & (F.trim("author") != ""))
     own = once.groupBy(name_key("author").alias("person")).agg(F.count("*").alias("authored"), count_if(F.col("merged").isNotNull()).alias("merged"), count_if(F.col("merged").isNotNull() & ~F.col("reviewed")).alias("merged_unreviewed"))
     reviews = given.where(F.trim("person") != "").groupBy(name_key("person").alias("person")).agg(F.count_distinct("mr").alias("reviews_given"))
     forge = own.join(reviews, "person", "full").withColumn("on_forge", F.lit(True))

@@ -62,6 +62,14 @@ def _signals(author: Column, said: Column, approved: Column, approval_at: Column
     )
 
 
+def latest(raw: DataFrame) -> DataFrame:
+    """Of rows that share an id the one updated last; of equal ones the one whose JSON comes
+    first, so that it is the same in every run."""
+    text = F.to_json(F.struct(*raw.columns))
+    rows = raw.select("id", F.struct(*(c for c in raw.columns if c != "id")).alias("r"), F.struct(F.coalesce(instant("updated_at"), F.lit("0001-01-01").cast("timestamp")), F.xxhash64(text)).alias("at"))
+    return rows.groupBy("id").agg(F.max_by("r", "at").alias("r")).select("id", "r.*")
+
+
 def merge_requests(raw: DataFrame, bots: list[str], keep_people: bool = True, known: list[str] | None = None) -> DataFrame:
     """One row for each merge request id, with its review signals."""
     notes = F.col("notes")
@@ -71,7 +79,7 @@ def merge_requests(raw: DataFrame, bots: list[str], keep_people: bool = True, kn
     ok_at = F.transform(F.filter(notes, lambda s: system(s) & F.coalesce(s["body"].rlike(r"(?i)\bapproved this\b"), F.lit(False))), pair)
     approved = F.filter(F.transform("approved_by", lambda a: a["user"]), lambda u: u.isNotNull())
     who = F.when(F.lit(keep_people), F.col("by.name"))
-    return raw.dropDuplicates(["id"]).withColumnRenamed("author", "by").select(
+    return latest(raw).withColumnRenamed("author", "by").select(
         F.col("id").alias("mr"), F.substring_index("references.full", "!", 1).alias("project"), "title", "state", F.coalesce("draft", "work_in_progress", F.lit(False)).alias("draft"), instant("created_at").alias("created"), instant("merged_at").alias("merged"), instant("closed_at").alias("closed"),
         F.col("source_branch").alias("branch"), who.alias("author"), _keys(F.col("title"), F.col("source_branch"), known).alias("issue_keys"), "web_url", _signals(F.col("by"), said, approved, ok_at, bots, keep_people, "username").alias("review"),
     )
@@ -88,7 +96,7 @@ def pull_requests(raw: DataFrame, bots: list[str], keep_people: bool = True, kno
     ok_at = F.transform(oks, lambda s: F.struct(s["submitted_at"].alias("at"), s["user"].alias("user")))
     state = F.when(F.col("merged_at").isNotNull(), "merged").when(F.col("state") == "open", "opened").otherwise("closed")
     who = F.when(F.lit(keep_people), F.coalesce("user.name", "user.login"))
-    return raw.dropDuplicates(["id"]).select(
+    return latest(raw).select(
         F.col("id").alias("mr"), F.col("repo").alias("project"), "title", state.alias("state"), F.coalesce("draft", F.lit(False)).alias("draft"), instant("created_at").alias("created"), instant("merged_at").alias("merged"), instant("closed_at").alias("closed"),
         F.col("head.ref").alias("branch"), who.alias("author"), _keys(F.col("title"), F.col("head.ref"), known).alias("issue_keys"), F.col("html_url").alias("web_url"), _signals(author, said, approved, ok_at, bots, keep_people, "login").alias("review"),
     )

@@ -7,9 +7,11 @@ null; an empty array stays apart from a null one.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 PERSON = "struct<accountId:string,displayName:string,email:string>"
 COMMENT = f"struct<id:string,author:{PERSON},created:string,updated:string,body:string,truncated:boolean>"
@@ -17,6 +19,9 @@ ISSUE = f"struct<key:string,id:string,issueType:string,summary:string,descriptio
 SPRINT = "struct<id:bigint,name:string,state:string,goal:string,startDate:string,endDate:string,completeDate:string>"
 TEAM = f"struct<key:string,boardId:bigint,boardName:string,boardType:string,columns:array<struct<name:string,statusIds:array<string>>>,sprints:array<{SPRINT}>,issues:array<{ISSUE}>,epics:array<struct<id:bigint,key:string,name:string,summary:string,done:boolean>>,errors:array<string>>"
 BOARDS = f"schemaVersion int, source string, site string, capturedAt string, individualAttribution boolean, teams array<{TEAM}>"
+SIGNALS = f"struct<authorIsAutomation:boolean,firstHumanCommentAt:string,firstAutomatedCommentAt:string,humanCommentCount:bigint,automatedCommentCount:bigint,humanCommenters:array<{PERSON}>,authorCommentCount:bigint,firstHumanApprovalAt:string,firstAutomatedApprovalAt:string,humanApprovalCount:bigint,automatedApprovalCount:bigint,humanApprovals:array<{PERSON}>,reviewerCount:bigint,error:string>"
+REQUEST = f"struct<id:bigint,iid:bigint,projectPath:string,title:string,state:string,draft:boolean,createdAt:string,mergedAt:string,closedAt:string,sourceBranch:string,author:{PERSON},issueKeys:array<string>,webUrl:string,review:{SIGNALS}>"
+REQUESTS = f"schemaVersion int, source string, capturedAt string, windowDays int, individualAttribution boolean, teams array<struct<key:string,groups:array<string>,mergeRequests:array<{REQUEST}>,errors:array<string>>>"
 DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 
 
@@ -51,9 +56,91 @@ def read(spark: SparkSession, root: str, name: str = "jira", schema: str = BOARD
     return rows.withColumn("snapshot_date", F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})/[^/]*$", 1)))
 
 
+def last_day(spark: SparkSession, root: str, name: str = "jira", before: str | None = None) -> str | None:
+    """The latest day with the file, earlier than `before` if that is given: a day that was
+    collected without it is no day on which nothing was there. Only names are read."""
+    for day in reversed(dates(spark, root)):
+        if (before is None or day < before) and _file(spark, root, day, name):
+            return day
+    return None
+
+
+def read_day(spark: SparkSession, root: str, day: str, name: str = "jira", schema: str = BOARDS) -> DataFrame:
+    """One day's document; no rows if the day has none."""
+    file = _file(spark, root, day, name)
+    rows = spark.read.schema(schema).json(file, multiLine=True) if file else spark.createDataFrame([], schema)
+    return rows.withColumn("snapshot_date", F.lit(day).cast("date"))
+
+
 def write(df: DataFrame, root: str, day: str, name: str, force: bool = False) -> None:
-    """Write a day's table once; it is replaced only by force."""
-    df.write.mode("overwrite" if force else "errorifexists").parquet(f"{root}/{day}/{name}")
+    """Write a day's document (one row) once, in the form that read() reads. A day that has
+    it, plain or archived, is replaced only by force, and its projection with it. The new
+    file is whole before the old one goes."""
+    spark = df.sparkSession
+    old = _file(spark, root, day, name)
+    if old and not force:
+        raise FileExistsError(f"{old} exists")
+    if df.limit(2).count() != 1:
+        raise ValueError("a day's document is one row")
+    staging = f"{root}/_writing-{uuid.uuid4().hex}"
+    df.drop("snapshot_date").coalesce(1).write.json(staging)
+    fs, p = _fs(spark, staging)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    part = next(s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
+    fs.mkdirs(path(f"{root}/{day}"))
+    for end in (".json", ".json.gz") if old else ():
+        fs.delete(path(f"{root}/{day}/{name}{end}"), False)
+    fs.rename(part, path(f"{root}/{day}/{name}.json"))
+    fs.delete(p, True)
+    for t in PROJECTED if name == "jira" else ():
+        fs.delete(path(f"{root}/_projected/{t}/snapshot_date={day}"), True)
+
+
+PROJECTED = ("issues", "members", "sprints", "columns", "days")  # days last: it says that a day is done
+
+
+def _projection(boards: DataFrame) -> dict[str, DataFrame]:
+    """What the series reads of some days, without texts, comments or people."""
+    i, at = issues(boards, keep_people=False), ["snapshot_date", "team"]
+    captured = boards.select("snapshot_date", _instant("capturedAt").alias("seen"), F.explode("teams.key").alias("team"))
+    return {
+        "issues": i.select(*at, "key", "status_id", "category", "created", "resolved", "points"), "members": issue_sprints(i), "sprints": sprints(boards),
+        "columns": board_columns(boards), "days": captured.groupBy(*at).agg(F.max("seen").alias("seen")),
+    }
+
+
+def project(spark: SparkSession, root: str, up_to: str | None = None) -> list[str]:
+    """Bring the Parquet projection up to date: days that it lacks are read, once, and added,
+    each table by date. Returns these days."""
+    fs, p = _fs(spark, f"{root}/_projected/days")
+    have = {s.getPath().getName().removeprefix("snapshot_date=") for s in fs.listStatus(p)} if fs.exists(p) else set()
+    new = [d for d in dates(spark, root, up_to) if d not in have and _file(spark, root, d, "jira")]
+    if new:
+        files = [_file(spark, root, d, "jira") for d in new]
+        rows = spark.read.schema(BOARDS).json(files, multiLine=True)
+        boards = rows.withColumn("snapshot_date", F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})/[^/]*$", 1))).persist()
+        tables = _projection(boards)
+        for name in PROJECTED:
+            tables[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(f"{root}/_projected/{name}")
+        boards.unpersist()
+    return new
+
+
+def series(spark: SparkSession, root: str, up_to: str | None = None) -> dict[str, DataFrame]:
+    """The tables of operators.series over all collected days up to one: day, day_issue,
+    day_member, day_sprint, day_column. A team that a day lacks is skipped for that day."""
+    project(spark, root, up_to)
+    kinds = {n: df.schema for n, df in _projection(spark.createDataFrame([], BOARDS).withColumn("snapshot_date", F.lit(None).cast("date"))).items()}
+    fs, p = _fs(spark, f"{root}/_projected/days")
+    if not fs.exists(p):
+        tables = {n: spark.createDataFrame([], k) for n, k in kinds.items()}
+    else:
+        tables = {n: spark.read.schema(k).parquet(f"{root}/_projected/{n}").where(F.lit(up_to).isNull() | (F.col("snapshot_date") <= F.lit(up_to))) for n, k in kinds.items()}
+    number = F.row_number().over(W.partitionBy("team").orderBy("snapshot_date")) - 1  # teams by days: few rows
+    day = tables["days"].select("team", "snapshot_date", "seen").withColumn("d", number)
+    on = lambda df: df.join(day.select("team", "snapshot_date", "d"), ["team", "snapshot_date"]).drop("snapshot_date")
+    out = {f"day_{n[:-1]}": on(tables[n]) for n in ("issues", "members", "sprints", "columns")}
+    return {"day": day.withColumnRenamed("snapshot_date", "date"), **out}
 
 
 def _instant(c: str):
@@ -81,3 +168,21 @@ def board_columns(boards: DataFrame) -> DataFrame:
     """A row for each status of each column; a status that two columns claim has two."""
     t = boards.select("snapshot_date", F.explode("teams").alias("t")).select("snapshot_date", F.col("t.key").alias("team"), F.posexplode("t.columns").alias("col_pos", "c"))
     return t.select("snapshot_date", "team", "col_pos", F.col("c.name").alias("col"), F.explode("c.statusIds").alias("status_id"))
+
+
+def review_signals(requests: DataFrame) -> DataFrame:
+    """The merge requests of each team and day as operators.review takes them. Where a
+    request has no review, or its reading failed with nothing human found, it is unknown
+    whether it was reviewed; an approval that no longer stands has its time, but no count."""
+    t = requests.select("snapshot_date", F.explode("teams").alias("t")).select("snapshot_date", F.col("t.key").alias("team"), F.explode("t.mergeRequests").alias("m"))
+    r, n = F.col("m.review"), lambda c: F.coalesce(F.col(f"m.review.{c}"), F.lit(0))
+    comments, approvals = n("humanCommentCount"), n("humanApprovalCount")
+    none = (comments == 0) & (approvals == 0)
+    out = t.select(
+        "snapshot_date", "team", F.col("m.id").alias("mr"), F.nullif(F.trim("m.author.displayName"), F.lit("")).alias("author"), F.coalesce(r["authorIsAutomation"], F.lit(False)).alias("bot"), F.col("m.state").alias("state"),
+        F.coalesce("m.draft", F.lit(False)).alias("draft"), *(_instant(f"m.{a}").alias(b) for a, b in (("createdAt", "created"), ("mergedAt", "merged"))), F.coalesce(F.size("m.issueKeys") > 0, F.lit(False)).alias("keyed"),
+        *(_instant(f"m.review.{a}").alias(b) for a, b in (("firstHumanCommentAt", "first_comment"), ("firstAutomatedCommentAt", "first_bot"))), F.when(approvals > 0, _instant("m.review.firstHumanApprovalAt")).alias("standing"),
+        comments.alias("comments"), approvals.alias("approvals"), (n("automatedCommentCount") + n("automatedApprovalCount")).alias("bot_notes"), n("reviewerCount").alias("reviewers"),
+        F.when(r.isNotNull() & ~(r["error"].isNotNull() & none), ~none).alias("reviewed"), F.col("m.projectPath").alias("project"), F.col("m.title").alias("title"), F.col("m.webUrl").alias("web_url"),
+    )
+    return out.withColumn("touched", F.least("first_comment", "standing"))
