@@ -24,17 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import held, map_batches, new_path, small_batches, sorted_groups, stored, table, texts
+from .common import Steps, held, map_batches, new_path, small_batches, sorted_groups, table, texts
 from .components import components
 
 #: Bands and samples of each: a pair at the threshold shares none with a chance of 4e-7.
 BANDS, ROWS = 28, 4
 SAMPLES = BANDS * ROWS
 ODD_BITS, PARITY_BITS = 512, 2048
+#: Names that no column of the input has.
+ROW, BARE, ONCE = "__near_row", "__near_bare", "__near_once"
 #: Similarity in per cent; the odd sketch's estimate may be under it by this much.
 PERCENT, SLACK = 80, 0.25
 #: Rows of a block on either side; partners of a class by round (none: all that are left).
-LEFT, RIGHT = 256, 1024
+LEFT, RIGHT = 256, 512
 ROUNDS = (3, 24, None)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(2718)
@@ -187,47 +189,59 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> Data
     Rows that repeat a doc_id, or have none, are documents that reach each other only if
     their sets do. kept: of each component the first document, by doc_id, nulls last.
     """
-    sig, classes, own = _classed(docs, k, percent)
-    first = classes.select(F.col("id").alias("comp"), F.col("doc_id").alias("least"), F.col("row_id").alias("first"))
-    out = sig.select("doc_id", "row_id", "set_id", "n").join(stored(own.join(first, "comp"), "components"), "set_id", "left")
+    rows, own, first = _classed(docs, k, percent)
+    out = rows.join(own.join(first, "comp"), "set_id", "left")
     kept = F.coalesce(F.col("row_id") == F.col("first"), F.lit(True)).alias("kept")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), kept)
 
 
 def first_of_each(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     """Of each component of near duplicates one row of docs; rows without words all stay."""
-    sig, classes, own = _classed(docs, k, percent)
-    roots = classes.join(own.where("id = comp").select("id"), "id", "left_semi").select("row_id", F.lit(False).alias("bare"))
-    keys = stored(roots.union(sig.where("n = 0").select("row_id", F.lit(True)).distinct()), "kept-rows")
-    rows = docs.withColumn("row_id", _row_id()).join(keys, "row_id")
-    once = F.when(F.col("bare"), F.monotonically_increasing_id())
-    return rows.withColumn("once", once).dropDuplicates(["row_id", "once"]).select(*docs.columns)
-
-
-def _classed(docs: DataFrame, k: int, percent: int):
-    """Signatures of the rows, classes with ids of their own, and each class's component:
-    the smallest id of a class that it reaches. Ids are in the order of the classes' first
-    doc_ids, nulls last, so that class holds the component's smallest doc_id."""
+    rows, _, first = _classed(docs, k, percent)
+    roots = first.select(F.col("first").alias("row_id"), F.lit(False).alias(BARE))
+    keys = Steps(docs.sparkSession, "near").store("kept-rows", roots.union(rows.where("n = 0").select("row_id", F.lit(True)).distinct()))
+    found = docs.withColumn(ROW, _row_id()).join(keys.withColumnRenamed("row_id", ROW), ROW)
+    once = F.when(F.col(BARE), F.monotonically_increasing_id())  # rows of one digest are alike but for their other columns
+    return found.withColumn(ONCE, once).dropDuplicates([ROW, ONCE]).select(*docs.columns)
+
+
+def _classed(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, row_id, set_id and n of the rows; own: set_id, id and comp of each class, an
+    id of its component; first: of each comp the document that comes first by doc_id, nulls
+    last, and its doc_id (least)."""
+    steps = Steps(docs.sparkSession, "near")
     keyed = docs.select("doc_id", "text", _row_id().alias("row_id"))
-    sig = stored(map_batches(keyed, _signer(k), SIG), "signatures")
+    sig = steps.store("signatures", map_batches(keyed, _signer(k), SIG))
+    rows = steps.store("rows", sig.select("doc_id", "row_id", "set_id", "n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "n", "bands", "odd", "parity"))
-    first = stored(sig.where("n > 0").groupBy("set_id").agg(least.alias("m")).select("set_id", "m.*"), "first-rows")
-    ordered = first.orderBy("none", "doc_id", "row_id").withColumn("id", F.monotonically_increasing_id())
-    classes = stored(ordered.select("set_id", "id", "doc_id", "row_id", "n", "bands", "odd", "parity"), "classes")
+    classes = sig.where("n > 0").groupBy("set_id").agg(least.alias("m"))
+    classes = steps.store("classes", classes.select("set_id", F.monotonically_increasing_id().alias("id"), "m.*"))
+    steps.drop("signatures")
 
     # Round 0: each class with the smallest of each bucket, those of most shared bands first.
     spots = classes.select("id", F.explode("bands").alias("key"))
-    stars = stored(spots.groupBy("key").agg(F.min("id").alias("y"), F.max("id").alias("z")).where("y < z").select("key", "y"), "stars")
-    spots = stored(spots.join(stars.select("key", "y"), "key"), "spots")
+    stars = steps.store("stars", spots.groupBy("key").agg(F.min("id").alias("y"), F.max("id").alias("z")).where("y < z").select("key", "y"))
+    spots = steps.store("spots", spots.join(stars, "key"))
     shared = spots.where("id != y").groupBy(F.col("id").alias("x"), "y").agg(F.count("*").alias("bands"))
     best = F.row_number().over(W.partitionBy("x").orderBy(F.desc("bands"), "y"))
     pairs = shared.withColumn("r", best).where("r <= 3").select("x", "y")
-    packed = stored(map_batches(keyed.select("row_id", "text"), _packed, "row_id binary, packed binary").join(stored(classes.select("id", "row_id").join(spots.select("id").distinct(), "id"), "compared"), "row_id").dropDuplicates(["row_id"]).select("id", "packed"), "packed")
-    return sig, classes, _rounds(classes, spots.select("key", "id"), packed, pairs, k, percent)
+    wanted = steps.store("compared", classes.select("id", "row_id").join(spots.select("id").distinct(), "id"))
+    texts_of = map_batches(keyed.select("row_id", "text"), _packed, "row_id binary, packed binary").join(wanted, "row_id")
+    packed = steps.store("packed", texts_of.dropDuplicates(["row_id"]).select("id", "packed"))
+    steps.drop("stars", "compared")
+    own = _rounds(classes, spots.select("key", "id"), packed, pairs, k, percent)
+    steps.drop("spots", "packed")
+    first = classes.join(own, "id").groupBy("comp").agg(F.min(F.struct("none", "doc_id", "row_id")).alias("m"))
+    first = steps.store("first", first.select("comp", F.col("m.doc_id").alias("least"), F.col("m.row_id").alias("first")))
+    own = steps.store("own", classes.select("id", "set_id").join(own, "id").select("set_id", "comp"))
+    steps.drop("classes")
+    return rows, own, first
 
 
 def _rounds(classes, spots, packed, pairs, k, percent) -> DataFrame:
+    """id and comp of every class."""
     spark, links = classes.sparkSession, new_path(classes.sparkSession, "links")
+    steps = Steps(spark, "rounds")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(packed.select(F.col("id").alias("x"), F.col("packed").alias("p")), "x")
@@ -238,20 +252,32 @@ def _rounds(classes, spots, packed, pairs, k, percent) -> DataFrame:
 
     comps = confirm(pairs)
     for most in ROUNDS:
-        pairs = stored(_open_pairs(classes, spots, comps, most, percent), "pairs")
-        if not pairs.limit(1).count():
+        placed, buckets = _open_buckets(spots, comps, steps)
+        if buckets.isEmpty():
+            break
+        pairs = steps.store("pairs", _open_pairs(classes, placed, buckets, most, percent))
+        steps.drop("placed", "buckets")
+        if pairs.isEmpty():
             break
         comps = confirm(pairs)
-    return stored(classes.join(comps, "id", "left").select("set_id", "id", F.coalesce("comp", "id").alias("comp")), "own")
+        steps.drop("pairs")
+    return classes.select("id").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def _open_pairs(classes, spots, comps, most, percent) -> DataFrame:
-    """Pairs across components within buckets, as the bitmaps leave them."""
-    rows = stored(spots.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "placed")
+def _open_buckets(spots, comps, steps) -> tuple[DataFrame, DataFrame]:
+    """Where the classes lie, and the buckets that hold several components, with how their
+    rows are dealt in blocks."""
+    rows = steps.store("placed", spots.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     big = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
-    big = big.select("key", F.col("big.comp").alias("big"), F.ceil((F.col("total") - F.col("big.n")) / LEFT).cast("int").alias("nl"), F.ceil(F.col("total") / RIGHT).cast("int").alias("nr"))
-    rows = rows.join(stored(big, "open-buckets"), "key").withColumn("lone", F.col("comp") != F.col("big"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    big = big.select("key", F.col("big.comp").alias("big"), blocks(F.col("total") - F.col("big.n"), LEFT).alias("nl"), blocks(F.col("total"), RIGHT).alias("nr"))
+    return rows, steps.store("buckets", big)
+
+
+def _open_pairs(classes, placed, buckets, most, percent) -> DataFrame:
+    """Pairs across components within buckets, as the bitmaps leave them."""
+    rows = placed.join(buckets, "key").withColumn("lone", F.col("comp") != F.col("big"))
     rows = rows.join(classes.select("id", "n", "odd", "parity"), "id")
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -263,4 +289,5 @@ def _open_pairs(classes, spots, comps, most, percent) -> DataFrame:
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: one row for each row; see near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
