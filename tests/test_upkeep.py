@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tests.test_library import board
-from tidegauge.__main__ import main
+from tidegauge.__main__ import COMMANDS, main
 from tidegauge.sources import snapshots, upkeep
 
 
@@ -54,7 +54,7 @@ def test_chunks(text, most):
 
 
 def test_commands(spark, root, capsys):
-    for command in ("quality", "trends", "sprints", "load", "backlog", "epics", "coverage"):
+    for command in COMMANDS.keys() - {"review", "alert"}:
         main([command, "--data", f"file://{root}", "--json"], spark)
     out = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
     assert {r.get("code") for r in out} >= {"done-without-resolution-date", "sprint-goal-missing"}
@@ -62,6 +62,6 @@ def test_commands(spark, root, capsys):
     assert capsys.readouterr().out.split() == ["2026-05-01", "2026-09-01"]
     main(["sprints", "--data", f"file://{root}", "--date", "2026-05-01", "--team", "web"], spark)
     assert "committed_issues" in capsys.readouterr().out
-    for bad in (["quality", "--date", "2026-05-02"], ["quality", "--team", "none"], ["trends", "--window", "0"]):
+    for bad in (["quality", "--date", "2026-05-02"], ["review"], ["quality", "--team", "none"], ["trends", "--window", "0"]):
         with pytest.raises(SystemExit):
             main([*bad, "--data", f"file://{root}"], spark)

@@ -152,7 +152,7 @@ def issues(boards: DataFrame, keep_people: bool = True) -> DataFrame:
     blank strings count as missing; people are left out unless they may be kept."""
     t = boards.select("snapshot_date", F.explode("teams").alias("t")).select("snapshot_date", F.col("t.key").alias("team"), F.posexplode("t.issues").alias("pos", "i"))
     who = F.when(F.lit(keep_people), F.nullif(F.trim("i.assignee.displayName"), F.lit("")))
-    return t.select("snapshot_date", "team", F.col("i.key").alias("key"), "pos", F.col("i.issueType").alias("issue_type"), F.col("i.statusId").alias("status_id"), F.col("i.statusCategory").alias("category"), *(_instant(f"i.{a}").alias(b) for a, b in (("created", "created"), ("resolutionDate", "resolved"), ("updated", "updated"), ("dueDate", "due"))), F.col("i.storyPoints").alias("points"), F.col("i.priority").alias("priority"), F.col("i.epicKey").alias("epic_key"), who.alias("assignee"), F.coalesce("i.flagged", F.lit(False)).alias("flagged"), F.coalesce("i.inBacklog", F.lit(False)).alias("in_backlog"), F.col("i.parentKey").alias("parent_key"), F.array_sort("i.sprintIds").alias("sprint_ids"), F.col("i.blockedBy").alias("blockers"), F.col("i.comments").alias("comments"))
+    return t.select("snapshot_date", "team", F.col("i.key").alias("key"), "pos", F.col("i.issueType").alias("issue_type"), F.col("i.statusId").alias("status_id"), F.col("i.statusCategory").alias("category"), *(_instant(f"i.{a}").alias(b) for a, b in (("created", "created"), ("resolutionDate", "resolved"), ("updated", "updated"), ("dueDate", "due"))), F.col("i.storyPoints").alias("points"), F.col("i.priority").alias("priority"), F.col("i.epicKey").alias("epic_key"), F.col("i.summary").alias("summary"), F.col("i.storyPointsField").alias("points_field"), who.alias("assignee"), F.when(F.lit(keep_people), F.nullif(F.trim("i.reporter.displayName"), F.lit(""))).alias("reporter"), F.col("i.labels").alias("labels"), F.col("i.commentCount").alias("comment_count"), F.coalesce("i.flagged", F.lit(False)).alias("flagged"), F.coalesce("i.inBacklog", F.lit(False)).alias("in_backlog"), F.col("i.parentKey").alias("parent_key"), F.array_sort("i.sprintIds").alias("sprint_ids"), F.col("i.blockedBy").alias("blockers"), F.col("i.comments").alias("comments"))
 
 
 def issue_sprints(issue: DataFrame) -> DataFrame:
@@ -164,6 +164,12 @@ def sprints(boards: DataFrame) -> DataFrame:
     return s.select("snapshot_date", "team", F.col("s.id").alias("sprint_id"), F.lower("s.state").alias("state"), F.nullif(F.trim("s.goal"), F.lit("")).alias("goal"), *(_instant(f"s.{a}").alias(b) for a, b in (("startDate", "start_ts"), ("endDate", "end_ts"), ("completeDate", "complete_ts"))))
 
 
+def epics(boards: DataFrame) -> DataFrame:
+    """The epics that a board lists."""
+    e = boards.select("snapshot_date", F.explode("teams").alias("t")).select("snapshot_date", F.col("t.key").alias("team"), F.explode("t.epics").alias("e"))
+    return e.select("snapshot_date", "team", F.col("e.key").alias("epic"), F.coalesce("e.name", "e.summary").alias("name"), F.coalesce("e.done", F.lit(False)).alias("done"))
+
+
 def board_columns(boards: DataFrame) -> DataFrame:
     """A row for each status of each column; a status that two columns claim has two."""
     t = boards.select("snapshot_date", F.explode("teams").alias("t")).select("snapshot_date", F.col("t.key").alias("team"), F.posexplode("t.columns").alias("col_pos", "c"))
