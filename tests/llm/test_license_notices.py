@@ -37,3 +37,13 @@ def test_wrapped_templates(spark, width):
     got = labels(spark, texts)
     for i, (label, _) in enumerate(license_scan.TEMPLATES):
         assert label in got[i].split(","), i
+
+
+def test_whole_texts_from_a_table(spark):
+    text = "Permission is granted to use the thing.\n\nThe thing comes without any promise, and nobody answers for what it does to you or your goods."
+    table = spark.createDataFrame([("thing-1.0", text), ("thing-1.0", text), (None, "x"), ("empty", " ")], "label string, wording string")
+    templates = license_scan.templates_of(table)
+    assert templates == (("thing-1.0", text),)
+    wrapped = "code\n" + textwrap.fill(text.upper(), 30) + "\nmore"
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs(spark, [wrapped, "Permission is granted to use the thing."]), templates).collect()}
+    assert got == {0: ("thing-1.0", 1.0), 1: ("", 0.0)}

@@ -79,7 +79,6 @@ class Templates:
                     if shared >= least:
                         yield t, shared / size
 
-
     def windows(self, block: list[bytes], known: set[bytes]):
         """(template, containment) of the best window for each template that one meets."""
         ranks = {self.rank[w] for w in known if w in self.rank}
@@ -108,6 +107,19 @@ class Templates:
                 yield t, best / len(mine)
 
 
+#: Templates that a table may hold: what is broadcast grows with their words only.
+MOST_TEMPLATES = 10_000
+
+
+def templates_of(rows: DataFrame) -> tuple[tuple[str, str], ...]:
+    """Templates from a table (label, wording), such as whole license texts; rows without a
+    label or a word are left out, repeated ones count once. Larger tables are refused."""
+    found = rows.where("label is not null and wording is not null").select("label", "wording").distinct().limit(MOST_TEMPLATES + 1).collect()
+    if len(found) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return tuple(sorted((r["label"], r["wording"]) for r in found if words(r["wording"])))
+
+
 def token_frequency(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
     """In how many blocks of docs(text, ...) each token of the templates occurs."""
     wanted = frozenset(w for _, t in templates for w in words(t))
@@ -182,4 +194,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: one row for each row, repeated ids included; a null
+    text counts as empty: no words, no labels, score 0."""
     return scan(table(spark, sf_dir, "documents"))

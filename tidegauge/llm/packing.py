@@ -138,6 +138,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: pieces of every row, also of rows that repeat an id;
+    a null text counts as empty and is its end id alone."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -268,6 +268,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract query over `documents`: one row for each row; a null text counts as empty
+    and has the end id alone."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
