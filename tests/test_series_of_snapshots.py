@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from tidegauge.__main__ import main
 from tidegauge.operators import changelog as cl
 from tidegauge.operators import review as rv
 from tidegauge.operators import series as sr
@@ -67,12 +68,17 @@ def test_projection_reads_each_day_once(spark, root):
     assert snapshots.series(spark, f"{url}/none")["day"].count() == 0
 
 
-def test_review_of_snapshots(spark, tmp_path):
+def test_review_of_snapshots(spark, tmp_path, capsys):
     seen = {"authorIsAutomation": False, "humanCommentCount": 0, "automatedCommentCount": 1, "humanApprovalCount": 0, "automatedApprovalCount": 0, "reviewerCount": 0, "firstHumanApprovalAt": "2026-01-02T00:00:00Z"}
     mr = lambda i, review, **more: {"id": i, "title": "t", "state": "opened", "draft": False, "createdAt": "2026-01-01T00:00:00Z", "issueKeys": [], "review": review, **more}
-    some = [mr(1, None), mr(2, {**seen, "error": "x"}), mr(3, seen), mr(4, {**seen, "humanCommentCount": 1, "firstHumanCommentAt": "2026-01-01T06:00:00Z"}, state="merged", mergedAt="2026-01-03T00:00:00Z", issueKeys=["A-1"]), mr(5, {**seen, "authorIsAutomation": True})]
+    some = [mr(1, None), mr(2, {**seen, "error": "x"}), mr(3, seen, projectPath="g/h/q"), mr(4, {**seen, "humanCommentCount": 1, "firstHumanCommentAt": "2026-01-01T06:00:00Z"}, state="merged", mergedAt="2026-01-03T00:00:00Z", issueKeys=["A-1"], title="A-1 fix", projectPath="g/p"), mr(5, {**seen, "authorIsAutomation": True})]
     (tmp_path / "2026-01-05").mkdir()
     (tmp_path / "2026-01-05" / "gitlab.json").write_text(json.dumps({"schemaVersion": 4, "capturedAt": "2026-01-05T00:00:00Z", "teams": [{"key": "a", "mergeRequests": some}]}))
+    (tmp_path / "2026-01-05" / "jira.json").write_text(json.dumps({"schemaVersion": 4, "capturedAt": "2026-01-05T00:00:00Z", "teams": [team("a", [issue("A-1", "To Do", [5])])]}))
+    main(["review", "--data", f"file://{tmp_path}", "--json"], spark)
+    assert json.loads(capsys.readouterr().out)["by_people"] == 4
+    main(["mapping", "--data", f"file://{tmp_path}", "--json"], spark)
+    assert [(r["grp"], r.get("best"), r["verdict"]) for r in map(json.loads, capsys.readouterr().out.splitlines())] == [("g", "a", "possible"), ("g/h", None, "none")]
     m = rv.review_metrics(snapshots.review_signals(snapshots.read(spark, f"file://{tmp_path}", "gitlab", snapshots.REQUESTS))).first()
     assert (m.total, m.by_bots, m.by_people, m.known, m.reviewed, m.never_reviewed, m.awaiting, m.merged_known, m.merged_unreviewed, m.keyed) == (5, 1, 4, 2, 1, 1, 1, 1, 0, 1)
     assert (m.first_p50, m.first_basis, m.merge_p50, m.lag_basis) == (6.0, 1, 48.0, 0)

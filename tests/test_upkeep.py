@@ -33,6 +33,10 @@ def test_coverage(spark, root):
     boards = snapshots.read(spark, f"file://{root}")
     got = {(str(r.snapshot_date), r.what, r.present, r.total) for r in upkeep.coverage_gaps(boards).collect()}
     assert got == {(d, w, 0, 1) for d in ("2026-05-01", "2026-09-01") for w in ("titles", "epics")}
+    requests = spark.createDataFrame([(4, [("a", [("t", None), ("u", None)])], "2026-05-01"), (4, [("a", [("t", (1,))])], "2026-09-01"), (2, [("a", [("t", None)])], "2026-09-02")], "schemaVersion int, teams array<struct<key:string,mergeRequests:array<struct<title:string,review:struct<n:int>>>>>, snapshot_date string")
+    context = spark.createDataFrame([([("a", []), ("b", None)], "2026-05-01"), ([("a", [("1",)]), ("b", None)], "2026-09-01")], "teams array<struct<key:string,pages:array<struct<id:string>>>>, snapshot_date string")
+    more = {(str(r.snapshot_date), r.what, r.present, r.total) for r in upkeep.coverage_gaps(boards, requests, context).collect()}
+    assert more - got == {("2026-05-01", "reviews", 0, 2), ("2026-05-01", "pages", 0, 2)}
     assert not upkeep.schema_status(boards).where("behind").count()
     teams = spark.createDataFrame([("a",), ("b",)], "team string")
     assert [r.team for r in upkeep.dropped_teams(teams, teams.where("team = 'a'")).collect()] == ["b"]
@@ -54,7 +58,7 @@ def test_chunks(text, most):
 
 
 def test_commands(spark, root, capsys):
-    for command in COMMANDS.keys() - {"review", "alert"}:
+    for command in COMMANDS.keys() - {"review", "alert", "mapping"}:
         main([command, "--data", f"file://{root}", "--json"], spark)
     out = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
     assert {r.get("code") for r in out} >= {"done-without-resolution-date", "sprint-goal-missing"}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import delivery as dl
-from .operators import feed, people
+from .operators import feed, groups, people
 from .operators import review as rv
 from .operators import series as sr
 from .operators import taxonomy as tx
@@ -116,10 +116,22 @@ def alert(d: Day, a) -> DataFrame:
 
 
 def coverage(d: Day, a) -> DataFrame:
-    return upkeep.coverage_gaps(d.boards).orderBy("what")
+    day = lambda name, schema: snapshots.read_day(d.spark, d.root, d.date, name, schema)
+    return upkeep.coverage_gaps(d.boards, day("gitlab", snapshots.REQUESTS), day("context", upkeep.CONTEXT)).orderBy("what")
 
 
-COMMANDS = {f.__name__: f for f in (quality, trends, sprints, load, backlog, epics, estate, wip, attention, roster, review, history, dwell, interventions, caveats, changes, alert, coverage)}
+def mapping(d: Day, a) -> DataFrame:
+    """Boards for the groups that merge requests lie in, each group with those above it."""
+    if d.requests is None:
+        raise SystemExit(f"no merge requests were collected on {d.date}")
+    path = F.split("project", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.array_join(F.slice(path, F.lit(1), i), "/"))
+    mr = d.requests.where(F.size(path) > 1).select(F.explode(above).alias("grp"), "mr", "author", "bot", "title", "branch")
+    verdict = F.array_position(F.lit(["propose", "possible", "shared", "none"]), F.col("verdict"))
+    return groups.suggest(mr, d.issue, groups.assignees(d.issue, d.as_of)).orderBy(verdict, F.col("covered_by").isNotNull(), F.desc("key_hits"), F.desc("authors"), "grp")
+
+
+COMMANDS = {f.__name__: f for f in (quality, trends, sprints, load, backlog, epics, estate, wip, attention, roster, review, history, dwell, interventions, caveats, changes, alert, coverage, mapping)}
 
 
 def positive(text: str) -> int:

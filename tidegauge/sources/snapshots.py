@@ -189,6 +189,6 @@ def review_signals(requests: DataFrame) -> DataFrame:
         F.coalesce("m.draft", F.lit(False)).alias("draft"), *(_instant(f"m.{a}").alias(b) for a, b in (("createdAt", "created"), ("mergedAt", "merged"))), F.coalesce(F.size("m.issueKeys") > 0, F.lit(False)).alias("keyed"),
         *(_instant(f"m.review.{a}").alias(b) for a, b in (("firstHumanCommentAt", "first_comment"), ("firstAutomatedCommentAt", "first_bot"))), F.when(approvals > 0, _instant("m.review.firstHumanApprovalAt")).alias("standing"),
         comments.alias("comments"), approvals.alias("approvals"), (n("automatedCommentCount") + n("automatedApprovalCount")).alias("bot_notes"), n("reviewerCount").alias("reviewers"),
-        F.when(r.isNotNull() & ~(r["error"].isNotNull() & none), ~none).alias("reviewed"), F.col("m.projectPath").alias("project"), F.col("m.title").alias("title"), F.col("m.webUrl").alias("web_url"),
+        F.when(r.isNotNull() & ~(r["error"].isNotNull() & none), ~none).alias("reviewed"), F.col("m.projectPath").alias("project"), F.col("m.title").alias("title"), F.col("m.sourceBranch").alias("branch"), F.col("m.webUrl").alias("web_url"),
     )
     return out.withColumn("touched", F.least("first_comment", "standing"))

@@ -21,9 +21,27 @@ def schema_status(boards: DataFrame) -> DataFrame:
     return boards.select("snapshot_date", F.col("schemaVersion").alias("found"), F.lit(SCHEMA_VERSION).alias("expected"), F.coalesce(F.col("schemaVersion") < SCHEMA_VERSION, F.lit(False)).alias("behind"))
 
 
-def coverage_gaps(boards: DataFrame) -> DataFrame:
+CONTEXT = "schemaVersion int, capturedAt string, teams array<struct<key:string,pages:array<struct<id:string>>>>"
+
+
+def coverage_gaps(boards: DataFrame, requests: DataFrame | None = None, context: DataFrame | None = None) -> DataFrame:
     """What a day of the current schema was collected without: titles of issues, detail of
-    active issues (null comments; none at all) and epics of boards. Counted inside rows."""
+    active issues (null comments; none at all) and epics of boards; reviews of any merge
+    request; wiki pages of any team. Counted inside rows."""
+    found = _board_gaps(boards)
+    n = lambda a: F.coalesce(F.size(a), F.lit(0)).cast("long")
+    for df, what, items, held in (
+        (requests, "reviews", lambda t: t["mergeRequests"], lambda m: m["review"].isNotNull()),
+        (context, "pages", lambda t: F.array(t), lambda t: F.coalesce(F.size(t["pages"]), F.lit(0)) > 0),
+    ):
+        if df is not None:
+            known = df.where(F.col("schemaVersion") >= SCHEMA_VERSION - 1) if what == "reviews" else df
+            t = known.select("snapshot_date", F.explode("teams").alias("t")).select("snapshot_date", F.lit(what).alias("what"), n(F.filter(items(F.col("t")), held)).alias("present"), n(items(F.col("t"))).alias("total"))
+            found = found.unionByName(t.groupBy("snapshot_date", "what").agg(F.sum("present").alias("present"), F.sum("total").alias("total")).where("total > 0 and present = 0"))
+    return found
+
+
+def _board_gaps(boards: DataFrame) -> DataFrame:
     t = boards.where(F.col("schemaVersion") >= SCHEMA_VERSION).select("snapshot_date", F.explode("teams").alias("t")).select("snapshot_date", "t.*")
     active = F.transform(F.filter("sprints", lambda s: F.lower(s["state"]) == "active"), lambda s: s["id"])
     inside = F.filter("issues", lambda i: F.coalesce(F.arrays_overlap(i["sprintIds"], active), F.lit(False)))
