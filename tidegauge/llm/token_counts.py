@@ -92,9 +92,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
     keys = stored(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest), "keys")
     wanted = keys.select("digest").distinct()
     misses = stored(wanted.join(_read_cache(spark, path, version), "digest", "left_anti"), "misses")
-    if not misses.isEmpty():
+    missing = misses.count()
+    if missing:
         packed = map_batches(docs.select(digest, content.alias("content")), _pack, "digest binary, packed binary")
-        new = map_batches(packed.join(misses, "digest").repartition("digest"), _encoder(tokenizer, version), CACHE_SCHEMA)
+        if missing < wanted.count():  # else no text is known, and none need be left out
+            packed = packed.join(misses, "digest")
+        new = map_batches(packed.repartition("digest"), _encoder(tokenizer, version), CACHE_SCHEMA)
         with small_batches(spark):
             new.write.mode("append").partitionBy("version").parquet(path)
     own = _read_cache(spark, path, version).join(wanted, "digest", "left_semi")
