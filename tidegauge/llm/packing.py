@@ -23,6 +23,8 @@ from .common import map_batches, table, texts
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens that a task gathers before it packs, and tokens of a step group.
 BUFFER_TOKENS, GROUP_TOKENS = 4_000_000, 64 * 4096
+#: Chunks that the query's workers remember: they hold little else.
+MEMO_WORDS = 700_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -102,7 +104,7 @@ class Packer:
         return [by[t][i] for _, t, i in mixed]
 
 
-def _pack(path: str, end_id: int):
+def _pack(path: str, end_id: int, memo_words: int):
     def run(batches):
         base, packer = TaskContext.get().partitionId() << 36, Packer()
         number, done, end = 0, 0, end_id.to_bytes(4, "little")
@@ -120,7 +122,7 @@ def _pack(path: str, end_id: int):
 
         for b in batches:
             for doc_id, t in zip(b.column("doc_id").to_pylist(), texts(b)):
-                packer.add(doc_id, word_ids.ids_bytes(path, t) + end)
+                packer.add(doc_id, word_ids.ids_bytes(path, t, memo_words) + end)
                 if packer.tokens >= BUFFER_TOKENS:
                     packer.pack()
                     yield rows(packer.take())
@@ -130,11 +132,12 @@ def _pack(path: str, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, memo_words: int = word_ids.MEMO_WORDS) -> DataFrame:
     """Pieces of docs(doc_id, text, ...) in sequences of at most 4096 tokens. Null texts
     count as empty (the end id alone); rows that share a doc_id are packed each by itself.
-    No shuffle: each partition is packed where it is read; sequence ids carry its number."""
-    return map_batches(docs.select("doc_id", "text"), _pack(tokenizer, end_id), DDL)
+    No shuffle: each partition is packed where it is read; sequence ids carry its number.
+    memo_words: what a worker's memo holds; more of it costs memory and saves time."""
+    return map_batches(docs.select("doc_id", "text"), _pack(tokenizer, end_id, memo_words), DDL)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,4 +145,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     a null text counts as empty and is its end id alone."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), memo_words=MEMO_WORDS)

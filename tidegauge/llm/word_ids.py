@@ -12,8 +12,8 @@ from functools import lru_cache
 
 from .common import Memo, held
 
-#: Chunks in each generation of a worker's memo.
-MEMO_WORDS = 400_000
+#: Chunks in each generation of a worker's memo, where nothing else says so.
+MEMO_WORDS = 250_000
 #: Marks at the end of a chunk that neither compose with letters nor occur in special tokens.
 MARKS = ".,!?;:"
 
@@ -24,9 +24,9 @@ class _Ids:
     lower case of ASCII letters. (Others, such as U+0130, may end in a combining mark once
     they are normalised, which the tokenizer joins to the marks.)"""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, size: int):
         self.tokenizer, self.letters = tokenizer, {}
-        self.memo = Memo(self.ids, MEMO_WORDS)
+        self.memo = Memo(self.ids, size)
 
     def ids(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
@@ -53,8 +53,8 @@ def _tokenizer(path: str):
     return t
 
 
-def _memo(path: str) -> Memo:
-    return held(("word ids", path), lambda: _Ids(_tokenizer(path)).memo)
+def _memo(path: str, size: int) -> Memo:
+    return held(("word ids", path, size), lambda: _Ids(_tokenizer(path), size).memo)
 
 
 @lru_cache(maxsize=4)
@@ -70,11 +70,11 @@ def _splits(path: str) -> bool:
     return kinds == ["NFC", "Replace", "Lowercase"] and pre[0].get("behavior") == "Removed" and not any(c.isspace() or c in MARKS for x in tokens for c in x) and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"])
 
 
-def ids_bytes(path: str, text: str) -> bytes:
+def ids_bytes(path: str, text: str, memo_words: int = MEMO_WORDS) -> bytes:
     """The ids of text as little-endian unsigned 32-bit numbers."""
     if not _splits(path):
         return array("I", _tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
-    return b"".join(map(_memo(path).__getitem__, text.replace("\n", " ").split(" ")))
+    return b"".join(map(_memo(path, memo_words).__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=4)
