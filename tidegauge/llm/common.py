@@ -46,7 +46,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 #: What a step passes to Python at a time: long texts make batches of few rows.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextmanager

@@ -50,7 +50,7 @@ class _WordHash(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(w)
-        if len(self) < 200_000 and len(w) < 64:
+        if len(self) < 60_000 and len(w) < 64:
             self[w] = h
         return h
 

@@ -85,7 +85,7 @@ def runs(x: np.ndarray, ends: np.ndarray, base: int = 1 << 20):
 
 #: Bytes that are worked on at a time, texts of a bucket from which it is split, and bytes
 #: of a source's piece.
-CHUNK, WIDE, PIECE = 150_000, 2000, 16_384
+CHUNK, WIDE, PIECE = 64_000, 2000, 16_384
 #: Names that no column of the input has.
 NO, KEPT = "__repeats_no", "__repeats_kept"
 
