@@ -49,17 +49,20 @@ def count_if(c: Column) -> Column:
     return F.count_if(c).cast("long")
 
 
+#: Fixed value: what an issue key looks like.
+ISSUE_KEY = r"(?:^|[^A-Za-z0-9])([A-Z][A-Z0-9]*-\d+)"
+
+
 def issue_keys(*texts: Column) -> Column:
     """Distinct issue keys in the texts, sorted."""
-    found = [F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"(?:^|[^A-Za-z0-9])([A-Z][A-Z0-9]*-\d+)"), F.lit(1)) for t in texts]
+    found = [F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(ISSUE_KEY), F.lit(1)) for t in texts]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
 def collapse(s: Column) -> Column:
-    """Line breaks as middle dots, other runs of white space as one space; no dot at an end."""
-    for pattern, to in ((r"\s*\n\s*", " · "), (r"\s+", " "), (r"( ·)+", " ·")):
-        s = F.regexp_replace(s, pattern, to)
-    return F.regexp_replace(F.trim(s), r"^·\s*|\s*·$", "")
+    """The lines of a text that are not blank, joined by middle dots, with single spaces."""
+    lines = F.transform(F.split(s, "\n"), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
+    return F.array_join(F.filter(lines, lambda line: line != ""), " · ")
 
 
 def excerpt(raw: Column, most: int) -> Column:

@@ -54,6 +54,19 @@ def team_health(signals: DataFrame) -> DataFrame:
     return rows.withColumn("health", head)
 
 
+def triage(health: DataFrame) -> DataFrame:
+    """Teams in the order in which they need a look: poor ones first, then those to watch,
+    unknown and good ones; of equal ones the one with more poor signals. One row a team, so
+    one task can put them in order."""
+    from pyspark.sql import Window as W
+
+    signals = [c for c in health.columns if c not in ("team", "health")]
+    poor = sum(((F.col(c) == "poor").cast("int") for c in signals), F.lit(0))
+    tone = F.array_position(F.lit(["poor", "watch", "unknown", "good"]), F.col("health"))
+    rows = health.select("team", "health", poor.alias("poor"), tone.alias("tone"))
+    return rows.withColumn("rank", F.row_number().over(W.orderBy("tone", F.desc("poor"), "team"))).drop("tone")
+
+
 def identity(team: Column, kind: Column, key: Column, issue_keys: Column) -> Column:
     """A finding's name from day to day: its own key, or its first three issues'."""
     return F.concat_ws("|", team, kind, F.coalesce(key, F.array_join(F.slice(F.array_sort(issue_keys), 1, 3), ",")))

@@ -89,14 +89,16 @@ def _band(v: str, watch: float, poor: float, name: str) -> str:
     return f"CASE WHEN {v} IS NULL THEN 'unknown' WHEN {v} >= {poor} THEN 'poor' WHEN {v} >= {watch} THEN 'watch' ELSE 'good' END {name}"
 
 
-@query(f"""{EV}, {MEMBERS.lstrip()}, {ACTIVE}, {outlook_sql('2001-06-30')},
+HEALTH = f"""{EV}, {MEMBERS.lstrip()}, {ACTIVE}, {outlook_sql('2001-06-30')},
 rv AS (SELECT team, count(*) FILTER (WHERE NOT reviewed) / nullif(count(reviewed), 0) x FROM s2 WHERE NOT bot AND merged IS NOT NULL GROUP BY team),
 ca AS (SELECT team, round(quantile_cont(carried_out / committed_issues, 0.5) FILTER (WHERE committed_issues > 0), 6) x FROM closed GROUP BY team),
 tn AS (SELECT o.team, {_band('rv.x', 0.2, 0.4, 'review')}, {_band('ca.x', 0.25, 0.5, 'carryover')}, {_band('(unestimated / issues)', 0.2, 0.34, 'estimation')}, {_band('round((fc.p90 - fc.p10) / fc.p50, 6)', 1.0, 2.0, 'spread')}, CASE outl.verdict WHEN 'on-track' THEN 'good' WHEN 'at-risk' THEN 'watch' WHEN 'will-not-land' THEN 'poor' ELSE 'unknown' END outlook
  FROM oj o JOIN outl ON outl.team = o.team LEFT JOIN rv ON rv.team = o.team LEFT JOIN ca ON ca.team = o.team LEFT JOIN fc ON fc.team = o.team),
-co AS (SELECT *, len(list_filter([review, carryover, estimation, spread, outlook], lambda t: t = 'poor')) p, len(list_filter([review, carryover, estimation, spread, outlook], lambda t: t = 'watch')) w, len(list_filter([review, carryover, estimation, spread, outlook], lambda t: t = 'unknown')) u FROM tn)
-SELECT team, review, carryover, estimation, spread, outlook, CASE WHEN u = 5 THEN 'unknown' WHEN p >= 2 THEN 'poor' WHEN p = 1 OR w >= 2 THEN 'watch' ELSE 'good' END health FROM co""")
-def team_health(c):
+co AS (SELECT *, len(list_filter([review, carryover, estimation, spread, outlook], lambda t: t = 'poor')) p, len(list_filter([review, carryover, estimation, spread, outlook], lambda t: t = 'watch')) w, len(list_filter([review, carryover, estimation, spread, outlook], lambda t: t = 'unknown')) u FROM tn),
+he AS (SELECT team, review, carryover, estimation, spread, outlook, CASE WHEN u = 5 THEN 'unknown' WHEN p >= 2 THEN 'poor' WHEN p = 1 OR w >= 2 THEN 'watch' ELSE 'good' END health, p FROM co)"""
+
+
+def _health(c):
     load, _, outlook = _outlook(c, c.as_of)
     trends = dl.team_trends(dl.sprint_metrics(*_board(c))).select("team", F.col("carryover_median").alias("carryover"), F.col("points_spread").alias("spread"))
     review = rv.review_metrics(_review(c)[2]).select("team", F.when(F.col("merged_known") > 0, F.col("merged_unreviewed") / F.col("merged_known")).alias("review"))
@@ -104,6 +106,11 @@ def team_health(c):
     return rules.team_health(signals.join(outlook.select("team", F.col("verdict").alias("outlook")), "team", "left"))
 
 
+@query(f"{HEALTH} SELECT team, review, carryover, estimation, spread, outlook, health FROM he")
+def team_health(c):
+    return _health(c)
+
+
 LATE_OVER = days("end_ts", f"timestamp '{LATE}'")
 
 

@@ -258,10 +258,13 @@ def estate_epics(c):
     return tx.estate_epics(_epics(c))
 
 
-@query(f"""{ACTIVE}, cm AS (SELECT team, status_id, arg_min(col, col_pos) claimed FROM board_column GROUP BY 1, 2), has AS (SELECT DISTINCT team FROM board_column),
+WIP = f"""{ACTIVE}, cm AS (SELECT team, status_id, arg_min(col, col_pos) claimed FROM board_column GROUP BY 1, 2), has AS (SELECT DISTINCT team FROM board_column),
 g AS (SELECT a.team, CASE WHEN has.team IS NULL THEN a.status_id ELSE coalesce(claimed, '(not on the board)') END col, count(*) issues, cast(coalesce(sum(points), 0) AS bigint) points, count(*) FILTER (WHERE category <> 'Done' AND {days('updated', AS_OF)} >= 10) stale, {pct(days('updated', AS_OF), 0.5)} median_idle
- FROM act a LEFT JOIN cm ON cm.team = a.team AND cm.status_id = a.status_id LEFT JOIN has ON has.team = a.team GROUP BY 1, 2)
- SELECT team, col, coalesce(issues, 0) issues, coalesce(points, 0) points, coalesce(stale, 0) stale, median_idle FROM (SELECT DISTINCT team, col FROM board_column) FULL JOIN g USING (team, col)""")
+ FROM act a LEFT JOIN cm ON cm.team = a.team AND cm.status_id = a.status_id LEFT JOIN has ON has.team = a.team GROUP BY 1, 2),
+wip AS (SELECT team, col, coalesce(issues, 0) issues, coalesce(points, 0) points, coalesce(stale, 0) stale, median_idle FROM (SELECT DISTINCT team, col FROM board_column) FULL JOIN g USING (team, col))"""
+
+
+@query(f"{WIP} SELECT * FROM wip")
 def wip_by_column(c):
     return tx.wip_by_column(*_board(c), c.board_column, c.as_of)
 
@@ -593,4 +596,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import attention  # noqa: E402,F401  (adds its queries)
+from . import attention, drawn  # noqa: E402,F401  (add their queries)
