@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, media, near_dups, nearest, packing, piece_codec, repeats, secret_scan, token_counts
+from . import centroids, language_id, license_scan, media, near_dups, nearest, packing, piece_codec, repeats, secret_scan, token_counts, vector_dups
 
 
 def queries() -> dict:
@@ -17,10 +17,13 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_packing": packing.op9_packing,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_vector_dups": vector_dups.op12_vector_dups,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: tokenizers, sketches, models and byte ranges are beyond SQL. The tests hold each
-    query against brute force, the libraries, round trips or held-out accuracy."""
-    return {}
+    """Of the operators on numbers. Tokenizers, sketches, models and byte ranges are beyond
+    SQL: the tests hold each of those queries against brute force, the libraries, round trips
+    or held-out accuracy."""
+    return {"op11_centroids": centroids.op11_sql(), "op12_vector_dups": vector_dups.op12_sql()}
