@@ -121,6 +121,9 @@ class Memo(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+        return self.keep(key, value)
+
+    def keep(self, key: str, value):
         if len(key) <= self.longest:
             if len(self) >= self.size:
                 self.old = dict(self)
@@ -128,6 +131,10 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        """The keys that it does not hold but would."""
+        return [k for k in keys if k not in self and k not in self.old and len(k) <= self.longest]
+
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings; null counts as empty."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, language_id, license_scan, media, near_dups, nearest, packing, piece_codec, repeats, secret_scan, token_counts, vector_dups
+from . import alignment, centroids, language_id, license_scan, media, near_dups, nearest, packing, piece_codec, repeats, secret_scan, token_counts, vector_dups
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_centroids": centroids.op11_centroids,
         "op12_vector_dups": vector_dups.op12_vector_dups,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
