@@ -267,8 +267,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     schema = f"{BLOCK} long, doc_id {kind}, n_a long, n_b long, n_links long, groups_sha256 string, at binary, times binary, pairs array<long>, total array<long>"
     blocks = steps.store("blocks", map_batches(docs.select("doc_id", "text"), _blocks(path_a, path_b), schema))
     counts = steps.store("counts", pair_counts(blocks))
-    asked = blocks.where("pairs is not null").select(BLOCK, F.posexplode("pairs").alias("i", "pair"))
-    known = asked.join(counts, "pair").select(BLOCK, "i", "count", "best").groupBy(BLOCK)
+    asked = blocks.where("pairs is not null").select(F.col(BLOCK).alias("of"), F.posexplode("pairs").alias("i", "pair"))
+    known = asked.join(counts, "pair").select("of", "i", "count", "best").groupBy("of")
     told = blocks.drop("pairs", "total").groupBy(BLOCK).cogroup(known)
     out = "doc_id {}, n_a long, n_b long, n_links long, groups_sha256 string, n_best long, count_sum long".format(kind)
     rows = steps.store("told", told.applyInArrow(_told, out))
