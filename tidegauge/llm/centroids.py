@@ -47,7 +47,7 @@ def first_centroids(rows: DataFrame, k: int, salt: str) -> np.ndarray:
     Rows without an id come last."""
     digest = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")), 256)
     found = rows.select(digest.alias("h"), "v").orderBy(F.asc_nulls_last("h"), "v").limit(k).collect()
-    return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1 if found else 0)
 
 
 def _exact(x: np.ndarray, c: np.ndarray) -> np.ndarray:
