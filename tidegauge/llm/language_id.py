@@ -114,9 +114,14 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
+#: Languages that are learned at most: those of most texts, of equal ones the first by name.
+LANGS = 1000
+OF, ONE = "__language_of", "__language_one"
+
+
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on labelled(doc_id, text, lang): of each language the train_docs texts (about)
-    whose doc_id hashes lowest. Rows without text or lang teach nothing; a row that occurs
+    whose doc_id hashes lowest, and at most LANGS languages. Rows without text or lang teach nothing; a row that occurs
     twice counts twice; a null doc_id hashes as any other. Sums are added up in the cluster
     in one job; at most BUCKETS figures of each language reach the driver."""
     found = map_batches(_chosen(labelled, 0, train_docs).select("lang", "text"), _counts, "lang string, bucket int, n long")
@@ -132,11 +137,11 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 def _chosen(labelled: DataFrame, start: int, end: int) -> DataFrame:
     """Of each language the start-th to end-th text (about) by the hash of doc_id."""
     rows = labelled.where("text is not null and lang is not null")
-    one = F.lit(None).cast("double")
-    for r in rows.groupBy("lang").count().collect():
-        one = F.when(F.col("lang") == r["lang"], F.lit(1_000_000 / r["count"])).otherwise(one)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    return rows.where((place < one * end) & (place >= one * start))
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    shares = [(r["lang"], 1_000_000 / r["count"]) for r in most]
+    of = F.broadcast(rows.sparkSession.createDataFrame(shares, f"{OF} string, {ONE} double"))  # LANGS rows at most
+    place, one = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.col(ONE)
+    return rows.join(of, F.col("lang") == F.col(OF)).where((place < one * end) & (place >= one * start)).drop(OF, ONE)
 
 
 def calibrate(model: Model, labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
