@@ -139,8 +139,8 @@ def _bits(column) -> np.ndarray:
 
 
 def _compare(most: int | None, percent: int):
-    """Pairs of a block, from different components, that the bitmaps do not rule out: of
-    each left row the `most` that look most similar, or all."""
+    """Pairs of a block, from different components, that the bitmaps do not rule out, and how
+    far apart they look: of each left row the `most` that look most similar, or all."""
 
     def run(batches):
         for _, g in sorted_groups(batches, ["key", "lc", "rc"]):
@@ -150,7 +150,7 @@ def _compare(most: int | None, percent: int):
                 continue
             ids, comp, n, lone = (g[c].to_numpy(zero_copy_only=False) for c in ("id", "comp", "n", "lone"))
             parity, odd = _bits(g["parity"]), _bits(g["odd"])
-            x_out, y_out = [], []
+            x_out, y_out, far_out = [], [], []
             for i in at:
                 ok = comp[to] != comp[i]
                 ok &= ~lone[to] | (ids[to] > ids[i])  # a pair of two left rows is met once
@@ -165,12 +165,15 @@ def _compare(most: int | None, percent: int):
                 expected = -ODD_BITS / 2 * np.log(np.maximum(1 - 2 * differ / ODD_BITS, 1e-3)) / (2 * SAMPLES)
                 near = 1 - expected >= percent / 100 - SLACK
                 j, apart = j[near], apart[near]
+                far = apart / (n[j] + n[i])
                 if most is not None and len(j) > most:
-                    j = j[np.argsort(apart / (n[j] + n[i]), kind="stable")[:most]]
+                    near = np.lexsort((ids[j], far))[:most]
+                    j, far = j[near], far[near]
                 x_out.append(np.full(len(j), ids[i]))
                 y_out.append(ids[j])
+                far_out.append(far)
             if x_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x_out)), pa.array(np.concatenate(y_out))], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (x_out, y_out, far_out)], ["x", "y", "far"])
 
     return run
 
@@ -187,22 +190,28 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> Data
     sets; component_id is the smallest doc_id reached, null if all that are reached are
     null. Null texts and texts without words have empty sets and are linked with nothing.
     Rows that repeat a doc_id, or have none, are documents that reach each other only if
-    their sets do. kept: of each component the first document, by doc_id, nulls last.
+    their sets do. kept: doc_id = component_id, nulls being equal, so that several rows of
+    a component that share its smallest doc_id are kept (first_of_each keeps one). Sets are
+    compared as 64-bit hashes of their shingles; equal ones are told by a 128-bit hash.
     """
     rows, own, first = _classed(docs, k, percent)
     out = rows.join(own.join(first, "comp"), "set_id", "left")
-    kept = F.coalesce(F.col("row_id") == F.col("first"), F.lit(True)).alias("kept")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), kept)
+    comp = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
-    """Of each component of near duplicates one row of docs; rows without words all stay."""
+    """Of each component of near duplicates one row of docs; rows without words all stay. Of
+    rows that share doc_id and text the one whose other columns, as JSON, come first."""
     rows, _, first = _classed(docs, k, percent)
     roots = first.select(F.col("first").alias("row_id"), F.lit(False).alias(BARE))
     keys = Steps(docs.sparkSession, "near").store("kept-rows", roots.union(rows.where("n = 0").select("row_id", F.lit(True)).distinct()))
     found = docs.withColumn(ROW, _row_id()).join(keys.withColumnRenamed("row_id", ROW), ROW)
     once = F.when(F.col(BARE), F.monotonically_increasing_id())  # rows of one digest are alike but for their other columns
-    return found.withColumn(ONCE, once).dropDuplicates([ROW, ONCE]).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")
+    least = F.min_by(F.struct(*docs.columns), order).alias("row")
+    return found.withColumn(ONCE, once).groupBy(ROW, ONCE).agg(least).select("row.*")
 
 
 def _classed(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,7 +285,8 @@ def _open_buckets(spots, comps, steps) -> tuple[DataFrame, DataFrame]:
 
 
 def _open_pairs(classes, placed, buckets, most, percent) -> DataFrame:
-    """Pairs across components within buckets, as the bitmaps leave them."""
+    """Pairs across components within buckets, as the bitmaps leave them: of each row the
+    `most` over all its buckets and their blocks, so that pairs grow with rows, or all."""
     rows = placed.join(buckets, "key").withColumn("lone", F.col("comp") != F.col("big"))
     rows = rows.join(classes.select("id", "n", "odd", "parity"), "id")
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -285,7 +295,10 @@ def _open_pairs(classes, placed, buckets, most, percent) -> DataFrame:
     left = rows.where("lone").withColumn("lc", chunk("nl")).withColumn("rc", each("nr")).withColumn("left", F.lit(True)).select(*cols)
     right = rows.withColumn("rc", chunk("nr")).withColumn("lc", each("nl")).withColumn("left", F.lit(False)).select(*cols)
     blocks = left.union(right).repartition("key", "lc", "rc").sortWithinPartitions("key", "lc", "rc")
-    return map_batches(blocks, _compare(most, percent), "x long, y long").distinct()
+    found = map_batches(blocks, _compare(most, percent), "x long, y long, far double").groupBy("x", "y").agg(F.min("far").alias("far"))
+    if most is not None:  # over all buckets and blocks
+        found = found.withColumn("r", F.row_number().over(W.partitionBy("x").orderBy("far", "y"))).where(F.col("r") <= most)
+    return found.select("x", "y")
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
