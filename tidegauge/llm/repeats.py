@@ -10,8 +10,8 @@ q-grams, and neighbouring strings with the same one form a run.
    strings are put in buckets by their first bytes, and a bucket is sorted on the bucket
    identifiers at a later offset (see refine). The identifiers that this gives are used
    again for the next offset, twice as far, until they stand for whole strings. Buckets of
-   one string are left alone. Buckets of very many texts are split among tasks: there the
-   strings are grouped by a digest instead.
+   one string are left alone. Buckets of very many texts are refined in the same way, but
+   each round is a join and a grouping of their places across tasks (refine_wide).
 3. Runs that follow each other in a document and in the one they repeat are chained. Before
    bytes are removed, the digest of a chain is compared with that of the bytes it repeats.
 
@@ -22,6 +22,7 @@ the documents share is no single task's work. Texts are worked on in overlapping
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,11 @@ def runs(x: np.ndarray, ends: np.ndarray, base: int = 1 << 20):
     return a, b - a + 1, m.view(np.int64), f.view(np.int64)
 
 
-#: Bytes that are worked on at a time, texts of a bucket from which it is split, and bytes
-#: of a source's piece.
-CHUNK, WIDE, PIECE = 64_000, 2000, 16_384
+#: Bytes that are worked on at a time, texts of a bucket from which it is more than a task's
+#: work, bytes of a source's piece, and bytes of the first identifier of a place.
+CHUNK, WIDE, PIECE, HEAD = 64_000, 2000, 16_384, 8
 #: Names that no column of the input has.
-NO, KEPT = "__repeats_no", "__repeats_kept"
+NO, KEPT, OF, START = (f"__repeats_{x}" for x in ("no", "kept", "of", "start"))
 
 
 def proof(data: bytes) -> bytes:
@@ -244,14 +245,33 @@ def _sort_buckets(batches):
         yield _refined(rest)
 
 
-def _explode(batches):
-    """Every string of wide buckets' runs as a row."""
+def _heads(batches):
+    """Every place of wide buckets' runs as a row, with its first bytes and those left."""
     for b in batches:
-        if b.num_rows:
-            snippets = b.column("snippet").to_pylist()
-            of, within, at = _places(b.column("src").to_numpy(), b.column("n").to_numpy().astype(np.int64))
-            ids = [proof(snippets[i][j : j + LENGTH]) for i, j in zip(of.tolist(), within.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(at)], ["id", "place"])
+        for src, snippet in zip(b.column("src").to_pylist(), b.column("snippet").to_pylist()):
+            words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(snippet, np.uint8), HEAD)
+            at = np.arange(len(words))
+            cols = [pa.array(src + at), pa.array(np.ascontiguousarray(words).view(np.int64).ravel()), pa.array((len(snippet) - at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["place", "id", "room"])
+
+
+def refine_wide(places: DataFrame, steps: Steps) -> DataFrame:
+    """place and first of the strings of places(place, id, room) that also start earlier, at
+    first: refine, across tasks. A round sorts places into buckets by their identifier and
+    the one at the later offset; the least place of a bucket is its new identifier. A place
+    that is alone in its bucket is done, and so is every string that holds it."""
+    rows = steps.store("places-0", places.groupBy("place").agg(F.first("id").alias("id"), F.max("room").alias("room")))
+    depth, k = HEAD, 0
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        depth += step
+        later = rows.select((F.col("place") - step).alias("place"), F.col("id").alias("next"))
+        both = steps.store("pairs", rows.where(F.col("room") >= depth).join(later, "place"))
+        several = both.groupBy("id", "next").agg(F.min("place").alias("least"), F.count("*").alias("c")).where("c > 1")
+        rows = steps.store(f"places-{k + 1}", both.join(several, ["id", "next"]).select("place", F.col("least").alias("id"), "room"))
+        steps.drop("pairs", f"places-{k}")
+        k += 1
+    return rows.where("place != id").select("place", F.col("id").alias("first"))
 
 
 def _pack(batches):
@@ -300,10 +320,10 @@ def _numbered(docs: DataFrame, steps: Steps) -> tuple[DataFrame, int]:
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.sha2("text", 256))
     rows = steps.store("numbered", ordered.withColumn(NO, F.monotonically_increasing_id()))
     part, at = F.shiftright(NO, 33), F.col(NO).bitwiseAND((1 << 33) - 1)
-    before, starts = 0, F.lit(None).cast("long")
-    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
-        starts, before = F.when(part == r["part"], F.lit(before)).otherwise(starts), before + r["count"]
-    return rows.withColumn(NO, starts + at), shift
+    counts = rows.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each partition
+    starts = [(r["part"], s) for r, s in zip(counts, accumulate((r["count"] for r in counts), initial=0))]
+    of = F.broadcast(docs.sparkSession.createDataFrame(starts, f"{OF} long, {START} long"))
+    return rows.join(of, part == F.col(OF)).withColumn(NO, F.col(START) + at).drop(OF, START), shift
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -348,9 +368,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     narrow = cut.where("m is not null and not wide").select("m", "src", "n", "snippet").repartition("m").sortWithinPartitions("m")
     partly = map_batches(narrow, _sort_buckets, "place long, n long")
-    strings = map_batches(cut.where("wide").select("src", "n", "snippet"), _explode, "id binary, place long")
-    least = steps.store("wide", strings.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").select("id", "first"))
-    single = strings.join(least, "id").where("place != first").select("place", F.lit(1).cast("long").alias("n"))
+    single = map_batches(cut.where("wide").select("src", "snippet"), _heads, "place long, id long, room int")
+    single = refine_wide(single, steps).select("place", F.lit(1).cast("long").alias("n"))
     refined = partly.union(single).withColumn("proof", F.lit(None).cast("binary"))
     proven = chains.join(cut.where("m is null").select("src", "n", "proof"), ["src", "n"]).select("place", "n", "proof")
 
