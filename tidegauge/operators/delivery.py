@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.core import count_if, days_between, done, exact, points, total
+from ..functions.ranks import percentiles
 
 #: Closed sprints that forecasts look back on, and the estimate coverage a verdict needs.
 WINDOW, COVERAGE = 12, 2 / 3
@@ -89,7 +90,9 @@ def load_verdict(load: DataFrame, fc: DataFrame) -> DataFrame:
 
 def backlog_summary(issue: DataFrame, as_of: Column) -> DataFrame:
     age = days_between("created", as_of)
-    return issue.where(F.col("in_backlog") & ~done()).groupBy("team").agg(F.count("*").alias("issues"), total(points()).alias("points"), count_if(F.col("points").isNull()).alias("unestimated"), exact(age, 0.5).alias("median_age"), count_if(age > 90).alias("older_than_90"))
+    rows = issue.where(F.col("in_backlog") & ~done())
+    g = rows.groupBy("team").agg(F.count("*").alias("issues"), total(points()).alias("points"), count_if(F.col("points").isNull()).alias("unestimated"), count_if(age > 90).alias("older_than_90"))
+    return g.join(percentiles(rows, ["team"], {"age": (age, {"median_age": 0.5})}), "team", "left")
 
 
 def top(rows: DataFrame, n: int, *order) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, days_between, exact, hours_between
+from ..functions.core import count_if, days_between, hours_between
+from ..functions.ranks import percentiles
 
 EDGES = (0, 1, 4, 8, 24, 48, 120)
 
@@ -54,8 +55,10 @@ def review_metrics(signals: DataFrame) -> DataFrame:
         "merged_alone": unseen & (F.col("reviewers") == 0), "approved_after_merge": merged & (F.col("standing") > F.col("merged")), "keyed": h & F.col("keyed"), "awaiting": _awaits(),
     }
     times = {"first": first, "bot": bot, "merge": to_merge, "lag": lag}
-    figures = [f for n, v in times.items() for f in (exact(v, 0.5).alias(f"{n}_p50"), exact(v, 0.9).alias(f"{n}_p90"), F.count(v).alias(f"{n}_basis"))]
-    return signals.groupBy("team").agg(F.count("*").alias("total"), *(count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()), *figures).drop("bot_p90")
+    basis = [F.count(v).alias(f"{n}_basis") for n, v in times.items()]
+    g = signals.groupBy("team").agg(F.count("*").alias("total"), *(count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()), *basis)
+    wanted = {n: (v, {f"{n}_p50": 0.5, f"{n}_p90": 0.9} if n != "bot" else {"bot_p50": 0.5}) for n, v in times.items()}
+    return g.join(percentiles(signals, ["team"], wanted), "team", "left")
 
 
 def latency_histogram(signals: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.core import OFF_BOARD, count_if, days_between, done, exact, hours_between, js_round, points, total
+from ..functions.core import OFF_BOARD, count_if, days_between, done, hours_between, js_round, points, total
+from ..functions.ranks import percentiles
 
 SPRINT = ["team", "sprint_id"]
 #: Observations that a column's percentiles need, and its oldest issues that are named.
@@ -142,8 +143,9 @@ def cycle_times(day, day_issue) -> DataFrame:
 def cycle_summary(cycles: DataFrame) -> DataFrame:
     seen = lambda c: F.when(~F.col("censored"), F.col(c))
     wait = F.when(F.col("lead_days") >= F.col("cycle_days"), F.col("lead_days") - F.col("cycle_days"))
-    p = [exact(seen("cycle_days"), 0.5).alias("p50"), exact(seen("cycle_days"), 0.9).alias("p90"), F.count(seen("cycle_days")).alias("basis")]
-    return cycles.groupBy("team").agg(*p, count_if(F.col("censored")).alias("censored"), exact(F.when(~F.col("censored"), wait), 0.5).alias("median_wait"))
+    g = cycles.groupBy("team").agg(F.count(seen("cycle_days")).alias("basis"), count_if(F.col("censored")).alias("censored"))
+    p = percentiles(cycles, ["team"], {"cycle": (seen("cycle_days"), {"p50": 0.5, "p90": 0.9}), "wait": (F.when(~F.col("censored"), wait), {"median_wait": 0.5})})
+    return g.join(p, "team", "left")
 
 
 def recent_cycles(cycles: DataFrame, n: int = 300) -> DataFrame:
@@ -182,7 +184,8 @@ def column_dwell(day, day_issue, day_member, day_sprint, day_column) -> DataFram
 def column_dwell_summary(dwell: DataFrame) -> DataFrame:
     """Ageing of each column, with its oldest issues, the longest there first."""
     v = F.when(~F.col("censored"), F.col("dwell_days"))
-    g = dwell.groupBy("team", "col").agg(F.count("*").alias("n"), exact(v, 0.5).alias("p50"), exact(v, 0.9).alias("p90"), F.count(v).alias("basis"), count_if(F.col("censored")).alias("censored"))
+    g = dwell.groupBy("team", "col").agg(F.count("*").alias("n"), F.count(v).alias("basis"), count_if(F.col("censored")).alias("censored"))
+    g = g.join(percentiles(dwell, ["team", "col"], {"dwell": (v, {"p50": 0.5, "p90": 0.9})}), ["team", "col"], "left")
     rank = F.row_number().over(W.partitionBy("team", "col").orderBy(F.desc("dwell_days"), "key"))
     first = dwell.withColumn("r", rank).where(F.col("r") <= OLDEST).groupBy("team", "col")
     oldest = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]), ",").alias("oldest"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.core import NO_EPIC, OFF_BOARD, count_if, days_between, done, exact, points, total
+from ..functions.core import NO_EPIC, OFF_BOARD, count_if, days_between, done, points, total
+from ..functions.ranks import percentiles
 from .delivery import in_active, sprint_counts, top
 
 
@@ -163,7 +164,8 @@ def wip_by_column(issue, issue_sprint, sprint, board_column, as_of: Column, stal
     """Active work by column; columns of the board that are empty appear too."""
     rows = column_of(in_active(issue, issue_sprint, sprint), board_column)
     idle = days_between("updated", as_of)
-    g = rows.groupBy("team", "col").agg(F.count("*").alias("issues"), total(points()).alias("points"), count_if(~done() & (idle >= stale_days)).alias("stale"), exact(idle, 0.5).alias("median_idle"))
+    g = rows.groupBy("team", "col").agg(F.count("*").alias("issues"), total(points()).alias("points"), count_if(~done() & (idle >= stale_days)).alias("stale"))
+    g = g.join(percentiles(rows, ["team", "col"], {"idle": (idle, {"median_idle": 0.5})}), ["team", "col"], "left")
     axis = board_column.select("team", "col").distinct()
     return axis.join(g, ["team", "col"], "full").fillna(0, ["issues", "points", "stale"])
 
