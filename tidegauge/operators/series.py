@@ -12,7 +12,7 @@ that a day without it is skipped and d - 1 is the day before:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -62,30 +62,46 @@ def compared(day: DataFrame, day_sprint: DataFrame) -> DataFrame:
 
 def sprint_changes(day, day_issue, day_member, day_sprint) -> DataFrame:
     """What each issue of an active sprint did between a day and the one before."""
-    pairs, at = compared(day, day_sprint), [*SPRINT, "d", "key"]
-    rows = members(day_issue, day_member, active_sprints(day, day_sprint)).select(*at, "points", "category")
-    before = rows.select(*SPRINT, (F.col("d") + 1).alias("d"), "key", F.col("points").alias("was"), F.col("category").alias("was_cat"), F.lit(True).alias("had"))
-    both = before.join(rows.withColumn("has", F.lit(True)), at, "full").join(pairs, [*SPRINT, "d"], "left_semi")
+    rows = members(day_issue, day_member, active_sprints(day, day_sprint))
+    return changes_of(rows, compared(day, day_sprint))
+
+
+def changes_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows: the issues of sprints by day; pairs(team, sprint_id, d): what is compared with
+    the day before. Each row stands for its day and for the next one's past, and both meet in
+    one grouping, since a join of the days would move them twice."""
+    at = [*SPRINT, "d", "key"]
+    now = F.struct(points().alias("points"), F.col("points").alias("stated"), "category")
+    none = F.lit(None).cast(rows.select(now.alias("x")).schema["x"].dataType)
+    today, past = rows.select(*at, none.alias("was"), now.alias("now")), rows.select(*SPRINT, (F.col("d") + 1).alias("d"), "key", now.alias("was"), none.alias("now"))
+    both = today.union(past).groupBy(*at).agg(F.max("was").alias("was"), F.max("now").alias("now")).join(pairs, [*SPRINT, "d"], "left_semi")
     kind = (
-        F.when(F.col("had").isNull(), "added").when(F.col("has").isNull(), "removed")
-        .when(~F.col("was").eqNullSafe(F.col("points")), "reestimated").otherwise("same")
+        F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed")
+        .when(~F.col("was.stated").eqNullSafe(F.col("now.stated")), "reestimated").otherwise("same")
     )
-    resolved = F.coalesce((F.col("was_cat") != "Done") & (F.col("category") == "Done"), F.lit(False))
-    return both.select(*at, kind.alias("kind"), points("was").alias("was"), points().alias("now"), resolved.alias("resolved"))
+    resolved = F.coalesce((F.col("was.category") != "Done") & (F.col("now.category") == "Done"), F.lit(False))
+    least = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return both.select(*at, kind.alias("kind"), least(F.col("was.points")).alias("was"), least(F.col("now.points")).alias("now"), resolved.alias("resolved"))
 
 
-def sprint_delta(day, day_issue, day_member, day_sprint) -> DataFrame:
-    """Scope added, removed and re-estimated in each active sprint from day to day; pairs of
-    days without a change are there with zeros."""
+def _change_sums() -> dict[str, Column]:
     k = F.col("kind")
-    sums = {
+    return {
         "added_points": F.when(k == "added", F.col("now")), "removed_points": F.when(k == "removed", F.col("was")),
         "reestimated_points": F.when(k == "reestimated", F.col("now") - F.col("was")),
     }
+
+
+def sprint_delta(day, day_issue, day_member, day_sprint) -> DataFrame:
+    """Scope added, removed and re-estimated in each active sprint from day to day; pairs of
+    days without a change are there with zeros."""
+    return delta_of(sprint_changes(day, day_issue, day_member, day_sprint), compared(day, day_sprint))
+
+
+def delta_of(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     kinds = ("added", "removed", "reestimated")
-    changes = sprint_changes(day, day_issue, day_member, day_sprint)
-    found = changes.groupBy(*SPRINT, "d").agg(*(count_if(k == x).alias(x) for x in kinds), count_if(F.col("resolved")).alias("resolved"), *(total(v).alias(n) for n, v in sums.items()))
-    rows = compared(day, day_sprint).join(found, [*SPRINT, "d"], "left").fillna(0)
+    found = changes.groupBy(*SPRINT, "d").agg(*(count_if(F.col("kind") == x).alias(x) for x in kinds), count_if(F.col("resolved")).alias("resolved"), *(total(v).alias(n) for n, v in _change_sums().items()))
+    rows = pairs.join(found, [*SPRINT, "d"], "left").fillna(0)
     return rows.withColumn("net_points", F.col("added_points") - F.col("removed_points") + F.col("reestimated_points"))
 
 
@@ -99,15 +115,20 @@ def opening_points(day_issue, day_member, day_sprint, sprints: DataFrame) -> Dat
 def churn_summary(day, day_issue, day_member, day_sprint) -> DataFrame:
     """Sums over all pairs of days of each active sprint, the rate over the opening points,
     and how many late additions stayed: those that no day removed."""
-    delta, changes = (f(day, day_issue, day_member, day_sprint) for f in (sprint_delta, sprint_changes))
-    sums = ("added_points", "removed_points", "reestimated_points", "net_points")
-    counts = (F.sum("added").alias("added_issues"), F.sum("removed").alias("removed_issues"))
-    s = delta.groupBy(*SPRINT).agg(F.count("*").alias("observations"), *(F.sum(x).alias(x) for x in sums), *counts)
-    added, removed = (changes.where(F.col("kind") == x).select(*SPRINT, "key").distinct() for x in ("added", "removed"))
-    late = added.join(removed, [*SPRINT, "key"], "left_anti").groupBy(*SPRINT).agg(F.count("*").alias("late_additions"))
     opening = opening_points(day_issue, day_member, day_sprint, active_sprints(day, day_sprint))
+    return churn_of(sprint_changes(day, day_issue, day_member, day_sprint), compared(day, day_sprint), opening)
+
+
+def churn_of(changes: DataFrame, pairs: DataFrame, opening: DataFrame) -> DataFrame:
+    """Changes are read once: summed by issue, then by sprint."""
+    is_ = lambda k: F.col("kind") == k
+    names = list(_change_sums())
+    by_key = changes.groupBy(*SPRINT, "key").agg(*(count_if(is_(k)).alias(k) for k in ("added", "removed")), *(total(v).alias(n) for n, v in _change_sums().items()))
+    s = by_key.groupBy(*SPRINT).agg(*(F.sum(n).alias(n) for n in names), F.sum("added").alias("added_issues"), F.sum("removed").alias("removed_issues"), count_if((F.col("added") > 0) & (F.col("removed") == 0)).alias("late_additions"))
+    n = pairs.groupBy(*SPRINT).agg(F.count("*").alias("observations"))
+    j = n.join(s, SPRINT, "left").fillna(0).join(opening, SPRINT)
     churn = F.col("added_points") + F.col("removed_points") + F.abs("reestimated_points")
-    j = s.join(opening, SPRINT).join(late, SPRINT, "left").fillna(0, ["late_additions"])
+    j = j.withColumn("net_points", F.col("added_points") - F.col("removed_points") + F.col("reestimated_points"))
     return j.withColumn("churn_rate", F.round(F.when(F.col("opening") > 0, churn / F.col("opening")), 6))
 
 
@@ -168,17 +189,20 @@ def placed(day_issue: DataFrame, day_column: DataFrame) -> DataFrame:
 def column_dwell(day, day_issue, day_member, day_sprint, day_column) -> DataFrame:
     """How long each open issue of an active sprint has been in its column: since the start
     of the first day of the run of days that ends on the last one. A day without the issue
-    ends the run; one that reaches the first day of several is censored."""
-    inside = members(day_issue, day_member, active_sprints(day, day_sprint)).join(spans(day), "team").where(F.col("d") == F.col("hi")).where(~done())
-    keys = inside.select("team", "key").distinct()
-    rows = placed(day_issue.join(keys, ["team", "key"], "left_semi"), day_column).join(day, ["team", "d"]).join(spans(day), "team")
-    now = rows.where("d = hi").select("team", "key", F.col("col").alias("now_col"), F.col("seen").alias("now"))
-    same = rows.join(now, ["team", "key"]).where("col = now_col")
-    back = F.row_number().over(W.partitionBy("team", "key").orderBy(F.desc("d"))) - 1
-    run = same.withColumn("back", back).where("back = hi - d")
-    censored = (F.min("d") == F.first("lo")) & (F.first("hi") > F.first("lo"))
-    g = run.groupBy("team", "key", "col").agg(F.min("date").alias("since"), F.max("now").alias("now"), censored.alias("censored"))
-    return g.select("team", "key", "col", F.round(days_between(F.col("since").cast("timestamp_ntz"), "now"), 6).alias("dwell_days"), "censored")
+    ends the run; one that reaches the first day of several is censored. An issue's days are
+    gathered once and walked back from the last."""
+    last = day_member.join(active_sprints(day, day_sprint).select(*SPRINT), SPRINT, "left_semi").join(spans(day), "team").where("d = hi").select("team", "key").distinct()
+    rows = placed(day_issue.join(last, ["team", "key"], "left_semi"), day_column)
+    days = F.reverse(F.array_sort(F.collect_list(F.struct("d", "col", done().alias("done")))))
+    g = rows.groupBy("team", "key").agg(days.alias("days")).join(spans(day), "team").where("days[0].d = hi and not days[0].done")
+    same = lambda x, i: (x["d"] == F.col("hi") - i) & (x["col"] == F.col("days")[0]["col"])
+    first_other = F.array_position(F.transform("days", lambda x, i: ~F.coalesce(same(x, i), F.lit(False))), True)
+    run = F.when(first_other == 0, F.size("days")).otherwise(first_other - 1).cast("int")
+    g = g.select("team", "key", F.col("days")[0]["col"].alias("col"), "lo", "hi", (F.col("hi") - run + 1).alias("d"))
+    at = day.select("team", "d", F.col("date").alias("since"))
+    g = g.join(at, ["team", "d"]).join(day.select("team", F.col("d").alias("hi"), F.col("seen").alias("now")), ["team", "hi"])
+    censored = (F.col("d") == F.col("lo")) & (F.col("hi") > F.col("lo"))
+    return g.select("team", "key", "col", F.round(days_between(F.col("since").cast("timestamp_ntz"), "now"), 6).alias("dwell_days"), censored.alias("censored"))
 
 
 def column_dwell_summary(dwell: DataFrame) -> DataFrame:

@@ -107,24 +107,10 @@ def check_sql(text: str, query: str) -> str:
 
 BOARD_TABLES = ("issue", "issue_sprint", "sprint", "issue_label", "board_column", "teams")
 SERIES_TABLES = ("day", "day_issue", "day_member", "day_sprint", "day_column")
-#: Tables that many operators of a query read; kept by Spark, on disk where memory is short.
-KEPT = ("issue", "issue_sprint", "sprint", "day_issue", "day_member", "day_sprint")
-_kept: dict[tuple[str, str], dict[str, DataFrame]] = {}
-
-
-def forget(spark: SparkSession) -> None:
-    """Let go of the derived tables that are kept."""
-    for (app, _), tables in _kept.items():
-        if app == spark.sparkContext.applicationId:
-            for t in tables.values():
-                t.unpersist()
-    _kept.clear()
-
-
 @dataclass
 class Contract:
-    """Tables of the contract over one directory. Each is derived once; a session keeps the
-    ones of the directory that was asked for last, so that queries share them."""
+    """Tables of the contract over one directory, derived anew for each query from the files
+    as they are, so that pruning and pushdown reach them."""
 
     spark: SparkSession
     sf_dir: str
@@ -153,12 +139,4 @@ class Contract:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in (*BOARD_TABLES, *SERIES_TABLES):
             raise AttributeError(name)
-        if name not in KEPT:
-            return self._derived(name)
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _kept:
-            forget(self.spark)
-            _kept[key] = {}
-        if name not in _kept[key]:
-            _kept[key][name] = self._derived(name).persist()
-        return _kept[key][name]
+        return self._derived(name)
