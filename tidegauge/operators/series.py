@@ -224,10 +224,15 @@ def cumulative_flow(day, day_issue, day_member, day_sprint, day_column) -> DataF
     rows = members(day_issue, day_member, primary)
     axis = day_column.join(spans(day), "team").where("d = hi").groupBy("team", "col").agg(F.min("col_pos").alias("col_pos"))
     there = day_sprint.join(primary.select(*SPRINT), SPRINT, "left_semi").select(*SPRINT, "d").union(rows.select(*SPRINT, "d")).distinct()
-    bands = axis.union(axis.select("team", F.lit(OFF_BOARD), F.lit(2**31 - 1)).distinct())
     on_axis = placed(rows, day_column).join(axis.select("team", "col", F.lit(True).alias("known")), ["team", "col"], "left")
     at = F.when(F.col("known"), F.col("col")).otherwise(F.lit(OFF_BOARD)).alias("col")
-    n = on_axis.groupBy(*SPRINT, "d", at).agg(F.count("*").alias("n"))
+    return flow_on(axis, there, on_axis.groupBy(*SPRINT, "d", at).agg(F.count("*").alias("n")))
+
+
+def flow_on(axis: DataFrame, there: DataFrame, n: DataFrame) -> DataFrame:
+    """Counts n(team, sprint_id, d, col, n) of the days that are there, on the axis of columns
+    (team, col, col_pos); empty ones are there with zero."""
+    bands = axis.union(axis.select("team", F.lit(OFF_BOARD), F.lit(2**31 - 1)).distinct())
     grid = there.join(bands, "team").join(n, [*SPRINT, "d", "col"], "left").fillna(0, ["n"])
     used = n.select("team", "col").distinct().withColumn("used", F.lit(True))
     kept = grid.join(used, ["team", "col"], "left").where((F.col("col") != OFF_BOARD) | F.col("used"))
