@@ -121,16 +121,6 @@ def sprint_length(sprint: DataFrame) -> DataFrame:
     return sprint.where("state = 'closed'").groupBy("team").agg(exact(F.when(d > 0, d), 0.5).alias("median_days"))
 
 
-def composition(issue, issue_sprint, sprint, window: int = WINDOW) -> DataFrame:
-    """Who completed work in each of the last closed sprints; who joined and left."""
-    closed = last_closed(in_order(sprint), window).select("team", "sprint_id", "place")
-    rows = sprint_members(issue, issue_sprint, sprint).where("within").groupBy("team", "sprint_id").agg(F.array_sort(F.collect_set("assignee")).alias("people"), total(points()).alias("points"))
-    rows = closed.join(rows, ["team", "sprint_id"], "left").withColumn("people", F.coalesce("people", F.expr("cast(array() as array<string>)")))
-    before = F.lag("people").over(W.partitionBy("team").orderBy("place"))
-    size = lambda c: F.size(c).cast("long")
-    return rows.withColumn("before", before).select("team", "sprint_id", size("people").alias("contributors"), F.coalesce("points", F.lit(0)).alias("points"), F.when(F.col("before").isNull(), 0).otherwise(size(F.array_except("people", "before"))).cast("long").alias("joined"), F.when(F.col("before").isNull(), 0).otherwise(size(F.array_except("before", "people"))).cast("long").alias("left_"))
-
-
 def slowest_resolved(issue: DataFrame, n: int = 15) -> DataFrame:
     lead = days_between("created", "resolved")
     rows = issue.withColumn("lead", F.round(lead, 6)).where("lead >= 0")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts as ch
 from ..operators import delivery as dl
+from ..operators import presence as pr
 from ..operators import review as rv
 from ..operators import rules
 from ..operators import series as sr
@@ -60,7 +61,7 @@ def chart_wip(c):
 @query(f"""{MEMBERS}, cp AS (SELECT k.team, k.sprint_id, count(DISTINCT m.assignee) people, coalesce(sum(m.points), 0) points FROM closed k LEFT JOIN mem m ON m.team = k.team AND m.sprint_id = k.sprint_id AND m.within_ GROUP BY 1, 2),
  c2 AS (SELECT * FROM cp WHERE team IN (SELECT team FROM cp GROUP BY team HAVING count(*) > 1)) {rows('c2', 'sprint_id', {'points': 'points', 'people': 'people'})}""")
 def chart_composition(c):
-    return ch.composition(dl.composition(*_board(c)))
+    return ch.composition(pr.composition(*_board(c)))
 
 
 @query(f"{DWELL}, ag AS (SELECT team, col, quantile_cont(dwell_days, 0.5) FILTER (WHERE NOT censored) p50, quantile_cont(dwell_days, 0.9) FILTER (WHERE NOT censored) p90 FROM dw GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT censored) >= 3) {rows('ag', 'col', {'median': 'p50', 'p90': 'p90'})}", SERIES)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changelog as cl
 from ..operators import delivery as dl
+from ..operators import presence as pr
 from ..operators import review as rv
 from ..operators import series as sr
 from ..operators import taxonomy as tx
@@ -117,7 +118,7 @@ def sprint_length(c):
  prev AS (SELECT *, row_number() OVER w rn, coalesce(people, []) p, coalesce(lag(people) OVER w, []) b FROM grp WINDOW w AS (PARTITION BY team ORDER BY place))
  SELECT team, sprint_id, cast(len(p) AS bigint) contributors, points, CASE WHEN rn = 1 THEN 0 ELSE len(list_filter(p, lambda x: NOT list_contains(b, x))) END joined, CASE WHEN rn = 1 THEN 0 ELSE len(list_filter(b, lambda x: NOT list_contains(p, x))) END left_ FROM prev""")
 def composition(c):
-    return dl.composition(*_board(c))
+    return pr.composition(*_board(c))
 
 
 @query(f"z AS (SELECT 1) SELECT team, row_number() OVER (PARTITION BY team ORDER BY round({days('created', 'resolved')}, 6) DESC, pos) AS rank, key, round({days('created', 'resolved')}, 6) AS lead FROM issue WHERE resolved >= created QUALIFY rank <= 15")
@@ -596,4 +597,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import attention, drawn  # noqa: E402,F401  (add their queries)
+from . import attention, briefing, drawn  # noqa: E402,F401  (add their queries)
