@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.trust import published
 from ..operators import changelog as cl
 from ..operators import delivery as dl
 from ..operators import presence as pr
@@ -590,7 +591,7 @@ def alert_next_state(c):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Contract(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f, name=name: published(name, f(Contract(spark, sf_dir)))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
