@@ -109,6 +109,17 @@ def resolve_ids(rows: DataFrame, index: DataFrame) -> DataFrame:
     return j.withColumn("resolved", F.coalesce(own, F.col("named").cast("string"))).withColumn("how", how).drop("named")
 
 
+def resolved_transitions(log: DataFrame, index: DataFrame) -> DataFrame:
+    """log(key, entry_id, at, from_id, from_name, to_id, to_name) with the ids of both ends and
+    how the later one was told. A change whose later end has no id, neither of its own nor the
+    only one of its name, is left out; an earlier end without one is null, and no reason to
+    leave a change out. resolution_stats of resolve_ids counts what was left out."""
+    to = resolve_ids(log.withColumns({"id": F.col("to_id"), "name": F.col("to_name")}), index)
+    to = to.where("how != 'unresolved'").withColumns({"to_status": F.col("resolved"), "told": F.col("how")}).drop("resolved", "how")
+    both = resolve_ids(to.withColumns({"id": F.col("from_id"), "name": F.col("from_name")}), index)
+    return both.select("key", "entry_id", "at", F.col("resolved").alias("from_status"), "to_status", F.col("told").alias("how"))
+
+
 def resolution_stats(resolved: DataFrame) -> DataFrame:
     """How many states were resolved by their id, by their name, or not at all."""
     return resolved.agg(*(F.count_if(F.col("how") == h).alias(n) for h, n in (("id", "by_id"), ("name", "by_name"), ("unresolved", "unresolved"))))

@@ -110,3 +110,18 @@ def _parents(proposed: DataFrame) -> DataFrame:
     up = proposed.where(F.contains(F.col("grp"), F.lit("/"))).select("grp", "best", F.explode(above).alias("path"))
     there = proposed.select(F.col("grp").alias("path"), "best")
     return up.join(there, ["path", "best"]).groupBy("grp").agg(F.max_by("path", F.length("path")).alias("covered_by"))
+
+
+def board_of_prefix(board: DataFrame) -> DataFrame:
+    """prefix and team: of the configured boards that have a prefix the first. board(team,
+    pos, prefixes): pos is the place of a board in the configuration."""
+    each = board.select("team", "pos", F.explode("prefixes").alias("prefix"))
+    return each.groupBy("prefix").agg(F.min_by("team", F.struct("pos", "team")).alias("team"))
+
+
+def prefix_evidence(mr: DataFrame, board: DataFrame) -> DataFrame:
+    """grp, prefix, mentions and team: the prefixes that a group's requests name, how often,
+    and the first configured board that has each (null: none)."""
+    keys = mr.select("grp", "mr", F.explode(issue_keys(F.col("title"), F.col("branch"))).alias("key"))
+    n = keys.groupBy("grp", F.regexp_extract("key", "^(.+)-[^-]*$", 1).alias("prefix")).agg(F.count("*").alias("mentions"))
+    return n.join(board_of_prefix(board), "prefix", "left").select("grp", "prefix", "mentions", "team")

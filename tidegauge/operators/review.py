@@ -90,3 +90,13 @@ def practice(mr: DataFrame, note: DataFrame, signals: DataFrame) -> DataFrame:
     human = signals.where("not bot and detail").select("mr", F.col("author").alias("owner"))
     given = note.where("not bot and kind in ('comment', 'approval')").join(human, "mr").where("author != owner").groupBy(F.col("author").alias("person")).agg(F.count_distinct("mr").alias("given"))
     return own.join(given, "person", "full").fillna(0)
+
+
+def identities_unknown(note: DataFrame, signals: DataFrame) -> DataFrame:
+    """Teams, and whether who reviewed is missing from the data: people commented on or
+    approved a request, and none of them has a name. That is not the same as nobody having
+    reviewed anything."""
+    named = note.where("not bot and kind in ('comment', 'approval') and trim(author) != ''").select("mr").distinct().withColumn("named", F.lit(True))
+    rows = signals.where("not bot and detail").join(named, "mr", "left")
+    silent = (F.col("comments") + F.col("approvals") > 0) & F.col("named").isNull()
+    return rows.groupBy("team").agg(F.bool_or(F.coalesce(silent, F.lit(False))).alias("identities_unknown"))

@@ -161,13 +161,14 @@ def column_of(issue: DataFrame, board_column: DataFrame) -> DataFrame:
 
 
 def wip_by_column(issue, issue_sprint, sprint, board_column, as_of: Column, stale_days: int = 10) -> DataFrame:
-    """Active work by column; columns of the board that are empty appear too."""
+    """Active work by column; columns of the board that are empty appear too. done:
+    all that is there is done, and something is."""
     rows = column_of(in_active(issue, issue_sprint, sprint), board_column)
     idle = days_between("updated", as_of)
-    g = rows.groupBy("team", "col").agg(F.count("*").alias("issues"), total(points()).alias("points"), count_if(~done() & (idle >= stale_days)).alias("stale"))
+    g = rows.groupBy("team", "col").agg(F.count("*").alias("issues"), total(points()).alias("points"), count_if(~done() & (idle >= stale_days)).alias("stale"), F.bool_and(F.coalesce(done(), F.lit(False))).alias("done"))
     g = g.join(percentiles(rows, ["team", "col"], {"idle": (idle, {"median_idle": 0.5})}), ["team", "col"], "left")
     axis = board_column.select("team", "col").distinct()
-    return axis.join(g, ["team", "col"], "full").fillna(0, ["issues", "points", "stale"])
+    return axis.join(g, ["team", "col"], "full").fillna(0, ["issues", "points", "stale"]).fillna(False, ["done"])
 
 
 def wip_per_person(issue, issue_sprint, sprint, limit: int = 3) -> DataFrame:

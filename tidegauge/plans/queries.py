@@ -261,9 +261,9 @@ def estate_epics(c):
 
 
 WIP = f"""{ACTIVE}, cm AS (SELECT team, status_id, arg_min(col, col_pos) claimed FROM board_column GROUP BY 1, 2), has AS (SELECT DISTINCT team FROM board_column),
-g AS (SELECT a.team, CASE WHEN has.team IS NULL THEN a.status_id ELSE coalesce(claimed, '(not on the board)') END col, count(*) issues, cast(coalesce(sum(points), 0) AS bigint) points, count(*) FILTER (WHERE category <> 'Done' AND {days('updated', AS_OF)} >= 10) stale, {pct(days('updated', AS_OF), 0.5)} median_idle
+g AS (SELECT a.team, CASE WHEN has.team IS NULL THEN a.status_id ELSE coalesce(claimed, '(not on the board)') END col, count(*) issues, cast(coalesce(sum(points), 0) AS bigint) points, count(*) FILTER (WHERE category <> 'Done' AND {days('updated', AS_OF)} >= 10) stale, {pct(days('updated', AS_OF), 0.5)} median_idle, bool_and(category = 'Done') all_done
  FROM act a LEFT JOIN cm ON cm.team = a.team AND cm.status_id = a.status_id LEFT JOIN has ON has.team = a.team GROUP BY 1, 2),
-wip AS (SELECT team, col, coalesce(issues, 0) issues, coalesce(points, 0) points, coalesce(stale, 0) stale, median_idle FROM (SELECT DISTINCT team, col FROM board_column) FULL JOIN g USING (team, col))"""
+wip AS (SELECT team, col, coalesce(issues, 0) issues, coalesce(points, 0) points, coalesce(stale, 0) stale, median_idle, coalesce(all_done, false) AS done FROM (SELECT DISTINCT team, col FROM board_column) FULL JOIN g USING (team, col))"""
 
 
 @query(f"{WIP} SELECT * FROM wip")
@@ -540,6 +540,19 @@ def sprint_membership_asof(c):
     return cl.state_as_of(_log(c), F.lit("2024-01-15").cast("timestamp_ntz"))
 
 
+#: A third of the changes tell the id of the status they lead to; the first type has two.
+NAMED = "st AS (SELECT DISTINCT event_type AS name, 'id-' || event_type id FROM events UNION ALL SELECT min(event_type), 'other' FROM events), ix AS (SELECT name, count(*) ids, min(id) id FROM st GROUP BY 1)"
+
+
+@query(f"""{LOG}, {NAMED}, tr AS (SELECT key, entry_id, from_, to_, CASE WHEN entry_id % 3 = 0 THEN 'id-' || to_ END own FROM lg)
+SELECT key, entry_id, f.id from_status, coalesce(own, t.id) to_status, CASE WHEN own IS NULL THEN 'name' ELSE 'id' END how FROM tr LEFT JOIN ix f ON f.name = from_ AND f.ids = 1 LEFT JOIN ix t ON t.name = to_ AND t.ids = 1 WHERE own IS NOT NULL OR t.id IS NOT NULL""", None)
+def resolved_transitions(c):
+    log = _log(c).withColumns({"from_id": F.lit(None).cast("string"), "from_name": F.col("from_"), "to_name": F.col("to_"), "to_id": F.when(F.col("entry_id") % 3 == 0, F.concat(F.lit("id-"), "to_"))})
+    types = c.raw("events").select(F.col("event_type").alias("name")).distinct()
+    statuses = types.select("name", F.concat(F.lit("id-"), "name").alias("id")).union(types.select(F.min("name"), F.lit("other")))
+    return cl.resolved_transitions(log, cl.name_index(statuses, "name", "id")).drop("at")
+
+
 @query("SELECT event_type AS name, count(DISTINCT user_id) ids, CASE WHEN count(DISTINCT user_id) = 1 THEN min(user_id) END id FROM events GROUP BY 1", None)
 def name_index(c):
     return cl.name_index(c.raw("events"), "event_type", "user_id")
