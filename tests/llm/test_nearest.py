@@ -81,7 +81,7 @@ def compared(spark, n, k=10):
     ids = pa.array(range(n))
     batch = pa.RecordBatch.from_arrays([ids, pa.array(x.tolist(), pa.list_(pa.float64()))], ["vec_id", "v"])
     asked = batch.slice(0, n // 50)
-    places = [[(t, b, i) for out in nearest._place(index, q)([rows]) for t, b, i in zip(*(out.column(c).to_pylist() for c in ("tab", "bucket", "vec_id")))] for q, rows in ((False, batch), (True, asked))]
+    places = [[(t, b, i) for out in task([rows]) for t, b, i in zip(*(out.column(c).to_pylist() for c in ("tab", "bucket", "vec_id")))] for task, rows in ((nearest._place(index), batch), (nearest._visit(index), asked))]
     size, held, met = Counter((t, b) for t, b, _ in places[0]), {}, {}
     for t, b, i in places[0]:
         held.setdefault((t, b), set()).add(i)
@@ -92,7 +92,7 @@ def compared(spark, n, k=10):
 
 
 def test_work_grows_slower_than_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "FEW", 1000)
+    monkeypatch.setattr(nearest, "VISIT_ROWS", 5)  # as if there were far more rows
     small, a = compared(spark, 1500)
     large, b = compared(spark, 12_000)
     assert min(a, b) > 0.9 and large < 0.4 * 64 * small
@@ -101,3 +101,29 @@ def test_work_grows_slower_than_all_pairs(spark, monkeypatch):
 def test_probes_add_up_to_the_target():
     found = list(nearest.probes(np.array([0.3, 1.9]), 0.5, 0.9))
     assert len(found) == len(set(found)) and found[0] == nearest.code([0, 1])
+
+
+def visits(index, x):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(x.tolist(), pa.list_(pa.float64()))], ["vec_id", "v"])
+    return sum(out.num_rows for out in nearest._visit(index)([batch])) / len(x)
+
+
+def test_visits_stay_bounded_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "VISIT_ROWS", 0)  # functions are limited by visits alone
+    rng = np.random.default_rng(8)
+    for n in (2000, 20_000):
+        x = rng.standard_normal((n, 24))
+        df = spark.createDataFrame(enumerate(x.tolist()), "vec_id long, v array<double>")
+        assert visits(nearest.fit(df, 10), x[:200]) < 1.5 * nearest.VISITS * nearest.TABLES
+
+
+def test_reach_is_measured_over_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 8))
+    x = np.repeat(x, 2, axis=0) + rng.standard_normal((6000, 8)) * 0.001  # pairs, which a sample tears
+    df = spark.createDataFrame(enumerate(x.tolist()), "vec_id long, v array<double>")
+    monkeypatch.setattr(nearest, "SAMPLE", 300)
+    index = nearest.fit(df, 1)
+    d = np.linalg.norm(index.query(x[:300])[:, None] - index.data(x)[None], axis=2)
+    d[np.arange(300), np.arange(300)] = np.inf
+    assert 0.8 * np.quantile(d.min(1), 0.9) < index.reach < 1.2 * np.quantile(d.min(1), 0.9)

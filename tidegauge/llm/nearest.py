@@ -5,14 +5,18 @@ inner product the smallest distance. Each table hashes them by floor((a.x + b) /
 few Gaussian directions a. A query visits buckets in the order in which its neighbours are
 likely to lie there: a neighbour at distance r shifts a projection by r times a normal
 variate, so a bucket's chance is a product of normal masses. Visits end when the chances
-add up to the table's target. Buckets are cut into blocks of bounded size; the candidates
-of all tables are merged and ranked by the inner product in double precision.
+add up to the table's target. How far neighbours lie is measured with pilot queries against
+all rows; the number of functions in a hash is the one with which those pilots cost least,
+among those that ask for no more than VISITS buckets. Buckets are cut into blocks of bounded
+size; the candidates of all tables are merged and ranked by the inner product in double
+precision.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +35,9 @@ TARGET = 0.975
 BLOCK, ASKED, PILOTS, SAMPLE = 2048, 512, 64, 8192
 #: Rows that a task gathers before it keeps each query's nearest.
 GATHER = 200_000
-#: Vectors for which two functions a table are enough; each SPREAD-fold takes one more.
-FEW, SPREAD = 131_072, 2
+#: Most functions of a hash, buckets that a pilot may visit in a table on average, and rows
+#: that could be compared for what it costs to send a query to a bucket.
+FUNCTIONS, VISITS, VISIT_ROWS = 24, 48, 500
 
 
 def usable(v: Column) -> Column:
@@ -97,45 +102,107 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+def _pilot_distances(index: Index, pilots: np.ndarray, ids: np.ndarray, k: int):
+    """Squared distances of each pilot's k nearest among the rows of a task."""
+    asked = index.query(pilots)
+
+    def run(batches):
+        best = np.full((len(asked), k), np.inf)
+        for b in batches:
+            x, own = _matrix(b.column("v")), b.column("vec_id").to_numpy()
+            for at in range(0, len(x), BLOCK):
+                d2 = np.maximum(2 - 2 * asked @ index.data(x[at : at + BLOCK]).T, 0)
+                d2[ids[:, None] == own[None, at : at + BLOCK]] = np.inf
+                both = np.concatenate([best, d2], axis=1)
+                best = np.partition(both, k - 1, axis=1)[:, :k]
+        pilot, near = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(pilot.astype(np.int32)), pa.array(best[pilot, near])], ["pilot", "d2"])
+
+    return run
+
+
+def _reach(rows: DataFrame, index: Index, pilots: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """Distance within which nine of ten pilots have their k nearest among all rows (all that
+    there are, if fewer). A task sends k distances a pilot; one row a pilot comes back."""
+    near = map_batches(rows.select("vec_id", "v"), _pilot_distances(index, pilots, ids, k), "pilot int, d2 double")
+    place = F.row_number().over(W.partitionBy("pilot").orderBy("d2"))
+    last = near.withColumn("place", place).where(F.col("place") <= k).groupBy("pilot").agg(F.max("d2").alias("d2")).collect()
+    return float(np.quantile(np.sqrt([r["d2"] for r in last]), 0.9)) if last else 2.0
+
+
+def _met(index: Index, x: np.ndarray, pilots: int) -> tuple[float, float]:
+    """Buckets that a pilot visits in a table, and the share of the sample that it meets over
+    all tables; endless visits where the pilots exceed VISITS."""
+    asked, lie = index.project(index.query(x[:pilots])), index.project(index.data(x))
+    visits = met = 0
+    for t in range(TABLES):
+        held = Counter(code(s) for s in np.floor(lie[:, t]))
+        for f in asked[:, t]:
+            for bucket in probes(f, index.reach / WIDTH, _target()):
+                visits, met = visits + 1, met + held[bucket]
+                if visits > VISITS * pilots * TABLES:
+                    return math.inf, 1.0
+    return visits / (pilots * TABLES), met / (pilots * len(x))
+
+
 def fit(rows: DataFrame, k: int) -> Index | None:
-    """Measure the data: rows(vec_id, v), all usable and of one length. The reach is the
-    distance of the k-th neighbour (scaled to the sample) of pilot queries in a sample."""
+    """Measure the data: rows(vec_id, v), all usable and of one length. Pilot queries come
+    from a sample of about SAMPLE rows, from which the share of the rows that lie in visited
+    buckets is taken too; the distances of their neighbours are over all rows. Functions are
+    tried one by one: each more makes buckets smaller and asks for more of them."""
     m = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.max(F.size("v")).alias("d")).first()
     if not m["n"]:
         return None
     share = min(1.0, SAMPLE / m["n"])
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * SAMPLE).toPandas()
-    functions = 2 + max(0, round(math.log(m["n"] / FEW, SPREAD)))  # buckets keep their size as rows grow
     rng = np.random.default_rng(SEED)
-    index = Index(rng.standard_normal((TABLES, functions, m["d"] + 1)), rng.uniform(0, WIDTH, (TABLES, functions)), m["norm"], 2.0)
-    if len(sample) > 2:
-        x = np.stack(sample["v"].to_numpy()).astype(float)
-        d2 = ((index.query(x[:PILOTS])[:, None, :] - index.data(x)[None]) ** 2).sum(2)
-        at = min(len(x) - 1, max(1, math.ceil(k * len(x) / m["n"])))
-        index.reach = float(np.quantile(np.sqrt(np.sort(d2, axis=1)[:, at]), 0.9))
-    index.reach = max(index.reach, 1e-3)
-    return index
+    a, b = rng.standard_normal((TABLES, FUNCTIONS, m["d"] + 1)), rng.uniform(0, WIDTH, (TABLES, FUNCTIONS))
+    index = Index(a[:, :1], b[:, :1], m["norm"], 2.0)
+    if len(sample) < 3:
+        return index
+    x = np.stack(sample["v"].to_numpy()).astype(float)
+    index.reach = max(_reach(rows, index, x[:PILOTS], sample["vec_id"].to_numpy()[:PILOTS], k), 1e-3)
+    best, least = index, math.inf
+    for functions in range(1, FUNCTIONS + 1):
+        tried = Index(a[:, :functions], b[:, :functions], index.norm, index.reach)
+        visits, met = _met(tried, x, min(PILOTS, len(x)))
+        if visits == math.inf:
+            break
+        cost = met * m["n"] + visits * TABLES * VISIT_ROWS
+        if cost < least:
+            best, least = tried, cost
+    return best
+
+
+def _target() -> float:
+    """Chance that one table finds a neighbour."""
+    return 1 - (1 - TARGET) ** (1 / TABLES)
+
+
+def _place(index: Index):
+    """Rows with the table and bucket where they lie."""
 
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                f = np.floor(index.project(index.data(_matrix(b.column("v")))))
+                for t in range(TABLES):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t] * len(f), pa.int32()), pa.array([code(s) for s in f[:, t]], pa.int64()), b.column("vec_id"), b.column("v")], ["tab", "bucket", "vec_id", "v"]
+                    )
 
-def _place(index: Index, queries: bool):
-    """Rows with the table and bucket where they lie, or all that a query visits."""
-    target = 1 - (1 - TARGET) ** (1 / TABLES)
+    return run
+
+
+def _visit(index: Index):
+    """Tables and buckets that each query visits, by the query's id."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column("v"))
-            f = index.project(index.query(x) if queries else index.data(x))
-            at, tab, buc = [], [], []
-            for i in range(len(x)):
-                for t in range(TABLES):
-                    found = list(probes(f[i, t], index.reach / WIDTH, target)) if queries else [code(np.floor(f[i, t]))]
-                    at += [i] * len(found)
-                    tab += [t] * len(found)
-                    buc += found
-            out = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(tab, pa.int32()), pa.array(buc, pa.int64()), out.column("vec_id"), out.column("v")], ["tab", "bucket", "vec_id", "v"])
+            if b.num_rows:
+                f, ids = index.project(index.query(_matrix(b.column("v")))), b.column("vec_id").to_pylist()
+                out = [(t, bucket, ids[i]) for i in range(len(f)) for t in range(TABLES) for bucket in probes(f[i, t], index.reach / WIDTH, _target())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64()))], ["tab", "bucket", "vec_id"])
 
     return run
 
@@ -207,13 +274,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows = vectors.where(usable(v) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     rows = rows.where(F.size("v") == (length["d"] if length else 0))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query"))
+    rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")), "vectors")
     index = fit(rows, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind, place = "tab int, bucket long, vec_id long, v array<double>", ["tab", "bucket"]
-    base = map_batches(rows.select("vec_id", "v"), _place(index, False), kind)
-    asked = map_batches(rows.where("is_query").select("vec_id", "v"), _place(index, True), kind)
+    base = map_batches(rows.select("vec_id", "v"), _place(index), kind)
+    asked = stored(map_batches(rows.where("is_query").select("vec_id", "v"), _visit(index), "tab int, bucket long, vec_id long"), "visits")
     count = lambda df, size, name: df.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     sizes = stored(count(base, BLOCK, "blocks").join(count(asked, ASKED, "parts"), place), "bucket-sizes")
     one = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
@@ -221,6 +288,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     names = [*place, "block", "part"]
     own = base.join(sizes, place).withColumn("block", one("blocks")).withColumn("part", each("parts"))
     asked = asked.join(sizes, place).withColumn("part", one("parts")).withColumn("block", each("blocks"))
+    asked = asked.select(*names, "vec_id").join(rows.where("is_query").select("vec_id", "v"), "vec_id")
     both = own.select(*names, "vec_id", "v", F.lit(False).alias("is_query")).union(asked.select(*names, "vec_id", "v", F.lit(True).alias("is_query")))
     found = map_batches(both.repartition(*names).sortWithinPartitions(*names), _search(k), "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
