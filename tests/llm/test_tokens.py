@@ -112,6 +112,23 @@ def test_second_run_encodes_only_what_is_new(spark, tmp_path, monkeypatch):
     assert run(texts[:3]) == {0: 2, 1: 2, 2: 1} and len(list((tmp_path / "cache").glob("version=*"))) == 2
 
 
+def test_a_run_reads_the_partitions_of_its_keys(spark, tmp_path):
+    cache = f"file://{tmp_path}/c"
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(600)], "doc_id long, text string")
+    all_counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORDS, cache).collect()}
+    again = docs.where("doc_id < 2").union(spark.createDataFrame([(9000, "a new one")], "doc_id long, text string"))
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(again, WORDS, cache).where("doc_id < 9000").collect()} == {i: all_counts[i] for i in (0, 1)}
+    version = token_counts.tokenizer_version(WORDS)
+    keys = docs.where("doc_id = 0").select(F.unhex(F.sha2("text", 256)).alias("digest"))
+    plan = token_counts._read_cache(spark, cache, version, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
+    assert token_counts._read_cache(spark, cache, version, keys).count() < 20
+    token_counts._read_cache(spark, cache, version).limit(50).select("digest", "n_tokens", token_counts._part()).write.mode("append").partitionBy("part").parquet(f"{cache}/version={version}")
+    assert token_counts._read_cache(spark, cache, version).count() == 651
+    assert token_counts.compact(spark, cache, WORDS) == 601 == token_counts._read_cache(spark, cache, version).count()
+    assert token_counts.compact(spark, f"{cache}-none", WORDS) == 0
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(some_text, min_size=1, max_size=30))
 def test_folding_spaces_keeps_counts(spark, texts):
