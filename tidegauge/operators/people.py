@@ -1,7 +1,8 @@
 """People across the issue tracker and the forge, met by their trimmed name in lower case.
 
 Tables: merge_request(mr, team, author, bot, merged, reviewed, project), given(mr, team,
-person): humans who commented on or approved another's merge request, once each.
+person): humans who commented on or approved another's merge request, once each; or, with a
+column given, how many requests that were, mr being the first where its spelling matters.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def roster(issue, issue_sprint, sprint, mr: DataFrame, given: DataFrame, as_of:
         _rows(rows, "assignee", at, True, open_assigned=is_open, open_in_active=is_open & F.col("active"), open_points=F.when(is_open, points()), flagged=is_open & F.col("flagged"), resolved_recently=done() & recent("resolved")),
         _rows(rows.where(recent("created")), "reporter", at, True, reported_recently=F.lit(1)),
         _rows(mr.where(~F.col("bot")), "author", F.col("mr"), False, F.col("project"), authored=F.lit(1), merged=F.col("merged").isNotNull()),
-        _rows(given, "person", F.col("mr"), False, reviews_given=F.lit(1)),
+        _rows(given, "person", F.col("mr"), False, reviews_given=F.col("given") if "given" in given.columns else F.lit(1)),
     ]
     g = reduce(DataFrame.unionByName, parts).groupBy("team", name_key("name").alias("person")).agg(
         F.min(F.struct(~F.col("tracker"), "pos", "name"))["name"].alias("name"), *(F.sum(m).alias(m) for m in MEASURES),
@@ -60,7 +61,7 @@ def estate_people(members: DataFrame, mr: DataFrame, given: DataFrame) -> DataFr
     size work by scales of their own. Merge requests count once, whichever board has them."""
     once = mr.groupBy("mr").agg(F.min(F.struct("author", "bot", "merged", "reviewed")).alias("m")).select("mr", "m.*").where(~F.col("bot") & (F.trim("author") != ""))
     own = once.groupBy(name_key("author").alias("person")).agg(F.count("*").alias("authored"), count_if(F.col("merged").isNotNull()).alias("merged"), count_if(F.col("merged").isNotNull() & ~F.col("reviewed")).alias("merged_unreviewed"))
-    reviews = given.where(F.trim("person") != "").groupBy(name_key("person").alias("person")).agg(F.count_distinct("mr").alias("reviews_given"))
+    reviews = given.where(F.trim("person") != "").groupBy(name_key("person").alias("person")).agg((F.sum("given") if "given" in given.columns else F.count_distinct("mr")).alias("reviews_given"))
     forge = own.join(reviews, "person", "full").withColumn("on_forge", F.lit(True))
     sums = ("open_assigned", "open_in_active", "flagged", "resolved_recently", "reported_recently")
     board = members.groupBy("person").agg(F.count("*").alias("boards"), count_if(F.col("open_in_active") > 0).alias("active_boards"), count_if(F.col("open_assigned") > 0).alias("boards_with_work"), *(total(F.col(c)).alias(c) for c in sums)).withColumn("on_board", F.lit(True))

@@ -12,7 +12,7 @@ from ..operators import rules
 from ..operators import series as sr
 from ..operators import taxonomy as tx
 from .attention import HEALTH, PEOPLE, _forge, _health, _roster
-from .queries import ACTIVE, ACTIVE_LAST, CYCLES, DWELL, EPICS, EVENTS, FLOW, LOAD, MEMBERS, PRIMARY, SPENT, WIP, _board, _epics, _review, query
+from .queries import ACTIVE, ACTIVE_LAST, CYCLES, DWELL, EPICS, EVENTS, FLOW, LOAD, MEMBERS, PRIMARY, SPENT, WIP, _board, _epics, _practice, _review, query
 from .testdata import SERIES
 
 
@@ -50,7 +50,7 @@ def chart_burndown(c):
  pe AS (SELECT coalesce(own.person, gv.person) person, coalesce(authored, 0) authored, coalesce(seen, 0) seen, coalesce(unseen, 0) unseen, coalesce(given, 0) given FROM own FULL JOIN gv ON own.person = gv.person ORDER BY authored DESC, given DESC, person LIMIT 20)
  {rows('pe', 'person', {'merged with review': 'seen', 'merged without': 'unseen', 'reviews given': 'given'}, "'(all)'")}""", None)
 def chart_practice(c):
-    return ch.practice(rv.practice(*_review(c)))
+    return ch.practice(_practice(c))
 
 
 @query(f"{WIP}, nw AS (SELECT * FROM wip WHERE issues > 0) {rows('nw', 'col', {'moving': 'issues - stale', 'stale': 'stale'})}")
@@ -92,7 +92,7 @@ def chart_cycle_scatter(c):
  SELECT team, 'requests' AS series, bucket AS x, cast(n AS double) AS y FROM la WHERE team IN (SELECT team FROM la GROUP BY team HAVING sum(n) > 0)""", None)
 def chart_review_latency(c):
     signals = _review(c)[2]
-    return ch.review_latency(rv.latency_histogram(signals), rv.review_metrics(signals))
+    return ch.review_latency(rv.latency_histogram(signals), rv.review_counts(signals))
 
 
 @query(f"""{PEOPLE}, fp AS (SELECT person FROM ro WHERE open_in_active > 0 GROUP BY person HAVING count(*) > 1 ORDER BY count(*) DESC, sum(open_in_active) DESC, person LIMIT 14)
