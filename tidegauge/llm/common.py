@@ -97,6 +97,18 @@ def release(spark: SparkSession) -> None:
 
 
 _HELD: dict = {}
+_AT: list = [None]
+
+
+def turn_to(step: str) -> None:
+    """What a worker does before a task: if its last one was of another step, it lets go of
+    what it kept for that, so that a step that keeps nothing doesn't carry an earlier one's memo."""
+    if _AT[0] != step:
+        _AT[0] = step
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            give_back()
 
 
 def held(owner: tuple, make: Callable):
@@ -179,9 +191,12 @@ def give_back() -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow by a worker that gives free memory back when a task ends."""
+    """mapInArrow by a worker that gives free memory back when a task ends, and what other
+    steps left before it begins."""
+    step = f"{fn.__module__}.{fn.__qualname__}"
 
     def run(batches):
+        turn_to(step)
         yield from fn(batches)
         give_back()
 

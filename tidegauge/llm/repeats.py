@@ -361,7 +361,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = steps.store("packed", map_batches(docs.select(NO, "text"), _pack, f"{NO} long, packed binary").join(involved, NO))
     proofs = chains.select("src", "n").distinct().select("src", "n", F.lit(None).cast("long").alias("m"), F.lit(False).alias("wide"))
     asked = texts.join(sizes, "m").select("src", "n", "m", "wide").union(proofs).select(no("src"), piece, "src", "n", "m", "wide")
-    pieces = map_batches(packed, _pieces(PIECE), f"{NO} long, piece long, data binary")
+    # Dealt out even where one side is small: broadcast, both Python steps would share a stage, with two workers a task.
+    pieces = map_batches(packed, _pieces(PIECE), f"{NO} long, piece long, data binary").hint("merge")
     cut = map_batches(asked.join(pieces, [NO, "piece"]).select("src", "piece", "n", "m", "wide", "data"), _cut(shift, PIECE), "src long, n long, m long, wide boolean, snippet binary, proof binary")
     cut = steps.store("cut", cut)
     steps.drop("texts", "sizes")

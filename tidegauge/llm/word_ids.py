@@ -25,7 +25,7 @@ class _Ids:
     they are normalised, which the tokenizer joins to the marks.)"""
 
     def __init__(self, tokenizer, size: int):
-        self.tokenizer, self.letters = tokenizer, {}
+        self.tokenizer, self.letters, self.splits = tokenizer, {}, _splits(tokenizer)
         self.memo = Memo(self.ids, size)
 
     def ids(self, chunk: str) -> bytes:
@@ -43,7 +43,6 @@ class _Ids:
         return self.letters[c]
 
 
-@lru_cache(maxsize=4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -53,17 +52,11 @@ def _tokenizer(path: str):
     return t
 
 
-def _memo(path: str, size: int) -> Memo:
-    return held(("word ids", path, size), lambda: _Ids(_tokenizer(path), size).memo)
-
-
-@lru_cache(maxsize=4)
-def _splits(path: str) -> bool:
+def _splits(tokenizer) -> bool:
     """Whether the file's pipeline is the one for which chunks may be encoded apart."""
     import json
 
-    t = _tokenizer(path)
-    spec = json.loads(t.to_str())
+    spec = json.loads(tokenizer.to_str())
     kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
     tokens = [a["content"] for a in spec.get("added_tokens", [])]
@@ -72,9 +65,10 @@ def _splits(path: str) -> bool:
 
 def ids_bytes(path: str, text: str, memo_words: int = MEMO_WORDS) -> bytes:
     """The ids of text as little-endian unsigned 32-bit numbers."""
-    if not _splits(path):
-        return array("I", _tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
-    return b"".join(map(_memo(path, memo_words).__getitem__, text.replace("\n", " ").split(" ")))
+    ids = held(("word ids", path, memo_words), lambda: _Ids(_tokenizer(path), memo_words))
+    if not ids.splits:
+        return array("I", ids.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    return b"".join(map(ids.memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=4)
