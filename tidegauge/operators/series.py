@@ -8,6 +8,9 @@ that a day without it is skipped and d - 1 is the day before:
     day_member(team, d, key, sprint_id)
     day_sprint(team, d, sprint_id, state, start_ts, end_ts)
     day_column(team, d, col_pos, col, status_id)
+
+A day_member may bring the columns of its issues' day_issue along, each row once; it is then
+not joined with day_issue. A day's active sprints are few, so tables of them are broadcast.
 """
 
 from __future__ import annotations
@@ -38,7 +41,10 @@ def active_sprints(day: DataFrame, day_sprint: DataFrame) -> DataFrame:
 
 def members(day_issue: DataFrame, day_member: DataFrame, sprints: DataFrame) -> DataFrame:
     """The issues of some sprints, day by day."""
-    inside = day_member.join(sprints.select(*SPRINT), SPRINT, "left_semi").dropDuplicates(["team", "d", "key", "sprint_id"])
+    inside = day_member.join(F.broadcast(sprints.select(*SPRINT)), SPRINT, "left_semi")
+    if "category" in day_member.columns:
+        return inside
+    inside = inside.dropDuplicates(["team", "d", "key", "sprint_id"])
     return inside.join(day_issue, ["team", "d", "key"])
 
 
@@ -219,14 +225,28 @@ def column_dwell_summary(dwell: DataFrame) -> DataFrame:
 def cumulative_flow(day, day_issue, day_member, day_sprint, day_column) -> DataFrame:
     """Issues of each team's primary sprint by day and column, on the axis of the last day's
     columns, empty ones included. What has no place there is off the board, a band that is
-    left out where it stays empty. Teams without columns have no flow."""
-    primary = primary_sprints(day, day_issue, day_member, day_sprint)
-    rows = members(day_issue, day_member, primary)
+    left out where it stays empty. Teams without columns have no flow. The issues of all active
+    sprints are read once, counted by day and column, and gathered as a row for each sprint, of
+    which the one with most points on the last day is the primary one, as in primary_sprints."""
+    active = active_sprints(day, day_sprint).select(*SPRINT)
     axis = day_column.join(spans(day), "team").where("d = hi").groupBy("team", "col").agg(F.min("col_pos").alias("col_pos"))
-    there = day_sprint.join(primary.select(*SPRINT), SPRINT, "left_semi").select(*SPRINT, "d").union(rows.select(*SPRINT, "d")).distinct()
-    on_axis = placed(rows, day_column).join(axis.select("team", "col", F.lit(True).alias("known")), ["team", "col"], "left")
+    on_axis = placed(members(day_issue, day_member, active), day_column).join(F.broadcast(axis.select("team", "col", F.lit(True).alias("known"))), ["team", "col"], "left")
     at = F.when(F.col("known"), F.col("col")).otherwise(F.lit(OFF_BOARD)).alias("col")
-    return flow_on(axis, there, on_axis.groupBy(*SPRINT, "d", at).agg(F.count("*").alias("n")))
+    n = on_axis.groupBy(*SPRINT, "d", at).agg(F.count("*").alias("n"), total(points()).alias("points"))
+    there = day_sprint.join(F.broadcast(active), SPRINT, "left_semi").select(*SPRINT, "d", F.lit(None).cast("string").alias("col"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("points"))
+    by_day = n.union(there).groupBy(*SPRINT, "d").agg(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "n"))).alias("found"), F.sum("points").alias("points"))
+
+    held = by_day.join(F.broadcast(spans(day)), "team").groupBy(*SPRINT).agg(F.sum(F.when(F.col("d") == F.col("hi"), F.col("points")).otherwise(0)).alias("committed"), F.collect_list(F.struct("d", "found")).alias("days"))
+    rank = F.row_number().over(W.partitionBy("team").orderBy(F.desc("committed"), "sprint_id"))
+    primary = held.withColumn("r", rank).where("r = 1").select(*SPRINT, "days")
+    bands = axis.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("col_pos", "col"))).alias("bands"))
+    off = F.struct(F.lit(2**31 - 1).alias("col_pos"), F.lit(OFF_BOARD).alias("col"))
+    used = F.exists("days", lambda x: F.exists(x["found"], lambda y: y["col"] == OFF_BOARD))
+    grid = primary.join(bands, "team").withColumn("bands", F.when(used, F.concat("bands", F.array(off))).otherwise(F.col("bands")))
+    ranks = F.array_sort(F.array_distinct(F.transform("bands", lambda b: b["col_pos"])))
+    grid = grid.withColumn("ranks", ranks).withColumn("day", F.explode("days")).withColumn("band", F.explode("bands"))
+    count = F.coalesce(F.get(F.filter(F.col("day.found"), lambda y: y["col"] == F.col("band.col")), F.lit(0))["n"], F.lit(0)).cast("long")
+    return grid.select(*SPRINT, F.col("day.d").alias("d"), F.array_position("ranks", F.col("band.col_pos")).cast("int").alias("place"), F.col("band.col").alias("col"), count.alias("n"))
 
 
 def flow_on(axis: DataFrame, there: DataFrame, n: DataFrame) -> DataFrame:
@@ -242,11 +262,11 @@ def flow_on(axis: DataFrame, there: DataFrame, n: DataFrame) -> DataFrame:
 
 def flow_growth(flow: DataFrame) -> DataFrame:
     """The column before the last of the board that grew most from the first day of a flow
-    to its last, and how much the scope grew."""
-    board = flow.where(F.col("col") != OFF_BOARD).groupBy("team").agg(F.max("place").alias("end"))
-    ends = flow.join(flow.groupBy("team").agg(F.min("d").alias("lo"), F.max("d").alias("hi")), "team")
-    change = F.when(F.col("d") == F.col("hi"), F.col("n")).otherwise(0) - F.when(F.col("d") == F.col("lo"), F.col("n")).otherwise(0)
-    g = ends.groupBy("team", "col", "place").agg(F.sum(change).alias("grew")).join(board, "team")
+    to its last, and how much the scope grew. A team's flow, which is small, is read once."""
+    w, d = W.partitionBy("team"), F.col("d")
+    ends = flow.withColumn("lo", F.min("d").over(w)).withColumn("hi", F.max("d").over(w)).withColumn("end", F.max(F.when(F.col("col") != OFF_BOARD, F.col("place"))).over(w))
+    change = F.when(d == F.col("hi"), F.col("n")).otherwise(0) - F.when(d == F.col("lo"), F.col("n")).otherwise(0)
+    g = ends.where("end is not null").groupBy("team", "col", "place", "end").agg(F.sum(change).alias("grew"))
     most = F.max(F.when(F.col("place") < F.col("end"), F.struct("grew", (-F.col("place")).alias("p"), "col")))
     return g.groupBy("team").agg(most.alias("m"), F.sum("grew").alias("scope")).select("team", F.col("m.col").alias("col"), F.col("m.grew").alias("grew"), "scope")
 
