@@ -54,19 +54,24 @@ def last_closed(metrics: DataFrame, window: int = WINDOW) -> DataFrame:
     return metrics.where("state = 'closed'").withColumn("r", r).where(F.col("r") <= window)
 
 
+def _forecast(pick: Column, name: str = "") -> list[Column]:
+    v = F.when(pick > 0, pick)
+    p = {n: exact(v, x) for n, x in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))}
+    spread = F.round((p["p90"] - p["p10"]) / p["p50"], 6)
+    return [F.count(v).alias(f"{name}basis"), *(c.alias(f"{name}{n}") for n, c in p.items()), spread.alias(f"{name}spread")]
+
+
 def forecast(metrics: DataFrame, pick: Column, window: int = WINDOW) -> DataFrame:
     """Percentiles of the last closed sprints; those that yielded nothing do not count."""
-    v = F.when(pick > 0, pick)
-    f = last_closed(metrics, window).groupBy("team").agg(F.count(v).alias("basis"), *(exact(v, p).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
-    return f.withColumn("spread", F.round((F.col("p90") - F.col("p10")) / F.col("p50"), 6))
+    return last_closed(metrics, window).groupBy("team").agg(*_forecast(pick))
 
 
 def team_trends(metrics: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Both forecasts and the median share of issues that were carried out of a sprint."""
-    pts, iss = (forecast(metrics, F.col(c), window).select("team", *(F.col(x).alias(f"{n}_{x}") for x in ("basis", "p10", "p50", "p90", "spread"))) for n, c in (("points", "completed_points"), ("issues", "completed_issues")))
+    """Both forecasts and the median share of issues that were carried out of a sprint, in
+    one grouping of the metrics."""
     rate = F.when(F.col("committed_issues") > 0, F.col("carried_out") / F.col("committed_issues"))
-    carry = last_closed(metrics, window).groupBy("team").agg(exact(rate, 0.5).alias("carryover_median"))
-    return pts.join(iss, "team").join(carry, "team")
+    figures = [*_forecast(F.col("completed_points"), "points_"), *_forecast(F.col("completed_issues"), "issues_")]
+    return last_closed(metrics, window).groupBy("team").agg(*figures, exact(rate, 0.5).alias("carryover_median"))
 
 
 def in_active(issue: DataFrame, issue_sprint: DataFrame, sprint: DataFrame) -> DataFrame:
