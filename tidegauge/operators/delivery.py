@@ -1,6 +1,8 @@
 """Sprints: metrics, forecasts, load, backlog and composition of teams.
 
-Tables: issue, issue_sprint (all sprints of an issue), sprint; all keyed by team.
+Tables: issue, issue_sprint (all sprints of an issue), sprint; all keyed by team. An issue may
+bring the ids of its sprints along in an array, sprint_ids; then issue_sprint is not read, and
+the sprints of a board, which are few, come to its issues.
 """
 
 from __future__ import annotations
@@ -21,15 +23,45 @@ def in_order(sprint: DataFrame) -> DataFrame:
     return sprint.withColumn("place", F.row_number().over(W.partitionBy("team").orderBy(F.asc_nulls_last("start_ts"), "sprint_id")))
 
 
+def members(issue: DataFrame, issue_sprint: DataFrame, sprint: DataFrame) -> DataFrame:
+    """A row for each issue in each of sprint(team, sprint_id, ...), with the columns of both."""
+    if "sprint_ids" in issue.columns:
+        rows = issue.withColumn("sprint_id", F.explode("sprint_ids")).drop("sprint_ids")
+        return rows.join(F.broadcast(sprint), ["team", "sprint_id"])
+    return issue_sprint.join(sprint, ["team", "sprint_id"]).join(issue, ["team", "key"])
+
+
+def counted(issue: DataFrame, issue_sprint: DataFrame) -> DataFrame:
+    """issue with sprint_count, how many sprints it is in (null: none)."""
+    if "sprint_ids" in issue.columns:
+        return issue.withColumn("sprint_count", F.nullif(F.size("sprint_ids"), F.lit(0)).cast("long"))
+    return issue.join(sprint_counts(issue_sprint), ["team", "key"], "left")
+
+
+def inside(issue: DataFrame, issue_sprint: DataFrame, sprint: DataFrame, name: str = "inside") -> DataFrame:
+    """issue with a column that tells whether it is in any of sprint(team, sprint_id)."""
+    if "sprint_ids" in issue.columns:
+        ids = sprint.groupBy("team").agg(F.collect_set("sprint_id").alias("__ids"))
+        is_in = F.coalesce(F.arrays_overlap("sprint_ids", "__ids"), F.lit(False))
+        return issue.join(F.broadcast(ids), "team", "left").select(*issue.columns, is_in.alias(name))
+    keys = issue_sprint.join(sprint, ["team", "sprint_id"], "left_semi").select("team", "key", F.lit(True).alias(name)).distinct()
+    return issue.join(keys, ["team", "key"], "left").select(*issue.columns, F.coalesce(name, F.lit(False)).alias(name))
+
+
 def sprint_members(issue: DataFrame, issue_sprint: DataFrame, sprint: DataFrame) -> DataFrame:
     """Each issue of each sprint, whether it was resolved within the sprint's window, and
     whether it is in a later sprint too."""
     s = in_order(sprint)
-    rows = issue_sprint.join(s, ["team", "sprint_id"]).join(issue, ["team", "key"])
-    last = F.max("place").over(W.partitionBy("team", "key"))
+    if "sprint_ids" in issue.columns:
+        place = s.where("sprint_id is not null").groupBy("team", "sprint_id").agg(F.max("place").alias("place"))
+        places = place.groupBy("team").agg(F.map_from_entries(F.collect_list(F.struct("sprint_id", "place"))).alias("places"))
+        last = F.array_max(F.transform("sprint_ids", lambda i: F.try_element_at("places", i)))
+        rows = members(issue.join(F.broadcast(places), "team").withColumn("last", last).drop("places"), issue_sprint, s)
+    else:
+        rows = members(issue, issue_sprint, s).withColumn("last", F.max("place").over(W.partitionBy("team", "key")))
     end = F.coalesce("complete_ts", "end_ts")
     within = F.coalesce((F.col("resolved") >= F.col("start_ts")) & (F.col("resolved") <= end), F.lit(False))
-    return rows.withColumn("within", within).withColumn("carried", last > F.col("place"))
+    return rows.withColumn("within", within).withColumn("carried", F.col("last") > F.col("place")).drop("last")
 
 
 def sprint_metrics(issue: DataFrame, issue_sprint: DataFrame, sprint: DataFrame) -> DataFrame:
@@ -76,8 +108,7 @@ def team_trends(metrics: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def in_active(issue: DataFrame, issue_sprint: DataFrame, sprint: DataFrame) -> DataFrame:
     """Issues in any active sprint, each once."""
-    keys = issue_sprint.join(sprint.where("state = 'active'"), ["team", "sprint_id"], "left_semi").select("team", "key")
-    return issue.join(keys, ["team", "key"], "left_semi")
+    return inside(issue, issue_sprint, sprint.where("state = 'active'"), "__in").where("__in").drop("__in")
 
 
 def active_load(issue, issue_sprint, sprint) -> DataFrame:
@@ -116,8 +147,7 @@ def sprint_counts(issue_sprint: DataFrame) -> DataFrame:
 def carryover_leaders(issue, issue_sprint, sprint, n: int = 6) -> DataFrame:
     """Open issues of the latest-started active sprint in most sprints."""
     latest = top(sprint.where("state = 'active'"), 1, F.desc("start_ts"), "sprint_id")
-    keys = issue_sprint.join(latest.select("team", "sprint_id"), ["team", "sprint_id"], "left_semi").select("team", "key")
-    rows = issue.where(~done()).join(keys, ["team", "key"], "left_semi").join(sprint_counts(issue_sprint), ["team", "key"])
+    rows = counted(inside(issue.where(~done()), issue_sprint, latest.select("team", "sprint_id")).where("inside"), issue_sprint)
     return top(rows, n, F.desc("sprint_count"), "pos").select("team", "rank", "key", "sprint_count")
 
 
