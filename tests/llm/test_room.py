@@ -45,3 +45,23 @@ def test_pieces_are_cut_in_a_stage_of_their_own(spark, monkeypatch):
     repeats.remove(spark.read.parquet(f"{SF}/documents.parquet")).count()
     joins = [x for x in plans["cut"].splitlines() if "Join" in x and "piece" in x]
     assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_a_sweep_reaches_workers_that_idle(spark):
+    """A step of one task left the memos of all workers but its own."""
+
+    def keep(batches):
+        common.held(("kept",), list)
+        yield from batches
+
+    def look(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._HELD)] * b.num_rows, pa.int64())], ["id"])
+
+    seen = lambda: sum(r.id for r in spark.range(0, 40, 1, 40).mapInArrow(look, "id long").collect())
+    common.map_batches(spark.range(0, 40, 1, 40), keep, "id long").count()
+    assert seen()
+    common.sweep(spark)
+    assert seen() == 0

@@ -111,6 +111,22 @@ def turn_to(step: str) -> None:
             give_back()
 
 
+def _let_go(batches):
+    for _ in batches:
+        pass
+    turn_to("sweep")
+    yield from ()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets workers that idle go of what a finished step kept. A step of few tasks would wake only
+    some of them, and the memo of the others would lie beside it. Executors take idle workers in
+    turns, so some small tasks for each core reach all."""
+    importable(spark)
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(_let_go, "id long").write.format("noop").mode("overwrite").save()
+
+
 def held(owner: tuple, make: Callable):
     """What a Python worker keeps from task to task. It keeps one operator's memo at a
     time, so that the stages of a pipeline don't add up in an executor's memory."""

@@ -172,9 +172,9 @@ def _predict(model: Model, keep: list[str]):
             lang, score, lead, strange = [], [], [], []
             rows = [t.encode() if LETTER.search(t) else b"" for t in texts(batch)]
             at = 0
-            while at < len(rows):  # about 256 KB at a time
+            while at < len(rows):  # about 128 KB at a time
                 size, end = 0, at
-                while end < len(rows) and (end == at or size + len(rows[end]) < 256_000):
+                while end < len(rows) and (end == at or size + len(rows[end]) < 128_000):
                     size, end = size + len(rows[end]), end + 1
                 part, at = rows[at:end], end
                 margins = model.margins(part) if model.langs else None
