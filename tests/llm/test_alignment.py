@@ -103,3 +103,30 @@ def test_groups_are_spans_of_the_text(spark, libraries):
         assert [(a, b) for _, _, a, b in got.get(i, [])] == want
         if want:
             assert [x[0] for x in got[i]] == [0, *(x[1] for x in got[i][:-1])] and got[i][-1][1] == len((" " + t).encode())
+
+
+def test_a_batch_is_encoded_by_few_calls_and_kept():
+    """New words are one text for both tokenizers, and what a batch needs is not let go of within it."""
+    pair = alignment.Pair(A, B)
+    pair.chunks.size = 50
+    words = [a + b + c for a in ("ba", "Ké", "zu", "thr", "ing") for b in ("l", "mo", "tion", "ß") for c in ("ax", "er", "ou", "ly")]
+    text = "\n".join(" ".join(w + m for w in words) for m in ("", ",", "", "?!")) + " 12 (x) ▁ ..."
+    calls = []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.of, name)
+
+    pair.a, pair.library = Counted(pair.a), Counted(pair.library)
+    for _ in range(3):
+        cuts = [pair.cut(text.replace("▁", "")), pair.cut("so be it.")]
+        pair.learn(cuts)
+        missed, plain = len(calls), alignment.Pair(A, B)
+        for cut in cuts:
+            got = pair.entries(cut)
+            assert got == [plain.entries_of([c], [plain.ids(c)])[0] for c in cut]
+    assert len(calls) <= 12 and missed == len(calls), calls

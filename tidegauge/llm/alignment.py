@@ -19,7 +19,7 @@ import hashlib
 import json
 import os
 import re
-from array import array
+from collections.abc import Callable, Iterable
 from itertools import accumulate, chain
 
 import numpy as np
@@ -78,8 +78,36 @@ class _Chunks(Memo):
         core = self.core(chunk)
         if core == chunk:
             return super().__missing__(chunk)
+        return self.keep(chunk, self.joined(chunk, core))
+
+    def joined(self, chunk: str, core: str):
         x, y = self[core], self[chunk[len(core) :]]
-        return self.keep(chunk, x and y and (x[0] + y[0], x[1] + y[1], f"{x[2]};{y[2]}", x[3] + y[3]))
+        return x and y and (x[0] + y[0], x[1] + y[1], f"{x[2]};{y[2]}", x[3] + y[3])
+
+    def young(self, chunks: Iterable[str]) -> list[str]:
+        """Those that it does not know but would hold; what the old generation knows becomes young."""
+        new, old = [], self.old
+        for c in chunks:
+            if c not in self:
+                e = old.pop(c, None)
+                if e is not None:
+                    self[c] = e
+                elif len(c) <= self.longest:
+                    new.append(c)
+        return new
+
+    def learn(self, chunks: set[str], make: Callable[[list[str]], None]) -> None:
+        """Know all chunks of a batch, whose new cores `make` adds. Generations change before a batch
+        only, so what it needs stays; the young one grows beyond its size by a batch at most."""
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        new = self.young(chunks)
+        cores = [self.core(c) for c in new]
+        cut = [(c, core) for c, core in zip(new, cores) if core != c]
+        make(self.young({*cores, *(c[len(core) :] for c, core in cut)}))
+        for c, core in cut:
+            self[c] = self.joined(c, core)
 
 
 class Pair:
@@ -103,6 +131,10 @@ class Pair:
         self.bytes_b = [p.replace(MARK, " ").encode() for p in self.b.piece]
         for i, b in self.b.byte_of.items():
             self.bytes_b[i] = bytes([b])
+        self.sizes = [np.array([len(b) for b in of], np.int64) for of in (self.bytes_a, self.bytes_b)]
+        #: Each id as text with the sign behind it: within its group, at the end of its side.
+        self.said = [f"{i}{sign}" for of, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for i in range(len(of)) for sign in signs]
+        self.said_sizes = np.array([len(t) for t in self.said], np.int64)
         self.chunks = _Chunks(self)
 
     def marked(self, chunk: str) -> bool:
@@ -114,7 +146,11 @@ class Pair:
         a = self.a.encode(chunk, add_special_tokens=False).ids
         if self.marked(chunk):
             return a, self.library.encode(chunk[1:])
-        return a, [i for s in SEGMENT.findall(chunk.replace(" ", MARK)) for i in self.b.segment(s)]
+        return a, self.unmarked(chunk)
+
+    def unmarked(self, chunk: str) -> list[int]:
+        """B's ids of a chunk whose marks are its own."""
+        return [i for s in SEGMENT.findall(chunk.replace(" ", MARK)) for i in self.b.segment(s)]
 
     def groups(self, chunks: list[str], ids: list[tuple[list[int], list[int]]]):
         """Of each chunk the spans of its groups, as labels, and its tokens' ids; None if
@@ -137,33 +173,61 @@ class Pair:
 
     def entries_of(self, chunks: list[str], ids: list[tuple[list[int], list[int]]]) -> list:
         """Tokens of A and B, groups as text, codes of the linked ids; None if bytes are lost."""
-        out = []
-        for (a, b), own in zip(ids, self.groups(chunks, ids)):
-            if own is None:
-                out.append(None)
-                continue
-            i = j = 0
-            said, codes = [], array("q")
-            for s in own:
-                n, m = i + s.count(b"a") + 1, j + s.count(b"b") + 1
-                x = str(a[i]) if n == i + 1 else ",".join(map(str, a[i:n]))
-                y = str(b[j]) if m == j + 1 else ",".join(map(str, b[j:m]))
-                said.append(f"{x}|{y}")
-                codes.append(a[n - 1] << 32 | b[m - 1])
-                i, j = n, m
-            out.append((len(a), len(b), ";".join(said), codes.tobytes()))
-        return out
+        told = self.told(chunks, [list(chain.from_iterable([x[k] for x in ids])) for k in (0, 1)])
+        if told is None:
+            return [None] if len(chunks) == 1 else [e for c, x in zip(chunks, ids) for e in self.entries_of([c], [x])]
+        return told
+
+    def told(self, chunks: list[str], ids: list[list[int]]) -> list | None:
+        """Entries of chunks by the ids of A and of B behind each other; None if bytes are lost or
+        a token goes over the end of a chunk. A token's end is a place in the joined bytes, and
+        its text brings the sign that follows it in its group."""
+        whole = "".join(chunks).encode()
+        if any(b"".join(map(of.__getitem__, f)) != whole for of, f in zip((self.bytes_a, self.bytes_b), ids)):
+            return None
+        flat = [np.array(f, np.int64) for f in ids]
+        bounds, ends = np.cumsum([len(c.encode()) for c in chunks]), [np.cumsum(of[f]) for of, f in zip(self.sizes, flat)]
+        stops = [np.searchsorted(e, bounds, "right") for e in ends]
+        if any((e[s - 1] != bounds).any() for e, s in zip(ends, stops)):
+            return None
+        both = []
+        for mine, other in (ends, ends[::-1]):
+            at = np.zeros(len(whole) + 1, bool)
+            at[other] = True
+            both.append(at[mine])
+        codes = (flat[0][both[0]] << 32 | flat[1][both[1]]).tobytes()
+        order = np.argsort(np.concatenate([2 * (np.cumsum(x) - x) + k for k, x in enumerate(both)]), kind="stable")
+        said = np.concatenate([base + 2 * f + x for base, f, x in zip((0, 2 * len(self.bytes_a)), flat, both)])[order]
+        text = "".join(map(self.said.__getitem__, said.tolist()))
+        upto = np.cumsum(self.said_sizes[said])[stops[0] + stops[1] - 1].tolist()
+        links = (np.cumsum(both[0])[stops[0] - 1] * 8).tolist()
+        sizes = [np.diff(s, prepend=0).tolist() for s in stops]
+        return [(n, m, text[f : t - 1], codes[i:j]) for n, m, f, t, i, j in zip(*sizes, [0, *upto], upto, [0, *links], links)]
 
     def learn(self, cuts: list[list[str]]) -> None:
-        """Encode the new words of several texts, each once and many at a call."""
-        cores = {self.chunks.core(c) for c in self.chunks.unknown(set(chain.from_iterable(cuts)))}
-        new = [c for c in self.chunks.unknown(cores) if self.marked(c)]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        """Encode the new chunks of several texts, each once and many at a call."""
+        self.chunks.learn(set(chain.from_iterable(cuts)), self.add)
+
+    def add(self, new: list[str]) -> None:
+        """Entries of chunks. A space and a word are cut apart from the next of this kind by both
+        tokenizers, so many of them are one text; others are encoded one by one."""
+        words, rest = [], []
+        for c in new:
+            (words if c[0] == " " and WORD.fullmatch(c) else rest).append(c)
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            text = "".join(some)
+            found = self.told(some, [self.a.encode(text, add_special_tokens=False).ids, self.library.encode(text[1:])])
+            if found is None:
+                rest += some
+            else:
+                self.chunks.update(zip(some, found))
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             of_a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            of_b = self.library.encode([c[1:] for c in some], num_threads=1)
-            for c, e in zip(some, self.entries_of(some, list(zip(of_a, of_b)))):
-                self.chunks.keep(c, e)
+            marked = iter(self.library.encode([c[1:] for c in some if self.marked(c)], num_threads=1))
+            of_b = [next(marked) if self.marked(c) else self.unmarked(c) for c in some]
+            self.chunks.update(zip(some, self.entries_of(some, list(zip(of_a, of_b)))))
 
     def cut(self, text: str) -> list[str]:
         """A space and the text in chunks that both tokenizers cut apart. What ends in a
@@ -205,10 +269,10 @@ def _blocks(path_a: str, path_b: str):
             p.learn(cuts)
             for cut in cuts:
                 e = p.entries(cut)
-                said = ";".join([x[2] for x in e])
-                codes = np.frombuffer(b"".join([x[3] for x in e]), np.int64)
+                n_a, n_b, said, codes = zip(*e) if e else ((), (), (), ())
+                codes = np.frombuffer(b"".join(codes), np.int64)
                 own.append(np.unique(codes, return_counts=True))
-                rows.append((sum([x[0] for x in e]), sum([x[1] for x in e]), len(codes), hashlib.sha256(said.encode()).hexdigest() if e else ""))
+                rows.append((sum(n_a), sum(n_b), len(codes), hashlib.sha256(";".join(said).encode()).hexdigest() if e else ""))
             if not rows:
                 continue
             times = np.concatenate([n for _, n in own])
