@@ -41,3 +41,13 @@ def test_no_task_holds_a_whole_group(spark):
     assert got.first().p50 == round(199_999 / 2 / 7, 6)
     bins = df.groupBy(ranks._bin("v").alias("bin")).count()
     assert bins.agg(F.max("count")).first()[0] < 200 and bins.count() < 50_000
+
+
+def test_rows_are_derived_once(spark):
+    """The bins and the values of those that are hit read the same counts."""
+    rows = spark.range(2000).select((F.col("id") % 3).alias("team"), (F.col("id") % 97 / 7).alias("age")).repartition(3)
+    found = ranks.percentiles(rows, ["team"], {"age": (F.col("age"), {"p50": 0.5})})
+    assert found.count() == 3
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan or plan.count("Range (") == 1, plan

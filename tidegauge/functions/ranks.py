@@ -32,6 +32,8 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column,
     values = rows.select(*by, F.explode(each).alias("x")).select(*by, "x.*").where("v is not null")
     at = [*by, "m"]
     counts = values.groupBy(*at, "v").agg(F.count("*").alias("n")).withColumn("bin", _bin("v"))
+    # Never null; the join below infers this for one of the two readers only, which were then derived apart.
+    counts = counts.where("bin is not null and " + " and ".join(f"{c} is not null" for c in by))
     asked = rows.sparkSession.createDataFrame([(m, o, float(p)) for m, (_, ps) in wanted.items() for o, p in ps.items()], "m string, out string, p double")
 
     bins = counts.groupBy(*at, "bin").agg(F.sum("n").alias("n"))

@@ -197,7 +197,8 @@ def column_dwell(day, day_issue, day_member, day_sprint, day_column) -> DataFram
     of the first day of the run of days that ends on the last one. A day without the issue
     ends the run; one that reaches the first day of several is censored. An issue's days are
     gathered once and walked back from the last."""
-    last = day_member.join(active_sprints(day, day_sprint).select(*SPRINT), SPRINT, "left_semi").join(spans(day), "team").where("d = hi").select("team", "key").distinct()
+    ends = active_sprints(day, day_sprint).join(spans(day), "team").select(*SPRINT, F.col("hi").alias("d"))
+    last = day_member.join(F.broadcast(ends), [*SPRINT, "d"], "left_semi").select("team", "key").distinct()
     rows = placed(day_issue.join(last, ["team", "key"], "left_semi"), day_column)
     days = F.reverse(F.array_sort(F.collect_list(F.struct("d", "col", done().alias("done")))))
     g = rows.groupBy("team", "key").agg(days.alias("days")).join(spans(day), "team").where("days[0].d = hi and not days[0].done")
@@ -211,15 +212,21 @@ def column_dwell(day, day_issue, day_member, day_sprint, day_column) -> DataFram
     return g.select("team", "key", "col", F.round(days_between(F.col("since").cast("timestamp_ntz"), "now"), 6).alias("dwell_days"), censored.alias("censored"))
 
 
-def column_dwell_summary(dwell: DataFrame) -> DataFrame:
-    """Ageing of each column, with its oldest issues, the longest there first."""
+def column_ages(dwell: DataFrame) -> DataFrame:
+    """Ageing of each column, without its issues."""
     v = F.when(~F.col("censored"), F.col("dwell_days"))
     g = dwell.groupBy("team", "col").agg(F.count("*").alias("n"), F.count(v).alias("basis"), count_if(F.col("censored")).alias("censored"))
     g = g.join(percentiles(dwell, ["team", "col"], {"dwell": (v, {"p50": 0.5, "p90": 0.9})}), ["team", "col"], "left")
+    return g.withColumn("reportable", F.col("p50").isNotNull() & (F.col("basis") >= LEAST_BASIS))
+
+
+def column_dwell_summary(dwell: DataFrame) -> DataFrame:
+    """Ageing of each column, with its oldest issues, the longest there first."""
+    g = column_ages(dwell)
     rank = F.row_number().over(W.partitionBy("team", "col").orderBy(F.desc("dwell_days"), "key"))
     first = dwell.withColumn("r", rank).where(F.col("r") <= OLDEST).groupBy("team", "col")
     oldest = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]), ",").alias("oldest"))
-    return g.join(oldest, ["team", "col"]).withColumn("reportable", F.col("p50").isNotNull() & (F.col("basis") >= LEAST_BASIS))
+    return g.join(oldest, ["team", "col"]).select(*(c for c in g.columns if c != "reportable"), "oldest", "reportable")
 
 
 def cumulative_flow(day, day_issue, day_member, day_sprint, day_column) -> DataFrame:

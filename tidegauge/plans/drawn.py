@@ -66,7 +66,7 @@ def chart_composition(c):
 
 @query(f"{DWELL}, ag AS (SELECT team, col, quantile_cont(dwell_days, 0.5) FILTER (WHERE NOT censored) p50, quantile_cont(dwell_days, 0.9) FILTER (WHERE NOT censored) p90 FROM dw GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT censored) >= 3) {rows('ag', 'col', {'median': 'p50', 'p90': 'p90'})}", SERIES)
 def chart_column_ageing(c):
-    return ch.column_ageing(sr.column_dwell_summary(sr.column_dwell(*c.series, c.day_column)))
+    return ch.column_ageing(sr.column_ages(sr.column_dwell(c.day, c.day_issue, c.day_member, c.day_sprint, c.day_column)))
 
 
 @query(f"{EPICS}, ea AS (SELECT * FROM ep WHERE active_issues > 0 AND epic <> '(no epic)' QUALIFY row_number() OVER (PARTITION BY team ORDER BY active_issues DESC, active_points DESC, backlog_issues DESC, epic) <= 10) {rows('ea', 'epic', {'done': 'active_done', 'open': 'active_issues - active_done', 'queued': 'backlog_issues'})}")
