@@ -34,9 +34,12 @@ def normal_name(name: Column) -> Column:
 
 def assignees(issue: DataFrame, as_of: Column) -> DataFrame:
     """Each board's people: the recently active ones, or all if those are too few."""
-    names = issue.where("assignee is not null").groupBy("team", "assignee").agg(F.max(days_between("updated", as_of) <= RECENT_DAYS).alias("recent"))
-    n = names.groupBy("team").agg(F.count_if("recent").alias("n"))
-    return names.join(n, "team").where((F.col("n") < MIN_RECENT) | F.col("recent")).select("team", F.col("assignee").alias("name"), F.when(F.col("n") >= MIN_RECENT, "recent").otherwise("all").alias("basis"))
+    # The name as a figure of its group: a filter on what a function makes of it stays above the
+    # grouping, so that the function is asked for each person and not for each issue.
+    names = issue.where("assignee is not null and team is not null").groupBy("team", "assignee")
+    names = names.agg(F.max(days_between("updated", as_of) <= RECENT_DAYS).alias("recent"), F.min("assignee").alias("name"))
+    n = names.groupBy("team").agg(F.count(F.when(F.col("recent"), F.col("name"))).alias("n"))
+    return names.join(n, "team").where((F.col("n") < MIN_RECENT) | F.col("recent")).select("team", "name", F.when(F.col("n") >= MIN_RECENT, "recent").otherwise("all").alias("basis"))
 
 
 def same_people(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def axis_scores(mr: DataFrame, issue: DataFrame, people: DataFrame) -> DataFrame
     prefix = F.regexp_extract("key", "^(.+)-[^-]*$", 1).alias("prefix")
     boards = issue.select("team", prefix).distinct()
     near = keys.select("grp", "mr", prefix).join(boards, "prefix").select("grp", "team", "mr").distinct().join(hits, ["grp", "team", "mr"], "left_anti")
-    human = mr.where(~F.col("bot")).select("grp", "author").distinct().select("grp", normal_name(F.col("author")).alias("name")).where("name != ''").distinct()
+    human = mr.where(~F.col("bot")).groupBy("grp", "author").agg(F.min("author").alias("said")).select("grp", normal_name(F.col("said")).alias("name")).where("name != ''").distinct()
     staff = people.select("team", normal_name(F.col("name")).alias("name")).distinct()
     pairs = same_people(human, staff)
     met = human.withColumnRenamed("name", "a").join(pairs, "a").join(staff.withColumnRenamed("name", "b"), "b").select("grp", "team", "a").distinct()
