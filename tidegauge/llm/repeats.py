@@ -10,8 +10,10 @@ q-grams, and neighbouring strings with the same one form a run.
    strings are put in buckets by their first bytes, and a bucket is sorted on the bucket
    identifiers at a later offset (see refine). The identifiers that this gives are used
    again for the next offset, twice as far, until they stand for whole strings. Buckets of
-   one string are left alone. Buckets of very many texts are refined in the same way, but
-   each round is a join and a grouping of their places across tasks (refine_wide).
+   one string are left alone. Buckets of very many texts are refined across tasks first:
+   a round halves their runs and groups the halves by bucket and by the bytes at the later
+   offset that all strings of a half have, until buckets are small (refine_wide). Runs stay
+   runs there, so that a text adds a few rows, not one for each of its places.
 3. Runs that follow each other in a document and in the one they repeat are chained. Before
    bytes are removed, the digest of a chain is compared with that of the bytes it repeats.
 
@@ -22,6 +24,7 @@ the documents share is no single task's work. Texts are worked on in overlapping
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -85,8 +88,8 @@ def runs(x: np.ndarray, ends: np.ndarray, base: int = 1 << 20):
 
 
 #: Bytes that are worked on at a time, texts of a bucket from which it is more than a task's
-#: work, bytes of a source's piece, and bytes of the first identifier of a place.
-CHUNK, WIDE, PIECE, HEAD = 64_000, 2000, 16_384, 8
+#: work, and bytes of a source's piece.
+CHUNK, WIDE, PIECE = 64_000, 2000, 16_384
 #: Names that no column of the input has.
 NO, KEPT, OF, START = (f"__repeats_{x}" for x in ("no", "kept", "of", "start"))
 
@@ -145,17 +148,17 @@ def _chain(shift: int, piece_of: int):
 
 
 def _pieces(piece_of: int):
-    """Packed texts as pieces, each with what a chain that starts in it may need."""
+    """Texts as packed pieces, each with what a chain that starts in it may need."""
 
     def run(batches):
         import zstandard
 
-        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
             out = []
-            for no, packed in zip(b.column(NO).to_pylist(), b.column("packed").to_pylist()):
-                data = unpack.decompress(packed)
-                out += [(no, i, pack.compress(data[i * piece_of : (i + 1) * piece_of + 2 * LENGTH])) for i in range(len(data) // piece_of + 1)]
+            for no, t in zip(b.column(NO).to_pylist(), b.column("text").to_pylist()):
+                data = (t or "").encode()
+                out += [(no, i // piece_of, pack.compress(data[i : i + piece_of + 2 * LENGTH])) for i in range(0, max(len(data) - LENGTH + 1, 0), piece_of)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], [NO, "piece", "data"])
 
     return run
@@ -245,33 +248,74 @@ def _sort_buckets(batches):
         yield _refined(rest)
 
 
-def _heads(batches):
-    """Every place of wide buckets' runs as a row, with its first bytes and those left."""
+#: Runs of one range of left contexts, those from low to high. A string's left context is how many of
+#: its bytes lie before its sampled q-gram; left is that of the run's first string.
+SPAN = "id long, low int, high int, src long, n long, left int, snippet binary"
+
+
+def _spans(batches):
+    """Runs of wide buckets, with their first string's left context."""
     for b in batches:
-        for src, snippet in zip(b.column("src").to_pylist(), b.column("snippet").to_pylist()):
-            words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(snippet, np.uint8), HEAD)
-            at = np.arange(len(words))
-            cols = [pa.array(src + at), pa.array(np.ascontiguousarray(words).view(np.int64).ravel()), pa.array((len(snippet) - at).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["place", "id", "room"])
-
-
-def refine_wide(places: DataFrame, steps: Steps) -> DataFrame:
-    """place and first of the strings of places(place, id, room) that also start earlier, at
-    first: refine, across tasks. A round sorts places into buckets by their identifier and
-    the one at the later offset; the least place of a bucket is its new identifier. A place
-    that is alone in its bucket is done, and so is every string that holds it."""
-    rows = steps.store("places-0", places.groupBy("place").agg(F.first("id").alias("id"), F.max("room").alias("room")))
-    depth, k = HEAD, 0
-    while depth < LENGTH:
-        step = min(depth, LENGTH - depth)
-        depth += step
-        later = rows.select((F.col("place") - step).alias("place"), F.col("id").alias("next"))
-        both = steps.store("pairs", rows.where(F.col("room") >= depth).join(later, "place"))
-        several = both.groupBy("id", "next").agg(F.min("place").alias("least"), F.count("*").alias("c")).where("c > 1")
-        rows = steps.store(f"places-{k + 1}", both.join(several, ["id", "next"]).select("place", F.col("least").alias("id"), "room"))
-        steps.drop("pairs", f"places-{k}")
-        k += 1
-    return rows.where("place != id").select("place", F.col("id").alias("first"))
+        m, snippets = b.column("m").to_numpy(), b.column("snippet").to_pylist()
+        if not snippets:
+            continue
+        sizes = np.array([len(t) for t in snippets])
+        grams = pointers(np.frombuffer(b"".join(snippets), np.uint8))[0].view(np.int64)
+        of_first = grams[(np.cumsum(sizes) - sizes)[:, None] + np.arange(GRAMS)]
+        left, same = np.argmax(of_first == m[:, None], axis=1), np.zeros(len(m), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(same), pa.array(same + GRAMS - 1), b.column("src"), b.column("n"), pa.array(left.astype(np.int32)), b.column("snippet")], ["id", "low", "high", "src", "n", "left", "snippet"])
+
+
+def _halve(batches):
+    """The strings of each run whose left contexts lie in either half of the range, as runs, with the
+    bytes that all strings of the half have and those of the whole range need not have (key), and two
+    identifiers of their text. The whole range of a q-gram is not known to share more than that one's
+    identifier, so there the key is all that the half shares."""
+    for b in batches:
+        out = []
+        for m, low, high, src, n, left, snippet in zip(*(b.column(c).to_pylist() for c in ("id", "low", "high", "src", "n", "left", "snippet"))):
+            mid = (low + high) // 2
+            for a, z in ((low, mid), (mid + 1, high)):
+                most, least = min(z, left), max(a, left - n + 1)
+                if least > most:
+                    continue
+                at, count = left - most, most - least + 1
+                text, first = snippet[at : at + count + LENGTH - 1], high - low == GRAMS - 1
+                since = left - a if first or a > low else left - high + LENGTH
+                until = left - z + LENGTH if first or a == low else left - low
+                one, two = np.frombuffer(proof(text), np.int64).tolist()
+                out.append((m, a, z, src + at, count, most, text, snippet[since:until], one, two))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 10, kinds)], ["id", "low", "high", "src", "n", "left", "snippet", "key", "one", "two"])
+
+
+def refine_wide(runs_: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Of runs_(m, src, n, snippet) of wide buckets: place and n of those that repeat an earlier one
+    whole, and the runs of buckets that are left to refine, which are not wide.
+
+    A round halves the range of left contexts of a bucket's runs. All strings of a half share further
+    bytes at a later offset of its strings (or, in the other half, an earlier one), and a bucket is
+    refined by the half and these bytes; the least place of a bucket is its new identifier. Of each text
+    of a half the first run goes on, the others repeat it, and a text that is alone in its bucket is
+    done. So texts that go on are those that part within the half, a few halves each, however many
+    strings they have; at last a bucket is of one string.
+    """
+    wide, done, k = map_batches(runs_, _spans, SPAN), [], 0
+    while True:
+        halves = steps.store(f"halves-{k}", map_batches(wide, _halve, f"{SPAN}, key binary, one long, two long"))
+        bucket = ["id", "low", "key"]
+        texts = halves.groupBy(*bucket, "one", "two").agg(F.min("src").alias("first"))
+        refined = texts.groupBy(*bucket).agg(F.min("first").alias("least"), F.count("*").alias("c"))
+        rows = halves.join(texts, [*bucket, "one", "two"]).join(refined, bucket).where("c > 1 or src != first")
+        whole = F.col("src") != F.col("first")
+        rows = steps.store(f"spans-{k}", rows.select(F.col("least").alias("id"), "low", "high", "src", "n", "left", F.when(~whole, F.col("snippet")).alias("snippet"), (F.col("c") > WIDE).alias("wide"), whole.alias("whole")))
+        steps.drop(f"halves-{k}")
+        done.append(rows)
+        wide, k = rows.where("wide and not whole").select("id", "low", "high", "src", "n", "left", "snippet"), k + 1
+        if wide.isEmpty():
+            break
+    rows = reduce(DataFrame.union, done)
+    return rows.where("whole").select(F.col("src").alias("place"), "n"), rows.where("not whole and not wide").select(F.col("id").alias("m"), "src", "n", "snippet")
 
 
 def _pack(batches):
@@ -326,9 +370,9 @@ def _numbered(docs: DataFrame, steps: Steps) -> tuple[DataFrame, int]:
     return rows.join(of, part == F.col(OF)).withColumn(NO, F.col(START) + at).drop(OF, START), shift
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with a number NO for each row, and for those that lose something: NO, n_removed,
-    n_spans, kept_sha256 and KEPT (the bytes that stay as text, torn characters left out).
+def repeats(docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """docs with a number NO for each row, and for those that lose something NO and columns, of
+    n_removed, n_spans, kept_sha256 and KEPT (the bytes that stay as text, torn characters left out).
 
     Each byte goes that is covered by a string of LENGTH bytes which also starts earlier: in
     a document of smaller doc_id, or further left in the same one. Texts shorter than that,
@@ -357,39 +401,44 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps.drop("hits")
 
     sizes = steps.store("sizes", texts.groupBy("m").agg((F.count("*") > WIDE).alias("wide")))
-    involved = chains.select(no("place")).union(chains.select(no("src"))).union(texts.select(no("src"))).distinct()
-    packed = steps.store("packed", map_batches(docs.select(NO, "text"), _pack, f"{NO} long, packed binary").join(involved, NO))
     proofs = chains.select("src", "n").distinct().select("src", "n", F.lit(None).cast("long").alias("m"), F.lit(False).alias("wide"))
     asked = texts.join(sizes, "m").select("src", "n", "m", "wide").union(proofs).select(no("src"), piece, "src", "n", "m", "wide")
     # Dealt out even where one side is small: broadcast, both Python steps would share a stage, with two workers a task.
-    pieces = map_batches(packed, _pieces(PIECE), f"{NO} long, piece long, data binary").hint("merge")
+    pieces = map_batches(docs.select(NO, "text"), _pieces(PIECE), f"{NO} long, piece long, data binary").hint("merge")
     cut = map_batches(asked.join(pieces, [NO, "piece"]).select("src", "piece", "n", "m", "wide", "data"), _cut(shift, PIECE), "src long, n long, m long, wide boolean, snippet binary, proof binary")
     cut = steps.store("cut", cut)
     steps.drop("texts", "sizes")
 
-    narrow = cut.where("m is not null and not wide").select("m", "src", "n", "snippet").repartition("m").sortWithinPartitions("m")
-    partly = map_batches(narrow, _sort_buckets, "place long, n long")
-    single = map_batches(cut.where("wide").select("src", "snippet"), _heads, "place long, id long, room int")
-    single = refine_wide(single, steps).select("place", F.lit(1).cast("long").alias("n"))
-    refined = partly.union(single).withColumn("proof", F.lit(None).cast("binary"))
+    narrow = cut.where("m is not null and not wide").select("m", "src", "n", "snippet")
+    wide = cut.where("wide").select("m", "src", "n", "snippet")
+    refined = []
+    if not wide.isEmpty():
+        whole, rest = refine_wide(wide, steps)
+        refined, narrow = [whole], narrow.union(rest)
+    refined.append(map_batches(narrow.repartition("m").sortWithinPartitions("m"), _sort_buckets, "place long, n long"))
+    refined = reduce(DataFrame.union, refined).withColumn("proof", F.lit(None).cast("binary"))
     proven = chains.join(cut.where("m is null").select("src", "n", "proof"), ["src", "n"]).select("place", "n", "proof")
+    gone = steps.store("found", refined.union(proven).groupBy(no("place")).agg(F.collect_list(F.struct("place", "n", "proof")).alias("found")))
+    steps.drop(*(name for name in list(steps.paths) if name not in ("numbered", "found")))
 
-    gone = refined.union(proven).groupBy(no("place")).agg(F.collect_list(F.struct("place", "n", "proof")).alias("found"))
-    return docs, map_batches(gone.join(packed, NO).select(NO, "packed", "found"), _trim(shift), f"{NO} long, n_removed long, n_spans long, kept_sha256 string, {KEPT} string")
+    packed = map_batches(docs.select(NO, "text"), _pack, f"{NO} long, packed binary").hint("merge")  # as above
+    gone = map_batches(gone.join(packed, NO).select(NO, "packed", "found"), _trim(shift), f"{NO} long, n_removed long, n_spans long, kept_sha256 string, {KEPT} string")
+    gone = steps.store("gone", gone.select(NO, *columns))
+    steps.drop("found")
+    return docs, gone
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """docs, all columns, with repeated bytes taken out of the texts; null texts stay null."""
-    numbered, gone = repeats(docs)
-    out = numbered.join(gone.select(NO, KEPT), NO, "left")
+    numbered, gone = repeats(docs, KEPT)
+    out = numbered.join(gone, NO, "left")
     return out.withColumn("text", F.coalesce(KEPT, "text")).select(*docs.columns)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over `documents`: one row for each row; null texts count as empty."""
-    docs, gone = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, gone = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "n_removed", "n_spans", "kept_sha256")
     text = F.coalesce("text", F.lit(""))
     base = docs.select(NO, "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    gone = Steps(spark, "repeats").store("gone", gone.drop(KEPT))
     return base.join(gone, NO, "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
