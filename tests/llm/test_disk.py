@@ -2,7 +2,11 @@
 
 import os
 import random
+import time
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_repeats import brute, run
 from tidegauge.llm import common, repeats
@@ -21,11 +25,29 @@ def tables(spark):
     return set(os.listdir(base)) if os.path.isdir(base) else set()
 
 
+def shuffle_files(spark):
+    kept = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (kept.apply(i).getName() for i in range(kept.size())) if f.startswith("shuffle_")}
+
+
+def test_a_steps_shuffle_goes_before_the_next_one(spark):
+    """One round of cleaning left the files of the latest step until the next was done."""
+    common.release(spark)
+    before = shuffle_files(spark)
+    common.stored(spark.range(0, 40_000, 1, 4).groupBy((F.col("id") % 30_000).alias("k")).count(), "step")
+    end = time.time() + 3
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+
+
 def test_wide_buckets_add_a_few_rows_a_text(spark, tmp_path, monkeypatch):
     """Each place of a wide bucket's texts was a row, some hundred a text, joined and stored in each round."""
     rows, store = {}, common.Steps.store
 
     def spy(self, name, df):
+        if name.startswith("halves"):  # two Python steps in a stage take two workers a task
+            assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
         out = store(self, name, df)
         rows[name] = rows.get(name, 0) + out.count()
         return out
@@ -48,3 +70,9 @@ def test_repeats_hold_no_copy_of_the_corpus(spark, monkeypatch):
     repeats.remove(spark.read.parquet(f"{SF}/documents.parquet")).count()
     assert "packed" not in names
     assert [x.rpartition("-")[0] for x in tables(spark) - before] == ["repeats-gone"]
+
+
+def test_pipeline_drops_what_a_stage_has_read(spark):
+    before = tables(spark)
+    assert corpus_pipeline.run(spark, SF).count()
+    assert [x.rpartition("-")[0] for x in tables(spark) - before if x.startswith("pipeline-")] == ["pipeline-packing"]

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -91,9 +92,12 @@ class Steps:
 
 
 def release(spark: SparkSession) -> None:
-    """Drop what finished steps hold, so that Spark's cleaner frees their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Drop what finished steps hold, so that Spark's cleaner frees their shuffle files. What a step
+    has just left is let go of a moment later, so once would leave its files for the whole next step."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.1)
+        spark.sparkContext._jvm.System.gc()
 
 
 _HELD: dict = {}

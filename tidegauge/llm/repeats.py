@@ -300,9 +300,10 @@ def refine_wide(runs_: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     done. So texts that go on are those that part within the half, a few halves each, however many
     strings they have; at last a bucket is of one string.
     """
-    wide, done, k = map_batches(runs_, _spans, SPAN), [], 0
+    wide, done, k = runs_, [], 0
     while True:
-        halves = steps.store(f"halves-{k}", map_batches(wide, _halve, f"{SPAN}, key binary, one long, two long"))
+        halve = _halve if k else lambda batches: _halve(_spans(batches))  # one Python step, so one worker a task
+        halves = steps.store(f"halves-{k}", map_batches(wide, halve, f"{SPAN}, key binary, one long, two long"))
         bucket = ["id", "low", "key"]
         texts = halves.groupBy(*bucket, "one", "two").agg(F.min("src").alias("first"))
         refined = texts.groupBy(*bucket).agg(F.min("first").alias("least"), F.count("*").alias("c"))
